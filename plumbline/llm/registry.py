@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import suffix, superkmer
+from . import minmax, suffix, superkmer
 
 QUERIES = {
     "op7_superkmer_dedup": superkmer.op7_superkmer_dedup,
     "op8_suffix_dedup": suffix.op8_suffix_dedup,
+    "op9_minmax_near_dedup": minmax.op9_minmax_near_dedup,
 }
 
 ORACLES = {
     "op7_superkmer_dedup": superkmer.ORACLE_SQL,
+    "op9_minmax_near_dedup": minmax.ORACLE_SQL,
 }
