@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import minmax, suffix, superkmer
+from . import decontaminate, langid, linerules, minmax, suffix, superkmer
 
 QUERIES = {
+    "op1_hyperdimensional_langid": langid.op1_hyperdimensional_langid,
+    "op6_line_rules": linerules.op6_line_rules,
     "op7_superkmer_dedup": superkmer.op7_superkmer_dedup,
     "op8_suffix_dedup": suffix.op8_suffix_dedup,
     "op9_minmax_near_dedup": minmax.op9_minmax_near_dedup,
+    "op10_prefix_decontaminate": decontaminate.op10_prefix_decontaminate,
 }
 
 ORACLES = {
+    "op6_line_rules": linerules.ORACLE_SQL,
     "op7_superkmer_dedup": superkmer.ORACLE_SQL,
     "op9_minmax_near_dedup": minmax.ORACLE_SQL,
+    "op10_prefix_decontaminate": decontaminate.ORACLE_SQL,
 }
