@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linerules, minmax, suffix, superkmer
+from . import decontaminate, langid, linerules, minmax, mixing, packing, suffix, superkmer
 
 QUERIES = {
     "op1_hyperdimensional_langid": langid.op1_hyperdimensional_langid,
+    "op2_flow_mixing": mixing.op2_flow_mixing,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_line_rules": linerules.op6_line_rules,
     "op7_superkmer_dedup": superkmer.op7_superkmer_dedup,
     "op8_suffix_dedup": suffix.op8_suffix_dedup,
