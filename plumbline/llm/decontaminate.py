@@ -80,7 +80,7 @@ def prefixes(windows: DataFrame, counts: DataFrame, threshold: float) -> DataFra
     )
 
 
-def contained(docs: DataFrame, items: DataFrame, window: int = 10, threshold: float = 1.0) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, window: int = 10, threshold: float = 1.0, with_key: bool = False) -> DataFrame:
     """Documents with stretches that agree with a window of an item in ``threshold`` of its words.
 
     ``docs`` has doc_id and text, ``items`` item_id and text.  Returns doc_id, n_words, n_hit
@@ -88,7 +88,8 @@ def contained(docs: DataFrame, items: DataFrame, window: int = 10, threshold: fl
     strings, comma-joined), items, contaminated (n_hit > 0), one row per row of ``docs``.
     An item shorter than the window is one window; one without words, with a null text or a
     null id is ignored.  A null text has no words.  Rows with one doc_id are told apart by
-    their texts; equal rows get equal results.  Other columns are ignored.
+    their texts; equal rows get equal results.  Other columns are ignored.  ``with_key`` adds
+    ``key``, the hash of doc_id and text.
     """
     windows = cut(item_windows(items, window), "windows")
     n = windows.count()
@@ -112,10 +113,16 @@ def contained(docs: DataFrame, items: DataFrame, window: int = 10, threshold: fl
     none = F.array().cast("array<string>")
     out = checked.select("key", "doc_id", "n_words").join(n_hit, "key", "left").join(which, "key", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", none)})
     return out.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "items", (F.col("n_hit") > 0).alias("contaminated")
+        *(["key"] if with_key else []), "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "items", (F.col("n_hit") > 0).alias("contaminated")
     )
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, threshold: float = 1.0) -> DataFrame:
+    """The rows of ``docs``, all columns, that have no stretch of an item."""
+    bad = contained(docs, items, window, threshold, with_key=True).filter("contaminated").select(F.col("key").alias("__key")).distinct()
+    return docs.withColumn("__key", F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))).join(bad, "__key", "left_anti").drop("__key")
+
+
 def _agrees(words: Column, spot: Column, threshold: float) -> Column:
     """Whether the document's words from the spot on agree with the window in enough places."""
     want = F.split(spot["win"], " ")

@@ -168,6 +168,16 @@ def held_out(column: str = "doc_id", of: int = 5, remainder: int = 0) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % of == remainder, F.lit(False))
 
 
+def identified(docs: DataFrame, least: float = 0.6, dim: int = 1024, n: int = 3) -> DataFrame:
+    """The rows of ``docs``, its own columns, whose language is known with a score of ``least`` or more.
+
+    The languages are learned from the rows that are not held out.
+    """
+    columns = docs.columns
+    found = identify(docs, docs.filter(~held_out()), dim, n, keep=columns)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*columns)
+
+
 def op1_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned from those not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")

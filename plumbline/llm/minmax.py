@@ -208,6 +208,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of each class, and those without a doc_id."""
+    gone = near_duplicates(docs, threshold, words).filter("NOT kept").select("doc_id").distinct()
+    left = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return left.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+
+
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents, similarity 0.85."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), threshold=0.85)

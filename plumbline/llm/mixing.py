@@ -157,6 +157,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, s
     return out.withColumn("taken", F.col("copies") * F.col("size")).drop("__pattern", "__hash", "full", "below", "extra")
 
 
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 17) -> DataFrame:
+    """The rows of ``docs``, its own columns, each as often as the mix takes it."""
+    taken = mix(docs, weights, cap, seed).filter("copies > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+
+
 def _thresholds(sized: DataFrame, plan: DataFrame, most: int) -> DataFrame:
     """Per pattern, the hash below which documents are taken once more, and the few beyond it that fill ``rest``.
 

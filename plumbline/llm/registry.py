@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linerules, minmax, mixing, packing, suffix, superkmer
+import corpus_pipeline
+
+from . import decontaminate, langid, linerules, minmax, mixing, packing, ppm, pseudonyms, suffix, superkmer
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_hyperdimensional_langid": langid.op1_hyperdimensional_langid,
     "op2_flow_mixing": mixing.op2_flow_mixing,
+    "op3_feistel_pseudonyms": pseudonyms.op3_feistel_pseudonyms,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_ppm_scores": ppm.op5_ppm_scores,
     "op6_line_rules": linerules.op6_line_rules,
     "op7_superkmer_dedup": superkmer.op7_superkmer_dedup,
     "op8_suffix_dedup": suffix.op8_suffix_dedup,
