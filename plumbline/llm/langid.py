@@ -168,7 +168,7 @@ def held_out(column: str = "doc_id", of: int = 5, remainder: int = 0) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % of == remainder, F.lit(False))
 
 
-def identified(docs: DataFrame, least: float = 0.6, dim: int = 1024, n: int = 3) -> DataFrame:
+def identified(docs: DataFrame, least: float = 0.5, dim: int = 1024, n: int = 3) -> DataFrame:
     """The rows of ``docs``, its own columns, whose language is known with a score of ``least`` or more.
 
     The languages are learned from the rows that are not held out.
