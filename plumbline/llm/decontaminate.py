@@ -3,8 +3,7 @@
 DataFrame functions only.  An item is cut into windows of consecutive words.  The tokens of
 a window are its words at their places; they are ordered by rarity over all documents.  A
 window can only agree in ``need`` places with a document if one of its ``size - need + 1``
-rarest tokens does (the prefix), so only those are joined; the neighbours of the token are
-part of the join.  Positions that would put the window outside the document are left out
+rarest tokens does (the prefix), so only those are joined.  Positions that would put the window outside the document are left out
 (length and position bounds), and each candidate is then verified word by word over a
 stretch of the document as long as the window.
 """
@@ -50,13 +49,10 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
-    """key, n (words of the text), at, before, word, after: a row per word."""
-    w = loose_words_of(F.col("text"))
-    after = F.concat(F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), F.array(F.lit("")))
-    zipped = F.arrays_zip(F.concat(F.array(F.lit("")), w).alias("before"), w.alias("word"), after.alias("after"))
-    ready = docs.select("key", F.size(w).alias("n"), zipped.alias("z"))  # before the rows are made, not for each of them
-    rows = ready.select("key", "n", F.posexplode("z").alias("at", "t"))
-    return rows.select("key", "n", "at", "t.before", "t.word", "t.after").filter("word IS NOT NULL")
+    """key, n (words of the text), at, word: a row per word."""
+    ready = docs.select("key", loose_words_of(F.col("text")).alias("w"))
+    ready = ready.select("key", F.size("w").alias("n"), "w")  # before the rows are made, not for each of them
+    return ready.select("key", "n", F.posexplode("w").alias("at", "word"))
 
 
 def rarity(docs: DataFrame, windows: DataFrame, n: int) -> DataFrame:
@@ -67,17 +63,11 @@ def rarity(docs: DataFrame, windows: DataFrame, n: int) -> DataFrame:
 
 
 def prefixes(windows: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
-    """The rarest tokens of each window, one of which any match must have: win, place, before, word, after."""
-    low = F.transform("words", F.lower)
-    rows = windows.select("win", "size", low.alias("low"), F.posexplode(low).alias("place", "word")).join(counts, "word")
+    """The rarest tokens of each window, one of which any match must have: win, size, place, word."""
+    rows = windows.select("win", "size", F.posexplode(F.transform("words", F.lower)).alias("place", "word")).join(counts, "word")
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("win").orderBy("df", "place")))
     need = F.ceil(F.col("size") * F.lit(threshold))
-    exact = F.lit(threshold >= 1.0)
-    return rows.filter(F.col("rank") <= F.col("size") - need + 1).select(
-        "win", "size", "place", "word",
-        F.when(exact & (F.col("place") > 0), F.element_at("low", F.col("place"))).alias("need_before"),
-        F.when(exact & (F.col("place") < F.col("size") - 1), F.element_at("low", F.col("place") + 2)).alias("need_after"),
-    )
+    return rows.filter(F.col("rank") <= F.col("size") - need + 1).select("win", "size", "place", "word")
 
 
 def contained(docs: DataFrame, items: DataFrame, window: int = 10, threshold: float = 1.0, with_key: bool = False) -> DataFrame:
@@ -96,10 +86,9 @@ def contained(docs: DataFrame, items: DataFrame, window: int = 10, threshold: fl
     base = docs.select(F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("key"), "doc_id", "text")
     prefix = cut(prefixes(windows, rarity(base, windows, n), threshold), "prefixes")
     tokens = _tokens(base)
-    near = tokens.join(_small(prefix, n * (1 if threshold >= 1 else window)), "word").filter(
-        "(need_before IS NULL OR need_before = before) AND (need_after IS NULL OR need_after = after) AND at >= place AND at - place + size <= n"
-    )
-    found = near.select("key", (F.col("at") - F.col("place")).alias("start"), "win").distinct()
+    near = tokens.join(_small(prefix, n * (1 if threshold >= 1 else window)), "word").filter("at >= place AND at - place + size <= n")
+    found = near.select("key", (F.col("at") - F.col("place")).alias("start"), "win")
+    found = found.distinct() if threshold < 1 else found  # an exact window has one token to be found by
     spots = found.groupBy("key").agg(F.collect_list(F.struct("start", "win")).alias("spots"))
 
     whole = base.join(spots, "key", "left").select("key", "doc_id", words_of(F.col("text")).alias("w"), "spots")
