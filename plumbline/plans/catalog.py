@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from . import REGISTRY
+from . import REGISTRY, fix_queries
 
-__all__ = ["REGISTRY"]
+__all__ = ["REGISTRY", "fix_queries"]
