@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
     # One row per position fix.
-    "fixes": """SELECT concat('run_', l_returnflag) AS run_id, l_orderkey * 10e0 + l_linenumber AS t_s, l_orderkey * 10 + l_linenumber AS ord,
+    "fixes": """SELECT concat('run_', l_returnflag) AS run_id, l_orderkey * 10e0 + l_linenumber AS t_s, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS ord,
         l_discount <= 6e-2 AS accepted, CAST(l_partkey % 997 AS DOUBLE) AS gt_east, CAST(l_suppkey % 89 AS DOUBLE) AS gt_north,
         (l_suppkey % 13) * 1e-1 - 6e-1 AS gt_yaw,
         CAST(l_partkey % 997 AS DOUBLE) + (l_quantity - 25e0) * 2e0 AS est_east, CAST(l_suppkey % 89 AS DOUBLE) + CAST(l_partkey % 61 AS DOUBLE) - 30e0 AS est_north,
@@ -34,7 +34,7 @@ VIEWS = {
     # A class raster: one cell per order.
     "classes": """SELECT CAST(floor(o_orderkey / 128) AS BIGINT) AS r, CAST(o_orderkey % 128 AS BIGINT) AS c, CAST(o_custkey % 6 AS INT) AS class FROM {orders}""",
     # Ways and their ordered node references; nodes are parts.
-    "refs": """SELECT l_orderkey AS way, l_linenumber AS pos, l_partkey AS node FROM {lineitem}""",
+    "refs": """SELECT l_orderkey AS way, l_linenumber * 1000000 + l_partkey AS pos, l_partkey AS node FROM {lineitem}""",
     "nodes": """SELECT p_partkey AS node, CAST(p_partkey % 211 AS DOUBLE) AS east, CAST(p_size AS DOUBLE) AS north FROM {part} WHERE p_partkey % 9 <> 0""",
     # Aerial frames: pairs of a measured shift with its quality.
     "matches": """SELECT l_orderkey * 10 + l_linenumber AS id, l_discount > 1e-2 AS success, l_linenumber = 7 AS bad_scale, 1e0 + l_discount * 1e1 AS peak_ratio, l_tax * 1e1 AS valid_fraction,

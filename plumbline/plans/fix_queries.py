@@ -29,10 +29,6 @@ def errors(inner: str, src: str = "fixes") -> str:
     return f"WITH {err(src)} {inner}"
 
 
-def _agg(*cols):
-    return lambda f: m.with_errors(f).agg(*cols)
-
-
 add("a14_fix_level", "fixes", lambda f: m.fix_level(f, ("run_id",)), errors(f"SELECT run_id, {AGG} FROM e GROUP BY run_id"), FIGURES, "run_id, n_attempts, n_accepted")
 add(
     "a23_fix_level_by_terrain", "fixes", m.fix_level_by_terrain,
@@ -45,10 +41,10 @@ add(
     FIGURES, "mode, n_attempts, n_accepted",
 )
 for d in (5, 10, 20, 50):
-    add(f"a01_within_{d}m", "fixes", _agg(m.within(float(d)).alias("share")), errors(f"SELECT avg(CASE WHEN err <= {d} THEN 1e0 ELSE 0e0 END) AS share FROM e WHERE accepted"), "share")
-add("a02_integrity_failure_rate", "fixes", _agg(m.beyond().alias("ifr")), errors("SELECT avg(CASE WHEN err > 50 THEN 1e0 ELSE 0e0 END) AS ifr FROM e WHERE accepted"), "ifr")
+    add(f"a01_within_{d}m", "fixes", lambda f: m.with_errors(f).agg(m.within(float(d)).alias("share")), errors(f"SELECT avg(CASE WHEN err <= {d} THEN 1e0 ELSE 0e0 END) AS share FROM e WHERE accepted"), "share")
+add("a02_integrity_failure_rate", "fixes", lambda f: m.with_errors(f).agg(m.beyond().alias("ifr")), errors("SELECT avg(CASE WHEN err > 50 THEN 1e0 ELSE 0e0 END) AS ifr FROM e WHERE accepted"), "ifr")
 add("a03_acceptance_rate", "fixes", lambda f: f.groupBy("run_id").agg(F.try_divide(F.count_if("accepted"), F.count("*")).alias("rate")), "SELECT run_id, count(*) FILTER (WHERE accepted) / CAST(count(*) AS DOUBLE) AS rate FROM fixes GROUP BY run_id", "rate", "run_id")
-add("a04_heading_error", "fixes", _agg(m.accepted_percentile("yaw_err_deg", 0.5).alias("p50"), m.accepted_percentile("yaw_err_deg", 0.95).alias("p95")), errors("SELECT quantile_cont(yerr, 0.5) AS p50, quantile_cont(yerr, 0.95) AS p95 FROM e WHERE accepted"), "p50, p95")
+add("a04_heading_error", "fixes", lambda f: m.with_errors(f).agg(m.accepted_percentile("yaw_err_deg", 0.5).alias("p50"), m.accepted_percentile("yaw_err_deg", 0.95).alias("p95")), errors("SELECT quantile_cont(yerr, 0.5) AS p50, quantile_cont(yerr, 0.95) AS p95 FROM e WHERE accepted"), "p50, p95")
 add("a05_percentiles", "fixes", lambda f: f.agg(*(F.percentile("latency_ms", F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.05, 0.25, 0.75, 0.99))), "SELECT quantile_cont(latency_ms, 0.05) AS p5, quantile_cont(latency_ms, 0.25) AS p25, quantile_cont(latency_ms, 0.75) AS p75, quantile_cont(latency_ms, 0.99) AS p99 FROM fixes", "p5, p25, p75, p99")
 add("a06_latency", "fixes", lambda f: f.groupBy("terrain").agg(F.percentile("latency_ms", F.lit(0.5)).alias("p50"), F.percentile("latency_ms", F.lit(0.95)).alias("p95")), "SELECT terrain, quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95 FROM fixes GROUP BY terrain", "p50, p95", "terrain")
 add("a07_rmse", "fixes", lambda f: m.with_errors(f).groupBy("run_id").agg(m.rmse().alias("rmse")), errors("SELECT run_id, sqrt(avg(err * err)) AS rmse FROM e GROUP BY run_id"), "rmse", "run_id")
@@ -60,7 +56,7 @@ NEES3 = f"""((cov_nn * cov_yy - cov_ny * cov_ny) * de * de + (cov_ee * cov_yy -
  / (cov_ee * (cov_nn * cov_yy - cov_ny * cov_ny) - cov_en * (cov_en * cov_yy - cov_ny * cov_ey) + cov_ey * (cov_en * cov_ny - cov_nn * cov_ey))"""
 add("a10_nees_samples", "fixes", lambda f: m.nees(f).select("ord", "nees"), errors(f"SELECT ord, {NEES2} AS nees FROM e"), "nees", "ord", 5)
 add("a11_nees_mean", "fixes", lambda f: m.nees(f, 3).groupBy("run_id").agg(F.avg("nees").alias("nees")), errors(f"SELECT run_id, avg({NEES3}) AS nees FROM e GROUP BY run_id"), "nees", "run_id", 4)
-add("a13_sigma_coverage", "fixes", _agg(*(m.sigma_coverage(None, float(k)).alias(f"k{k}") for k in (1, 2, 3))), errors("SELECT " + ", ".join(f"avg(CASE WHEN err <= {k} * sqrt(cov_ee + cov_nn) THEN 1e0 ELSE 0e0 END) AS k{k}" for k in (1, 2, 3)) + " FROM e"), "k1, k2, k3")
+add("a13_sigma_coverage", "fixes", lambda f: m.with_errors(f).agg(*(m.sigma_coverage(None, float(k)).alias(f"k{k}") for k in (1, 2, 3))), errors("SELECT " + ", ".join(f"avg(CASE WHEN err <= {k} * sqrt(cov_ee + cov_nn) THEN 1e0 ELSE 0e0 END) AS k{k}" for k in (1, 2, 3)) + " FROM e"), "k1, k2, k3")
 add(
     "a15_quality_distribution", "fixes", m.quality_distribution,
     " UNION ALL ".join(f"SELECT '{a}' AS attribute, quantile_cont(CAST({a} AS DOUBLE), 0.05) AS p5, quantile_cont(CAST({a} AS DOUBLE), 0.5) AS median, quantile_cont(CAST({a} AS DOUBLE), 0.95) AS p95 FROM fixes WHERE accepted" for a in m.QUALITY),
@@ -68,7 +64,7 @@ add(
 )
 add("a18_by_terrain", "fixes", lambda f: m.fix_level(f.filter(F.col("terrain").isin(*m.TERRAIN)), ("terrain",)), errors(f"SELECT terrain, {AGG} FROM e WHERE terrain IN ({TERRAIN}) GROUP BY terrain"), FIGURES, "terrain, n_attempts, n_accepted")
 add("a19_terrain_counts", "fixes", lambda f: f.filter(F.col("terrain").isin(*m.TERRAIN)).groupBy("terrain").agg(F.count("*").alias("n")), f"SELECT terrain, count(*) AS n FROM fixes WHERE terrain IN ({TERRAIN}) GROUP BY terrain")
-add("a25_match_summary", "fixes", _agg(F.count("*").alias("n"), F.median("pos_err").alias("median"), F.percentile("pos_err", F.lit(0.95)).alias("p95"), m.within(20.0).alias("a_at_20"), m.beyond().alias("ifr_at_50")), errors("SELECT count(*) AS n, median(err) AS median, quantile_cont(err, 0.95) AS p95, avg(CASE WHEN err <= 20 THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted) AS a_at_20, avg(CASE WHEN err > 50 THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted) AS ifr_at_50 FROM e"), "median, p95, a_at_20, ifr_at_50", "n")
+add("a25_match_summary", "fixes", lambda f: m.with_errors(f).agg(F.count("*").alias("n"), F.median("pos_err").alias("median"), F.percentile("pos_err", F.lit(0.95)).alias("p95"), m.within(20.0).alias("a_at_20"), m.beyond().alias("ifr_at_50")), errors("SELECT count(*) AS n, median(err) AS median, quantile_cont(err, 0.95) AS p95, avg(CASE WHEN err <= 20 THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted) AS a_at_20, avg(CASE WHEN err > 50 THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted) AS ifr_at_50 FROM e"), "median, p95, a_at_20, ifr_at_50", "n")
 add("a41_circular_mean", "fixes", lambda f: f.groupBy("terrain").agg(angles.circular_mean(F.col("est_yaw")).alias("mean")), "SELECT terrain, atan2(sum(sin(est_yaw)), sum(cos(est_yaw))) AS mean FROM fixes GROUP BY terrain", "mean", "terrain")
 add("a42_upper_median", "fixes", lambda f: f.groupBy("run_id").agg(F.percentile_disc(0.5, "n_inliers") if hasattr(F, "percentile_disc") else F.expr("element_at(array_sort(collect_list(n_inliers)), CAST(floor(count(*) / 2) + 1 AS INT))").alias("median")), "SELECT run_id, list_sort(list(n_inliers))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median FROM fixes GROUP BY run_id")
 add("v07_recall_curve", "fixes", m.recall_curve, errors(" UNION ALL ".join(f"SELECT {d}e0 AS distance_m, coalesce(avg(CASE WHEN err <= {d} THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted), 0e0) AS recall FROM e" for d in m.RECALL_M)), "recall", "distance_m")
@@ -111,7 +107,10 @@ add(
     lambda x: x.select("id", (F.col("shift_east_px") * 0.5).alias("delta_east"), (F.col("shift_north_px") * 0.5).alias("delta_north"), angles.normalize(-F.col("delta_yaw")).alias("delta_yaw"), F.pow(3.0 * F.greatest(F.lit(1.0), 1.2 / F.greatest("peak_ratio", F.lit(1e-3))), F.lit(2.0)).alias("var_pos")),
     "SELECT id, shift_east_px * 5e-1 AS delta_east, shift_north_px * 5e-1 AS delta_north, -delta_yaw AS delta_yaw, pow(3 * greatest(1e0, 12e-1 / greatest(peak_ratio, 1e-3)), 2) AS var_pos FROM matches", "delta_east, delta_north, delta_yaw, var_pos", "id",
 )
-_gate = ((F.col("peak_ratio") < 1.2, "peak"), (F.col("latency_ms") > 100, "latency"), (F.col("covisibility") < 0.1, "covisibility"))
-_reason = F.when(_gate[0][0], _gate[0][1]).when(_gate[1][0], _gate[1][1]).when(_gate[2][0], _gate[2][1]).otherwise("accepted")
-add("x04_rejection_reasons", "fixes", lambda f: f.groupBy(_reason.alias("reason")).agg(F.count("*").alias("n")), "SELECT CASE WHEN peak_ratio < 12e-1 THEN 'peak' WHEN latency_ms > 100 THEN 'latency' WHEN covisibility < 1e-1 THEN 'covisibility' ELSE 'accepted' END AS reason, count(*) AS n FROM fixes GROUP BY 1")
+def _reason():
+    peak, late, seen = F.col("peak_ratio") < 0.3, F.col("latency_ms") > 100, F.col("covisibility") < 0.1
+    return F.when(peak, "peak").when(late, "latency").when(seen, "covisibility").otherwise("accepted")
+
+
+add("x04_rejection_reasons", "fixes", lambda f: f.groupBy(_reason().alias("reason")).agg(F.count("*").alias("n")), "SELECT CASE WHEN peak_ratio < 3e-1 THEN 'peak' WHEN latency_ms > 100 THEN 'latency' WHEN covisibility < 1e-1 THEN 'covisibility' ELSE 'accepted' END AS reason, count(*) AS n FROM fixes GROUP BY 1")
 add("x10_local_bias_map", "fixes", lambda f: m.with_errors(f).groupBy(F.floor(F.col("gt_east") / 100).alias("cell")).agg(F.avg("east_err").alias("bias_e"), F.avg("north_err").alias("bias_n"), F.stddev_samp("pos_err").alias("spread")).withColumn("level", F.when(F.hypot("bias_e", "bias_n") > 8, "reject").when(F.hypot("bias_e", "bias_n") > 3, "warn").otherwise("ok")), errors("SELECT cell, be AS bias_e, bn AS bias_n, s AS spread, CASE WHEN sqrt(be * be + bn * bn) > 8 THEN 'reject' WHEN sqrt(be * be + bn * bn) > 3 THEN 'warn' ELSE 'ok' END AS level FROM (SELECT CAST(floor(gt_east / 100) AS BIGINT) AS cell, avg(de) AS be, avg(dn) AS bn, stddev_samp(err) AS s FROM e GROUP BY 1)"), "bias_e, bias_n, spread", "cell, level")
