@@ -41,7 +41,7 @@ add(
     FIGURES, "mode, n_attempts, n_accepted",
 )
 for d in (5, 10, 20, 50):
-    add(f"a01_within_{d}m", "fixes", lambda f: m.with_errors(f).agg(m.within(float(d)).alias("share")), errors(f"SELECT avg(CASE WHEN err <= {d} THEN 1e0 ELSE 0e0 END) AS share FROM e WHERE accepted"), "share")
+    add(f"a01_within_{d}m", "fixes", lambda f, d=d: m.with_errors(f).agg(m.within(float(d)).alias("share")), errors(f"SELECT avg(CASE WHEN err <= {d} THEN 1e0 ELSE 0e0 END) AS share FROM e WHERE accepted"), "share")
 add("a02_integrity_failure_rate", "fixes", lambda f: m.with_errors(f).agg(m.beyond().alias("ifr")), errors("SELECT avg(CASE WHEN err > 50 THEN 1e0 ELSE 0e0 END) AS ifr FROM e WHERE accepted"), "ifr")
 add("a03_acceptance_rate", "fixes", lambda f: f.groupBy("run_id").agg(F.try_divide(F.count_if("accepted"), F.count("*")).alias("rate")), "SELECT run_id, count(*) FILTER (WHERE accepted) / CAST(count(*) AS DOUBLE) AS rate FROM fixes GROUP BY run_id", "rate", "run_id")
 add("a04_heading_error", "fixes", lambda f: m.with_errors(f).agg(m.accepted_percentile("yaw_err_deg", 0.5).alias("p50"), m.accepted_percentile("yaw_err_deg", 0.95).alias("p95")), errors("SELECT quantile_cont(yerr, 0.5) AS p50, quantile_cont(yerr, 0.95) AS p95 FROM e WHERE accepted"), "p50, p95")
