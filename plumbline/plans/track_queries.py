@@ -62,7 +62,7 @@ add("j03_slerp_pose", "track", _pose_at, BOTH + "SELECT ord, cos((pv + nv) / 200
 add("a09_early_fixes", "track", lambda t: t.groupBy("run_id").agg(F.count_if(F.col("accepted") & (F.col("path_m") < 2000)).alias("n")), "SELECT run_id, count(*) FILTER (WHERE accepted AND path_m < 2000) AS n FROM track GROUP BY run_id")
 add(
     "a12_w07_innovations", "fixes", lambda f: o.innovations(f).groupBy("run_id").agg(F.avg(F.abs("innov_east")).alias("mean"), F.count("innov_east").alias("n")),
-    "SELECT run_id, avg(abs(i)) AS mean, count(i) AS n FROM (SELECT run_id, est_east - (lag(est_east) OVER w + (lag(est_east) OVER w - lag(est_east, 2) OVER w) * (t_s - lag(t_s) OVER w) / (lag(t_s) OVER w - lag(t_s, 2) OVER w)) AS i FROM fixes WHERE accepted WINDOW w AS (PARTITION BY run_id ORDER BY ord)) GROUP BY run_id", "mean", "run_id, n", 4,
+    "SELECT run_id, avg(abs(i)) AS mean, count(i) AS n FROM (SELECT run_id, est_east - (lag(est_east) OVER w + (lag(est_east) OVER w - lag(est_east, 2) OVER w) * (t_s - lag(t_s) OVER w) / nullif(lag(t_s) OVER w - lag(t_s, 2) OVER w, 0)) AS i FROM fixes WHERE accepted WINDOW w AS (PARTITION BY run_id ORDER BY ord)) GROUP BY run_id", "mean", "run_id, n", 4,
 )
 add("a16_trajectory_table", "track", lambda t: t.groupBy("run_id").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rmse"), F.percentile("value", F.lit(0.95)).alias("p95"), o.first_where("path_m", F.col("value") < 20).alias("convergence")).join(o.max_gap(t.withColumn("accepted", F.lit(True))), "run_id"), f"SELECT a.*, max_gap FROM (SELECT run_id, sqrt(avg(value * value)) AS rmse, quantile_cont(value, 0.95) AS p95, arg_min(path_m, ord) FILTER (WHERE value < 20) AS convergence FROM track GROUP BY run_id) a JOIN (SELECT run_id, max(g) AS max_gap FROM (SELECT run_id, path_m - lag(path_m) {RUN} AS g FROM track) GROUP BY run_id) b ON a.run_id = b.run_id", "rmse, p95, convergence, max_gap", "run_id", 4)
 add("t01_request_rate", "track", lambda t: t.withColumn("v", F.try_divide(F.col("path_m") - F.lag("path_m").over(o.by_order()), F.col("ord") - F.lag("ord").over(o.by_order()))).select("ord", "v"), f"SELECT ord, (path_m - lag(path_m) {RUN}) / (ord - lag(ord) {RUN}) AS v FROM track", "v", "ord")
