@@ -1,0 +1,138 @@
+"""Alignment of an odometry track to positions of a receiver, run by run.
+
+A run's alignment is sequential and small (knots every few seconds), so each run is one group;
+runs are what Spark spreads.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import kernels, ordered
+
+
+def timed_pairs(odometry: DataFrame, receiver: DataFrame, run: str = "run_id", time: str = "t_s") -> DataFrame:
+    """Receiver positions (bx, by, bz) with the odometry position (ax, ay, az) interpolated at their times."""
+    left = receiver.select(run, time, F.col("east").alias("bx"), F.col("north").alias("by"), F.col("up").alias("bz"))
+    right = odometry.select(run, time, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
+    return ordered.interpolate(left, right, ["ax", "ay", "az"], run, time, max_gap=1.0)
+
+
+def windowed_fits(pairs: DataFrame, length: float = 12.0, step: float = 4.0, least: int = 8, run: str = "run_id", time: str = "t_s") -> DataFrame:
+    """A rigid fit per sliding window of a run with enough pairs."""
+    return kernels.fit_rigid3(ordered.sliding_windows(pairs, time, length, step), [run, "window"], least)
+
+
+def snapped(fits: DataFrame, sigma_m: float = 1.5, run: str = "run_id") -> DataFrame:
+    """Fits of windows on a straight line (spread2 below ``sigma_m``) keep the rotation about it of the window before."""
+    schema = f"{run} {dict(fits.dtypes)[run]}, window long, rotation array<double>, held boolean"
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        last, out = None, []
+        for r in pdf.sort_values("window").itertuples(index=False):
+            rotation = np.asarray(r.rotation, float).reshape(3, 3)
+            held = bool(last is not None and r.spread2 < sigma_m)
+            if held:
+                line = rotation @ np.asarray(r.axis, float)
+                was = last @ np.asarray(r.axis, float)
+                rotation = shortest_turn(was, line) @ last
+            last = rotation
+            out.append((getattr(r, run), r.window, rotation.ravel().tolist(), held))
+        return pd.DataFrame(out, columns=[run, "window", "rotation", "held"])
+
+    return fits.groupBy(run).applyInPandas(fold, schema)
+
+
+def shortest_turn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least rotation that takes direction ``a`` to ``b``; half a turn about any normal if they are opposite."""
+    a, b = a / np.linalg.norm(a), b / np.linalg.norm(b)
+    v, c = np.cross(a, b), float(a @ b)
+    if c < -1 + 1e-12:
+        n = np.cross(a, [1.0, 0, 0] if abs(a[0]) < 0.9 else [0, 1.0, 0])
+        n /= np.linalg.norm(n)
+        return 2 * np.outer(n, n) - np.eye(3)
+    k = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+    return np.eye(3) + k + k @ k / (1 + c)
+
+
+def knots(pairs: DataFrame, step_s: float = 2.0, smooth: float = 0.5, huber_m: float = 2.0, rounds: int = 30, run: str = "run_id", time: str = "t_s") -> DataFrame:
+    """Planar corrections (heading, dx, dy) of a track at knots, linear in between.
+
+    Gauss-Newton on the distance of corrected odometry to receiver positions, with Huber
+    weights, and on the change between neighbouring knots.  Needs ax, ay, bx, by.
+    """
+    schema = f"{run} {dict(pairs.dtypes)[run]}, knot long, t double, heading double, dx double, dy double, mean_m double, max_m double"
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=["ax", "ay", "bx", "by"]).sort_values(time, kind="stable")
+        cols = [run, "knot", "t", "heading", "dx", "dy", "mean_m", "max_m"]
+        if len(pdf) < 3:
+            return pd.DataFrame(columns=cols)
+        name, t = pdf[run].iloc[0], pdf[time].to_numpy(float)
+        a, b = pdf[["ax", "ay"]].to_numpy(float), pdf[["bx", "by"]].to_numpy(float)
+        p = fit_knots(t, a, b, step_s, smooth, huber_m, rounds)
+        far = np.linalg.norm(corrected(t, a, p, t[0], step_s) - b, axis=1)
+        return pd.DataFrame([(name, k, t[0] + k * step_s, *map(float, p[k]), float(far.mean()), float(far.max())) for k in range(len(p))], columns=cols)
+
+    return pairs.groupBy(run).applyInPandas(solve, schema)
+
+
+def _place(t: np.ndarray, t0: float, step: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    k = np.clip(((t - t0) // step).astype(int), 0, n - 2)
+    return k, (t - t0) / step - k
+
+
+def corrected(t: np.ndarray, a: np.ndarray, p: np.ndarray, t0: float, step: float) -> np.ndarray:
+    """Odometry points turned and moved by the knots' corrections."""
+    k, f = _place(t, t0, step, len(p))
+    q = p[k] * (1 - f)[:, None] + p[k + 1] * f[:, None]
+    c, s = np.cos(q[:, 0]), np.sin(q[:, 0])
+    return np.stack([c * a[:, 0] - s * a[:, 1] + q[:, 1], s * a[:, 0] + c * a[:, 1] + q[:, 2]], axis=1)
+
+
+def fit_knots(t: np.ndarray, a: np.ndarray, b: np.ndarray, step: float, smooth: float, huber: float, rounds: int) -> np.ndarray:
+    """Knot corrections (heading, dx, dy), started from one rigid fit of the whole track."""
+    n = max(2, int(np.ceil((t[-1] - t[0]) / step)) + 1)
+    ca, cb = a.mean(axis=0), b.mean(axis=0)
+    x, y = a - ca, b - cb
+    th = np.arctan2((x[:, 0] * y[:, 1] - x[:, 1] * y[:, 0]).sum(), (x * y).sum())
+    turn = np.array([[np.cos(th), -np.sin(th)], [np.sin(th), np.cos(th)]])
+    p = np.tile([th, *(cb - turn @ ca)], (n, 1))
+    k, f = _place(t, t[0], step, n)
+    reach = max(1.0, float(np.linalg.norm(x, axis=1).mean()))
+    link = np.array([smooth * reach, smooth, smooth])
+    for _ in range(rounds):
+        q = p[k] * (1 - f)[:, None] + p[k + 1] * f[:, None]
+        c, s = np.cos(q[:, 0]), np.sin(q[:, 0])
+        r = corrected(t, a, p, t[0], step) - b
+        size = np.linalg.norm(r, axis=1)
+        w = np.where(size <= huber, 1.0, huber / np.maximum(size, 1e-12))
+        j = np.zeros((len(t), 2, 3))
+        j[:, 0, 0], j[:, 1, 0] = -s * a[:, 0] - c * a[:, 1], c * a[:, 0] - s * a[:, 1]
+        j[:, 0, 1] = j[:, 1, 2] = 1.0
+        h, g = np.zeros((3 * n, 3 * n)), np.zeros(3 * n)
+        for i in range(len(t)):
+            row = np.zeros((2, 3 * n))
+            row[:, 3 * k[i] : 3 * k[i] + 3] = j[i] * (1 - f[i])
+            row[:, 3 * k[i] + 3 : 3 * k[i] + 6] += j[i] * f[i]
+            at = slice(3 * k[i], 3 * k[i] + 6)
+            h[at, at] += w[i] * row[:, at].T @ row[:, at]
+            g[at] += w[i] * row[:, at].T @ r[i]
+        for i in range(n - 1):
+            d = (p[i + 1] - p[i]) * link**2
+            u, v = slice(3 * i, 3 * i + 3), slice(3 * i + 3, 3 * i + 6)
+            m = np.diag(link**2)
+            h[u, u] += m
+            h[v, v] += m
+            h[u, v] -= m
+            h[v, u] -= m
+            g[u] -= d
+            g[v] += d
+        move = np.linalg.solve(h + 1e-9 * np.eye(3 * n), -g).reshape(n, 3)
+        p = p + move
+        if np.abs(move).max() < 1e-8:
+            break
+    return p

@@ -193,3 +193,18 @@ def test_modes():
         state, (mode, _) = step(state, type("R", (), {"t": t, "value": v}))
         seen.append(mode)
     assert seen == ["nominal", "nominal", "degraded", "coasting", "lost", "recovery", "nominal"]
+
+
+def test_knots_find_a_slow_turn():
+    from plumbline.operators import align
+
+    t = np.arange(0, 40, 0.5)
+    a = np.stack([5 * t, 20 * np.sin(t / 4)], axis=1)
+    th = 0.3 + 0.002 * t
+    b = np.stack([np.cos(th) * a[:, 0] - np.sin(th) * a[:, 1] + 3, np.sin(th) * a[:, 0] + np.cos(th) * a[:, 1] - 2], axis=1)
+    b[10] += 50  # an outlier
+    p = align.fit_knots(t, a, b, 2.0, 0.05, 2.0, 50)
+    far = np.linalg.norm(align.corrected(t, a, p, 0.0, 2.0) - b, axis=1)
+    assert np.median(far) < 0.3 and far[10] > 40
+    turn = align.shortest_turn(np.array([1.0, 0, 0]), np.array([-1.0, 0, 0]))
+    assert np.allclose(turn @ [1, 0, 0], [-1, 0, 0]) and np.isclose(np.linalg.det(turn), 1)
