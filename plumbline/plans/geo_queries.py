@@ -57,8 +57,8 @@ add("f41_slerp", "points", lambda p: p.select("id", rot.slerp(rot.quaternion(F.l
 add("f43_heading_rotation", "points", lambda p: p.select("id", rot.rotate(rot.heading3(k.lo), F.col("alt"), F.lit(1.0), F.lit(2.0)).alias("v")).select("id", "v.*"), f"WITH {RAD} SELECT id, alt * cos(lo) - sin(lo) AS x, alt * sin(lo) + cos(lo) AS y, 2e0 AS z FROM p", "x, y, z", "id")
 LENS = (-0.05, 0.01, 0.001, -0.002)
 _xy = lambda: (F.col("alt") / 20000, (F.col("lat_deg") - 45) / 20)
-add("f46_distortion", "points", lambda p: p.select("id", im.distort(*_xy(), *LENS).alias("d")).select("id", "d.*"), "WITH q AS (SELECT id, alt / 20000 AS u, (lat_deg - 45) / 20 AS v FROM points), r AS (SELECT *, u * u + v * v AS r2 FROM q) SELECT id, u * (1 - 5e-2 * r2 + 1e-2 * r2 * r2) + 2e-3 * u * v - 2e-3 * (r2 + 2 * u * u) AS x, v * (1 - 5e-2 * r2 + 1e-2 * r2 * r2) + 1e-3 * (r2 + 2 * v * v) - 4e-3 * u * v AS y FROM r", "x, y", "id")
-add("f47_undistortion", "points", lambda p: p.select("id", im.distort(*_xy(), *LENS).alias("d")).select("id", im.undistort(F.col("d.x"), F.col("d.y"), *LENS).alias("u")).select("id", "u.*"), "SELECT id, alt / 20000 AS x, (lat_deg - 45) / 20 AS y FROM points", "x, y", "id")
+add("f46_distortion", "points", lambda p: p.select("id", im.distort(*_xy(), *LENS).alias("d")).select("id", "d.*"), "WITH q AS (SELECT id, alt / 20000 AS u, (lat_deg - 45) / 20 AS v FROM points), r AS (SELECT *, u * u + v * v AS r2 FROM q) SELECT id, u * (1 - 5e-2 * r2 + 1e-2 * r2 * r2) + 2e-3 * u * v - 2e-3 * (r2 + 2 * u * u) AS x, v * (1 - 5e-2 * r2 + 1e-2 * r2 * r2) + 1e-3 * (r2 + 2 * v * v) - 4e-3 * u * v AS y FROM r", "x, y", "id", 8)
+add("f47_undistortion", "points", lambda p: p.select("id", im.distort(*_xy(), *LENS).alias("d")).select("id", im.undistort(F.col("d.x"), F.col("d.y"), *LENS).alias("u")).select("id", "u.*"), "SELECT id, alt / 20000 AS x, (lat_deg - 45) / 20 AS y FROM points", "x, y", "id", 8)
 add("f48_project", "points", lambda p: p.select("id", im.project(F.col("alt") / 100, F.lit(2.0), F.col("lat_deg"), 800.0, 810.0, 320.0, 240.0).alias("q")).select("id", "q.*"), "SELECT id, 800 * (alt / 100 / lat_deg) + 320 AS u, 810 * (2 / lat_deg) + 240 AS v FROM points", "u, v", "id")
 add("f49_f66_ground_hit", "points", lambda p: p.select("id", im.ground_hit(F.col("lon_deg"), F.col("lat_deg"), F.lit(100.0), F.col("alt") / 1000, F.lit(0.5), F.lit(-2.0)).alias("h")).select("id", "h.x", "h.y"), "SELECT id, lon_deg + 50 * alt / 1000 AS x, lat_deg + 25e0 AS y FROM points", "x, y", "id")
 _v = lambda: F.pmod(F.col("alt"), F.lit(255.0))

@@ -38,7 +38,7 @@ _tables("s04_stems", "pages", lambda p: p.select("page_id", records.stem(F.conca
 _tables("j15_layer_problems", "customer", lambda c: maps.layer_problems(c.select(F.col("c_custkey").alias("layer"), F.when(F.col("c_custkey") % 7 == 0, "EPSG:32636").otherwise("EPSG:32637").alias("crs"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).alias("license")), "EPSG:32637", ("license",)), "SELECT c_custkey AS layer, 'crs' AS problem FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT c_custkey, 'no license' FROM customer WHERE c_custkey % 5 = 0")
 _tables("s09_json_summary", "orders", lambda o: o.groupBy("o_orderstatus").agg(F.count("*").alias("n")).select("o_orderstatus", F.get_json_object(F.to_json(F.struct("n", "o_orderstatus")), "$.n").cast("long").alias("n")), "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
 _tables("u04_required_keys", "events", lambda e: e.select("event_id", F.size(F.array_except(F.array(F.lit("k"), F.lit("z")), F.map_keys(F.from_json("props", "map<string,string>")))).alias("missing")), "SELECT event_id, CAST(2 - (CASE WHEN json_exists(props, '$.k') THEN 1 ELSE 0 END) - (CASE WHEN json_exists(props, '$.z') THEN 1 ELSE 0 END) AS INT) AS missing FROM events")
-_tables("x14_trends", "orders", lambda o: o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.avg("o_totalprice").alias("mean"), F.percentile("o_totalprice", F.lit(0.95)).alias("p95")), "SELECT strftime(o_orderdate, '%Y-%m') AS month, round(avg(o_totalprice), 4) + 0e0 AS mean, round(quantile_cont(o_totalprice, 0.95), 4) + 0e0 AS p95 FROM orders GROUP BY 1", 4)
+_tables("x14_trends", "orders", lambda o: o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.avg("o_totalprice").alias("mean"), F.percentile("o_totalprice", F.lit(0.95)).alias("p95")), "SELECT strftime(o_orderdate, '%Y-%m') AS month, round(avg(o_totalprice), 7) + 0e0 AS mean, round(quantile_cont(o_totalprice, 0.95), 7) + 0e0 AS p95 FROM orders GROUP BY 1", 7)
 
 
 def _runs(t: DataFrame) -> DataFrame:

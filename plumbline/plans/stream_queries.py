@@ -18,7 +18,7 @@ add("t02_descriptor_cache", "track", lambda t: s.batch_twin(_rows(t), s.cache_st
 
 def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = s.windowed_rates(spark.read.parquet(f"{sf_dir}/events.parquet"), "1 day")
-    return rounded(made.withColumn("start", F.date_format("start", "yyyy-MM-dd")), 4)
+    return rounded(made.withColumn("start", F.date_format("start", "yyyy-MM-dd")), 8)
 
 
-register("x09_windowed_rates", _rates, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n, round(avg(value), 4) + 0e0 AS mean, round(max(value), 4) + 0e0 AS top FROM events GROUP BY 1, 2")
+register("x09_windowed_rates", _rates, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n, round(avg(value), 8) + 0e0 AS mean, round(max(value), 8) + 0e0 AS top FROM events GROUP BY 1, 2")
