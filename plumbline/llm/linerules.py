@@ -31,17 +31,22 @@ CLOSING = r"""[.!?;:"')\]…”’»]$"""
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds.  Ratios are per word of the line; ``most_lost`` is the share of a text's words."""
+    """Thresholds.  Ratios are per word of the line; ``most_lost`` is the share of a text's words.
+
+    A line of ``prose_words`` or more that ends a sentence within it may stop short of the last one.
+    """
 
     min_line_words: int = 3
     separators: int = 2
     symbols_per_word: float = 0.5
     shouts_per_word: float = 0.5
+    prose_words: int = 12
     most_lost: float = 0.5
     min_words: int = 50
     most_repeated: float = 0.5
 
 
+_SENTENCE = re.compile(rb"[.!?] ")
 _CLOSING, _BOILER = re.compile(CLOSING), re.compile("|".join(map(re.escape, BOILERPLATE)))
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -54,7 +59,8 @@ def line_fault(line: bytes, rules: Rules) -> str | None:
         return "navigation"
     if len(line) - len(line.translate(None, SYMBOLS)) > rules.symbols_per_word * n:
         return "symbols"
-    if line.count(b"!") + line.count(b"?") > rules.shouts_per_word * n or not _CLOSING.search(line.decode("utf-8", "replace")):
+    closed = _CLOSING.search(line.decode("utf-8", "replace")) or (n >= rules.prose_words and _SENTENCE.search(line))
+    if line.count(b"!") + line.count(b"?") > rules.shouts_per_word * n or not closed:
         return "punctuation"
     if _BOILER.search(line.translate(_LOWER).decode("utf-8", "replace")):
         return "boilerplate"
@@ -163,7 +169,7 @@ l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS raw FROM d),
 m AS (SELECT doc_id, raw, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line,
         len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS n FROM l WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')),
 f AS (SELECT doc_id, raw, n, n < 3 OR len(regexp_extract_all(line, '[|>»•]')) >= 2 OR len(regexp_extract_all(line, '[#*$%&|<>]')) > 0.5 * n
-        OR len(regexp_extract_all(line, '[!?]')) > 0.5 * n OR NOT regexp_matches(line, '[.!?;:"''\)\]…”’»]$')
+        OR len(regexp_extract_all(line, '[!?]')) > 0.5 * n OR NOT (regexp_matches(line, '[.!?;:"''\)\]…”’»]$') OR (n >= 12 AND regexp_matches(line, '[.!?] ')))
         OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'BOILER') AS bad FROM m),
 ll AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS dup, coalesce(sum(n) FILTER (WHERE bad), 0) AS lost FROM f GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
