@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,63 +78,39 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 0) -> Iterator[pa.Table]:
-    """Whole key groups from batches that come sorted by ``keys``; with ``rows``, several small ones at once."""
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1) -> Iterator[pa.Table]:
+    """Whole key groups from batches that come sorted by ``keys``, as few at once as make ``rows`` rows."""
     held: list[pa.Table] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(pa.Table.from_batches([batch]))
-        n = sum(t.num_rows for t in held)
-        if n < rows:
+        if sum(t.num_rows for t in held) < rows:
             continue
         table = pa.concat_tables(held)
-        new = np.zeros(n, bool)
-        for k in keys:
-            column = table.column(k).combine_chunks()
-            if pa.types.is_integer(column.type):
-                v = column.to_numpy(zero_copy_only=False)
-            else:
-                v = np.array(column.to_pylist(), dtype=object)
-            new[1:] |= v[1:] != v[:-1]
-        starts = np.flatnonzero(new)
-        if not len(starts):
-            held = [table]
-            continue
-        last = int(starts[-1])
-        if rows:
-            yield table.slice(0, last)
-        else:
-            at = 0
-            for to in starts:
-                yield table.slice(at, int(to) - at)
-                at = int(to)
-        held = [table.slice(last)]
+        at = 0
+        for to in _starts(table, keys).tolist():
+            if to - at >= rows:
+                yield table.slice(at, to - at)
+                at = to
+        held = [table.slice(at)]
     if held:
         table = pa.concat_tables(held)
-        if rows:
-            yield table
-            return
-        yield from _split(table, keys)
+        at = 0
+        for to in [*_starts(table, keys).tolist(), table.num_rows]:
+            if to - at >= rows or to == table.num_rows:
+                yield table.slice(at, to - at)
+                at = to
 
 
-def _split(table: pa.Table, keys: list[str]) -> Iterator[pa.Table]:
-    n = table.num_rows
-    new = np.zeros(n, bool)
+def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows at which a new group begins, the first one left out."""
+    new = np.zeros(table.num_rows, bool)
     for k in keys:
         v = table.column(k).combine_chunks()
         v = v.to_numpy(zero_copy_only=False) if pa.types.is_integer(v.type) else np.array(v.to_pylist(), dtype=object)
         new[1:] |= v[1:] != v[:-1]
-    at = 0
-    for to in [*np.flatnonzero(new), n]:
-        if to > at:
-            yield table.slice(at, int(to) - at)
-        at = int(to)
-
-
-def arrow_map(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` by its public name in one place."""
-    return df.mapInArrow(kernel, schema)
+    return np.flatnonzero(new)
 
 
 # ---------------------------------------------------------------- text kernels

@@ -32,7 +32,18 @@ def band_rows(threshold: float) -> int:
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all rows, row by row in order, and their row numbers."""
+    """Distinct shingle hashes of all rows, row by row in order, and their row numbers; a slice of the rows at a time."""
+    parts, done = [], 0
+    for batch in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])])):
+        g, row = _shingle_sets(batch.column("text"), words)
+        parts.append((g, row + done))
+        done += batch.num_rows
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([g for g, _ in parts]), np.concatenate([row for _, row in parts])
+
+
+def _shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     data, offs = utf8(column)
     data = lower_ascii(data)
     s, e, first = word_spans(data, offs)
