@@ -75,7 +75,7 @@ def test_baseline_ratio(spark):
     df = spark.createDataFrame(rows, "run_id string, ord long, t_s double, east double, north double, v_east double, v_north double")
     r = ordered.baseline_ratio(df).first()
     assert r["ratio"] == pytest.approx(1.0) and r["n"] == 50
-    swapped = df.withColumnsRenamed({"east": "north", "north": "east"}).withColumn("north", F.col("north") * 1.3)
+    swapped = df.withColumns({"east": F.col("north"), "north": F.col("east") * 1.3})
     assert ordered.baseline_ratio(swapped).first()["ratio"] == pytest.approx(1.3)
 
 
