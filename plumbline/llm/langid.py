@@ -78,18 +78,25 @@ class Space:
         codes = np.stack([real[which // size ** (self.n - 1 - i) % size] for i in range(self.n)], axis=1)
         return key // size**self.n, number, count, codes
 
-    def bundles(self, texts: list[str]) -> np.ndarray:
-        """The unit vector of each text; zero for a text without letters."""
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: the sum of its n-grams' vectors, their number, and how many are distinct."""
         row, number, count, codes = self.counts(texts)
+        out = np.zeros((len(texts), self.dim), np.float32)
         if not len(row):
-            return np.zeros((len(texts), self.dim), np.float32)
+            return out, np.zeros(len(texts)), np.zeros(len(texts))
         table = np.zeros((len(texts), len(codes)), np.float32)
         table[row, number] = count
-        out = np.zeros((len(texts), self.dim), np.float32)
         for a in range(0, len(codes), 4096):
             out += table[:, a : a + 4096] @ self.grams(codes[a : a + 4096]).astype(np.float32)
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.maximum(norm, 1e-9)
+        return out, np.bincount(row, count, len(texts)), np.bincount(row, minlength=len(texts)).astype(float)
+
+    def bundles(self, texts: list[str]) -> np.ndarray:
+        """The unit vector of each text; zero for a text without letters."""
+        return _unit(self.sums(texts)[0])
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
@@ -97,54 +104,67 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 
 def prototypes(training: DataFrame, space: Space) -> DataFrame:
-    """(lang, vector, n): the sum of the unit vectors of a language's texts, added up by Spark."""
+    """(lang, vector, n, usual): the sum of the unit vectors of a language's texts, added up by Spark.
+
+    ``usual`` is the mean, over the texts with a letter, of the mean product of a text's
+    n-grams with the unit prototype of the other texts (the own share is taken off the sum);
+    0 for a language of one text.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        n: dict[str, int] = {}
+        n: dict[str, np.ndarray] = {}
         for batch in slices(batches, limit=1 << 19):
-            made = space.bundles(_texts(batch))
+            made, grams, _ = space.sums(_texts(batch))
+            unit, mean = _unit(made), made / np.maximum(grams, 1)[:, None]
+            each = np.stack([np.ones(len(made)), grams > 0, (unit * mean).sum(axis=1)], axis=1)
             lang = np.array(batch.column("lang").to_pylist(), dtype=object)
             for one in set(lang):
                 pick = lang == one
-                total[one] = total.get(one, 0) + made[pick].sum(axis=0, dtype=np.float64)
-                n[one] = n.get(one, 0) + int(pick.sum())
+                total[one] = total.get(one, 0) + np.stack([unit[pick].sum(axis=0, dtype=np.float64), mean[pick].sum(axis=0, dtype=np.float64)], axis=1)
+                n[one] = n.get(one, 0) + each[pick].sum(axis=0, dtype=np.float64)
         names = sorted(total)
-        rows = [(one, i, float(v), n[one] if i == 0 else 0) for one in names for i, v in enumerate(total[one])]
+        rows = [(one, i, float(v), float(w), *((int(n[one][0]), int(n[one][1]), float(n[one][2])) if i == 0 else (0, 0, 0.0))) for one in names for i, (v, w) in enumerate(total[one])]
         if rows:
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["lang", "i", "v", "n"]), preserve_index=False)
-
-    sums = training.select("text", "lang").mapInArrow(kernel, "lang string, i long, v double, n long").groupBy("lang", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    return sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vector"), F.sum("n").alias("n"))
-
-
-def predict(docs: DataFrame, learned: list[tuple[str, list[float]]], space: Space, extra: list[str]) -> DataFrame:
-    """lang_pred and score of each text; ``learned`` has a row per language."""
-    names = [name for name, _ in sorted(learned)]
-    raw = np.array([v for _, v in sorted(learned)], np.float64).reshape(len(names), space.dim)
-    unit = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["lang", "i", "v", "w", "n", "some", "own"]), preserve_index=False)
+
+    made = training.select("text", "lang").mapInArrow(kernel, "lang string, i long, v double, w double, n long, some long, own double")
+    sums = made.groupBy("lang", "i").agg(*(F.sum(c).alias(c) for c in ("v", "w", "n", "some", "own")))
+    usual = F.try_divide(F.sum(F.col("v") * F.col("w")) - F.sum("own"), F.sum("some") * F.sqrt(F.sum(F.col("v") * F.col("v"))))
+    return sums.groupBy("lang").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vector"), F.sum("n").alias("n"),
+        F.when(F.sum("some") > 1, F.coalesce(usual, F.lit(0.0))).otherwise(0.0).alias("usual"),
+    )
+
+
+def predict(docs: DataFrame, learned: list[tuple[str, list[float], float]], space: Space, extra: list[str]) -> DataFrame:
+    """lang_pred, score, affinity and n_distinct of each text; ``learned`` has a row per language."""
+    names = [name for name, _, _ in sorted(learned)]
+    usual = np.array([u for _, _, u in sorted(learned)], np.float64)
+    unit = _unit(np.array([v for _, v, _ in sorted(learned)], np.float64).reshape(len(names), space.dim))
     mean = unit.mean(axis=0) if len(names) > 1 else np.zeros(space.dim)
-    apart = unit - mean
-    apart = (apart / np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    apart = _unit(unit - mean).astype(np.float32)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in extra) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in extra) + ", lang_pred string, score double, affinity double, n_distinct long"
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 19):
             texts = _texts(batch)
-            made = space.bundles(texts)
+            total, grams, distinct = space.sums(texts)
+            made, affinity = _unit(total), np.zeros(len(texts))
             blank = ~made.any(axis=1)
             if names:
-                centred = made - mean.astype(np.float32)
-                centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9)
-                cosine = centred @ apart.T
+                cosine = _unit(made - mean.astype(np.float32)) @ apart.T
                 best = cosine.argmax(axis=1)
                 score = np.where(blank, 0.0, np.clip((1 + cosine.max(axis=1)) / 2, 0, 1))
                 pred = [UNKNOWN if b else names[i] for b, i in zip(blank, best, strict=True)]
+                near = (total * unit[best]).sum(axis=1) / np.maximum(grams, 1)
+                known = (usual[best] > 0) & ~blank
+                affinity = np.where(known, near / np.where(known, usual[best], 1), np.where(blank, 0.0, 1.0))
             else:
                 score, pred = np.zeros(len(texts)), [UNKNOWN] * len(texts)
             columns = [batch.column(c) for c in extra]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score.astype(np.float64))], [*extra, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score.astype(np.float64)), pa.array(affinity), pa.array(distinct.astype(np.int64))], [*extra, "lang_pred", "score", "affinity", "n_distinct"])
 
     return docs.select(*extra, *(["text"] if "text" not in extra else [])).mapInArrow(kernel, schema)
 
@@ -154,12 +174,15 @@ def identify(docs: DataFrame, training: DataFrame, dim: int = 1024, n: int = 3,
 
     Adds lang_pred (a learned lang; ``und`` for a null text, one without a letter, or with
     nothing learned) and score (0 to 1, from the cosine) to the columns ``keep`` (doc_id
-    unless given).  Rows of ``training`` with a null text or lang are ignored.  Equal
+    unless given), and the two figures that tell whether the text is of that lang at all:
+    affinity, the mean product of its n-grams with the lang's prototype, against the usual
+    one of the lang's own texts (about 1 for such texts of any length, about 0 for gibberish;
+    1 where a lang was learned from one text), and n_distinct, its distinct n-grams.  Rows of ``training`` with a null text or lang are ignored.  Equal
     cosines: the first lang by name.  The driver gets a vector of ``dim`` numbers a language.
     """
     space = Space(dim, n)
     table = cut(prototypes(training.filter("text IS NOT NULL AND lang IS NOT NULL"), space), "prototypes")
-    learned = [(r["lang"], r["vector"]) for r in table.select("lang", "vector").collect()]  # dim numbers a language
+    learned = [(r["lang"], r["vector"], r["usual"]) for r in table.select("lang", "vector", "usual").collect()]  # dim numbers a language
     return predict(docs, learned, space, keep or ["doc_id"])
 
 
@@ -169,13 +192,16 @@ def held_out(column: str = "doc_id", of: int = 5, remainder: int = 0) -> Column:
 
 
 def identified(docs: DataFrame, least: float = 0.5, dim: int = 1024, n: int = 3) -> DataFrame:
-    """The rows of ``docs``, its own columns, whose language is known with a score of ``least`` or more.
+    """The rows of ``docs``, its own columns, whose language is known with enough affinity.
 
-    The languages are learned from the rows that are not held out.
+    Enough is ``least`` for a text of many distinct n-grams and less for one of few, whose
+    mean scatters with the root of their number: ``least * (1 - 4 / sqrt(n_distinct))``.  At 16 or
+    fewer that is 0 or less, and nearly all that has a letter stays.  The languages are
+    learned from the rows that are not held out.
     """
     columns = docs.columns
     found = identify(docs, docs.filter(~held_out()), dim, n, keep=columns)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*columns)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("affinity") >= least * (1 - 4 / F.sqrt("n_distinct")))).select(*columns)
 
 
 def op1_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,16 @@ def test_stages(spark, tmp_path):
     assert all(bytes(r["ids"])[:-2] == encode(text[r["doc_id"]]) for r in back)
     assert sum(len(r["ids"]) for r in back) // 2 == sum(r["n_tokens"] for r in packed.collect())
     assert np.all([len(r["ids"]) == 4096 for r in packed.collect()])
+
+
+def test_language_rejects(spark):
+    rng = random.Random(6)
+    stems = {"en": "the of and ing tion ent her".split(), "de": "der die und ung keit sch ein".split(), "xx": "kaa vuo yll jok mik saa hyv".split(), "ru": "при ств ени ова тел ого ние".split()}
+    draw = lambda k, n: " ".join("".join(rng.choices(stems[k], k=rng.randint(1, 3))) for _ in range(n))
+    noise = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n))
+    good = [(draw(k, n), k) for k in ("en", "de") for n in [60, 200] * 20 + [1, 2, 4, 8, 15]]
+    tags = "".join(f'<div class="c{i}"><a href="x{i}.html"><img src="p.jpg" width="{i}"></a></div><br/>' for i in range(40))
+    bad = [(noise(n), k) for n in (40, 100, 400) for k in ("en", None)] + [(draw(k, n), None) for k in ("xx", "ru") for n in (60, 300)] + [(tags, None)]
+    rows = [(i, t, k) for i, (t, k) in enumerate(good)] + [(1000 + i, t, k) for i, (t, k) in enumerate(bad)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, df, "").collect()} == set(range(len(good)))
