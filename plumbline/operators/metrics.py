@@ -7,6 +7,7 @@ null.  A NaN error is within no distance and beyond none.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import angles, covariance
@@ -44,6 +45,14 @@ def accepted_percentile(column: str, q: float) -> Column:
     return F.percentile(F.when(F.col("accepted"), F.col(column)), F.lit(q))
 
 
+def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The value at rank floor(n / 2) + 1 of each group, nulls first, from the running count of its distinct values."""
+    w = W.partitionBy(*by)
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    counts = counts.withColumns({"__upto": F.sum("__n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)), "__all": F.sum("__n").over(w)})
+    return counts.filter(F.col("__upto") > F.floor(F.col("__all") / 2)).groupBy(*by).agg(F.min(F.struct("__upto", value))[value].alias("median"))
+
+
 def fix_aggregates() -> list[Column]:
     """The twelve figures of a set of fixes."""
     return [

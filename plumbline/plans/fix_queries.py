@@ -66,7 +66,7 @@ add("a18_by_terrain", "fixes", lambda f: m.fix_level(f.filter(F.col("terrain").i
 add("a19_terrain_counts", "fixes", lambda f: f.filter(F.col("terrain").isin(*m.TERRAIN)).groupBy("terrain").agg(F.count("*").alias("n")), f"SELECT terrain, count(*) AS n FROM fixes WHERE terrain IN ({TERRAIN}) GROUP BY terrain")
 add("a25_match_summary", "fixes", lambda f: m.with_errors(f).agg(F.count("*").alias("n"), F.median("pos_err").alias("median"), F.percentile("pos_err", F.lit(0.95)).alias("p95"), m.within(20.0).alias("a_at_20"), m.beyond().alias("ifr_at_50")), errors("SELECT count(*) AS n, median(err) AS median, quantile_cont(err, 0.95) AS p95, avg(CASE WHEN err <= 20 THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted) AS a_at_20, avg(CASE WHEN err > 50 THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted) AS ifr_at_50 FROM e"), "median, p95, a_at_20, ifr_at_50", "n")
 add("a41_circular_mean", "fixes", lambda f: f.groupBy("terrain").agg(angles.circular_mean(F.col("est_yaw")).alias("mean")), "SELECT terrain, atan2(sum(sin(est_yaw)), sum(cos(est_yaw))) AS mean FROM fixes GROUP BY terrain", "mean", "terrain")
-add("a42_upper_median", "fixes", lambda f: f.groupBy("run_id").agg(F.percentile_disc(0.5, "n_inliers") if hasattr(F, "percentile_disc") else F.expr("element_at(array_sort(collect_list(n_inliers)), CAST(floor(count(*) / 2) + 1 AS INT))").alias("median")), "SELECT run_id, list_sort(list(n_inliers))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median FROM fixes GROUP BY run_id")
+add("a42_upper_median", "fixes", lambda f: m.upper_median(f, ["run_id"], "n_inliers"), "SELECT run_id, list_sort(list(n_inliers))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median FROM fixes GROUP BY run_id")
 add("v07_recall_curve", "fixes", m.recall_curve, errors(" UNION ALL ".join(f"SELECT {d}e0 AS distance_m, coalesce(avg(CASE WHEN err <= {d} THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted), 0e0) AS recall FROM e" for d in m.RECALL_M)), "recall", "distance_m")
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import grids, kernels, metrics, ordered
+from plumbline.plans import catalog
 from plumbline.sources import records
 from plumbline.streaming import stateful
 
@@ -208,3 +209,12 @@ def test_knots_find_a_slow_turn():
     assert np.median(far) < 0.3 and far[10] > 40
     turn = align.shortest_turn(np.array([1.0, 0, 0]), np.array([-1.0, 0, 0]))
     assert np.allclose(turn @ [1, 0, 0], [-1, 0, 0]) and np.isclose(np.linalg.det(turn), 1)
+
+
+def test_upper_median_counts_first(spark):
+    groups = {"odd": [5, 1, 9], "even": [4, 1, 3, 2], "ties": [7, 7, 1, 7, 2, 2], "one": [3], "nulls": [None, 8, 6, None, 9], "void": [None, None, 1]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "g string, v long")
+    want = {k: sorted(vs, key=lambda v: (v is not None, v))[len(vs) // 2] for k, vs in groups.items()}
+    assert {r["g"]: r["median"] for r in metrics.upper_median(df, ["g"], "v").collect()} == want
+    query, _ = catalog.REGISTRY["a42_upper_median"]
+    assert "collect_list" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
