@@ -170,7 +170,7 @@ def repeats(docs: DataFrame, w: Windows, bucket: Callable[[Iterator[pa.RecordBat
     """
     from_docs = keyed(docs)
     listed = cut(index(from_docs, w), "index")
-    copies = listed.groupBy("md5").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key")).alias("x"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first_ord"))
+    copies = listed.groupBy("md5").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)), "key")).alias("x"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first_ord"))
     copies = copies.select("md5", "n", "first_ord", F.col("x.key").alias("first_key"))
     texts = cut(from_docs.join(flagged(listed, copies, w), "key"), "texts")
     cuts = cut(strings(texts, w), "strings")

@@ -402,3 +402,11 @@ def test_null_ids_and_repeated_rows(spark):
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in superkmer.dedup_windows(df).collect()) == [("3", 0), ("3", 0), ("None", 0), ("None", 80)]
     assert sorted((str(r["doc_id"]), r["n_removed"] > 0) for r in suffix.dedup_bytes(df).collect()) == [("3", True), ("3", True), ("None", False), ("None", True)]
     assert minmax.one_of_each(df).count() == 3 and mixing.mix(df).count() == 4
+
+
+def test_copies_with_and_without_an_id(spark):
+    word = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    earlier, later, copy = word("p", 60), word("q", 60), f"{word('p', 60)} {word('m', 60)} {word('q', 60)}"
+    rows = [(None, copy), (5, copy), (7, copy), (3, f"{word('a', 30)} {earlier}"), (9, f"{later} {word('b', 30)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in superkmer.dedup_windows(df).collect()} == {None: 180, 5: 60, 7: 180, 3: 0, 9: 60}
