@@ -1,7 +1,7 @@
 """Dense numerical kernels: one group of rows at a time, grouped and shuffled by Spark.
 
-Each group is one image pair, one window of a track or one run, so its size is set by the
-sensor and not by the amount of data.
+Each group is one image pair, so its size is set by the sensor and not by the amount of
+data; fits over runs and windows get only sums.
 """
 
 from __future__ import annotations
@@ -173,26 +173,41 @@ def refine(a: np.ndarray, b: np.ndarray, rounds: int, tukey: float) -> tuple[flo
 def rigid3(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least-squares rotation and translation of points ``a`` onto ``b``, never a reflection."""
     ca, cb = a.mean(axis=0), b.mean(axis=0)
-    u, _, vt = np.linalg.svd((a - ca).T @ (b - cb))
-    fix = np.diag([1.0, 1.0, np.sign(np.linalg.det(vt.T @ u.T)) or 1.0])
-    r = vt.T @ fix @ u.T
+    r = _rotation((a - ca).T @ (b - cb))
     return r, cb - r @ ca
 
 
+def _rotation(cross: np.ndarray) -> np.ndarray:
+    """The best rotation from the 3 x 3 cross-covariance, never a reflection."""
+    u, _, vt = np.linalg.svd(cross)
+    return vt.T @ np.diag([1.0, 1.0, np.sign(np.linalg.det(vt.T @ u.T)) or 1.0]) @ u.T
+
+
 def fit_rigid3(pairs: DataFrame, by: list[str], least: int = 3) -> DataFrame:
-    """Rotation (row-major) and translation per group of ``ax..az`` onto ``bx..bz``, with its residual."""
+    """Rotation (row-major) and translation per group of ``ax..az`` onto ``bx..bz``, with its residual.
+
+    Sums by Spark, a 3 x 3 decomposition per group; the residual follows from the same sums.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", n long, rotation array<double>, translation array<double>, rms double"
+    p, q = ("ax", "ay", "az"), ("bx", "by", "bz")
+    sums = pairs.groupBy(*by).agg(
+        F.count("*").alias("n"), F.array(*map(F.avg, p)).alias("__a"), F.array(*map(F.avg, q)).alias("__b"),
+        F.array(*(F.covar_pop(i, j) for i in p for j in q)).alias("__cross"), sum((F.var_pop(c) for c in (*p[1:], *q)), F.var_pop(p[0])).alias("__size"),
+    )
 
-    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < least:
-            return pd.DataFrame(columns=[*by, "n", "rotation", "translation", "rms"])
-        a, b = pdf[["ax", "ay", "az"]].to_numpy(float), pdf[["bx", "by", "bz"]].to_numpy(float)
-        r, t = rigid3(a, b)
-        rms = float(np.sqrt(np.mean(np.sum((a @ r.T + t - b) ** 2, axis=1))))
-        return pd.DataFrame([(*key, len(pdf), r.ravel().tolist(), t.tolist(), rms)], columns=[*by, "n", "rotation", "translation", "rms"])
-
-    return pairs.groupBy(*by).applyInPandas(kernel, schema)
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rotation, translation, rms = [], [], []
+            for a, b, cross, size in zip(pdf["__a"], pdf["__b"], pdf["__cross"], pdf["__size"], strict=True):
+                cross = np.array(cross, float).reshape(3, 3)
+                r = _rotation(cross)
+                rotation.append(r.ravel().tolist())
+                translation.append((np.array(b, float) - r @ np.array(a, float)).tolist())
+                rms.append(float(np.sqrt(max(0.0, size - 2 * np.sum(r * cross.T)))))
+            yield pdf[[*by, "n"]].assign(rotation=rotation, translation=translation, rms=rms)
+
+    return sums.filter(F.col("n") >= least).mapInPandas(kernel, schema)
 
 
 def principal_axes(points: DataFrame, by: list[str]) -> DataFrame:

@@ -85,19 +85,28 @@ def cache_step(radius: float = 100.0, share: float = 0.3) -> tuple[Step, tuple]:
 
 
 def batch_twin(rows: DataFrame, made: tuple[Step, tuple], output: str, key: str = "run_id") -> DataFrame:
-    """The step folded over each key's rows (key, ord, t, value) in order."""
+    """The step folded over each key's rows (key, ord, t, value) in order.
+
+    Rows come sorted by key and order and pass batch by batch; only the state is kept.
+    """
     step, first = made
     names = [c.strip().split()[0] for c in output.split(",")]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = first, []
-        for row in pdf.sort_values("ord", kind="stable").itertuples(index=False):
-            state, made_row = step(state, row)
-            out.append((getattr(row, key), row.ord, *made_row))
-        return pd.DataFrame(out, columns=[key, "ord", *names])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, at, begun = first, None, False
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                k = getattr(row, key)
+                k = None if pd.isna(k) else k
+                if not begun or k != at:
+                    state, at, begun = first, k, True
+                state, made_row = step(state, row)
+                out.append((k, row.ord, *made_row))
+            yield pd.DataFrame(out, columns=[key, "ord", *names])
 
     kind = dict(rows.dtypes)[key]
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {kind}, ord long, {output}")
+    return rows.repartition(key).sortWithinPartitions(key, "ord").mapInPandas(fold, f"{key} {kind}, ord long, {output}")
 
 
 def stream(rows: DataFrame, made: tuple[Step, tuple], state: str, output: str, key: str = "run_id") -> DataFrame:

@@ -218,3 +218,37 @@ def test_upper_median_counts_first(spark):
     assert {r["g"]: r["median"] for r in metrics.upper_median(df, ["g"], "v").collect()} == want
     query, _ = catalog.REGISTRY["a42_upper_median"]
     assert "collect_list" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_groups_do_not_pass_whole(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for g, n in (("x", 400), ("y", 7), ("z", 2)):
+        a = rng.normal(size=(n, 3)) * 50
+        turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+        b = a @ (turn * np.sign(np.linalg.det(turn))).T + rng.normal(size=(n, 3)) + 9
+        rows += [(g, *map(float, p), *map(float, q)) for p, q in zip(a, b, strict=True)]
+    df = spark.createDataFrame(rows, "g string, ax double, ay double, az double, bx double, by double, bz double")
+    fits = kernels.fit_rigid3(df, ["g"])
+    got = {r["g"]: r for r in fits.collect()}
+    assert set(got) == {"x", "y"} and got["x"]["n"] == 400
+    for g, r in got.items():
+        a, b = (np.array([row[i : i + 3] for row in rows if row[0] == g]) for i in (1, 4))
+        turn, move = kernels.rigid3(a, b)
+        assert np.allclose(r["rotation"], turn.ravel()) and np.allclose(r["translation"], move)
+        assert r["rms"] == pytest.approx(np.sqrt(np.mean(np.sum((a @ turn.T + move - b) ** 2, axis=1))))
+    events = spark.createDataFrame([(k, i, float(i), float((i * 37 + (k or 0)) % 90)) for k in (1, 2, None) for i in range(60)], "run_id long, ord long, t double, value double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for made, output in ((stateful.consistency_step(), "accepted boolean, run int"), (stateful.mode_step(), "mode string, quiet_s double"), (stateful.cache_step(20.0), "hit boolean, misses int")):
+            folded, want = stateful.batch_twin(events, made, output), set()
+            for k in (1, 2, None):
+                state = made[1]
+                for row in sorted((r for r in events.collect() if r["run_id"] == k), key=lambda r: r["ord"]):
+                    state, out = made[0](state, row)
+                    want.add((k, row["ord"], *out))
+            assert {tuple(r) for r in folded.collect()} == want
+            assert "FlatMapGroups" not in folded._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in fits._jdf.queryExecution().optimizedPlan().toString()
