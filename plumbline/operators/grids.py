@@ -124,10 +124,29 @@ def polygon_mask(edges: DataFrame, cells: DataFrame) -> DataFrame:
     return hits.groupBy("ring", "r", "c").agg((F.count("*") % 2).alias("odd")).filter("odd = 1").drop("odd")
 
 
+def polygon_cells(edges: DataFrame) -> DataFrame:
+    """How many cells have their centre inside each ring (ring, cells), even-odd, with no grid given.
+
+    The crossings of a ring with a row of cells, in order, bound the runs that are inside, so
+    work is edges times the rows that they span and not rings times cells.
+    """
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    spans = edges.filter("y1 <> y2").withColumn("r", F.explode(F.sequence(F.ceil(low - 0.5), F.ceil(high - 0.5)))).filter((F.col("r") + 0.5 >= low) & (F.col("r") + 0.5 < high))
+    # The first cell whose centre is not left of the crossing.
+    cross = spans.select("ring", "r", F.ceil(F.col("x1") + (F.col("r") + 0.5 - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")) - 0.5).alias("x"))
+    rows = cross.groupBy("ring", "r").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    inside = F.aggregate(F.transform("x", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.groupBy("ring").agg(F.sum(inside).alias("cells")).filter("cells > 0")
+
+
 def thick_lines(segments: DataFrame, half: float) -> DataFrame:
     """Cells (r, c) whose centre is within ``half`` cells of a segment (line, x1, y1, x2, y2), with its class if it has one."""
     df = segments.withColumn("r", F.explode(F.sequence(F.floor(F.least("y1", "y2") - half - 1), F.ceil(F.greatest("y1", "y2") + half + 1))))
-    df = df.withColumn("c", F.explode(F.sequence(F.floor(F.least("x1", "x2") - half - 1), F.ceil(F.greatest("x1", "x2") + half + 1))))
+    # Of each row only the columns near the part of the segment that is within reach of it.
+    part = lambda y: F.col("x1") + F.coalesce(F.least(F.greatest(F.try_divide(y - F.col("y1"), F.col("y2") - F.col("y1")), F.lit(0.0)), F.lit(1.0)), F.lit(0.0)) * (F.col("x2") - F.col("x1"))
+    level = F.col("y1") == F.col("y2")
+    one, two = F.when(level, F.col("x1")).otherwise(part(F.col("r") - half)), F.when(level, F.col("x2")).otherwise(part(F.col("r") + half))
+    df = df.withColumn("c", F.explode(F.sequence(F.floor(F.least(one, two) - half - 1), F.ceil(F.greatest(one, two) + half + 1))))
     dx, dy, px, py = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("c") - F.col("x1"), F.col("r") - F.col("y1")
     t = F.coalesce(F.least(F.greatest(F.try_divide(px * dx + py * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
     near = F.pow(px - t * dx, F.lit(2.0)) + F.pow(py - t * dy, F.lit(2.0)) <= half * half

@@ -18,13 +18,14 @@ add("w09_focal_median", "heights", lambda h: g.focal_median(g.accumulate(h)).sel
 add("a20_class_fractions", "classes", lambda c: c.groupBy(F.floor(F.col("r") / 32).alias("block")).agg(*(F.avg((F.col("class") == i).cast("double")).alias(f"f{i}") for i in range(6))), "SELECT CAST(floor(r / 32) AS BIGINT) AS block, " + ", ".join(f"avg(CASE WHEN class = {i} THEN 1e0 ELSE 0e0 END) AS f{i}" for i in range(6)) + " FROM classes GROUP BY 1", "f0, f1, f2, f3, f4, f5", "block")
 
 
-def _terrain(c: DataFrame) -> DataFrame:
-    pts = c.filter("(r * 128 + c) % 97 = 0").select((F.col("r") * 128 + F.col("c")).alias("id"), "r", "c")
+def _terrain(c: DataFrame, of: str = "(r * 128 + c) % 97 = 0") -> DataFrame:
+    pts = c.filter(of).select((F.col("r") * 128 + F.col("c")).alias("id"), "r", "c")
     f = g.window_fractions(pts, c, 5)
     return f.select("id", m.terrain_of({"road": F.col("f1"), "building": F.col("f2") / 3, "water": F.col("f3"), "farmland": F.col("f4"), "forest": F.col("f5")}).alias("terrain"), "n", "f3")
 
 
 add("j05_terrain_of_windows", "classes", _terrain, "WITH p AS (SELECT r * 128 + c AS id, r, c FROM classes WHERE (r * 128 + c) % 97 = 0), f AS (SELECT p.id, count(*) AS n, " + ", ".join(f"avg(CASE WHEN class = {i} THEN 1e0 ELSE 0e0 END) AS f{i}" for i in range(6)) + " FROM p JOIN classes k ON abs(k.r - p.r) <= 5 AND abs(k.c - p.c) <= 5 GROUP BY p.id) SELECT id, CASE WHEN f3 > 5e-1 THEN 'water' WHEN f2 / 3 > 15e-2 THEN 'urban' WHEN f4 > 6e-1 THEN 'farmland' WHEN f5 > 6e-1 THEN 'forest' WHEN f1 > 5e-2 AND f2 / 3 < 3e-2 THEN 'roads' WHEN f2 / 3 >= 3e-2 THEN 'suburban' ELSE 'background' END AS terrain, n, f3 FROM f", "f3", "id, terrain, n")
+add("j05_terrain_of_windows_whole", "classes", lambda c: _terrain(c, "true"), None)
 WIN = "OVER (PARTITION BY image, r ORDER BY c)", "OVER (PARTITION BY image, c ORDER BY r)"
 add("w14_central_gradient", "pixels", lambda p: g.gradient(p.withColumn("v", F.col("v").cast("double"))).select("image", "r", "c", "gx", "gy"), f"SELECT image, r, c, (coalesce(lead(v) {WIN[0]}, v) - coalesce(lag(v) {WIN[0]}, v)) / 2e0 AS gx, (coalesce(lead(v) {WIN[1]}, v) - coalesce(lag(v) {WIN[1]}, v)) / 2e0 AS gy FROM (SELECT image, r, c, CAST(v AS DOUBLE) AS v FROM pixels)", "gx, gy", "image, r, c", 5)
 NB = "(SELECT a.image, a.r, a.c, dr, dc, b.v FROM pixels a, unnest([-1, 0, 1]) AS x(dr), unnest([-1, 0, 1]) AS y(dc), pixels b WHERE b.image = a.image AND b.r = greatest(0, least(7, a.r + dr)) AND b.c = greatest(0, least(7, a.c + dc)))"
@@ -54,6 +55,8 @@ add("j07_bilinear_centre", "pixels", _sampled(True), BILINEAR.format(s="5e-1"),
 add("j09_bilinear_corner", "pixels", _sampled(False), BILINEAR.format(s="0e0"), "v", "image", 5)
 add("a34_best_shift", "pixels", lambda p: g.best_shift(p.filter("image % 10 = 3").withColumn("image", F.floor(F.col("image") / 10)).withColumn("v", F.col("v").cast("double")), p.filter("image % 10 = 4").withColumn("image", F.floor(F.col("image") / 10)).withColumn("v", F.col("v").cast("double")), 2).select("image", "score"), """WITH s AS (SELECT CAST(floor(image / 10) AS BIGINT) AS image, image % 10 AS k, r, c, (CAST(v AS DOUBLE) - avg(CAST(v AS DOUBLE)) OVER w) / stddev_pop(CAST(v AS DOUBLE)) OVER w AS s FROM pixels WHERE image % 10 IN (3, 4) WINDOW w AS (PARTITION BY image)),
  q AS (SELECT a.image, dr, dc, avg(a.s * b.s) AS score FROM s a, unnest([-2, -1, 0, 1, 2]) AS x(dr), unnest([-2, -1, 0, 1, 2]) AS y(dc), s b WHERE a.k = 3 AND b.k = 4 AND a.image = b.image AND a.r = b.r + dr AND a.c = b.c + dc GROUP BY 1, 2, 3) SELECT image, max(score) AS score FROM q GROUP BY image""", "score", "image", 5)
+_next = lambda p: g.best_shift(p.withColumn("v", F.col("v").cast("double")), p.withColumns({"image": F.col("image") - 1, "v": F.col("v").cast("double")}), 2).select("image", "score")
+add("a34_best_shift_whole", "pixels", _next, None, digits=5)
 add("a43_peak", "pixels", lambda p: p.groupBy("image").agg(F.max(F.struct(F.col("v").cast("double").alias("v"), (-F.col("r")).alias("nr"), (-F.col("c")).alias("nc"))).alias("m")).select("image", (-F.col("m.nr")).alias("pr"), (-F.col("m.nc")).alias("pc"), F.col("m.v").alias("peak")), "SELECT image, r AS pr, c AS pc, CAST(v AS DOUBLE) AS peak FROM pixels QUALIFY row_number() OVER (PARTITION BY image ORDER BY v DESC, r, c) = 1", "peak", "image, pr, pc", 5)
 _rings = lambda r, n: g.resolve_ways(r, n).filter("n >= 3").select(F.col("way").alias("ring"), "coords", "n")
 
@@ -74,6 +77,8 @@ EDGES = f"{WAYS}, o AS (SELECT way AS ring, east AS x1, north AS y1, coalesce(le
 add("j10_resolve_ways", "refs nodes", lambda r, n: g.resolve_ways(r, n).select("way", "n", F.element_at("coords", 1)["east"].alias("first_east"), F.element_at("coords", -1)["north"].alias("last_north")), "SELECT way, count(*) AS n, arg_min(east, pos) AS first_east, arg_max(north, pos) AS last_north FROM refs JOIN nodes ON refs.node = nodes.node GROUP BY way", "first_east, last_north", "way, n")
 add("p11_polygon_mask", "refs nodes", _mask, f"WITH {EDGES}, cells AS (SELECT a.r, b.c FROM (SELECT unnest(range(50)) AS r) a, (SELECT unnest(range(211)) AS c) b) SELECT ring, count(*) AS cells FROM (SELECT ring, r, c FROM o, cells WHERE ring % 40 = 0 AND y1 <> y2 AND r + 5e-1 >= least(y1, y2) AND r + 5e-1 < greatest(y1, y2) AND c + 5e-1 < x1 + (r + 5e-1 - y1) / (y2 - y1) * (x2 - x1) GROUP BY ring, r, c HAVING count(*) % 2 = 1) GROUP BY ring")
 add("r11_thick_lines", "refs nodes", lambda r, n: g.thick_lines(_edges(r, n).filter("ring % 80 = 0").withColumnRenamed("ring", "line"), 1.5).groupBy("line").agg(F.count("*").alias("cells")), f"WITH {EDGES}, s AS (SELECT DISTINCT ring, r, c FROM (SELECT * FROM o WHERE ring % 80 = 0) q, (SELECT unnest(range(-5, 60)) AS r) a, (SELECT unnest(range(-5, 220)) AS c) b WHERE pow((c - x1) - coalesce(least(greatest(((c - x1) * (x2 - x1) + (r - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0), 0), 1), 0) * (x2 - x1), 2) + pow((r - y1) - coalesce(least(greatest(((c - x1) * (x2 - x1) + (r - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0), 0), 1), 0) * (y2 - y1), 2) <= 225e-2) SELECT ring AS line, count(*) AS cells FROM s GROUP BY ring")
+add("p11_polygon_mask_whole", "refs nodes", lambda r, n: g.polygon_cells(_edges(r, n)), None)
+add("r11_thick_lines_whole", "refs nodes", lambda r, n: g.thick_lines(_edges(r, n).withColumnRenamed("ring", "line"), 1.5).groupBy("line").agg(F.count("*").alias("cells")), None)
 add("r09_paint_order", "classes", lambda c: g.paint(c.filter("class > 0").withColumns({"r": F.floor(F.col("r") / 4), "c": F.floor(F.col("c") / 4)})), "SELECT CAST(floor(r / 4) AS BIGINT) AS r, CAST(floor(c / 4) AS BIGINT) AS c, arg_max(class, list_position([4, 5, 1, 2, 3], class)) AS class FROM classes WHERE class > 0 GROUP BY 1, 2")
 add("a32_weighted_blend", "heights", lambda h: h.groupBy("r", "c").agg(F.try_divide(F.sum(F.col("z") * F.col("z") * F.col("z")), F.sum(F.col("z") * F.col("z"))).alias("v")), "SELECT r, c, sum(z * z * z) / sum(z * z) AS v FROM heights GROUP BY r, c", "v", "r, c")
 add("a33_masked_ratio", "heights", lambda h: h.groupBy("c").agg(F.coalesce(F.avg(F.when(F.col("z") > 10, (F.col("z") > 30).cast("double"))), F.lit(0.0)).alias("ratio")), "SELECT c, coalesce(avg(CASE WHEN z > 30 THEN 1e0 ELSE 0e0 END) FILTER (WHERE z > 10), 0e0) AS ratio FROM heights GROUP BY c", "ratio", "c")
