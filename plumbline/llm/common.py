@@ -44,6 +44,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def input_bytes(df: DataFrame, column: str) -> int:
     """Total UTF-8 bytes of a text column (one scan, one row to the driver)."""
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)

@@ -1,73 +1,103 @@
 """Benchmark decontamination by a prefix-filtered set join (operator 10).
 
 DataFrame functions only.  An item is cut into windows of consecutive words.  The tokens of
-a window are its words at their places; they are ordered by rarity over all documents.  A
-window can only agree in ``need`` places with a document if one of its ``size - need + 1``
-rarest tokens does (the prefix), so only those are joined.  Positions that would put the window outside the document are left out
-(length and position bounds), and each candidate is then verified word by word over a
-stretch of the document as long as the window.
+a window are its shingles of two words at their places (single words where part of a window
+may differ), ordered by rarity over all documents.  A window can only agree with a document
+if one of its rarest tokens, the prefix, does; how many are needed follows from how many
+words may differ.  One pass over the documents looks up each of their tokens among the
+prefixes, leaves out positions that would put the window outside the document (length and
+position bounds), and verifies each candidate word by word over a stretch of the document as
+long as the window, where the document's words are at hand.  No text is shuffled.
+
+Tokens are looked up by a hash of their words in lower case, one word at a time, so that words
+that are equal but for A-Z always meet; the check compares the words themselves.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Windows up to which the join's small side is broadcast (about 100 bytes each).
-BROADCAST_WINDOWS = 500_000
+#: Rows up to which a side is broadcast: windows have about 100 bytes, hashes 8.  Beyond
+#: these, windows go in blocks of as many, each a pass over the documents.
+BROADCAST_WINDOWS, BROADCAST_HASHES = 500_000, 4_000_000
 
 
-def _split(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("([^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+)"), F.lit(1))
+def raw_words_of(text: Column) -> Column:
+    """Words of a text as they are; a null text has none."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
 
 
 def words_of(text: Column) -> Column:
     """Words of a text, A-Z in lower case; a null text has none."""
-    return _split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER))
-
+    return raw_words_of(F.translate(text, UPPER, LOWER))
 
-def loose_words_of(text: Column) -> Column:
-    """As many words at the same places, in lower case throughout: quicker, for the search of candidates."""
-    return _split(F.lower(F.coalesce(text, F.lit(""))))
 
-
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_WINDOWS else df
+def key_of(docs: DataFrame) -> Column:
+    """Tells rows apart by doc_id and the digest of the text; never null."""
+    return F.concat_ws(":", F.md5(F.coalesce(docs["text"], F.lit(""))), docs["doc_id"].cast("string"))
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """Distinct windows: win (words joined), size, words, items (array of their item_ids as strings)."""
+    """Distinct windows (words joined) with the items they are of: win, item, size."""
     w = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w")).filter("size(w) > 0 AND item IS NOT NULL")
-    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1))), lambda i: F.slice(F.col("w"), i, window))
-    rows = w.select("item", F.explode(cuts).alias("words"))
-    return rows.groupBy(F.array_join("words", " ").alias("win")).agg(F.first("words").alias("words"), F.collect_set("item").alias("items")).withColumn("size", F.size("words"))
-
-
-def _tokens(docs: DataFrame) -> DataFrame:
-    """key, n (words of the text), at, word: a row per word."""
-    ready = docs.select("key", loose_words_of(F.col("text")).alias("w"))
-    ready = ready.select("key", F.size("w").alias("n"), "w")  # before the rows are made, not for each of them
-    return ready.select("key", "n", F.posexplode("w").alias("at", "word"))
-
-
-def rarity(docs: DataFrame, windows: DataFrame, n: int) -> DataFrame:
-    """How often each word of the items occurs over all documents."""
-    vocabulary = windows.select(F.explode(F.transform("words", F.lower)).alias("word")).distinct()
-    seen = docs.select(F.explode(loose_words_of(F.col("text"))).alias("word")).join(_small(vocabulary, n), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    return vocabulary.join(seen, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"))
-
-
-def prefixes(windows: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
-    """The rarest tokens of each window, one of which any match must have: win, size, place, word."""
-    rows = windows.select("win", "size", F.posexplode(F.transform("words", F.lower)).alias("place", "word")).join(counts, "word")
-    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("win").orderBy("df", "place")))
-    need = F.ceil(F.col("size") * F.lit(threshold))
-    return rows.filter(F.col("rank") <= F.col("size") - need + 1).select("win", "size", "place", "word")
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, window), " "))
+    return w.select("item", F.least(F.size("w"), F.lit(window)).alias("size"), F.explode(cuts).alias("win")).distinct()
+
+
+def _token(words: Column, at: Column, shingle: int) -> Column:
+    """Hash of the words from ``at`` on, each in lower case; past the last word that of nulls."""
+    return F.xxhash64(*(F.lower(F.get(words, at + i)) for i in range(shingle)))
+
+
+def _tokens(docs: DataFrame, shingle: int, *keep: str) -> DataFrame:
+    """The token at each place of each text and one past its last word: ``keep``, words, n (of words), at, h."""
+    rows = docs.select(*keep, raw_words_of(F.col("text")).alias("words"))
+    rows = rows.select(*keep, "words", F.size("words").alias("n"))  # once a text, before the rows are made
+    rows = rows.select(*keep, "words", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("at"))
+    return rows.withColumn("h", _token(F.col("words"), F.col("at"), shingle))
+
+
+def prefixes(docs: DataFrame, windows: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """The rarest tokens of each window, one of which any match must have: h, win, size, place."""
+    w = windows.select("win", "size", F.split("win", " ").alias("w"))
+    places = w.select("win", "size", "w", F.explode(F.sequence(F.lit(0), F.col("size") - shingle)).alias("place"))
+    tokens = cut(places.select("win", "size", "place", _token(F.col("w"), F.col("place"), shingle).alias("h")), "tokens")
+    vocabulary = cut(tokens.select("h").distinct(), "vocabulary")
+    seen = _tokens(docs, shingle).select("h")
+    if vocabulary.count() <= BROADCAST_HASHES:
+        seen = seen.join(F.broadcast(vocabulary), "h", "left_semi").groupBy("h").agg(F.count("*").alias("df"))
+    else:
+        seen = seen.groupBy("h").agg(F.count("*").alias("df")).join(vocabulary, "h", "left_semi")
+    ranked = tokens.join(seen, "h", "left").withColumn("rank", F.row_number().over(W.partitionBy("win").orderBy(F.coalesce("df", F.lit(0)), "place")))
+    differ = F.col("size") - F.ceil(F.col("size") * F.lit(threshold))
+    return ranked.filter(F.col("rank") <= differ * shingle + 1).select("h", "win", "size", "place")
+
+
+def _search(docs: DataFrame, prefix: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """key, doc_id, n, start, size, win of each verified window; ``prefix`` rows without a window meet the end of a text."""
+    rows = _tokens(docs, shingle, "key", "doc_id").join(F.broadcast(prefix), "h")
+    start = F.col("at") - F.col("place")
+    inside = (start >= 0) & (start + F.col("size") <= F.col("n"))
+    ends = F.col("win").isNull() & (F.col("at") == F.col("n"))
+    met = rows.filter(ends | (F.col("win").isNotNull() & inside & _agrees(F.col("words"), start, threshold)))
+    return met.select("key", "doc_id", "n", start.alias("start"), "size", "win")
+
+
+def _agrees(words: Column, start: Column, threshold: float) -> Column:
+    """Whether the document's words from ``start`` on agree with the window ``win`` in enough places."""
+    have = F.translate(F.array_join(F.slice(words, F.greatest(start, F.lit(0)) + 1, F.col("size")), " "), UPPER, LOWER)
+    if threshold >= 1.0:
+        return have == F.col("win")
+    same = F.filter(F.zip_with(F.split(have, " "), F.split("win", " "), lambda a, b: a == b), lambda x: x)
+    return F.size(same) >= F.ceil(F.col("size") * F.lit(threshold))
 
 
 def contained(docs: DataFrame, items: DataFrame, window: int = 10, threshold: float = 1.0, with_key: bool = False) -> DataFrame:
@@ -77,49 +107,47 @@ def contained(docs: DataFrame, items: DataFrame, window: int = 10, threshold: fl
     (words inside any such stretch), n_items, items_sha256 (of the item_ids, sorted as
     strings, comma-joined), items, contaminated (n_hit > 0), one row per row of ``docs``.
     An item shorter than the window is one window; one without words, with a null text or a
-    null id is ignored.  A null text has no words.  Rows with one doc_id are told apart by
-    their texts; equal rows get equal results.  Other columns are ignored.  ``with_key`` adds
-    ``key``, the hash of doc_id and text.
+    null id is ignored; repeated items count once.  A null or empty text has no words.  Rows
+    with one doc_id are told apart by their texts; equal rows get equal results.  Empty
+    ``items``: nothing is hit; empty ``docs``: no rows.  Other columns are ignored.
+    ``with_key`` adds ``key`` (of doc_id and the text's digest).
     """
-    windows = cut(item_windows(items, window), "windows")
-    n = windows.count()
-    base = docs.select(F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("key"), "doc_id", "text")
-    prefix = cut(prefixes(windows, rarity(base, windows, n), threshold), "prefixes")
-    tokens = _tokens(base)
-    near = tokens.join(_small(prefix, n * (1 if threshold >= 1 else window)), "word").filter("at >= place AND at - place + size <= n")
-    found = near.select("key", (F.col("at") - F.col("place")).alias("start"), "win")
-    found = found.distinct() if threshold < 1 else found  # an exact window has one token to be found by
-    spots = found.groupBy("key").agg(F.collect_list(F.struct("start", "win")).alias("spots"))
-
-    whole = base.join(spots, "key", "left").select("key", "doc_id", words_of(F.col("text")).alias("w"), "spots")
-    checked = whole.select("key", "doc_id", F.size("w").cast("long").alias("n_words"), F.filter("spots", lambda s: _agrees(F.col("w"), s, threshold)).alias("spots"))
-    checked = cut(checked, "checked")
-    hits = checked.filter("size(spots) > 0").dropDuplicates(["key"])
-    reach = lambda s: F.sequence(s["start"], s["start"] + F.size(F.split(s["win"], " ")) - 1)
-    n_hit = hits.select("key", F.size(F.array_distinct(F.flatten(F.transform("spots", reach)))).cast("long").alias("n_hit"))
-    wins = hits.select("key", F.explode("spots.win").alias("win")).distinct()
-    which = wins.join(_small(windows.select("win", "items"), n), "win").select("key", F.explode("items").alias("item")).groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    none = F.array().cast("array<string>")
-    out = checked.select("key", "doc_id", "n_words").join(n_hit, "key", "left").join(which, "key", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", none)})
+    pairs = cut(item_windows(items, window), "windows")
+    windows = cut(pairs.select("win", "size").distinct(), "distinct")
+    base = docs.select(key_of(docs).alias("key"), docs["doc_id"], docs["text"])
+    parts = []
+    for shingle in (2, 1):
+        mine = windows.filter((F.col("size") >= 2) if shingle == 2 else (F.col("size") < 2)) if threshold >= 1 else windows
+        n = mine.count() if threshold >= 1 or shingle == 1 else 0
+        if n:
+            prefix = cut(prefixes(base, mine, threshold, shingle), "prefixes")
+            blocks = -(-prefix.count() // BROADCAST_WINDOWS)
+            parts += [(shingle, prefix.filter(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b) if blocks > 1 else prefix) for b in range(blocks)]
+    shingle, first = parts[0] if parts else (1, docs.sparkSession.createDataFrame([], "h long, win string, size int, place int"))
+    null = F.lit(None).cast("string")
+    end = docs.sparkSession.range(1).select(F.xxhash64(*[null] * shingle).alias("h"), null.alias("win"), F.lit(0).alias("size"), F.lit(0).alias("place"))
+    found = [_search(base, first.union(end), threshold, shingle)] + [_search(base, prefix, threshold, s) for s, prefix in parts[1:]]
+    met = cut(reduce(DataFrame.union, found), "spots")
+
+    hits = met.filter("win IS NOT NULL")
+    reach = lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1)
+    spots = hits.groupBy("key").agg(F.collect_set(F.struct("start", "size")).alias("spots"))
+    n_hit = spots.select("key", F.size(F.array_distinct(F.flatten(F.transform("spots", reach)))).cast("long").alias("n_hit"))
+    small = F.broadcast(pairs) if pairs.count() <= BROADCAST_WINDOWS else pairs
+    which = hits.select("key", "win").distinct().join(small.select("win", "item"), "win").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = met.filter("win IS NULL").select("key", "doc_id", F.col("n").cast("long").alias("n_words")).join(n_hit.join(which, "key"), "key", "left")
+    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return out.select(
         *(["key"] if with_key else []), "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "items", (F.col("n_hit") > 0).alias("contaminated")
     )
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, threshold: float = 1.0) -> DataFrame:
-    """The rows of ``docs``, all columns, that have no stretch of an item."""
-    bad = contained(docs, items, window, threshold, with_key=True).filter("contaminated").select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))).join(bad, "__key", "left_anti").drop("__key")
-
-
-def _agrees(words: Column, spot: Column, threshold: float) -> Column:
-    """Whether the document's words from the spot on agree with the window in enough places."""
-    want = F.split(spot["win"], " ")
-    have = F.slice(words, spot["start"] + 1, F.size(want))
-    if threshold >= 1.0:
-        return F.array_join(have, " ") == spot["win"]
-    same = F.size(F.filter(F.zip_with(have, want, lambda a, b: a == b), lambda x: x))
-    return same >= F.ceil(F.size(want) * F.lit(threshold))
+    """The rows of ``docs``, all columns as they are, that have no stretch of an item (see ``contained``)."""
+    name = unused(docs, "key")
+    bad = cut(contained(docs, items, window, threshold, with_key=True).filter("contaminated").select(F.col("key").alias(name)).distinct(), "contaminated")
+    small = F.broadcast(bad) if bad.count() <= BROADCAST_WINDOWS else bad
+    return docs.withColumn(name, key_of(docs)).join(small, name, "left_anti").drop(name)
 
 
 def op10_prefix_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,6 +201,18 @@ def test_decontamination_with_part_of_the_words(spark):
     assert got == {1: True, 2: False}
 
 
+def test_decontamination_folds_only_ascii(spark):
+    """Case of other letters tells words apart, wherever the text puts its separators; hidden columns stay."""
+    line = ["ΤΕΛΟΣ", "ΑΡΧΗ", "İstanbul", "K-elvin", "OHM", "Σ", "one"]
+    rows = [(1, "x ΤΕΛΟΣ.ΑΡΧΗ İSTANBUL'K;ELVIN ohm Σ,One y"), (2, "ΤΕΛΟΣ ΑΡΧΗ İstanbul \u212a elvin ohm Σ one"), (3, "τελος αρχη İstanbul k elvin ohm σ one"), (4, "ΤΕΛΟΣ ΑΡΧΗ"), (None, "Σ one"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit("mine"), "h": F.lit(1), "win": F.lit("w"), "key_": F.lit(None).cast("string")})
+    items = [(1, " ".join(line)), (2, "Σ"), (3, "ΤΕΛΟΣ"), (4, "Σ one")]
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contained(df, spark.createDataFrame(items, "item_id long, text string").withColumn("h", F.lit(2)), 8).collect())
+    assert got == sorted([("1", 10, 8, ["1", "2", "3", "4"]), ("2", 8, 3, ["2", "3", "4"]), ("3", 8, 0, []), ("4", 2, 1, ["3"]), ("None", 2, 2, ["2", "4"]), ("None", 0, 0, [])])
+    clean = decontaminate.without_contaminated(df, spark.createDataFrame(items, "item_id long, text string"), 8)
+    assert clean.columns == df.columns and sorted((str(r["doc_id"]), r["key"], r["key_"]) for r in clean.collect()) == [("3", "mine", None), ("None", "mine", None)]
+
+
 def test_line_rules():
     rules = linerules.Rules()
     fault = lambda t: linerules.line_fault(t.encode(), rules)
