@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import imaging
+from ..functions import angles, imaging
 
 #: Named sets: number of pairs, largest offset (m) and yaw difference (degrees).
 PRESETS = {"smoke": (20, 20.0, 5.0), "regression": (3000, 40.0, 10.0), "stress": (1000, 80.0, 30.0)}
@@ -36,7 +36,12 @@ def region(bounds: DataFrame, margin: float) -> DataFrame:
 
 
 def pair_specs(ids: DataFrame, preset: str = "smoke", span: float = 500.0, seed: int = 0, providers: tuple[str, ...] = ("a", "b")) -> DataFrame:
-    """A specification per id: true pose, prior pose, two different providers, gamma and haze."""
+    """A specification per id: true pose, prior pose, their difference, two different providers, gamma and haze.
+
+    A pair of one provider is an error, both for ``providers`` and for a row that would have one.
+    """
+    if len(set(providers)) < 2 or len(set(providers)) < len(providers):
+        raise ValueError("query and map must be of different providers")
     _, offset, yaw = PRESETS[preset]
     k = F.col("id")
     n = len(providers)
@@ -48,7 +53,23 @@ def pair_specs(ids: DataFrame, preset: str = "smoke", span: float = 500.0, seed:
         ("gamma", uniform(k, 7, seed, 0.8, 1.25)), ("haze", uniform(k, 8, seed, 0.0, 0.2)),
     )), names[first].alias("query_provider"), names[(first + 1) % n].alias("map_provider"))
     df = df.withColumns({"prior_east": F.col("gt_east") + F.col("off_east"), "prior_north": F.col("gt_north") + F.col("off_north"), "prior_yaw": F.col("gt_yaw") + F.col("off_yaw")})
-    return df.withColumn("guard", F.assert_true(F.col("query_provider") != F.col("map_provider"), F.lit("query and map are of one provider"))).drop("guard")
+    return pair_delta(df.withColumn("map_provider", cross_provider(F.col("query_provider"), F.col("map_provider"))))
+
+
+def cross_provider(query: Column, map_: Column) -> Column:
+    """The map's provider; an error where it is the query's."""
+    return F.when(query != map_, map_).otherwise(F.raise_error(F.concat(F.lit("query and map are of one provider: "), F.coalesce(query, F.lit("null")))))
+
+
+def pair_delta(specs: DataFrame) -> DataFrame:
+    """Add delta_east, delta_north and delta_yaw, true pose less prior pose, the heading wrapped."""
+    d = lambda a: F.col(f"gt_{a}") - F.col(f"prior_{a}")
+    return specs.withColumns({"delta_east": d("east"), "delta_north": d("north"), "delta_yaw": angles.normalize(d("yaw"))})
+
+
+def terrain_counts(pairs: DataFrame, terrain: str = "terrain") -> DataFrame:
+    """Pairs per terrain class; those without one count as background."""
+    return pairs.groupBy(F.coalesce(terrain, F.lit("background")).alias("terrain")).agg(F.count("*").alias("n"))
 
 
 def patch_grid(specs: DataFrame, size: int, gsd: float, east: str = "gt_east", north: str = "gt_north", yaw: str = "gt_yaw") -> DataFrame:

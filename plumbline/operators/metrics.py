@@ -11,10 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import angles, covariance
+from .quantiles import exact_quantiles, same_keys
 
 TERRAIN = ("urban", "suburban", "roads", "farmland", "forest", "water", "background")
 INTEGRITY_M = 50.0
-QUALITY = ("n_inliers", "covisibility", "peak_ratio")
+QUALITY = ("n_inliers", "inlier_ratio", "covisibility", "peak_ratio", "residual_rms_px", "spatial_spread", "mean_confidence")
 RECALL_M = (1.0, 2.0, 3.0, 5.0, 7.0, 10.0, 15.0, 20.0, 30.0, 50.0, 100.0)
 
 
@@ -40,9 +41,9 @@ def beyond(d: float = INTEGRITY_M, err: str = "pos_err", where: str = "accepted"
     return share((F.col(err) > d) & ~F.isnan(err), F.col(where))
 
 
-def accepted_percentile(column: str, q: float) -> Column:
-    """Exact percentile, linear between ranks, over accepted rows."""
-    return F.percentile(F.when(F.col("accepted"), F.col(column)), F.lit(q))
+def accepted(column: str) -> Column:
+    """The column's value on accepted rows, null on others."""
+    return F.when(F.col("accepted"), F.col(column))
 
 
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -53,45 +54,46 @@ def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return counts.filter(F.col("__upto") > F.floor(F.col("__all") / 2)).groupBy(*by).agg(F.min(F.struct("__upto", value))[value].alias("median"))
 
 
-def fix_aggregates() -> list[Column]:
-    """The twelve figures of a set of fixes."""
+def fix_rates() -> list[Column]:
+    """Those of the twelve figures of a set of fixes that are counts and shares."""
     return [
         F.count("*").alias("n_attempts"),
         F.count_if("accepted").alias("n_accepted"),
         F.try_divide(F.count_if("accepted"), F.count("*")).alias("acceptance_rate"),
         *(within(float(d)).alias(f"a_at_{d}") for d in (5, 10, 20, 50)),
-        accepted_percentile("yaw_err_deg", 0.5).alias("re_med_deg"),
-        accepted_percentile("yaw_err_deg", 0.95).alias("re_p95_deg"),
         beyond().alias("ifr"),
-        F.percentile("latency_ms", F.lit(0.5)).alias("latency_p50_ms"),
-        F.percentile("latency_ms", F.lit(0.95)).alias("latency_p95_ms"),
     ]
 
 
+def fix_quantiles(df: DataFrame, by: list[str]) -> DataFrame:
+    """Those that are quantiles: of the heading error where accepted, and of the latency."""
+    yaw, late = accepted("yaw_err_deg"), F.col("latency_ms")
+    return exact_quantiles(df, by, {"re_med_deg": (yaw, 0.5), "re_p95_deg": (yaw, 0.95), "latency_p50_ms": (late, 0.5), "latency_p95_ms": (late, 0.95)})
+
+
 def fix_level(fixes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Figures by group, or overall."""
-    return with_errors(fixes).groupBy(*by).agg(*fix_aggregates())
+    """The twelve figures by group, or overall."""
+    df = with_errors(fixes)
+    return same_keys(df.groupBy(*by).agg(*fix_rates()), fix_quantiles(df, list(by)), list(by), "left")
 
 
 def fix_level_by_terrain(fixes: DataFrame) -> DataFrame:
-    """Overall ('all') and by listed terrain class, in one pass; labels outside the list only count overall."""
-    known = F.when(F.col("terrain").isin(*TERRAIN), F.col("terrain")).otherwise("other")
-    df = with_errors(fixes).withColumn("terrain", known)
-    out = df.groupingSets([[], ["terrain"]], "terrain").agg(F.grouping("terrain").alias("g"), *fix_aggregates())
-    return out.filter("g = 1 OR terrain <> 'other'").withColumn("terrain", F.when(F.col("g") == 1, "all").otherwise(F.col("terrain"))).drop("g")
+    """Overall ('all') and by listed terrain class; labels outside the list only count overall."""
+    known = F.when(F.col("terrain").isin(*TERRAIN), F.array(F.lit("all"), F.col("terrain"))).otherwise(F.array(F.lit("all")))
+    return fix_level(fixes.withColumn("terrain", F.explode(known)), ("terrain",))
 
 
 def dual_bias(fixes: DataFrame, bias: tuple[float, float]) -> DataFrame:
     """The figures with the map bias and without it."""
     modes = F.array(F.struct(F.lit("with").alias("mode"), F.lit(0.0).alias("e"), F.lit(0.0).alias("n")), F.struct(F.lit("without").alias("mode"), F.lit(bias[0]).alias("e"), F.lit(bias[1]).alias("n")))
     df = fixes.withColumn("b", F.explode(modes)).withColumns({"est_east": F.col("est_east") - F.col("b.e"), "est_north": F.col("est_north") - F.col("b.n"), "mode": F.col("b.mode")})
-    return with_errors(df).groupBy("mode").agg(*fix_aggregates())
+    return fix_level(df, ("mode",))
 
 
 def quality_distribution(fixes: DataFrame, attributes: tuple[str, ...] = QUALITY) -> DataFrame:
     """5th, 50th and 95th percentile of each quality attribute over accepted rows."""
     long = fixes.filter("accepted").select(F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(a).cast("double").alias("v")) for a in attributes))).alias("x")).select("x.*")
-    return long.groupBy("attribute").agg(F.percentile("v", F.lit(0.05)).alias("p5"), F.percentile("v", F.lit(0.5)).alias("median"), F.percentile("v", F.lit(0.95)).alias("p95"))
+    return exact_quantiles(long, ["attribute"], {"p5": (F.col("v"), 0.05), "median": (F.col("v"), 0.5), "p95": (F.col("v"), 0.95)})
 
 
 def recall_curve(fixes: DataFrame, distances: tuple[float, ...] = RECALL_M) -> DataFrame:
@@ -117,6 +119,40 @@ def rmse(err: str = "pos_err") -> Column:
     return F.sqrt(F.avg(F.col(err) * F.col(err)))
 
 
+def innovation_consistency(innovations: DataFrame, dof: int = 2) -> DataFrame:
+    """Add nis, the squared innovation (innov_east, innov_north, innov_yaw) over the sum of two fixes' covariances.
+
+    Needs cov_* of the fix and prev_cov_* of the one before; null where singular or without innovation.
+    """
+    total = {k: F.col(f"cov_{k}") + F.col(f"prev_cov_{k}") for k in covariance.UPPER}
+    e, n, y = (F.col(f"innov_{k}") for k in ("east", "north", "yaw"))
+    return innovations.withColumn("nis", covariance.mahalanobis2(e, n, total) if dof == 2 else covariance.mahalanobis3(e, n, y, total))
+
+
+def match_summary(fixes: DataFrame) -> DataFrame:
+    """n, median and 95th percentile of the position error, share within 20 m and beyond 50 m of the accepted."""
+    df = with_errors(fixes)
+    shares = df.agg(F.count("*").alias("n"), within(20.0).alias("a_at_20"), beyond().alias("ifr_at_50"))
+    return same_keys(shares, exact_quantiles(df, [], {"median": (F.col("pos_err"), 0.5), "p95": (F.col("pos_err"), 0.95)}), [])
+
+
+def trajectory_level(track: DataFrame, run: str = "run_id", order: str = "ord", converged_deg: float = 1.0) -> DataFrame:
+    """Per run: ate_rmse, lateral_p95, yaw_p95, convergence_m (path at the first yaw sigma below ``converged_deg``), max_gap_m.
+
+    The widest gap is between neighbouring samples of the path, accepted or not.
+    """
+    df = with_errors(track).withColumn("__sigma", F.degrees(F.sqrt(F.greatest(F.col("cov_yy"), F.lit(0.0)))))
+    df = df.withColumn("__gap", F.col("path_m") - F.lag("path_m").over(W.partitionBy(run).orderBy(order)))
+    first = F.min(F.when(F.col("__sigma") < converged_deg, F.struct(order, "path_m")))["path_m"]
+    sums = df.groupBy(run).agg(rmse().alias("ate_rmse"), first.alias("convergence_m"), F.max("__gap").alias("max_gap_m"))
+    return same_keys(sums, exact_quantiles(df, [run], {"lateral_p95": (F.col("lateral_err"), 0.95), "yaw_p95": (F.col("yaw_err_deg"), 0.95)}), [run], "left")
+
+
+def early_fixes(track: DataFrame, within_m: float = 2000.0, run: str = "run_id") -> DataFrame:
+    """Accepted samples of each run's first ``within_m`` metres."""
+    return track.groupBy(run).agg(F.count_if(F.col("accepted") & (F.col("path_m") < within_m)).alias("n"))
+
+
 def compare_golden(current: DataFrame, golden: DataFrame, rel_tol: float = 0.05, ifr_tol: float = 0.001, higher_better: tuple[str, ...] = ("a_at_20", "acceptance_rate")) -> DataFrame:
     """Per metric (metric, value): delta and whether it degraded past its tolerance.
 

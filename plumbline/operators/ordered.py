@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import angles
+
 
 def by_order(run: str = "run_id", order: tuple[str, ...] = ("ord",)):
     return W.partitionBy(run).orderBy(*order)
@@ -98,14 +100,40 @@ def ecdf(df: DataFrame, value: str, by: list[str], order: str) -> DataFrame:
 
 
 def innovations(fixes: DataFrame, run: str = "run_id") -> DataFrame:
-    """Constant-velocity prediction error of each accepted fix from the two before it."""
+    """Constant-velocity prediction error of each accepted fix from the two before it.
+
+    The heading is predicted to stay; prev_cov_* is the covariance of the fix before, if there are any.
+    """
     w = by_order(run)
     df = fixes.filter("accepted")
     for a in ("east", "north"):
         p, q = F.lag(f"est_{a}").over(w), F.lag(f"est_{a}", 2).over(w)
         tp, tq = F.lag("t_s").over(w), F.lag("t_s", 2).over(w)
         df = df.withColumn(f"innov_{a}", F.col(f"est_{a}") - (p + F.try_divide((p - q) * (F.col("t_s") - tp), tp - tq)))
-    return df
+    if "est_yaw" in df.columns:
+        df = df.withColumn("innov_yaw", angles.normalize(F.col("est_yaw") - F.lag("est_yaw").over(w)))
+    return df.withColumns({f"prev_{c}": F.lag(c).over(w) for c in df.columns if c.startswith("cov_")})
+
+
+def request_rate(track: DataFrame, run: str = "run_id") -> DataFrame:
+    """Add um_per_s, the speed between consecutive requests in whole micrometres a second; null at the first and for no time.
+
+    Paths are whole centimetres (path_cm) and times whole seconds (ord), so nothing is rounded but the quotient, down to 0.
+    """
+    w = by_order(run)
+    moved, took = F.col("path_cm") - F.lag("path_cm").over(w), F.col("ord") - F.lag("ord").over(w)
+    return track.withColumns({"__moved": moved * 10000, "__took": F.nullif(took, F.lit(0))}).withColumn("um_per_s", F.expr("__moved div __took")).drop("__moved", "__took")
+
+
+def moved_over(track: DataFrame, value: str, rows: int, run: str = "run_id") -> DataFrame:
+    """Add moved, the change of ``value`` over the next ``rows`` rows of the run; null at its end."""
+    return track.withColumn("moved", F.lead(value, rows).over(by_order(run)) - F.col(value))
+
+
+def look_ahead(track: DataFrame, seconds: float, tile: float) -> DataFrame:
+    """Add tile_e and tile_n, the tile that a position (east, north) reaches in ``seconds`` at its speed (v_east, v_north): what to fetch ahead."""
+    at = lambda a: F.floor((F.col(a) + F.col(f"v_{a}") * seconds) / tile)
+    return track.withColumns({"tile_e": at("east"), "tile_n": at("north")})
 
 
 def sliding_windows(df: DataFrame, time: str, length: float, step: float) -> DataFrame:

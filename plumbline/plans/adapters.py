@@ -18,17 +18,19 @@ VIEWS = {
         (l_suppkey % 13) * 1e-1 - 6e-1 + l_tax * 1e1 - 4e-1 AS est_yaw,
         1e0 + (l_partkey % 7) AS cov_ee, (l_suppkey % 5) * 1e-1 AS cov_en, 1e-2 AS cov_ey, 2e0 + (l_linenumber % 3) AS cov_nn, 2e-2 AS cov_ny, 1e-2 + l_tax AS cov_yy,
         l_extendedprice / 5e2 AS latency_ms, l_discount * 1e1 AS peak_ratio, l_tax * 1e1 AS covisibility, l_quantity AS n_inliers,
+        l_quantity / 5e1 AS inlier_ratio, l_tax * 2e1 AS residual_rms_px, (l_partkey % 100) / 1e2 AS spatial_spread, 1e0 - l_discount AS mean_confidence,
         CASE l_suppkey % 8 WHEN 0 THEN 'urban' WHEN 1 THEN 'suburban' WHEN 2 THEN 'roads' WHEN 3 THEN 'farmland' WHEN 4 THEN 'forest' WHEN 5 THEN 'water' WHEN 6 THEN 'background' ELSE 'unlisted' END AS terrain
         FROM {lineitem}""",
     # One row per pose sample of a run, with the path so far.
     "track": """SELECT user_id AS run_id, event_id AS ord, value, event_type, event_type = 'purchase' AS accepted,
         CAST(event_id % 1009 AS DOUBLE) AS t_s, value * cos(event_id * 1e-1) AS v_east, value * sin(event_id * 1e-1) AS v_north,
-        sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path_m FROM {events}""",
+        sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path_m,
+        CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS path_cm FROM {events}""",
     # Geographic points with deterministic coordinates.
     "points": """SELECT c_custkey AS id, 36e0 + (c_custkey % 600) * 1e-2 AS lon_deg, 40e0 + (c_custkey % 997) * 1e-2 AS lat_deg, c_acctbal AS alt,
         CAST(4 + c_custkey % 15 AS INT) AS z FROM {customer}""",
     # Scattered heights on a grid.
-    "heights": """SELECT CAST(floor(l_extendedprice / 1e3) AS BIGINT) AS r, CAST(l_linenumber AS BIGINT) AS c, l_quantity AS z FROM {lineitem}""",
+    "heights": """SELECT CAST(floor(l_extendedprice / 1e3) AS BIGINT) AS r, CAST(l_linenumber AS BIGINT) AS c, l_quantity AS z, l_tax * 1e1 AS confidence, l_discount * 1e3 AS range_m FROM {lineitem}""",
     # 8 x 8 images as a pixel table.
     "pixels": """SELECT vec_id AS image, CAST(floor(i / 8) AS BIGINT) AS r, CAST(i % 8 AS BIGINT) AS c, v FROM (SELECT vec_id, {index} AS i, {value} AS v FROM {embeddings})""",
     # A class raster: one cell per order.

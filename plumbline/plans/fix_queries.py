@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import angles, covariance
 from ..operators import metrics as m
+from ..operators.quantiles import exact_quantiles
 from .tools import add
 
 ERR = """e AS (SELECT *, est_east - gt_east - {be} AS de, est_north - gt_north - {bn} AS dn, sqrt(pow(est_east - gt_east - {be}, 2) + pow(est_north - gt_north - {bn}, 2)) AS err,
@@ -44,11 +45,11 @@ for d in (5, 10, 20, 50):
     add(f"a01_within_{d}m", "fixes", lambda f, d=d: m.with_errors(f).agg(m.within(float(d)).alias("share")), errors(f"SELECT avg(CASE WHEN err <= {d} THEN 1e0 ELSE 0e0 END) AS share FROM e WHERE accepted"), "share")
 add("a02_integrity_failure_rate", "fixes", lambda f: m.with_errors(f).agg(m.beyond().alias("ifr")), errors("SELECT avg(CASE WHEN err > 50 THEN 1e0 ELSE 0e0 END) AS ifr FROM e WHERE accepted"), "ifr")
 add("a03_acceptance_rate", "fixes", lambda f: f.groupBy("run_id").agg(F.try_divide(F.count_if("accepted"), F.count("*")).alias("rate")), "SELECT run_id, count(*) FILTER (WHERE accepted) / CAST(count(*) AS DOUBLE) AS rate FROM fixes GROUP BY run_id", "rate", "run_id")
-add("a04_heading_error", "fixes", lambda f: m.with_errors(f).agg(m.accepted_percentile("yaw_err_deg", 0.5).alias("p50"), m.accepted_percentile("yaw_err_deg", 0.95).alias("p95")), errors("SELECT quantile_cont(yerr, 0.5) AS p50, quantile_cont(yerr, 0.95) AS p95 FROM e WHERE accepted"), "p50, p95")
-add("a05_percentiles", "fixes", lambda f: f.agg(*(F.percentile("latency_ms", F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.05, 0.25, 0.75, 0.99))), "SELECT quantile_cont(latency_ms, 0.05) AS p5, quantile_cont(latency_ms, 0.25) AS p25, quantile_cont(latency_ms, 0.75) AS p75, quantile_cont(latency_ms, 0.99) AS p99 FROM fixes", "p5, p25, p75, p99")
-add("a06_latency", "fixes", lambda f: f.groupBy("terrain").agg(F.percentile("latency_ms", F.lit(0.5)).alias("p50"), F.percentile("latency_ms", F.lit(0.95)).alias("p95")), "SELECT terrain, quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95 FROM fixes GROUP BY terrain", "p50, p95", "terrain")
+add("a04_heading_error", "fixes", lambda f: exact_quantiles(m.with_errors(f), [], {"p50": (m.accepted("yaw_err_deg"), 0.5), "p95": (m.accepted("yaw_err_deg"), 0.95)}), errors("SELECT quantile_cont(yerr, 0.5) AS p50, quantile_cont(yerr, 0.95) AS p95 FROM e WHERE accepted"), "p50, p95")
+add("a05_percentiles", "fixes", lambda f: exact_quantiles(f, [], {f"p{int(q * 100)}": (F.col("latency_ms"), q) for q in (0.05, 0.25, 0.75, 0.99)}), "SELECT quantile_cont(latency_ms, 0.05) AS p5, quantile_cont(latency_ms, 0.25) AS p25, quantile_cont(latency_ms, 0.75) AS p75, quantile_cont(latency_ms, 0.99) AS p99 FROM fixes", "p5, p25, p75, p99")
+add("a06_latency", "fixes", lambda f: exact_quantiles(f, ["terrain"], {"p50": (F.col("latency_ms"), 0.5), "p95": (F.col("latency_ms"), 0.95)}), "SELECT terrain, quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95 FROM fixes GROUP BY terrain", "p50, p95", "terrain")
 add("a07_rmse", "fixes", lambda f: m.with_errors(f).groupBy("run_id").agg(m.rmse().alias("rmse")), errors("SELECT run_id, sqrt(avg(err * err)) AS rmse FROM e GROUP BY run_id"), "rmse", "run_id")
-add("a08_lateral_p95", "fixes", lambda f: m.with_errors(f).groupBy("run_id").agg(F.percentile("lateral_err", F.lit(0.95)).alias("p95")), errors("SELECT run_id, quantile_cont(abs(dn * cos(gt_yaw) - de * sin(gt_yaw)), 0.95) AS p95 FROM e GROUP BY run_id"), "p95", "run_id")
+add("a08_lateral_p95", "fixes", lambda f: exact_quantiles(m.with_errors(f), ["run_id"], {"p95": (F.col("lateral_err"), 0.95)}), errors("SELECT run_id, quantile_cont(abs(dn * cos(gt_yaw) - de * sin(gt_yaw)), 0.95) AS p95 FROM e GROUP BY run_id"), "p95", "run_id")
 NEES2 = "(cov_nn * de * de - 2 * cov_en * de * dn + cov_ee * dn * dn) / (cov_ee * cov_nn - cov_en * cov_en)"
 YAW = "(est_yaw - gt_yaw)"
 NEES3 = f"""((cov_nn * cov_yy - cov_ny * cov_ny) * de * de + (cov_ee * cov_yy - cov_ey * cov_ey) * dn * dn + (cov_ee * cov_nn - cov_en * cov_en) * {YAW} * {YAW}
@@ -64,7 +65,7 @@ add(
 )
 add("a18_by_terrain", "fixes", lambda f: m.fix_level(f.filter(F.col("terrain").isin(*m.TERRAIN)), ("terrain",)), errors(f"SELECT terrain, {AGG} FROM e WHERE terrain IN ({TERRAIN}) GROUP BY terrain"), FIGURES, "terrain, n_attempts, n_accepted")
 add("a19_terrain_counts", "fixes", lambda f: f.filter(F.col("terrain").isin(*m.TERRAIN)).groupBy("terrain").agg(F.count("*").alias("n")), f"SELECT terrain, count(*) AS n FROM fixes WHERE terrain IN ({TERRAIN}) GROUP BY terrain")
-add("a25_match_summary", "fixes", lambda f: m.with_errors(f).agg(F.count("*").alias("n"), F.median("pos_err").alias("median"), F.percentile("pos_err", F.lit(0.95)).alias("p95"), m.within(20.0).alias("a_at_20"), m.beyond().alias("ifr_at_50")), errors("SELECT count(*) AS n, median(err) AS median, quantile_cont(err, 0.95) AS p95, avg(CASE WHEN err <= 20 THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted) AS a_at_20, avg(CASE WHEN err > 50 THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted) AS ifr_at_50 FROM e"), "median, p95, a_at_20, ifr_at_50", "n")
+add("a25_match_summary", "fixes", m.match_summary, errors("SELECT count(*) AS n, median(err) AS median, quantile_cont(err, 0.95) AS p95, avg(CASE WHEN err <= 20 THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted) AS a_at_20, avg(CASE WHEN err > 50 THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted) AS ifr_at_50 FROM e"), "median, p95, a_at_20, ifr_at_50", "n")
 add("a41_circular_mean", "fixes", lambda f: f.groupBy("terrain").agg(angles.circular_mean(F.col("est_yaw")).alias("mean")), "SELECT terrain, atan2(sum(sin(est_yaw)), sum(cos(est_yaw))) AS mean FROM fixes GROUP BY terrain", "mean", "terrain")
 add("a42_upper_median", "fixes", lambda f: m.upper_median(f, ["run_id"], "n_inliers"), "SELECT run_id, list_sort(list(n_inliers))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median FROM fixes GROUP BY run_id")
 add("v07_recall_curve", "fixes", m.recall_curve, errors(" UNION ALL ".join(f"SELECT {d}e0 AS distance_m, coalesce(avg(CASE WHEN err <= {d} THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted), 0e0) AS recall FROM e" for d in m.RECALL_M)), "recall", "distance_m")

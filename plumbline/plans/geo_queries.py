@@ -45,7 +45,7 @@ add("f24_tile_corners", "points", lambda p: _tile(p).select("id", F.posexplode(g
 add("f25_ground_distance", "points", lambda p: p.select("id", g.ground_distance(F.col("lat_deg"), k.z).alias("m")), f"WITH {TILE} SELECT id, {2 * g.HALF_CIRCLE / 256!r}e0 / n * cos(radians(la)) AS m FROM xy", "m", "id")
 add("f26_quadkey", "points", lambda p: _tile(p).select("id", g.quadkey(k.x, k.y, k.z).alias("key")), f"WITH {TILE} SELECT id, list_aggregate(list_transform(range(z, 0, -1), lambda i: CAST(((x >> (i - 1)) & 1) + 2 * ((y >> (i - 1)) & 1) AS VARCHAR)), 'string_agg', '') AS key FROM xy")
 add("f27_quadkey_round_trip", "points", lambda p: _tile(p).select("id", g.quadkey_tile(g.quadkey(k.x, k.y, k.z)).alias("t")).select("id", "t.x", "t.y", "t.z"), f"WITH {TILE} SELECT id, x, y, z FROM xy")
-add("r01_tile_cover", "points", lambda p: _tile(p.filter("id % 10 = 0")).select("id", F.explode(F.sequence(k.x - 1, k.x + 1)).alias("x"), "y").select("id", "x", F.explode(F.sequence(k.y - 1, k.y + 1)).alias("y")).groupBy("x", "y").agg(F.count("*").alias("n")), f"WITH {TILE} SELECT a AS x, b AS y, count(*) AS n FROM xy, unnest([x - 1, x, x + 1]) AS u(a), unnest([y - 1, y, y + 1]) AS v(b) WHERE id % 10 = 0 GROUP BY a, b")
+add("r01_tile_cover", "points", lambda p: _tile(p).select("id", F.explode(F.sequence(k.x - 1, k.x + 1)).alias("x"), "y").select("id", "x", F.explode(F.sequence(k.y - 1, k.y + 1)).alias("y")).groupBy("x", "y").agg(F.count("*").alias("n")), f"WITH {TILE} SELECT a AS x, b AS y, count(*) AS n FROM xy, unnest([x - 1, x, x + 1]) AS u(a), unnest([y - 1, y, y + 1]) AS v(b) GROUP BY a, b")
 add("f28_f34_pixel_grid", "points", lambda p: p.select("id", (F.floor(F.col("alt") / 0.5) * 0.5).alias("snapped"), ((F.col("alt") + 1000) / 0.5 - 0.5).alias("col"), F.greatest(F.lit(0), F.least(F.lit(4000), F.floor((F.col("alt") + 1000) / 0.5))).alias("clamped")), "SELECT id, floor(alt / 5e-1) * 5e-1 AS snapped, (alt + 1000) / 5e-1 - 5e-1 AS col, CAST(greatest(0, least(4000, floor((alt + 1000) / 5e-1))) AS BIGINT) AS clamped FROM points", "snapped, col", "id, clamped", 5)
 add("f60_dem_tile_names", "points", lambda p: p.select("id", F.format_string("N%02dE%03d", F.floor("lat_deg"), F.floor("lon_deg")).alias("name")), "SELECT id, 'N' || lpad(CAST(CAST(floor(lat_deg) AS INT) AS VARCHAR), 2, '0') || 'E' || lpad(CAST(CAST(floor(lon_deg) AS INT) AS VARCHAR), 3, '0') AS name FROM points")
 add("f64_cache_path", "points", lambda p: _tile(p).select("id", F.concat_ws("/", k.z, k.x, F.concat(k.y, F.lit(".jpg"))).alias("path")), f"WITH {TILE} SELECT id, CAST(z AS VARCHAR) || '/' || CAST(x AS VARCHAR) || '/' || CAST(y AS VARCHAR) || '.jpg' AS path FROM xy")
@@ -76,7 +76,19 @@ add("f51_hash_noise", "points", lambda p: p.select("id", im.hash_unit(F.col("id"
 add("f52_value_noise", "points", lambda p: p.select("id", im.value_noise(*_en(), 0.4, 0).alias("h")), "WITH " + NOISE.format(f="4e-1") + " SELECT id, h FROM h3", "h", "id", 9)
 add("g14_water_texture", "points", lambda p: p.select("id", im.texture("water", *_en()).alias("t")).select("id", "t.g"), "WITH " + NOISE.format(f="15e-2") + " SELECT id, 40 + 4 * (2 * h - 1) AS g FROM h3", "g", "id", 6)
 add("g15_forest_texture", "points", lambda p: p.select("id", im.texture("forest", *_en(), second=True).alias("t")).select("id", "t.*"), "WITH " + NOISE.format(f="15e-1") + " SELECT id, least(255, (40 + 160 * h) * 6e-1) AS r, least(255, 40 + 160 * h) AS g, (40 + 160 * h) * 35e-2 AS b FROM h3", "r, g, b", "id", 6)
-for kind in ("periodic", "snow", "stale_map", "symmetric"):
-    add(f"g12_texture_{kind}", "points", lambda p, kind=kind: p.select("id", im.texture(kind, *_en(), seed=3, second=True).alias("t")).select("id", "t.*"), None)
+SEEDED = HASH.format(x="(CAST(floor(lon_deg * 100 * {f}) AS BIGINT) + 3)::HUGEINT", y="CAST(floor(alt * {f}) AS BIGINT)::HUGEINT") + ", p AS (SELECT id, lon_deg * 100 AS e, alt AS n FROM points)"
+_cell = "((CAST(floor(e / 25) AS BIGINT) + 2 * CAST(floor(n / 25) AS BIGINT)) % 4 + 4) % 4"
+_box = lambda x, y, w, h: f"abs(e - {x}) < {w} AND abs(n - ({y})) < {h}"
+_clip = lambda v: f"least(255, greatest(0, {v}))"
+SECOND_VIEWS = {
+    "periodic": ("1e0", f"(CASE {_cell} WHEN 0 THEN 60e0 WHEN 1 THEN 140e0 WHEN 2 THEN 90e0 ELSE 170e0 END + 12 * (2 * h - 1))", ("125e-2", "95e-2", "9e-1"), []),
+    "snow": ("15e-2", "(235 + 6 * (2 * h - 1))", ("11e-1", "1e0", "9e-1"), []),
+    "stale_map": ("5e-1", "(90 + 40 * (2 * h - 1))", ("1e0", "1e0", "9e-1"), [(_box(60, 10, 20, "125e-1"), "210e0"), (_box(0, 0, 15, 10), "200e0")]),
+    "symmetric": ("4e-1", "(80 + 20 * (2 * h - 1))", ("1e0", "1e0", "1e0"), [(" OR ".join(f"abs(e - ({x})) < 6 OR abs(n - ({y})) < 6" for x, y in ((0, 0), (60, 0), (-60, 0), (0, 60), (0, -60))), "138e0")]),
+}
+for kind, (freq, ground, tints, shapes) in SECOND_VIEWS.items():
+    over = lambda v, shapes=shapes: ("CASE " + " ".join(f"WHEN {c} THEN {w}" for c, w in shapes) + f" ELSE {v} END") if shapes else v
+    figures = ", ".join(f"{over(_clip(f'{ground} * {t}'))} AS {c}" for c, t in zip("rgb", tints, strict=True))
+    add(f"g12_texture_{kind}", "points", lambda p, kind=kind: p.select("id", im.texture(kind, *_en(), seed=3, second=True).alias("t")).select("id", "t.*"), "WITH " + SEEDED.format(f=freq) + f" SELECT id, {figures} FROM h3 JOIN p USING (id)", "r, g, b", "id", 6)
 add("f70_tukey", "points", lambda p: p.select("id", im.tukey_weight(F.col("alt") / 1000, 4.0).alias("w"), im.tukey_rho(F.col("alt") / 1000, 4.0).alias("rho")), "SELECT id, CASE WHEN abs(alt) >= 4000 THEN 0 ELSE pow(1 - pow(alt / 4000, 2), 2) END AS w, CASE WHEN abs(alt) >= 4000 THEN 1 ELSE 1 - pow(1 - pow(alt / 4000, 2), 3) END AS rho FROM points", "w, rho", "id")
 add("f71_hann", "points", lambda p: p.select("id", im.hann(F.col("id") % 64, 64).alias("h")), "SELECT id, 5e-1 * (1 - cos(2 * pi() * (id % 64) / 63)) AS h FROM points", "h", "id")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rotation
+from ..operators import metrics as m
 from ..operators import ordered as o
 from .tools import add
 
@@ -43,7 +44,7 @@ RATIO = f"""WITH x AS (SELECT run_id, ord, CAST(ord AS DOUBLE) AS t, path_m AS e
  p AS (SELECT a.run_id, sqrt(pow(b.east - a.east, 2) + pow(b.north - a.north, 2)) AS dp, sqrt(pow(b.ie - a.ie, 2) + pow(b.i_n - a.i_n, 2)) AS di FROM z a JOIN s ON a.run_id = s.run_id JOIN z b ON b.run_id = a.run_id AND b.n = a.n + s.step)
  SELECT run_id, median(dp / di) AS ratio, min(dp / di) AS ratio_min, max(dp / di) AS ratio_max, count(*) AS n FROM p WHERE di >= 5 GROUP BY run_id"""
 add("a36_velocity_ratio", "track", _ratio, RATIO, "ratio, ratio_min, ratio_max", "run_id, n", 5)
-add("j14_baseline_step", "track", lambda t: t.withColumn("ahead", F.lead("path_m", 5).over(o.by_order())).select("ord", (F.col("ahead") - F.col("path_m")).alias("moved")), f"SELECT ord, lead(path_m, 5) {RUN} - path_m AS moved FROM track", "moved", "ord", 4)
+add("j14_baseline_step", "track", lambda t: o.moved_over(t, "path_m", 5).select("ord", "moved"), f"SELECT ord, lead(path_m, 5) {RUN} - path_m AS moved FROM track", "moved", "ord", 4)
 add("j01_as_of_neighbours", "track", lambda t: o.as_of(*_sides(t), ["value"], time="time").select("ord", "prev_time", "prev_value", "next_time", "next_value"), BOTH + "SELECT ord, pt AS prev_time, pv AS prev_value, nt AS next_time, nv AS next_value FROM b", "prev_time, prev_value, next_time, next_value", "ord")
 INTERP = "CASE WHEN pt IS NULL THEN nv WHEN nt IS NULL OR nt = pt THEN pv {gap} ELSE pv * (1 - (time - pt) / (nt - pt)) + nv * ((time - pt) / (nt - pt)) END"
 add("j02_interpolate_track", "track", lambda t: o.interpolate(*_sides(t), ["value"], time="time").select("ord", "value"), BOTH + f"SELECT ord, {INTERP.format(gap='')} AS value FROM b", "value", "ord")
@@ -59,14 +60,29 @@ def _pose_at(t: DataFrame) -> DataFrame:
 
 
 add("j03_slerp_pose", "track", _pose_at, BOTH + "SELECT ord, cos((pv + nv) / 2000) AS w, sin((pv + nv) / 2000) AS z FROM b WHERE pt IS NOT NULL AND nt IS NOT NULL", "w, z", "ord", 5)
-add("a09_early_fixes", "track", lambda t: t.groupBy("run_id").agg(F.count_if(F.col("accepted") & (F.col("path_m") < 2000)).alias("n")), "SELECT run_id, count(*) FILTER (WHERE accepted AND path_m < 2000) AS n FROM track GROUP BY run_id")
+add("a09_early_fixes", "track", m.early_fixes, "SELECT run_id, count(*) FILTER (WHERE accepted AND path_m < 2000) AS n FROM track GROUP BY run_id")
 add(
     "a12_w07_innovations", "fixes", lambda f: o.innovations(f).groupBy("run_id").agg(F.avg(F.abs("innov_east")).alias("mean"), F.count("innov_east").alias("n")),
     "SELECT run_id, avg(abs(i)) AS mean, count(i) AS n FROM (SELECT run_id, est_east - (lag(est_east) OVER w + (lag(est_east) OVER w - lag(est_east, 2) OVER w) * (t_s - lag(t_s) OVER w) / nullif(lag(t_s) OVER w - lag(t_s, 2) OVER w, 0)) AS i FROM fixes WHERE accepted WINDOW w AS (PARTITION BY run_id ORDER BY ord)) GROUP BY run_id", "mean", "run_id, n", 4,
 )
-add("a16_trajectory_table", "track", lambda t: t.groupBy("run_id").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rmse"), F.percentile("value", F.lit(0.95)).alias("p95"), o.first_where("path_m", F.col("value") < 20).alias("convergence")).join(o.max_gap(t.withColumn("accepted", F.lit(True))), "run_id"), f"SELECT a.*, max_gap FROM (SELECT run_id, sqrt(avg(value * value)) AS rmse, quantile_cont(value, 0.95) AS p95, arg_min(path_m, ord) FILTER (WHERE value < 20) AS convergence FROM track GROUP BY run_id) a JOIN (SELECT run_id, max(g) AS max_gap FROM (SELECT run_id, path_m - lag(path_m) {RUN} AS g FROM track) GROUP BY run_id) b ON a.run_id = b.run_id", "rmse, p95, convergence, max_gap", "run_id", 4)
-add("t01_request_rate", "track", lambda t: t.withColumn("v", F.try_divide(F.col("path_m") - F.lag("path_m").over(o.by_order()), F.col("ord") - F.lag("ord").over(o.by_order()))).select("ord", "v"), f"SELECT ord, (path_m - lag(path_m) {RUN}) / (ord - lag(ord) {RUN}) AS v FROM track", "v", "ord")
-add("t03_look_ahead", "track", lambda t: t.select("ord", (F.col("path_m") + F.col("v_east") * 2).alias("ahead")), "SELECT ord, path_m + v_east * 2 AS ahead FROM track", "ahead", "ord", 4)
+add(
+    "a16_trajectory_table", "fixes", lambda f: m.trajectory_level(f.withColumn("path_m", F.col("t_s") * 2), converged_deg=8.0),
+    """WITH e AS (SELECT *, est_east - gt_east AS de, est_north - gt_north AS dn, t_s * 2 AS path_m, degrees(sqrt(greatest(cov_yy, 0))) AS s FROM fixes),
+ g AS (SELECT *, path_m - lag(path_m) OVER (PARTITION BY run_id ORDER BY ord) AS gap FROM e)
+ SELECT run_id, sqrt(avg(de * de + dn * dn)) AS ate_rmse, quantile_cont(abs(dn * cos(gt_yaw) - de * sin(gt_yaw)), 0.95) AS lateral_p95,
+ quantile_cont(abs(degrees(atan2(sin(est_yaw - gt_yaw), cos(est_yaw - gt_yaw)))), 0.95) AS yaw_p95, arg_min(path_m, ord) FILTER (WHERE s < 8) AS convergence_m, max(gap) AS max_gap_m FROM g GROUP BY run_id""",
+    "ate_rmse, lateral_p95, yaw_p95, convergence_m, max_gap_m", "run_id", 5,
+)
+add(
+    "a12_nis", "fixes", lambda f: m.innovation_consistency(o.innovations(f)).groupBy("run_id").agg(F.avg("nis").alias("nis"), F.count("nis").alias("n")),
+    """WITH a AS (SELECT *, lag(est_east) OVER w AS e1, lag(est_east, 2) OVER w AS e2, lag(est_north) OVER w AS n1, lag(est_north, 2) OVER w AS n2, lag(t_s) OVER w AS t1, lag(t_s, 2) OVER w AS t2,
+ cov_ee + lag(cov_ee) OVER w AS ee, cov_en + lag(cov_en) OVER w AS en, cov_nn + lag(cov_nn) OVER w AS nn FROM fixes WHERE accepted WINDOW w AS (PARTITION BY run_id ORDER BY ord)),
+ i AS (SELECT *, est_east - (e1 + (e1 - e2) * (t_s - t1) / nullif(t1 - t2, 0)) AS de, est_north - (n1 + (n1 - n2) * (t_s - t1) / nullif(t1 - t2, 0)) AS dn FROM a),
+ q AS (SELECT run_id, (nn * de * de - 2 * en * de * dn + ee * dn * dn) / nullif(ee * nn - en * en, 0) AS nis FROM i) SELECT run_id, avg(nis) AS nis, count(nis) AS n FROM q GROUP BY run_id""",
+    "nis", "run_id, n", 2,
+)
+add("t01_request_rate", "track", lambda t: o.request_rate(t).select("ord", "um_per_s"), f"SELECT ord, (path_cm - lag(path_cm) {RUN}) * 10000 // (ord - lag(ord) {RUN}) AS um_per_s FROM track")
+add("t03_look_ahead", "track", lambda t: o.look_ahead(t.withColumns({"east": F.col("path_m"), "north": F.col("value")}), 2.0, 50.0).select("ord", "tile_e", "tile_n"), "SELECT ord, CAST(floor((path_m + v_east * 2) / 50) AS BIGINT) AS tile_e, CAST(floor((value + v_north * 2) / 50) AS BIGINT) AS tile_n FROM track")
 _span = lambda: W.partitionBy("run_id").orderBy("ord")
 add("x08_mode_fraction", "track", lambda t: t.withColumn("dt", F.lead("ord").over(_span()) - F.col("ord")).groupBy("run_id").agg(F.try_divide(F.sum(F.when(F.col("accepted"), F.col("dt")).otherwise(0)), F.sum("dt")).alias("share")), f"SELECT run_id, sum(CASE WHEN accepted THEN dt ELSE 0 END) / CAST(sum(dt) AS DOUBLE) AS share FROM (SELECT run_id, accepted, lead(ord) {RUN} - ord AS dt FROM track) GROUP BY run_id", "share", "run_id")
 add("x03_consistency_window", "track", lambda t: t.withColumn("spread", F.max("value").over(_span().rowsBetween(-4, 0)) - F.min("value").over(_span().rowsBetween(-4, 0))).groupBy("run_id").agg(F.count_if(F.col("spread") <= 25).alias("n")), "SELECT run_id, count(*) FILTER (WHERE s <= 25) AS n FROM (SELECT run_id, max(value) OVER w - min(value) OVER w AS s FROM track WINDOW w AS (PARTITION BY run_id ORDER BY ord ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) GROUP BY run_id")
