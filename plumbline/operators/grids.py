@@ -10,14 +10,112 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles, same_keys
 
-def accumulate(points: DataFrame, keys: tuple[str, ...] = ("r", "c")) -> DataFrame:
-    """Per cell: z_max, n, z2 (sum of squares), mean, true spread, and spread about the maximum (kept for comparison)."""
+
+def accumulate(points: DataFrame, keys: tuple[str, ...] = ("r", "c"), range_max: float | None = None) -> DataFrame:
+    """Per cell: z_max, n, z2 (sum of squares), mean, true spread, and spread about the maximum (kept for comparison).
+
+    With ``range_max`` only points up to that range (range_m) count.
+    """
+    points = points if range_max is None else points.filter(F.col("range_m") <= range_max)
     cell = points.groupBy(*keys).agg(F.max("z").alias("z_max"), F.count("*").alias("n"), F.sum(F.col("z") * F.col("z")).alias("z2"), F.avg("z").alias("z_mean"), F.stddev_pop("z").alias("spread"))
     about_max = F.sqrt(F.greatest(F.lit(0.0), F.col("z2") / F.col("n") - F.col("z_max") * F.col("z_max")))
     return cell.withColumn("spread_about_max", about_max)
 
 
+def texture_spread(pixels: DataFrame, value: str = "v") -> DataFrame:
+    """Population standard deviation of each image's values."""
+    return pixels.groupBy("image").agg(F.stddev_pop(F.col(value).cast("double")).alias("spread"))
+
+
+def mean_merge(heights: DataFrame) -> DataFrame:
+    """Per cell, the mean of what covers it and how many do."""
+    return heights.groupBy("r", "c").agg(F.avg("z").alias("z"), F.count("z").alias("n"))
+
+
+def blend(patches: DataFrame, value: str = "v", confidence: str = "confidence") -> DataFrame:
+    """Mosaic of overlapping patches: values weighted by the square of their confidence; null where none has any."""
+    w = F.col(confidence) * F.col(confidence)
+    return patches.groupBy("r", "c").agg(F.try_divide(F.sum(F.col(value) * w), F.sum(w)).alias(value), F.sum(w).alias("weight"))
+
+
+def masked_ratio(cells: DataFrame, by: list[str], hit: Column, mask: Column) -> DataFrame:
+    """Share of the cells in the mask that are hit; 0 for an empty mask."""
+    return cells.groupBy(*by).agg(F.coalesce(F.avg(F.when(mask, hit.cast("double"))), F.lit(0.0)).alias("ratio"))
+
+
+def fallback(measured: DataFrame, other: DataFrame) -> DataFrame:
+    """Heights (r, c, z) of ``measured`` where there is one, else of ``other``; ``measured`` tells which."""
+    a, b = measured.select("r", "c", F.col("z").alias("__a")), other.select("r", "c", F.col("z").cast("double").alias("__b"))
+    return b.join(a, ["r", "c"], "full").select("r", "c", F.coalesce("__a", "__b").alias("z"), F.col("__a").isNotNull().alias("measured"))
+
+
+def vertical_offset(surface: DataFrame, ground: DataFrame, dense: int = 4, least: tuple[int, int] = (100, 50)) -> DataFrame:
+    """shift_m to add to a surface (r, c, z, n) so that its ground meets another one's (r, c, z); one row.
+
+    The surface's ground is the median of its dense cells between their 5th and 20th
+    percentile; 0 with fewer than ``least`` dense cells, or of them with a height to meet.
+    """
+    cells = surface.filter(F.col("n") >= dense).select("r", "c", "z")
+    ends = exact_quantiles(cells, [], {"lo": (F.col("z"), 0.05), "hi": (F.col("z"), 0.2)})
+    low = same_keys(cells, ends, []).filter("z BETWEEN lo AND hi")
+    mine = exact_quantiles(low, [], {"mine": (F.col("z"), 0.5)})
+    there = cells.select("r", "c").join(ground.select("r", "c", F.col("z").cast("double").alias("g")), ["r", "c"]).filter("g IS NOT NULL AND NOT isnan(g)")
+    theirs = exact_quantiles(there, [], {"theirs": (F.col("g"), 0.5)})
+    sizes = same_keys(cells.agg(F.count("*").alias("dense")), there.agg(F.count("*").alias("met")), [])
+    all_ = same_keys(same_keys(sizes, mine, [], "left"), theirs, [], "left")
+    return all_.select(F.when((F.col("dense") >= least[0]) & (F.col("met") >= least[1]), F.col("theirs") - F.col("mine")).otherwise(0.0).alias("shift_m"))
+
+
+def peak(surface: DataFrame, separation: int, height: int, width: int) -> DataFrame:
+    """Of each correlation surface (image, r, c, v), which wraps round: pr, pc, peak, second, ratio, fwhm.
+
+    ``second`` is the greatest value further than ``separation`` rows or columns from the peak;
+    ``fwhm`` the mean distance, to the right and down, at which the surface falls to half way
+    between the peak and the upper median, linear between cells, 15 if it does not within 15.
+    """
+    top = surface.groupBy("image").agg(F.max(F.struct(F.col("v").alias("v"), (-F.col("r")).alias("nr"), (-F.col("c")).alias("nc"))).alias("m"))
+    top = top.select("image", (-F.col("m.nr")).alias("pr"), (-F.col("m.nc")).alias("pc"), F.col("m.v").alias("peak"))
+    rows = surface.join(top, "image")
+    wrap = lambda a, b, n: F.least(F.abs(a - b), n - F.abs(a - b))
+    apart = (wrap(F.col("c"), F.col("pc"), width) > separation) | (wrap(F.col("r"), F.col("pr"), height) > separation)
+    along = F.when(F.col("r") == F.col("pr"), F.pmod(F.col("c") - F.col("pc"), F.lit(width)))
+    down = F.when(F.col("c") == F.col("pc"), F.pmod(F.col("r") - F.col("pr"), F.lit(height)))
+    near = lambda d: F.array_sort(F.collect_list(F.when(d.between(0, 15), F.struct(d.cast("int").alias("d"), F.col("v").alias("v")))))
+    got = rows.groupBy("image", "pr", "pc", "peak").agg(
+        F.max(F.when(apart, F.col("v"))).alias("second"), near(along).alias("__x"), near(down).alias("__y"), F.array_sort(F.collect_list("v")).alias("__v"),
+    )
+    half = (F.col("peak") + F.get("__v", F.floor(F.size("__v") / 2).cast("int"))) / 2
+
+    def width_along(line: str) -> Column:
+        first = F.array_min(F.transform(F.filter(line, lambda p: (p["d"] > 0) & (p["v"] <= half)), lambda p: p["d"]))
+        value = lambda d: F.get(F.transform(F.filter(line, lambda p: p["d"] == d), lambda p: p["v"]), F.lit(0))
+        at, before = value(first), value(first - 1)
+        return F.when(first.isNull(), 15.0).when(first == 1, 0.5).otherwise(first - 1 + (half - before) / (at - before + 1e-12))
+
+    ratio = F.when(F.col("second") > 1e-12, F.col("peak") / F.col("second")).otherwise(1e9)
+    return got.select("image", "pr", "pc", "peak", "second", ratio.alias("ratio"), ((width_along("__x") + width_along("__y")) / 2).alias("fwhm"))
+
+
+def stretch(pixels: DataFrame, low: float = 0.02, high: float = 0.98, value: str = "v") -> DataFrame:
+    """The values of each image between which a preview spreads its greys (image, lo, hi)."""
+    return exact_quantiles(pixels, ["image"], {"lo": (F.col(value).cast("double"), low), "hi": (F.col(value).cast("double"), high)})
+
+
+def seams(tiles: DataFrame, source: str) -> DataFrame:
+    """Adjacent tiles (x, y, x2, y2) that are of different sources; a null source is of none."""
+    of = tiles.filter(F.col(source).isNotNull()).select("x", "y", F.col(source).alias("__of"))
+    there = of.withColumnsRenamed({"x": "x2", "y": "y2", "__of": "__of2"})
+    return adjacent_tiles(of).join(of, ["x", "y"]).join(there, ["x2", "y2"]).filter("__of <> __of2").select("x", "y", "x2", "y2")
+
+
+def placeholder_tiles(tiles: DataFrame, least: int = 4, spread: float = 8.0) -> DataFrame:
+    """Those of ``tiles`` (digest, spread) whose content repeats ``least`` times or more and has hardly any texture."""
+    flat = tiles.groupBy("digest").agg(F.count("*").alias("__n"), F.min("spread").alias("__s")).filter((F.col("__n") >= least) & (F.col("__s") < spread))
+    return tiles.join(flat.select("digest"), "digest", "left_semi")
+
+
 def neighbours(cells: DataFrame, reach: int, value: str, keys: tuple[str, ...] = ("r", "c"), cross: bool = False) -> DataFrame:
     """(keys, near): each cell's values within ``reach``, itself included; ``cross`` leaves out diagonals."""
     r, c = keys[-2:]
@@ -111,32 +209,46 @@ def window_fractions(points: DataFrame, classes: DataFrame, reach: int, n_classe
     return p.join(cells, ["br", "bc"]).filter(inside).groupBy("id").agg(F.count("*").alias("n"), *(F.avg((F.col("class") == i).cast("double")).alias(f"f{i}") for i in range(n_classes)))
 
 
-def polygon_mask(edges: DataFrame, cells: DataFrame) -> DataFrame:
-    """Cells whose centre is inside a ring, even-odd.
-
-    ``edges`` (ring, x1, y1, x2, y2).  An edge meets only the rows of cells that it spans; the
-    crossings to the right of a cell are counted by parity.
-    """
+def _crossings(edges: DataFrame) -> DataFrame:
+    """Where each ring's edges cross the middle of a row of cells (ring, r, x), x the first cell whose centre is not left of it."""
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     spans = edges.filter("y1 <> y2").withColumn("r", F.explode(F.sequence(F.ceil(low - 0.5), F.ceil(high - 0.5)))).filter((F.col("r") + 0.5 >= low) & (F.col("r") + 0.5 < high))
-    cross = spans.select("ring", "r", (F.col("x1") + (F.col("r") + 0.5 - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))).alias("x"))
-    hits = cells.join(cross, "r").filter(F.col("c") + 0.5 < F.col("x"))
-    return hits.groupBy("ring", "r", "c").agg((F.count("*") % 2).alias("odd")).filter("odd = 1").drop("odd")
+    return spans.select("ring", "r", F.ceil(F.col("x1") + (F.col("r") + 0.5 - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")) - 0.5).alias("x"))
 
 
-def polygon_cells(edges: DataFrame) -> DataFrame:
-    """How many cells have their centre inside each ring (ring, cells), even-odd, with no grid given.
+def polygon_runs(edges: DataFrame) -> DataFrame:
+    """Runs of cells (ring, r, c0, c1; c1 is past the end) whose centre is inside a ring, even-odd; ``edges`` (ring, x1, y1, x2, y2).
 
     The crossings of a ring with a row of cells, in order, bound the runs that are inside, so
     work is edges times the rows that they span and not rings times cells.
     """
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    spans = edges.filter("y1 <> y2").withColumn("r", F.explode(F.sequence(F.ceil(low - 0.5), F.ceil(high - 0.5)))).filter((F.col("r") + 0.5 >= low) & (F.col("r") + 0.5 < high))
-    # The first cell whose centre is not left of the crossing.
-    cross = spans.select("ring", "r", F.ceil(F.col("x1") + (F.col("r") + 0.5 - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")) - 0.5).alias("x"))
-    rows = cross.groupBy("ring", "r").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    inside = F.aggregate(F.transform("x", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.groupBy("ring").agg(F.sum(inside).alias("cells")).filter("cells > 0")
+    rows = _crossings(edges).groupBy("ring", "r").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("x") / 2) - 1), lambda i: F.struct(F.get("x", (2 * i).cast("int")).alias("c0"), F.get("x", (2 * i + 1).cast("int")).alias("c1")))
+    return rows.filter("size(x) > 1").select("ring", "r", F.explode(pairs).alias("p")).select("ring", "r", "p.c0", "p.c1").filter("c0 < c1")
+
+
+def polygon_mask(edges: DataFrame, height: int | None = None, width: int | None = None) -> DataFrame:
+    """Cells (ring, r, c) whose centre is inside a ring, even-odd; of a raster of ``height`` x ``width`` if given."""
+    runs = polygon_runs(edges)
+    if height is not None and width is not None:
+        runs = runs.filter(F.col("r").between(0, height - 1)).withColumns({"c0": F.greatest("c0", F.lit(0)), "c1": F.least("c1", F.lit(width))}).filter("c0 < c1")
+    return runs.select("ring", "r", F.explode(F.sequence(F.col("c0"), F.col("c1") - 1)).alias("c"))
+
+
+def polygon_cells(edges: DataFrame) -> DataFrame:
+    """How many cells have their centre inside each ring (ring, cells)."""
+    return polygon_runs(edges).groupBy("ring").agg(F.sum(F.col("c1") - F.col("c0")).alias("cells"))
+
+
+def clear_polygons(mask: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A raster (r, c, v) with 0 inside any ring, and per ring how many of its cells were not 0 before (ring, cleared).
+
+    Rings are cleared one after the other, by number: a cell counts for the first that covers it.
+    """
+    inside = polygon_mask(edges).groupBy("r", "c").agg(F.min("ring").alias("ring"))
+    out = mask.join(inside, ["r", "c"], "left")
+    cleared = out.filter("ring IS NOT NULL AND v <> 0").groupBy("ring").agg(F.count("*").alias("cleared"))
+    return out.select("r", "c", F.when(F.col("ring").isNull(), F.col("v")).otherwise(F.lit(0)).alias("v")), cleared
 
 
 def thick_lines(segments: DataFrame, half: float) -> DataFrame:

@@ -10,8 +10,7 @@ from .tools import add
 _ids = lambda p: p.select("id")
 add("g01_pair_specs", "points", lambda p: g.pair_specs(_ids(p), "regression"), None)
 _grid = lambda p: g.patch_grid(p.withColumns({"gt_east": F.col("lon_deg") * 100, "gt_north": F.col("alt"), "gt_yaw": F.radians("lat_deg")}), 4, 0.5).select("id", "r", "c", "east", "north")
-add("g02_g16_patch_grid_whole", "points", _grid, None, digits=5)
-add("g02_g16_patch_grid", "points", lambda p: _grid(p.filter("id % 20 = 0")), "SELECT id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, lon_deg * 100 + cos(radians(lat_deg)) * (c - 15e-1) * 5e-1 - sin(radians(lat_deg)) * (15e-1 - r) * 5e-1 AS east, alt + sin(radians(lat_deg)) * (c - 15e-1) * 5e-1 + cos(radians(lat_deg)) * (15e-1 - r) * 5e-1 AS north FROM points, unnest(range(4)) AS a(r), unnest(range(4)) AS b(c) WHERE id % 20 = 0", "east, north", "id, r, c", 5)
+add("g02_g16_patch_grid", "points", _grid, "SELECT id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, lon_deg * 100 + cos(radians(lat_deg)) * (c - 15e-1) * 5e-1 - sin(radians(lat_deg)) * (15e-1 - r) * 5e-1 AS east, alt + sin(radians(lat_deg)) * (c - 15e-1) * 5e-1 + cos(radians(lat_deg)) * (15e-1 - r) * 5e-1 AS north FROM points, unnest(range(4)) AS a(r), unnest(range(4)) AS b(c)", "east, north", "id, r, c", 5)
 add("g02_rendered_patches", "points", lambda p: g.render(g.patch_grid(g.pair_specs(_ids(p)), 8, 0.5), "forest").groupBy("id").agg(F.avg("rgb.g").alias("mean"), F.stddev_pop("rgb.g").alias("spread")), None)
 add("g05_augmented", "points", lambda p: g.augment(p.select("id", F.lit(0).alias("r"), F.lit(0).alias("c"), F.pmod(F.abs("alt"), F.lit(255.0)).alias("v")), {"gamma": 1.2, "haze": 0.1, "contrast": 1.1}).select("id", "v"), "SELECT id, least(255, greatest(0, least(255, greatest(0, (least(255, greatest(0, pow((abs(alt) - 255 * floor(abs(alt) / 255)) / 255, 1 / 12e-1) * 255)) - 128) * 11e-1 + 128)) * 9e-1 + 18e0)) AS v FROM points", "v", "id", 5)
 add("g09_region", "points", lambda p: g.region(p.select(F.col("lon_deg").alias("east"), F.col("lat_deg").alias("north")), 0.5), "SELECT min(lon_deg) + 5e-1 AS east_min, max(lon_deg) - 5e-1 AS east_max, min(lat_deg) + 5e-1 AS north_min, max(lat_deg) - 5e-1 AS north_max FROM points", "east_min, east_max, north_min, north_max")

@@ -7,25 +7,23 @@ from pyspark.sql import functions as F
 
 from ..operators import grids as g
 from ..operators import metrics as m
+from ..operators.quantiles import exact_quantiles
 from . import register
 from .tools import add, rounded
 
-IN_IMAGE = "image % 20 = 0"
-
 add("a29_grid_accumulate", "heights", lambda h: g.accumulate(h).select("r", "c", "z_max", "n", "z2", "z_mean", "spread", "spread_about_max"), "SELECT r, c, max(z) AS z_max, count(*) AS n, sum(z * z) AS z2, avg(z) AS z_mean, stddev_pop(z) AS spread, sqrt(greatest(0, sum(z * z) / count(*) - max(z) * max(z))) AS spread_about_max FROM heights GROUP BY r, c", "z_max, z2, z_mean, spread, spread_about_max", "r, c, n", 4)
 CELLS = "c0 AS (SELECT r, c, max(z) AS z_max, count(*) AS n, sqrt(greatest(0, sum(z * z) / count(*) - max(z) * max(z))) AS s FROM heights GROUP BY r, c)"
 add("w09_focal_median", "heights", lambda h: g.focal_median(g.accumulate(h)).select("r", "c", "z", "confidence"), f"WITH {CELLS}, md AS (SELECT a.r, a.c, median(b.z_max) AS md FROM c0 a JOIN c0 b ON b.r BETWEEN a.r - 2 AND a.r + 2 AND b.c BETWEEN a.c - 2 AND a.c + 2 GROUP BY a.r, a.c) SELECT c0.r, c0.c, CASE WHEN abs(z_max - md) > 3 THEN md ELSE z_max END AS z, CAST(CASE WHEN abs(z_max - md) > 3 THEN 96 WHEN n >= 4 AND s > 2 THEN 192 WHEN n >= 4 THEN 255 ELSE 128 END AS INT) AS confidence FROM c0 JOIN md ON c0.r = md.r AND c0.c = md.c", "z", "r, c, confidence")
 add("a20_class_fractions", "classes", lambda c: c.groupBy(F.floor(F.col("r") / 32).alias("block")).agg(*(F.avg((F.col("class") == i).cast("double")).alias(f"f{i}") for i in range(6))), "SELECT CAST(floor(r / 32) AS BIGINT) AS block, " + ", ".join(f"avg(CASE WHEN class = {i} THEN 1e0 ELSE 0e0 END) AS f{i}" for i in range(6)) + " FROM classes GROUP BY 1", "f0, f1, f2, f3, f4, f5", "block")
 
 
-def _terrain(c: DataFrame, of: str = "(r * 128 + c) % 97 = 0") -> DataFrame:
-    pts = c.filter(of).select((F.col("r") * 128 + F.col("c")).alias("id"), "r", "c")
+def _terrain(c: DataFrame) -> DataFrame:
+    pts = c.select((F.col("r") * 128 + F.col("c")).alias("id"), "r", "c")
     f = g.window_fractions(pts, c, 5)
     return f.select("id", m.terrain_of({"road": F.col("f1"), "building": F.col("f2") / 3, "water": F.col("f3"), "farmland": F.col("f4"), "forest": F.col("f5")}).alias("terrain"), "n", "f3")
 
 
-add("j05_terrain_of_windows", "classes", _terrain, "WITH p AS (SELECT r * 128 + c AS id, r, c FROM classes WHERE (r * 128 + c) % 97 = 0), f AS (SELECT p.id, count(*) AS n, " + ", ".join(f"avg(CASE WHEN class = {i} THEN 1e0 ELSE 0e0 END) AS f{i}" for i in range(6)) + " FROM p JOIN classes k ON abs(k.r - p.r) <= 5 AND abs(k.c - p.c) <= 5 GROUP BY p.id) SELECT id, CASE WHEN f3 > 5e-1 THEN 'water' WHEN f2 / 3 > 15e-2 THEN 'urban' WHEN f4 > 6e-1 THEN 'farmland' WHEN f5 > 6e-1 THEN 'forest' WHEN f1 > 5e-2 AND f2 / 3 < 3e-2 THEN 'roads' WHEN f2 / 3 >= 3e-2 THEN 'suburban' ELSE 'background' END AS terrain, n, f3 FROM f", "f3", "id, terrain, n")
-add("j05_terrain_of_windows_whole", "classes", lambda c: _terrain(c, "true"), None)
+add("j05_terrain_of_windows", "classes", _terrain, "WITH p AS (SELECT r * 128 + c AS id, r, c FROM classes), f AS (SELECT p.id, count(*) AS n, " + ", ".join(f"avg(CASE WHEN class = {i} THEN 1e0 ELSE 0e0 END) AS f{i}" for i in range(6)) + " FROM p JOIN classes k ON abs(k.r - p.r) <= 5 AND abs(k.c - p.c) <= 5 GROUP BY p.id) SELECT id, CASE WHEN f3 > 5e-1 THEN 'water' WHEN f2 / 3 > 15e-2 THEN 'urban' WHEN f4 > 6e-1 THEN 'farmland' WHEN f5 > 6e-1 THEN 'forest' WHEN f1 > 5e-2 AND f2 / 3 < 3e-2 THEN 'roads' WHEN f2 / 3 >= 3e-2 THEN 'suburban' ELSE 'background' END AS terrain, n, f3 FROM f", "f3", "id, terrain, n")
 WIN = "OVER (PARTITION BY image, r ORDER BY c)", "OVER (PARTITION BY image, c ORDER BY r)"
 add("w14_central_gradient", "pixels", lambda p: g.gradient(p.withColumn("v", F.col("v").cast("double"))).select("image", "r", "c", "gx", "gy"), f"SELECT image, r, c, (coalesce(lead(v) {WIN[0]}, v) - coalesce(lag(v) {WIN[0]}, v)) / 2e0 AS gx, (coalesce(lead(v) {WIN[1]}, v) - coalesce(lag(v) {WIN[1]}, v)) / 2e0 AS gy FROM (SELECT image, r, c, CAST(v AS DOUBLE) AS v FROM pixels)", "gx, gy", "image, r, c", 5)
 NB = "(SELECT a.image, a.r, a.c, dr, dc, b.v FROM pixels a, unnest([-1, 0, 1]) AS x(dr), unnest([-1, 0, 1]) AS y(dc), pixels b WHERE b.image = a.image AND b.r = greatest(0, least(7, a.r + dr)) AND b.c = greatest(0, least(7, a.c + dc)))"
@@ -34,8 +32,8 @@ add("w10_box_blur", "pixels", lambda p: g.box_blur(p.withColumn("v", F.col("v").
 add("w12_dilation", "pixels", lambda p: g.dilate(p.filter("v > 0.3").select("image", "r", "c"), 2).groupBy("image").agg(F.count("*").alias("n")), "SELECT image, count(*) AS n FROM (SELECT DISTINCT image, r + dr, c + dc FROM pixels, unnest([-2, -1, 0, 1, 2]) AS x(dr), unnest([-2, -1, 0, 1, 2]) AS y(dc) WHERE v > 3e-1 AND abs(dr) + abs(dc) <= 2) GROUP BY image")
 add("w13_r06_overview", "pixels", lambda p: g.block_mean(p.withColumn("v", F.col("v").cast("double")), 2), "SELECT image, CAST(floor(r / 2) AS BIGINT) AS r, CAST(floor(c / 2) AS BIGINT) AS c, avg(CAST(v AS DOUBLE)) AS v FROM pixels GROUP BY 1, 2, 3", "v", "image, r, c", 5)
 add("a35_pyramid_check", "pixels", lambda p: g.block_mean(g.block_mean(p.withColumn("v", F.col("v").cast("double")), 2), 2).withColumnRenamed("v", "a").join(g.block_mean(p.withColumn("v", F.col("v").cast("double")), 4).withColumnRenamed("v", "b"), ["image", "r", "c"]).agg((F.max(F.abs(F.col("a") - F.col("b"))) < 1e-9).alias("same"), F.count("*").alias("n")), "SELECT true AS same, count(*) AS n FROM (SELECT DISTINCT image, floor(r / 4), floor(c / 4) FROM pixels)")
-add("a28_texture_spread", "pixels", lambda p: p.groupBy("image").agg(F.stddev_pop(F.col("v").cast("double")).alias("spread")), "SELECT image, stddev_pop(CAST(v AS DOUBLE)) AS spread FROM pixels GROUP BY image", "spread", "image", 5)
-add("v06_stretch", "pixels", lambda p: p.groupBy("image").agg(F.percentile(F.col("v").cast("double"), F.lit(0.02)).alias("lo"), F.percentile(F.col("v").cast("double"), F.lit(0.98)).alias("hi")), "SELECT image, quantile_cont(CAST(v AS DOUBLE), 0.02) AS lo, quantile_cont(CAST(v AS DOUBLE), 0.98) AS hi FROM pixels GROUP BY image", "lo, hi", "image", 5)
+add("a28_texture_spread", "pixels", g.texture_spread, "SELECT image, stddev_pop(CAST(v AS DOUBLE)) AS spread FROM pixels GROUP BY image", "spread", "image", 5)
+add("v06_stretch", "pixels", g.stretch, "SELECT image, quantile_cont(CAST(v AS DOUBLE), 0.02) AS lo, quantile_cont(CAST(v AS DOUBLE), 0.98) AS hi FROM pixels GROUP BY image", "lo, hi", "image", 5)
 
 
 def _sampled(half: bool):
@@ -53,11 +51,17 @@ BILINEAR = """WITH p AS (SELECT image, (image % 70) / 10e0 + 55e-2 - {s} AS u, (
  SELECT image, CASE WHEN count(*) FILTER (WHERE v IS NULL AND wt > 0) = 0 THEN sum(wt * v) END AS v FROM k GROUP BY image"""
 add("j07_bilinear_centre", "pixels", _sampled(True), BILINEAR.format(s="5e-1"), "v", "image", 5)
 add("j09_bilinear_corner", "pixels", _sampled(False), BILINEAR.format(s="0e0"), "v", "image", 5)
-add("a34_best_shift", "pixels", lambda p: g.best_shift(p.filter("image % 10 = 3").withColumn("image", F.floor(F.col("image") / 10)).withColumn("v", F.col("v").cast("double")), p.filter("image % 10 = 4").withColumn("image", F.floor(F.col("image") / 10)).withColumn("v", F.col("v").cast("double")), 2).select("image", "score"), """WITH s AS (SELECT CAST(floor(image / 10) AS BIGINT) AS image, image % 10 AS k, r, c, (CAST(v AS DOUBLE) - avg(CAST(v AS DOUBLE)) OVER w) / stddev_pop(CAST(v AS DOUBLE)) OVER w AS s FROM pixels WHERE image % 10 IN (3, 4) WINDOW w AS (PARTITION BY image)),
- q AS (SELECT a.image, dr, dc, avg(a.s * b.s) AS score FROM s a, unnest([-2, -1, 0, 1, 2]) AS x(dr), unnest([-2, -1, 0, 1, 2]) AS y(dc), s b WHERE a.k = 3 AND b.k = 4 AND a.image = b.image AND a.r = b.r + dr AND a.c = b.c + dc GROUP BY 1, 2, 3) SELECT image, max(score) AS score FROM q GROUP BY image""", "score", "image", 5)
 _next = lambda p: g.best_shift(p.withColumn("v", F.col("v").cast("double")), p.withColumns({"image": F.col("image") - 1, "v": F.col("v").cast("double")}), 2).select("image", "score")
-add("a34_best_shift_whole", "pixels", _next, None, digits=5)
-add("a43_peak", "pixels", lambda p: p.groupBy("image").agg(F.max(F.struct(F.col("v").cast("double").alias("v"), (-F.col("r")).alias("nr"), (-F.col("c")).alias("nc"))).alias("m")).select("image", (-F.col("m.nr")).alias("pr"), (-F.col("m.nc")).alias("pc"), F.col("m.v").alias("peak")), "SELECT image, r AS pr, c AS pc, CAST(v AS DOUBLE) AS peak FROM pixels QUALIFY row_number() OVER (PARTITION BY image ORDER BY v DESC, r, c) = 1", "peak", "image, pr, pc", 5)
+add("a34_best_shift", "pixels", _next, """WITH s AS (SELECT image, r, c, (CAST(v AS DOUBLE) - avg(CAST(v AS DOUBLE)) OVER w) / stddev_pop(CAST(v AS DOUBLE)) OVER w AS s FROM pixels WINDOW w AS (PARTITION BY image)),
+ q AS (SELECT a.image, dr, dc, avg(a.s * b.s) AS score FROM s a, unnest([-2, -1, 0, 1, 2]) AS x(dr), unnest([-2, -1, 0, 1, 2]) AS y(dc), s b WHERE b.image = a.image + 1 AND a.r = b.r + dr AND a.c = b.c + dc GROUP BY 1, 2, 3) SELECT image, max(score) AS score FROM q GROUP BY image""", "score", "image", 5)
+add("a43_peak", "pixels", lambda p: g.peak(p.withColumn("v", F.col("v").cast("double")), 1, 8, 8), """WITH s AS (SELECT image, r, c, CAST(v AS DOUBLE) AS v FROM pixels),
+ t AS (SELECT image, r AS pr, c AS pc, v AS peak FROM s QUALIFY row_number() OVER (PARTITION BY image ORDER BY v DESC, r, c) = 1),
+ k AS (SELECT t.*, s.r, s.c, v, (c - pc + 8) % 8 AS dx, (r - pr + 8) % 8 AS dy FROM s JOIN t ON s.image = t.image),
+ b AS (SELECT image, pr, pc, peak, max(v) FILTER (WHERE least(abs(c - pc), 8 - abs(c - pc)) > 1 OR least(abs(r - pr), 8 - abs(r - pr)) > 1) AS second, (peak + list_sort(list(v))[CAST(floor(count(*) / 2) AS BIGINT) + 1]) / 2 AS half FROM k GROUP BY image, pr, pc, peak),
+ f AS (SELECT b.image, min(dx) FILTER (WHERE r = b.pr AND dx > 0 AND v <= half) AS fx, min(dy) FILTER (WHERE c = b.pc AND dy > 0 AND v <= half) AS fy FROM k JOIN b ON k.image = b.image GROUP BY b.image),
+ w AS (SELECT b.image, CASE WHEN fx IS NULL THEN 15e0 WHEN fx = 1 THEN 5e-1 ELSE fx - 1 + (half - x0.v) / (x1.v - x0.v + 1e-12) END AS wx, CASE WHEN fy IS NULL THEN 15e0 WHEN fy = 1 THEN 5e-1 ELSE fy - 1 + (half - y0.v) / (y1.v - y0.v + 1e-12) END AS wy
+  FROM b JOIN f ON b.image = f.image LEFT JOIN k x1 ON x1.image = b.image AND x1.r = b.pr AND x1.dx = fx LEFT JOIN k x0 ON x0.image = b.image AND x0.r = b.pr AND x0.dx = fx - 1 LEFT JOIN k y1 ON y1.image = b.image AND y1.c = b.pc AND y1.dy = fy LEFT JOIN k y0 ON y0.image = b.image AND y0.c = b.pc AND y0.dy = fy - 1)
+ SELECT b.image, pr, pc, peak, second, CASE WHEN second > 1e-12 THEN peak / second ELSE 1e9 END AS ratio, (wx + wy) / 2 AS fwhm FROM b JOIN w ON b.image = w.image""", "peak, second, ratio, fwhm", "image, pr, pc", 4)
 _rings = lambda r, n: g.resolve_ways(r, n).filter("n >= 3").select(F.col("way").alias("ring"), "coords", "n")
 
 
@@ -67,27 +71,27 @@ def _edges(r: DataFrame, n: DataFrame) -> DataFrame:
     return a.select("ring", F.col("a.east").alias("x1"), F.col("a.north").alias("y1"), F.element_at("coords", (F.col("i") + 1) % F.col("n").cast("int") + 1).alias("b")).select("ring", "x1", "y1", F.col("b.east").alias("x2"), F.col("b.north").alias("y2"))
 
 
-def _mask(r: DataFrame, n: DataFrame) -> DataFrame:
-    cells = r.sparkSession.range(50).select(F.col("id").alias("r")).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(210).cast("long"))))
-    return g.polygon_mask(_edges(r, n).filter("ring % 40 = 0"), cells).groupBy("ring").agg(F.count("*").alias("cells"))
-
-
 WAYS = "k AS (SELECT way, pos, east, north FROM refs JOIN nodes ON refs.node = nodes.node), rg AS (SELECT way FROM k GROUP BY way HAVING count(*) >= 3)"
 EDGES = f"{WAYS}, o AS (SELECT way AS ring, east AS x1, north AS y1, coalesce(lead(east) OVER w, first_value(east) OVER w) AS x2, coalesce(lead(north) OVER w, first_value(north) OVER w) AS y2 FROM k WHERE way IN (SELECT way FROM rg) WINDOW w AS (PARTITION BY way ORDER BY pos))"
 add("j10_resolve_ways", "refs nodes", lambda r, n: g.resolve_ways(r, n).select("way", "n", F.element_at("coords", 1)["east"].alias("first_east"), F.element_at("coords", -1)["north"].alias("last_north")), "SELECT way, count(*) AS n, arg_min(east, pos) AS first_east, arg_max(north, pos) AS last_north FROM refs JOIN nodes ON refs.node = nodes.node GROUP BY way", "first_east, last_north", "way, n")
-add("p11_polygon_mask", "refs nodes", _mask, f"WITH {EDGES}, cells AS (SELECT a.r, b.c FROM (SELECT unnest(range(50)) AS r) a, (SELECT unnest(range(211)) AS c) b) SELECT ring, count(*) AS cells FROM (SELECT ring, r, c FROM o, cells WHERE ring % 40 = 0 AND y1 <> y2 AND r + 5e-1 >= least(y1, y2) AND r + 5e-1 < greatest(y1, y2) AND c + 5e-1 < x1 + (r + 5e-1 - y1) / (y2 - y1) * (x2 - x1) GROUP BY ring, r, c HAVING count(*) % 2 = 1) GROUP BY ring")
-add("r11_thick_lines", "refs nodes", lambda r, n: g.thick_lines(_edges(r, n).filter("ring % 80 = 0").withColumnRenamed("ring", "line"), 1.5).groupBy("line").agg(F.count("*").alias("cells")), f"WITH {EDGES}, s AS (SELECT DISTINCT ring, r, c FROM (SELECT * FROM o WHERE ring % 80 = 0) q, (SELECT unnest(range(-5, 60)) AS r) a, (SELECT unnest(range(-5, 220)) AS c) b WHERE pow((c - x1) - coalesce(least(greatest(((c - x1) * (x2 - x1) + (r - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0), 0), 1), 0) * (x2 - x1), 2) + pow((r - y1) - coalesce(least(greatest(((c - x1) * (x2 - x1) + (r - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0), 0), 1), 0) * (y2 - y1), 2) <= 225e-2) SELECT ring AS line, count(*) AS cells FROM s GROUP BY ring")
-add("p11_polygon_mask_whole", "refs nodes", lambda r, n: g.polygon_cells(_edges(r, n)), None)
-add("r11_thick_lines_whole", "refs nodes", lambda r, n: g.thick_lines(_edges(r, n).withColumnRenamed("ring", "line"), 1.5).groupBy("line").agg(F.count("*").alias("cells")), None)
+add("p11_polygon_mask", "refs nodes", lambda r, n: g.polygon_mask(_edges(r, n), 50, 211).groupBy("ring").agg(F.count("*").alias("cells")), f"WITH {EDGES}, x AS (SELECT ring, r, x1 + (r + 5e-1 - y1) / (y2 - y1) * (x2 - x1) AS x FROM o, unnest(range(0, 50)) AS t(r) WHERE y1 <> y2 AND r + 5e-1 >= least(y1, y2) AND r + 5e-1 < greatest(y1, y2)) SELECT ring, count(*) AS cells FROM (SELECT ring, r, c FROM x, unnest(range(0, 211)) AS u(c) WHERE c + 5e-1 < x GROUP BY ring, r, c HAVING count(*) % 2 = 1) GROUP BY ring")
+NEAR = "pow((c - x1) - coalesce(least(greatest(((c - x1) * (x2 - x1) + (r - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0), 0), 1), 0) * (x2 - x1), 2) + pow((r - y1) - coalesce(least(greatest(((c - x1) * (x2 - x1) + (r - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0), 0), 1), 0) * (y2 - y1), 2)"
+add("r11_thick_lines", "refs nodes", lambda r, n: g.thick_lines(_edges(r, n).withColumnRenamed("ring", "line"), 1.5).groupBy("line").agg(F.count("*").alias("cells")), f"WITH {EDGES}, s AS (SELECT DISTINCT ring, r, c FROM (SELECT *, unnest(range(CAST(floor(least(x1, x2)) - 2 AS BIGINT), CAST(ceil(greatest(x1, x2)) + 3 AS BIGINT))) AS c FROM (SELECT *, unnest(range(CAST(floor(least(y1, y2)) - 2 AS BIGINT), CAST(ceil(greatest(y1, y2)) + 3 AS BIGINT))) AS r FROM o)) WHERE {NEAR} <= 225e-2) SELECT ring AS line, count(*) AS cells FROM s GROUP BY ring")
+add("p11_polygon_mask_whole", "refs nodes", lambda r, n: g.polygon_cells(_edges(r, n)), f"WITH {EDGES}, x AS (SELECT ring, r, x1 + (r + 5e-1 - y1) / (y2 - y1) * (x2 - x1) AS x FROM o, unnest(range(0, 60)) AS t(r) WHERE y1 <> y2 AND r + 5e-1 >= least(y1, y2) AND r + 5e-1 < greatest(y1, y2)) SELECT ring, count(*) AS cells FROM (SELECT ring, r, c FROM x, unnest(range(0, 211)) AS u(c) WHERE c + 5e-1 < x GROUP BY ring, r, c HAVING count(*) % 2 = 1) GROUP BY ring")
+add("r13_cleared_cells", "refs nodes classes", lambda r, n, c: g.clear_polygons(c.select("r", "c", F.col("class").alias("v")), _edges(r, n))[1], f"WITH {EDGES}, x AS (SELECT ring, r, x1 + (r + 5e-1 - y1) / (y2 - y1) * (x2 - x1) AS x FROM o, unnest(range(0, 60)) AS t(r) WHERE y1 <> y2 AND r + 5e-1 >= least(y1, y2) AND r + 5e-1 < greatest(y1, y2)), i AS (SELECT ring, r, c FROM x, unnest(range(0, 211)) AS u(c) WHERE c + 5e-1 < x GROUP BY ring, r, c HAVING count(*) % 2 = 1), f AS (SELECT r, c, min(ring) AS ring FROM i GROUP BY r, c) SELECT ring, count(*) AS cleared FROM f JOIN classes k ON k.r = f.r AND k.c = f.c WHERE class <> 0 GROUP BY ring")
 add("r09_paint_order", "classes", lambda c: g.paint(c.filter("class > 0").withColumns({"r": F.floor(F.col("r") / 4), "c": F.floor(F.col("c") / 4)})), "SELECT CAST(floor(r / 4) AS BIGINT) AS r, CAST(floor(c / 4) AS BIGINT) AS c, arg_max(class, list_position([4, 5, 1, 2, 3], class)) AS class FROM classes WHERE class > 0 GROUP BY 1, 2")
-add("a32_weighted_blend", "heights", lambda h: h.groupBy("r", "c").agg(F.try_divide(F.sum(F.col("z") * F.col("z") * F.col("z")), F.sum(F.col("z") * F.col("z"))).alias("v")), "SELECT r, c, sum(z * z * z) / sum(z * z) AS v FROM heights GROUP BY r, c", "v", "r, c")
-add("a33_masked_ratio", "heights", lambda h: h.groupBy("c").agg(F.coalesce(F.avg(F.when(F.col("z") > 10, (F.col("z") > 30).cast("double"))), F.lit(0.0)).alias("ratio")), "SELECT c, coalesce(avg(CASE WHEN z > 30 THEN 1e0 ELSE 0e0 END) FILTER (WHERE z > 10), 0e0) AS ratio FROM heights GROUP BY c", "ratio", "c")
-add("a30_mean_merge", "heights", lambda h: h.groupBy("r", "c").agg(F.avg("z").alias("z"), F.count("z").alias("n")), "SELECT r, c, avg(z) AS z, count(z) AS n FROM heights GROUP BY r, c", "z", "r, c, n")
-add("a31_trimmed_median", "heights", lambda h: h.join(h.groupBy("c").agg(F.percentile("z", F.lit(0.05)).alias("lo"), F.percentile("z", F.lit(0.2)).alias("hi")), "c").filter("z BETWEEN lo AND hi").groupBy("c").agg(F.median("z").alias("z")), "SELECT h.c, median(z) AS z FROM heights h JOIN (SELECT c, quantile_cont(z, 0.05) AS lo, quantile_cont(z, 0.2) AS hi FROM heights GROUP BY c) q ON h.c = q.c WHERE z BETWEEN lo AND hi GROUP BY h.c", "z", "c")
-add("j13_coverage_fallback", "heights classes", lambda h, c: c.join(g.accumulate(h).select("r", "c", "z_max"), ["r", "c"], "left").select("r", "c", F.coalesce("z_max", F.col("class").cast("double")).alias("z"), F.col("z_max").isNotNull().alias("measured")), "SELECT k.r, k.c, coalesce(m, CAST(class AS DOUBLE)) AS z, m IS NOT NULL AS measured FROM classes k LEFT JOIN (SELECT r, c, max(z) AS m FROM heights GROUP BY r, c) h ON k.r = h.r AND k.c = h.c", "z", "r, c, measured")
+add("a32_weighted_blend", "heights", lambda h: g.blend(h.withColumnRenamed("z", "v")), "SELECT r, c, sum(z * confidence * confidence) / nullif(sum(confidence * confidence), 0) AS v, sum(confidence * confidence) AS weight FROM heights GROUP BY r, c", "v, weight", "r, c")
+add("a33_masked_ratio", "heights", lambda h: g.masked_ratio(h, ["c"], F.col("z") > 30, F.col("z") > 10), "SELECT c, coalesce(avg(CASE WHEN z > 30 THEN 1e0 ELSE 0e0 END) FILTER (WHERE z > 10), 0e0) AS ratio FROM heights GROUP BY c", "ratio", "c")
+add("a30_mean_merge", "heights", g.mean_merge, "SELECT r, c, avg(z) AS z, count(z) AS n FROM heights GROUP BY r, c", "z", "r, c, n")
+_ground = lambda c: c.select("r", "c", (F.col("class") * 3.0).alias("z"))
+add("a31_vertical_offset", "heights classes", lambda h, c: g.vertical_offset(g.mean_merge(h), _ground(c), 2, (20, 5)), """WITH d AS (SELECT r, c, avg(z) AS z FROM heights GROUP BY r, c HAVING count(z) >= 2), q AS (SELECT quantile_cont(z, 0.05) AS lo, quantile_cont(z, 0.2) AS hi FROM d),
+ t AS (SELECT k.class * 3e0 AS z FROM d JOIN classes k ON k.r = d.r AND k.c = d.c) SELECT CASE WHEN (SELECT count(*) FROM d) >= 20 AND (SELECT count(*) FROM t) >= 5 THEN (SELECT median(z) FROM t) - (SELECT median(z) FROM d, q WHERE z BETWEEN lo AND hi) ELSE 0e0 END AS shift_m""", "shift_m")
+add("a31_trimmed_median", "heights", lambda h: exact_quantiles(h.join(exact_quantiles(h, ["c"], {"lo": (F.col("z"), 0.05), "hi": (F.col("z"), 0.2)}), "c").filter("z BETWEEN lo AND hi"), ["c"], {"z": (F.col("z"), 0.5)}), "SELECT h.c, median(z) AS z FROM heights h JOIN (SELECT c, quantile_cont(z, 0.05) AS lo, quantile_cont(z, 0.2) AS hi FROM heights GROUP BY c) q ON h.c = q.c WHERE z BETWEEN lo AND hi GROUP BY h.c", "z", "c")
+add("a29_range_gate", "heights", lambda h: g.accumulate(h, range_max=60.0).select("r", "c", "z_max", "n"), "SELECT r, c, max(z) AS z_max, count(*) AS n FROM heights WHERE range_m <= 60 GROUP BY r, c", "z_max", "r, c, n")
+add("j13_coverage_fallback", "heights classes", lambda h, c: g.fallback(g.accumulate(h).withColumnRenamed("z_max", "z"), c.withColumnRenamed("class", "z")), "SELECT coalesce(k.r, h.r) AS r, coalesce(k.c, h.c) AS c, coalesce(m, CAST(class AS DOUBLE)) AS z, m IS NOT NULL AS measured FROM classes k FULL JOIN (SELECT r, c, max(z) AS m FROM heights GROUP BY r, c) h ON k.r = h.r AND k.c = h.c", "z", "r, c, measured")
 _tiles = lambda c: c.filter("class >= 2").select(F.col("c").alias("x"), F.col("r").alias("y"), "class")
 add("j11_adjacent_tiles", "classes", lambda c: g.adjacent_tiles(_tiles(c)), "WITH t AS (SELECT c AS x, r AS y FROM classes WHERE class >= 2) SELECT a.x, a.y, b.x AS x2, b.y AS y2 FROM t a JOIN t b ON b.x = a.x + 1 AND b.y = a.y UNION ALL SELECT a.x, a.y, b.x, b.y FROM t a JOIN t b ON b.x = a.x AND b.y = a.y + 1")
-add("j12_seams", "classes", lambda c: (lambda t: g.adjacent_tiles(t).join(t, ["x", "y"]).join(t.withColumnsRenamed({"x": "x2", "y": "y2", "class": "class2"}), ["x2", "y2"]).filter("class <> class2").select("x", "y", "x2", "y2"))(_tiles(c)), "WITH t AS (SELECT c AS x, r AS y, class FROM classes WHERE class >= 2) SELECT a.x, a.y, b.x AS x2, b.y AS y2 FROM t a JOIN t b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1) WHERE a.class <> b.class")
+add("j12_seams", "classes", lambda c: g.seams(_tiles(c), "class"), "WITH t AS (SELECT c AS x, r AS y, class FROM classes WHERE class >= 2) SELECT a.x, a.y, b.x AS x2, b.y AS y2 FROM t a JOIN t b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1) WHERE a.class <> b.class")
 add("n02_rigid_fit", "fixes", lambda f: g.rigid2d(f.select("run_id", F.col("gt_east").alias("ax"), F.col("gt_north").alias("ay"), F.col("est_east").alias("bx"), F.col("est_north").alias("by_")), ["run_id"]), """SELECT run_id, n, theta, 1e0 AS scale, mbx - cos(theta) * max_ + sin(theta) * may AS tx, mby - sin(theta) * max_ - cos(theta) * may AS ty FROM (SELECT run_id, count(*) AS n, atan2(covar_pop(gt_east, est_north) - covar_pop(gt_north, est_east), covar_pop(gt_east, est_east) + covar_pop(gt_north, est_north)) AS theta, avg(gt_east) AS max_, avg(gt_north) AS may, avg(est_east) AS mbx, avg(est_north) AS mby FROM fixes GROUP BY run_id)""", "theta, scale, tx, ty", "run_id, n", 5)
 add("n03_similarity_fit", "fixes", lambda f: g.rigid2d(f.select("run_id", F.col("gt_east").alias("ax"), F.col("gt_north").alias("ay"), F.col("est_east").alias("bx"), F.col("est_north").alias("by_")), ["run_id"], True).select("run_id", "theta", "scale"), """SELECT run_id, theta, sqrt(d * d + x * x) / va AS scale FROM (SELECT run_id, atan2(x, d) AS theta, x, d, va FROM (SELECT run_id, covar_pop(gt_east, est_north) - covar_pop(gt_north, est_east) AS x, covar_pop(gt_east, est_east) + covar_pop(gt_north, est_north) AS d, var_pop(gt_east) + var_pop(gt_north) AS va FROM fixes GROUP BY run_id))""", "theta, scale", "run_id", 5)
 
@@ -99,10 +103,11 @@ def _documents(name: str, query, sql: str) -> None:
     register(name, run, sql)
 
 
+_documents("a26_placeholder_tiles", lambda d, p: g.placeholder_tiles(d.select("doc_id", F.sha2("text", 256).alias("digest"), (F.col("n_chars") / 100).alias("spread")), 2, 20.0).select("doc_id"), "SELECT doc_id FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents GROUP BY 1 HAVING count(*) >= 2 AND min(n_chars / 100e0) < 20)")
 _documents("a26_duplicate_digests", lambda d, p: d.withColumn("digest", F.sha2("text", 256)).groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n >= 2"), "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS \"first\" FROM documents GROUP BY 1 HAVING count(*) >= 2")
 _documents("a27_content_digest", lambda d, p: d.select("doc_id", F.sha2("text", 256).alias("digest")), "SELECT doc_id, sha256(text) AS digest FROM documents")
 _documents("s40_url_layout", lambda d, p: p.select("page_id", F.regexp_extract("url", r"^(\w+)://([^/]+)", 2).alias("host"), F.size(F.split("url", "/")).alias("depth")), r"SELECT page_id, regexp_extract(url, '^(\w+)://([^/]+)', 2) AS host, CAST(len(string_split(url, '/')) AS INT) AS depth FROM pages")
-_documents("u01_union_distinct", lambda d, p: d.filter("doc_id % 2 = 0").select("source").union(d.filter("doc_id % 3 = 0").select("source")).distinct(), "SELECT source FROM documents WHERE doc_id % 2 = 0 UNION SELECT source FROM documents WHERE doc_id % 3 = 0")
+_documents("u01_union_distinct", lambda d, p: d.select("source").union(p.select("url")).distinct(), "SELECT source FROM documents UNION SELECT url FROM pages")
 _documents("u02_difference", lambda d, p: d.select("doc_id").join(p.select(F.col("page_id").alias("doc_id")), "doc_id", "left_anti"), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT page_id FROM pages)")
 _documents("u05_collected_sources", lambda d, p: d.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")), "SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY lang")
 _documents("p12_tag_classes", lambda d, p: d.select("doc_id", m.class_of_tags(F.create_map(F.when(F.col("lang") == "en", "building").when(F.col("lang") == "de", "landuse").when(F.col("lang") == "fr", "waterway").otherwise("name"), F.lit("farmland"))).alias("class")), "SELECT doc_id, CASE lang WHEN 'en' THEN 2 WHEN 'de' THEN 4 WHEN 'fr' THEN 3 END AS class FROM documents")

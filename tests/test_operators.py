@@ -252,3 +252,47 @@ def test_groups_do_not_pass_whole(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "FlatMapGroups" not in fits._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_exact_quantiles_of_large_groups(spark):
+    """Beyond the size at which the sketch bounds them: ties, negatives, nulls and NaN."""
+    from plumbline.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(0, 50, 60_000), 1)
+    rows = spark.createDataFrame([(int(i % 3 == 0), float(x)) for i, x in enumerate(v)], "g int, v double").union(spark.createDataFrame([(None, 5.0), (None, None), (7, None), (8, float("nan"))], "g int, v double"))
+    got = {r["g"]: r for r in exact_quantiles(rows, ["g"], {"p5": (F.col("v"), 0.05), "p50": (F.col("v"), 0.5), "p99": (F.col("v"), 0.999)}).collect()}
+    for g, part in ((1, v[::3]), (0, np.delete(v, np.arange(0, len(v), 3)))):
+        assert [got[g][c] for c in ("p5", "p50", "p99")] == pytest.approx(np.quantile(part, [0.05, 0.5, 0.999]).tolist())
+    assert got[None]["p50"] == 5.0 and got[7]["p50"] is None and np.isnan(got[8]["p5"])
+    whole = exact_quantiles(rows.filter("g < 2"), [], {"m": (F.col("v"), 0.5), "top": (F.col("v"), 1.0)}).first()
+    assert (whole["m"], whole["top"]) == pytest.approx((np.median(v), v.max()))
+
+
+def test_pairs_of_one_provider_are_an_error(spark):
+    from plumbline.operators import generate
+
+    ids = spark.range(5)
+    for names in (("a", "a"), ("a",), ("a", "b", "a")):
+        with pytest.raises(ValueError, match="different"):
+            generate.pair_specs(ids, providers=names)
+    specs = generate.pair_specs(ids, providers=("a", "b", "c")).collect()
+    assert all(r["query_provider"] != r["map_provider"] and r["delta_east"] == pytest.approx(-r["off_east"]) for r in specs)
+    same = spark.createDataFrame([("a", "a")], "q string, m string")
+    with pytest.raises(Exception, match="of one provider"):
+        same.select(generate.cross_provider(F.col("q"), F.col("m"))).collect()
+
+
+def test_placeholders_need_repeats_and_no_texture(spark):
+    rows = [(i, "card", 2.0) for i in range(4)] + [(10 + i, "water", 2.0) for i in range(3)] + [(20 + i, "field", 40.0) for i in range(6)] + [(30, None, 1.0)]
+    got = grids.placeholder_tiles(spark.createDataFrame(rows, "tile long, digest string, spread double"))
+    assert {r["tile"] for r in got.collect()} == {0, 1, 2, 3}
+
+
+def test_rings_clear_cells_once(spark):
+    square = lambda k, x, y, n: [(k, float(a), float(b), float(c), float(d)) for (a, b), (c, d) in zip(((x, y), (x + n, y), (x + n, y + n), (x, y + n)), ((x + n, y), (x + n, y + n), (x, y + n), (x, y)), strict=True)]
+    edges = spark.createDataFrame(square(1, 0, 0, 4) + square(2, 2, 2, 4) + square(3, 50, 50, 2), "ring long, x1 double, y1 double, x2 double, y2 double")
+    mask = spark.createDataFrame([(r, c, 255) for r in range(8) for c in range(8)], "r long, c long, v int")
+    left, cleared = grids.clear_polygons(mask, edges)
+    assert {r["ring"]: r["cleared"] for r in cleared.collect()} == {1: 16, 2: 12}
+    assert left.filter("v = 0").count() == 28 and left.count() == 64

@@ -8,7 +8,6 @@ import pytest
 
 import __spark_entry__
 from plumbline.plans import catalog
-from plumbline.plans.adapters import with_views
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -43,29 +42,3 @@ def test_entry(spark):
     if os.path.isdir(DATA):
         assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-
-
-def test_whole_queries_take_every_row(spark, duck):
-    def whole(name):
-        made = catalog.REGISTRY[f"{name}_whole"][0](spark, DATA)
-        return made.columns, [tuple(r) for r in made.collect()]
-
-    # With every filter on ids taken off its SQL, each gives the SQL's rows.
-    for name, cuts in {
-        "j05_terrain_of_windows": [" WHERE (r * 128 + c) % 97 = 0"], "j06_map_windows": [" WHERE (r * 128 + c) % 301 = 0"], "p11_polygon_mask": ["ring % 40 = 0 AND "],
-        "g02_g16_patch_grid": [" WHERE id % 20 = 0"], "r08_seam_cells": [" WHERE id % 50 = 0"], "s53_f16_datum_shift": [" WHERE r < 50 AND c < 30", "least(29, ", "least(49, "],
-    }.items():
-        sql = catalog.REGISTRY[name][1]
-        for cut in cuts:
-            assert cut in sql
-            grid = {"least(29, ": "least((SELECT max(c) FROM classes), ", "least(49, ": "least((SELECT max(r) FROM classes), "}
-            sql = sql.replace(cut, grid.get(cut, ""))
-        want = duck.execute(sql)
-        assert rows(*whole(name)) == rows([c[0] for c in want.description], want.fetchall()), name
-    lines = dict(whole("r11_thick_lines")[1])
-    some = dict(duck.execute(catalog.REGISTRY["r11_thick_lines"][1]).fetchall())
-    rings = duck.execute(f"{with_views('refs', 'nodes')} SELECT count(*) FROM (SELECT way FROM refs JOIN nodes ON refs.node = nodes.node GROUP BY way HAVING count(*) >= 3)").fetchone()[0]
-    assert len(lines) == rings > 10 * len(some) and some.items() <= lines.items()
-    shifts, some = dict(whole("a34_best_shift")[1]), dict(duck.execute(catalog.REGISTRY["a34_best_shift"][1]).fetchall())
-    images = {r[0] for r in duck.execute("SELECT vec_id FROM embeddings").fetchall()}
-    assert set(shifts) == {i for i in images if i + 1 in images} and all(shifts[10 * i + 3] == pytest.approx(v) for i, v in some.items())
