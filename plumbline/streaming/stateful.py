@@ -84,6 +84,22 @@ def cache_step(radius: float = 100.0, share: float = 0.3) -> tuple[Step, tuple]:
     return step, (float("nan"), 0)
 
 
+def descriptor_step(share: float = 0.3, by_model: bool = True) -> tuple[Step, tuple]:
+    """Whether a request (east, north, radius_m, gsd, model) is served by the descriptors kept: same gsd, same model, moved by at most ``share`` of its window.
+
+    Else its own are kept.  State: east, north, gsd, model of those kept, and how often any were made.
+    """
+
+    def step(state: tuple, row: Any) -> tuple[tuple, tuple]:
+        east, north, gsd, model, made = state
+        near = made > 0 and math.hypot(row.east - east, row.north - north) <= share * 2 * row.radius_m
+        if near and row.gsd == gsd and (row.model == model or not by_model):
+            return state, (True, made)
+        return (float(row.east), float(row.north), float(row.gsd), row.model, made + 1), (False, made + 1)
+
+    return step, (0.0, 0.0, 0.0, "", 0)
+
+
 def batch_twin(rows: DataFrame, made: tuple[Step, tuple], output: str, key: str = "run_id") -> DataFrame:
     """The step folded over each key's rows (key, ord, t, value) in order.
 
