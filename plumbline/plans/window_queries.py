@@ -43,7 +43,8 @@ add("r21_projected_round_trip", "points", lambda p: w.to_local(w.to_projected(_e
 _box = lambda p: p.select("id", F.col("lon_deg").alias("west"), F.col("lat_deg").alias("south"), (F.col("lon_deg") + 0.2).alias("east"), (F.col("lat_deg") + 0.1).alias("north"))
 _x, _y = "CAST(floor(({0} + 180) / 360 * 1024) AS BIGINT)", "CAST(floor((1 - asinh(tan(radians({0}))) / pi()) / 2 * 1024) AS BIGINT)"
 add("r01_box_cover", "points", lambda p: w.tile_cover(_box(p), 10).select("id", "x", "y"), f"SELECT id, x, y FROM points, unnest(range({_x.format('lon_deg')}, {_x.format('(lon_deg + 2e-1)')} + 1)) AS a(x), unnest(range({_y.format('(lat_deg + 1e-1)')}, {_y.format('lat_deg')} + 1)) AS b(y)")
-add("j18_answers_in_time", "matches", lambda m: w.requests_for(m.select("id", (F.col("shift_east_px") + 30).alias("t_s")), m.select("id", (F.col("shift_east_px") + 30 + (F.col("peak_ratio") - 1.02) * 2).alias("t_s"))).select("id", "late"), "SELECT id, NOT ((shift_east_px + 30 + (peak_ratio - 102e-2) * 2) >= shift_east_px + 30 AND (shift_east_px + 30 + (peak_ratio - 102e-2) * 2) - (shift_east_px + 30) <= 2e-1) AS late FROM matches")
+_shot = lambda t, d: t.select(F.col("ord").alias("id"), (F.col("ord") % 1000 + d).alias("t_s"))
+add("j18_answers_in_time", "track", lambda t: w.requests_for(_shot(t, F.lit(0)), _shot(t, F.floor("value") - 10), 20).select("id", "answered", "late"), "WITH q AS (SELECT ord, ord % 1000 AS t, CAST(floor(value) AS BIGINT) - 10 AS d FROM track) SELECT ord AS id, CASE WHEN d BETWEEN 0 AND 20 THEN t + d END AS answered, NOT (d BETWEEN 0 AND 20) AS late FROM q")
 _held = lambda t: t.withColumn("held", F.lag(F.struct(F.col("path_m").alias("east"), F.col("value").alias("north"), F.col("t_s").alias("gsd"), F.col("event_type").alias("model"))).over(_by()))
 
 

@@ -118,7 +118,7 @@ def test_up_comes_from_the_clouds(spark):
     for axis in (1.0, -1.0):
         up = align.up_from_clouds(clouds, odometry, spark.createDataFrame([("a", [0.0, 0.0, axis])], "run_id string, up array<double>")).first()["up"]
         assert up[2] == 1.0
-    nodes = spark.createDataFrame([("a", 0.0, [1.0, 0, 0, 0, -1.0, 0, 0, 0, -1.0], [1.0, 2.0, 3.0])], "run_id string, t_s double, rotation array<double>, translation array<double>")
+    nodes = spark.createDataFrame([("a", 0.0, DOWN, [1.0, 2.0, 3.0])], "run_id string, t_s double, rotation array<double>, translation array<double>")
     turned = align.upright(nodes, spark.createDataFrame([("a", [0.0, 0.0, 1.0])], "run_id string, up array<double>")).first()
     assert turned["rotation"][8] == 1.0 and turned["translation"] == [1.0, 2.0, -3.0]
 
