@@ -12,13 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text handled at once by a NumPy kernel; bounds a worker's memory.
 CHUNK_BYTES = 1 << 20
 
+#: Windows of which the minimisers are looked for at once.
+_STRETCH = 1 << 19
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -28,9 +30,11 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of its own only where none is set (tests)."""
+    """The folder that all executors share; one of its own only where none is set and there is one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -44,6 +48,25 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, by: str, most: int = 1000) -> DataFrame:
+    """Inner equi-join in which no key brings more than about ``most`` rows of ``left`` to a task.
+
+    ``counts`` has ``keys`` and n, the rows of ``left``; a key of more than ``most`` (or of more
+    than the total over 500,000, so that the list of such keys is small) is split by the hash of
+    ``left``'s column ``by``, and its rows of ``right`` are repeated for each part.
+    """
+    rows = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(most, rows // 500_000)
+    parts, salt = unused(left.join(right, keys), "parts"), unused(left.join(right, keys), "salt")
+    hot = cut(counts.filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias(parts)), "hot")
+    if hot.isEmpty():
+        return left.join(right, keys)
+    one = F.coalesce(F.col(parts), F.lit(1))
+    split = left.join(F.broadcast(hot), keys, "left").withColumn(salt, F.pmod(F.xxhash64(by), one).cast("int")).drop(parts)
+    repeated = right.join(F.broadcast(hot), keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), one - 1))).drop(parts)
+    return split.join(repeated, [*keys, salt]).drop(salt)
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
@@ -52,6 +75,11 @@ def unused(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def key_of(docs: DataFrame) -> Column:
+    """Tells rows apart by doc_id and the digest of the text; never null."""
+    return F.concat_ws(":", F.md5(F.coalesce(docs["text"], F.lit(""))), docs["doc_id"].cast("string"))
+
+
 def input_bytes(df: DataFrame, column: str) -> int:
     """Total UTF-8 bytes of a text column (one scan, one row to the driver)."""
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
@@ -73,15 +101,15 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``limit`` bytes of ``column``, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``limit`` bytes of ``column`` and at most ``rows`` rows, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offs = utf8(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1)
+            to = min(at + rows, max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1))
             yield batch.slice(at, to - at)
             at = to
 
@@ -152,8 +180,16 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """64-bit polynomial hash of ``values[start:end]`` for many spans at once, then mixed."""
+    """64-bit polynomial hash of ``values[start:end]`` for many spans at once, then mixed.
+
+    Spans are in order; of long inputs, those that start in a stretch are done together.
+    """
     n = len(values)
+    if n > 4 * CHUNK_BYTES and len(start) > 1:
+        edges = np.searchsorted(start, np.arange(CHUNK_BYTES, n, CHUNK_BYTES))
+        parts = [(a, b) for a, b in zip([0, *edges], [*edges, len(start)], strict=True) if a < b]
+        if len(parts) > 1:
+            return np.concatenate([span_hash(values[start[a] : end[a:b].max()], start[a:b] - start[a], end[a:b] - start[a], base) for a, b in parts])
     up, down = _powers(base, n + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
@@ -222,16 +258,16 @@ def super_kmers(tokens: np.ndarray, first: np.ndarray, window: int, k: int) -> t
     windows, minimiser hash (int64).
     """
     none = np.zeros(0, np.int64)
-    if len(tokens) < window:
-        return none, none, none, none
-    g = gram_hash(tokens, k)
-    at = sliding_min(g, window - k + 1)
-    row = np.searchsorted(first, np.arange(len(at)), side="right") - 1
-    good = np.arange(len(at)) + window <= first[row + 1]
-    new = good.copy()
-    new[1:] &= (at[1:] != at[:-1]) | (row[1:] != row[:-1]) | ~good[:-1]
-    start = np.flatnonzero(new)
-    if not len(start):
-        return none, none, none, none
-    count = np.add.reduceat(good.astype(np.int64), start)
-    return row[start], start, count, g[at[start]].view(np.int64)
+    parts = [(none, none, none, none)]
+    for a in range(0, len(tokens) - window + 1, _STRETCH):  # a run ends where a stretch does
+        g = gram_hash(tokens[a : a + _STRETCH + window - 1], k)
+        at = sliding_min(g, window - k + 1)
+        i = np.arange(a, a + len(at))
+        row = np.searchsorted(first, i, side="right") - 1
+        good = i + window <= first[row + 1]
+        new = good.copy()
+        new[1:] &= (at[1:] != at[:-1]) | (row[1:] != row[:-1]) | ~good[:-1]
+        start = np.flatnonzero(new)
+        if len(start):
+            parts.append((row[start], start + a, np.add.reduceat(good.astype(np.int64), start), g[at[start]].view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, unused
+from .common import cut, key_of, unused
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,11 +40,6 @@ def words_of(text: Column) -> Column:
     return raw_words_of(F.translate(text, UPPER, LOWER))
 
 
-def key_of(docs: DataFrame) -> Column:
-    """Tells rows apart by doc_id and the digest of the text; never null."""
-    return F.concat_ws(":", F.md5(F.coalesce(docs["text"], F.lit(""))), docs["doc_id"].cast("string"))
-
-
 def item_windows(items: DataFrame, window: int) -> DataFrame:
     """Distinct windows (words joined) with the items they are of: win, item, size."""
     w = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w")).filter("size(w) > 0 AND item IS NOT NULL")

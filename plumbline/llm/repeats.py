@@ -9,13 +9,14 @@ minimiser's bucket.  Steps, each linear in its input:
    back, and only texts that have one go on (``flagged``).
 3. Their super-k-mers are cut out once (``strings``); equal strings are pre-aggregated
    and each bucket's kernel decides its windows from the distinct strings.
-4. Windows of a minimiser with more than ``hot`` occurrences travel as 128-bit digests
-   instead, so that a passage in a third of all rows is counted by a partial
-   aggregation and never meets in one task.
+4. The bucket of a minimiser that more than ``hot`` texts have is split by window: its
+   windows travel as 128-bit digests, so that a passage in a third of all rows is
+   counted by a partial aggregation and never meets in one task.
 5. Verdicts are joined back and each text is cleaned where it stands.
 
 Rows equal in doc_id and text are one document.  Exact copies of a text are settled
-by its digest and only one of them goes through steps 3 and 4.
+by its digest and only one of them goes through steps 3 and 4.  A document is told by
+its order (doc_id) and a 64-bit hash of doc_id and text together.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, slices, span_hash, super_kmers, utf8, word_spans
+from .common import cut, joined, mix, slices, span_hash, super_kmers, utf8, word_spans
 
 #: Order of documents without an id: after all others.
 LAST = (1 << 63) - 1
@@ -59,9 +60,10 @@ class Windows:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """key (of doc_id and text), doc_id, text; a null text is empty."""
+    """key (of doc_id and text), ord (doc_id, or ``LAST``), doc_id, text; a null text is empty."""
     return docs.select(
         F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("key"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
@@ -87,30 +89,23 @@ def index(keyed_docs: DataFrame, w: Windows) -> DataFrame:
                 return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[keep], np.arange(n + 1)), pa.int32()), pa.array(h[keep]))
 
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("doc_id"), batch.column("md5"), pa.array(np.diff(first)), pa.array(digests), lists(~same), lists(same)],
-                ["key", "doc_id", "md5", "n_tokens", "sha", "hs", "again"],
+                [batch.column("key"), batch.column("ord"), batch.column("doc_id"), batch.column("md5"), pa.array(np.diff(first)), pa.array(digests), lists(~same), lists(same)],
+                ["key", "ord", "doc_id", "md5", "n_tokens", "sha", "hs", "again"],
             )
 
-    schema = "key long, doc_id long, md5 binary, n_tokens long, sha string, hs array<long>, again array<long>"
-    return keyed_docs.select("key", "doc_id", F.unhex(F.md5("text")).alias("md5"), "text").mapInArrow(kernel, schema)
+    schema = "key long, ord long, doc_id long, md5 binary, n_tokens long, sha string, hs array<long>, again array<long>"
+    return keyed_docs.select("key", "ord", "doc_id", F.unhex(F.md5("text")).alias("md5"), "text").mapInArrow(kernel, schema)
 
 
-def flagged(listed: DataFrame, copies: DataFrame, w: Windows) -> DataFrame:
-    """key, hs, hot: minimisers that another text, or this one again, has; of the first copy of each text."""
-    one = listed.join(copies.filter("n > 1").select("md5", F.col("first_key")), "md5", "left").filter("first_key IS NULL OR first_key = key")
-    rows = one.select("key", "again", F.explode("hs").alias("h")).select("key", "h", F.array_contains("again", F.col("h")).alias("twice"))
-    counts = (
-        rows.groupBy("h")
-        .agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("twice").alias("twice"), F.count("*").alias("n"))
-        .filter("a < b OR twice")
-        .select("h", (F.col("n") > w.hot).alias("hot"))
-    )
-    return (
-        rows.select("key", "h")
-        .join(counts, "h")
-        .groupBy("key")
-        .agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
-    )
+def flagged(listed: DataFrame, w: Windows) -> DataFrame:
+    """ord, key, hs, hot: minimisers that another text, or this one again, has; of the first copy of each text."""
+    one = listed.filter("n = 1 OR (first_ord = ord AND first_key = key)")
+    rows = one.select("ord", "key", "again", F.explode("hs").alias("h")).select("ord", "key", "h", F.array_contains("again", F.col("h")).alias("twice"))
+    which = F.struct("ord", "key")
+    counts = rows.groupBy("h").agg(F.min(which).alias("a"), F.max(which).alias("b"), F.max("twice").alias("twice"), F.count("*").alias("n"))
+    counts = cut(counts.filter("a < b OR twice").select("h", "n"), "minimisers")
+    met = joined(rows.select("ord", "key", "h"), counts.select("h", (F.col("n") > w.hot).alias("hot")), ["h"], counts, "key")
+    return met.groupBy("ord", "key").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
 
 
 def strings(texts: DataFrame, w: Windows) -> DataFrame:
@@ -170,30 +165,31 @@ def repeats(docs: DataFrame, w: Windows, bucket: Callable[[Iterator[pa.RecordBat
     """
     from_docs = keyed(docs)
     listed = cut(index(from_docs, w), "index")
-    copies = listed.groupBy("md5").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)), "key")).alias("x"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first_ord"))
-    copies = copies.select("md5", "n", "first_ord", F.col("x.key").alias("first_key"))
-    texts = cut(from_docs.join(flagged(listed, copies, w), "key"), "texts")
+    copies = listed.groupBy("md5").agg(F.count("*").alias("n"), F.min(F.struct("ord", "key")).alias("x"))
+    copies = cut(copies.select("md5", "n", F.col("x.ord").alias("first_ord"), F.col("x.key").alias("first_key")), "copies")
+    numbered = joined(listed, copies, ["md5"], copies, "key")
+    texts = cut(from_docs.join(flagged(numbered, w), ["ord", "key"]), "texts")
     cuts = cut(strings(texts, w), "strings")
     distinct = cuts.filter("NOT hot").groupBy("h", "packed").agg(F.min("skey").alias("skey"), F.min("ord").alias("ord"), F.count("*").alias("n"))
     by_bucket = distinct.repartition("h").sortWithinPartitions("h")
     verdicts = by_bucket.mapInArrow(bucket, "h long, skey long, verdict array<long>")
+    uses = cuts.groupBy("h", "skey").agg(F.count("*").alias("n"))
     hot = cuts.filter("hot").groupBy("h", "skey", "packed").agg(F.min("ord").alias("ord"), F.count("*").alias("n")).select("h", "skey", F.array(F.expr(hot_verdict)).alias("verdict"))
-    found = cuts.select("key", "h", "skey", "start").join(verdicts.union(hot), ["h", "skey"]).groupBy("key").agg(F.collect_list(F.struct("start", "verdict")).alias("found"))
+    found = joined(cuts.select("ord", "key", "h", "skey", "start"), verdicts.union(hot), ["h", "skey"], uses, "key").groupBy("ord", "key").agg(F.collect_list(F.struct("start", "verdict")).alias("found"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for text, doc_id, marks in zip(batch.column("text"), batch.column("doc_id"), batch.column("found"), strict=True):
-                d = doc_id.as_py()
+            for text, order, marks in zip(batch.column("text"), batch.column("ord"), batch.column("found"), strict=True):
                 pairs = [(m["start"], m["verdict"]) for m in marks.as_py()]
-                rows.append(clean(w.units(text.as_py().encode()), LAST if d is None else d, pairs))
+                rows.append(clean(w.units(text.as_py().encode()), order.as_py(), pairs))
             n, spans, sha = (list(x) for x in zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha)], ["key", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("key"), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha)], ["ord", "key", "n_removed", "n_spans", "kept"])
 
-    cleaned = texts.select("key", "doc_id", "text").join(found, "key").mapInArrow(kernel, "key long, n_removed long, n_spans long, kept string").dropDuplicates(["key"])
-    all_docs = whole(listed.select("key", "doc_id", "md5", "n_tokens", "sha").join(copies, "md5", "left"))
+    cleaned = texts.select("ord", "key", "text").join(found, ["ord", "key"]).mapInArrow(kernel, "ord long, key long, n_removed long, n_spans long, kept string").dropDuplicates(["ord", "key"])
+    all_docs = whole(numbered.drop("hs", "again"))
     empty = hashlib.sha256(b"").hexdigest()
-    return all_docs.join(cleaned, "key", "left").select(
+    return all_docs.join(cleaned, ["ord", "key"], "left").select(
         "doc_id",
         F.col("n_tokens").alias(result),
         F.when(F.col("gone"), F.col("n_tokens")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),

@@ -65,7 +65,7 @@ def dedup_windows(docs: DataFrame, window: int = 50, k: int = 10, hot: int = 200
         return int(gone.sum()), spans, hashlib.sha256(b" ".join(kept)).hexdigest()
 
     def whole(df: DataFrame) -> DataFrame:
-        return df.withColumn("gone", (F.col("n_tokens") >= window) & (F.col("first_ord") < F.coalesce("doc_id", F.lit((1 << 63) - 1))))
+        return df.withColumn("gone", (F.col("n_tokens") >= window) & (F.col("first_ord") < F.col("ord")))
 
     return repeats(docs, w, bucket, "ord", whole, clean, "n_words")
 
