@@ -3,32 +3,39 @@
 Each permutation gives two signature values, its least and its greatest, so that half the
 hash evaluations fill the same bands.  Candidates come from equal bands.  No bucket is
 expanded into pairs: its members are compared with the bucket's most central member first;
-only members that stay in another component are then compared with the rest of the bucket,
-in blocks inside tasks, which emit links and never pairs.
+only members that stay in another component then meet the rest of the bucket in blocks inside
+tasks, first by their band hashes, and which emit links and never pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, gram_hash, groups, lower_ascii, mix, slices, span_hash, utf8, word_spans
+from .common import cut, gram_hash, groups, joined, lower_ascii, mix, slices, span_hash, unused, utf8, word_spans
 from .components import components
 
 PERMUTATIONS = 192
-#: A link at the threshold may be missed by all bands with this probability at most.
-MISS = 1e-6
+#: A link at the threshold agrees in fewer than ``AGREE`` bands with probability ``MISS`` at most.
+AGREE, MISS = 3, 1e-6
 _SEEDS = mix(np.arange(2 * PERMUTATIONS, dtype=np.uint64) + np.uint64(991))
 _MUL, _XOR = (_SEEDS[::2] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_SEEDS[1::2] >> np.uint64(32)).astype(np.uint32)
 
 
 def band_rows(threshold: float) -> int:
     """The most values per band that keep the chance of missing a link within ``MISS``."""
-    return max(r for r in range(1, 33) if r == 1 or (1 - threshold**r) ** (2 * (PERMUTATIONS // r)) <= MISS)
+
+    def missed(r: int) -> float:
+        n, p = 2 * (PERMUTATIONS // r), threshold**r
+        return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(AGREE))
+
+    return max(r for r in range(1, 33) if r == 1 or missed(r) <= MISS)
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +110,10 @@ def _linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np
 
 def star_links(pairs: DataFrame, texts: DataFrame, words: int, percent: int, most: int = 500) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough; a centre ``a`` is salted beyond ``most`` members."""
-    salts = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", (F.lit(1) + F.floor(F.col("n") / most)).cast("int").alias("salts"))
-    members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("doc_id"))
+    salts = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", (F.lit(1) + F.floor(F.col("n") / most)).cast("int").alias("salts")), "stars")
+    hot = salts.filter("salts > 1")  # no more than a row in ``most``
+    hot = F.broadcast(hot) if hot.count() <= 1_000_000 else hot
+    members = pairs.join(hot, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.col("b").alias("doc_id"))
     centres = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("doc_id"))
     rows = members.withColumn("role", F.lit(1)).union(centres.withColumn("role", F.lit(0))).join(texts, "doc_id")
     rows = rows.select("a", "salt", "role", "doc_id", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
@@ -127,19 +136,47 @@ def star_links(pairs: DataFrame, texts: DataFrame, words: int, percent: int, mos
     return rows.mapInArrow(kernel, "a long, b long")
 
 
-def rest_links(rest: DataFrame, texts: DataFrame, words: int, percent: int, block: int = 256) -> DataFrame:
-    """Links between components that still share a bucket.
+def rest_links(rest: DataFrame, signed: DataFrame, texts: DataFrame, words: int, percent: int, block: int = 256) -> DataFrame:
+    """Links (a, b) between components that still share a bucket.
 
     ``rest`` has bucket, doc_id, component and odd: whether the document is outside its
     bucket's largest component.  Odd members, in blocks of ``block``, meet all members, in
-    blocks; a task holds two blocks and emits links that join two components.
+    blocks.  First their band hashes and set sizes do: a document goes on with its text only
+    where one of the other block's, of another component, agrees with it in ``AGREE`` bands or
+    more and in size.  A task then compares the full sets of two blocks and emits links that
+    join two components, fewer than it has documents, and never pairs.
     """
-    size = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("odd").alias("m"))
-    size = size.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.ceil(F.col("m") / block).cast("int").alias("mb"))
-    placed = rest.join(size, "bucket").withColumns({"x": F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"), "y": F.pmod(F.xxhash64("doc_id"), F.col("mb")).cast("int")})
-    everyone = placed.select("bucket", "doc_id", "component", F.col("x").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"), F.lit(0).alias("role"))
-    odd = placed.filter("odd").select("bucket", "doc_id", "component", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.col("y").alias("j"), F.lit(1).alias("role"))
-    rows = everyone.union(odd).join(texts, "doc_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    size = cut(rest.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("odd").alias("m")), "sizes")
+    blocks = size.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.ceil(F.col("m") / block).cast("int").alias("mb"))
+    placed = joined(rest, blocks, ["bucket"], size, "doc_id").withColumns({"x": F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"), "y": F.pmod(F.xxhash64("doc_id"), F.col("mb")).cast("int")})
+    everyone = placed.select("bucket", "doc_id", "component", "odd", F.col("x").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j"), F.lit(0).alias("role"))
+    odd = placed.filter("odd").select("bucket", "doc_id", "component", "odd", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.col("y").alias("j"), F.lit(1).alias("role"))
+    both = everyone.union(odd)
+    rows = both.join(signed.select("doc_id", "n_shingles", "bands"), "doc_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["bucket", "i", "j"], rows=200):
+            keys = [t.column(c).to_numpy() for c in ("bucket", "i", "j")]
+            ids, comp, role, n = (t.column(c).to_numpy() for c in ("doc_id", "component", "role", "n_shingles"))
+            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            new = np.ones(len(ids), bool)
+            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            edges = [*np.flatnonzero(new).tolist(), len(ids)]
+            good = np.zeros(len(ids), bool)
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                p, q = lo + np.flatnonzero(role[lo:hi] == 1), lo + np.flatnonzero(role[lo:hi] == 0)
+                if not len(p) or not len(q):
+                    continue
+                agree = np.zeros((len(p), len(q)), np.int16)
+                for k in range(bands.shape[1]):
+                    agree += bands[p, k][:, None] == bands[q, k][None, :]
+                small, large = np.minimum(n[p][:, None], n[q][None, :]), np.maximum(n[p][:, None], n[q][None, :])
+                may = (agree >= AGREE) & (100 * small >= percent * large) & (comp[p][:, None] != comp[q][None, :])
+                good[p], good[q] = may.any(axis=1), may.any(axis=0)
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[good]) for k in keys), pa.array(ids[good]), pa.array(comp[good]), pa.array(role[good])], ["bucket", "i", "j", "doc_id", "component", "role"])
+
+    marked = cut(rows.mapInArrow(marks, "bucket long, i int, j int, doc_id long, component long, role int").distinct(), "marked")
+    rows = marked.join(texts, "doc_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["bucket", "i", "j"]):
@@ -189,8 +226,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     percent = round(100 * threshold)
     listed = cut(signatures(docs, words, band_rows(threshold)), "signatures")
     some = listed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first"))
-    member = cut(some.join(same, ["s1", "s2", "n_shingles"]).select("doc_id", "first", F.when(F.col("doc_id") == F.col("first"), F.col("bands")).alias("bands")), "members")
+    same = cut(some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "same")
+    member = cut(joined(some, same.drop("n"), ["s1", "s2", "n_shingles"], same, "doc_id").select("doc_id", "first", "n_shingles", F.when(F.col("doc_id") == F.col("first"), F.col("bands")).alias("bands")), "members")
 
     placed = member.filter("bands IS NOT NULL").select("doc_id", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("bucket", "n")
@@ -209,10 +246,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     mixed = mixed.select("bucket", F.col("m.component").alias("largest"), "n", "h", "h2")
     once = mixed.groupBy("n", "h", "h2", "largest").agg(F.min("bucket").alias("bucket"))  # buckets with the same members need one look
     rest = inside.join(mixed.select("bucket", "largest").join(once.select("bucket"), "bucket", "left_semi"), "bucket").withColumn("odd", F.col("component") != F.col("largest"))
-    more = rest_links(rest.drop("largest"), texts, words, percent)
-    joined = components(more).select(F.col("id").alias("component"), F.col("component").alias("least"))
-    final = labels.join(joined, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
-    lone = joined.select(F.col("component").alias("id"), F.col("least").alias("component")).join(labels, "id", "left_anti")
+    more = rest_links(rest.drop("largest"), member.filter("bands IS NOT NULL"), texts, words, percent)
+    merged = components(more).select(F.col("id").alias("component"), F.col("component").alias("least"))
+    final = labels.join(merged, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+    lone = merged.select(F.col("component").alias("id"), F.col("least").alias("component")).join(labels, "id", "left_anti")
 
     of = member.select("doc_id", "first").distinct().join(final.union(lone), F.col("first") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "first")).alias("component_id"))
     out = listed.select("doc_id", "n_shingles").join(of, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -220,10 +257,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one of each class, and those without a doc_id."""
+    """The rows of ``docs``, all columns as they are, that stay: one of each class, and those without a doc_id.
+
+    Of rows that share a doc_id one stays: the first by text (null first), then by the other
+    columns written as JSON.  A null or empty text is a class of its own.
+    """
+    name = unused(docs, "turn")
     gone = near_duplicates(docs, threshold, words).filter("NOT kept").select("doc_id").distinct()
-    left = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return left.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    left = docs.filter("doc_id IS NOT NULL").join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    others = F.to_json(F.struct(F.lit(0).alias(name), *(docs[f"`{c}`"] for c in docs.columns if c not in ("doc_id", "text"))))
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text", others))
+    return left.withColumn(name, first).filter(F.col(name) == 1).drop(name).union(docs.filter("doc_id IS NULL"))
 
 
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
