@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, slices
+from .common import cut, mix, slices, unused
 
 UNKNOWN = "und"
+#: N-grams whose vectors are made at once, and texts that are bundled at once.
+BLOCK, TEXTS = 4096, 1024
 
 
 class Space:
@@ -84,10 +86,20 @@ class Space:
         out = np.zeros((len(texts), self.dim), np.float32)
         if not len(row):
             return out, np.zeros(len(texts)), np.zeros(len(texts))
-        table = np.zeros((len(texts), len(codes)), np.float32)
-        table[row, number] = count
-        for a in range(0, len(codes), 4096):
-            out += table[:, a : a + 4096] @ self.grams(codes[a : a + 4096]).astype(np.float32)
+        order = np.argsort(number, kind="stable")  # by n-gram, within it by row
+        for a in range(0, len(codes), BLOCK):
+            mine = order[np.searchsorted(number[order], a) : np.searchsorted(number[order], a + BLOCK)]
+            vectors = self.grams(codes[a : a + BLOCK])
+            if len(mine) * 16 >= len(texts) * len(vectors):
+                table = np.zeros((len(texts), len(vectors)), np.float32)
+                table[row[mine], number[mine] - a] = count[mine]
+                out += table @ vectors.astype(np.float32)
+                continue
+            mine = mine[np.argsort(row[mine], kind="stable")]
+            for b in range(0, len(mine), BLOCK):  # few n-grams a text: add up their vectors
+                part = mine[b : b + BLOCK]
+                first = np.flatnonzero(np.concatenate(([True], row[part][1:] != row[part][:-1])))
+                out[row[part][first]] += np.add.reduceat(vectors[number[part] - a] * count[part].astype(np.float32)[:, None], first, axis=0)
         return out, np.bincount(row, count, len(texts)), np.bincount(row, minlength=len(texts)).astype(float)
 
     def bundles(self, texts: list[str]) -> np.ndarray:
@@ -114,7 +126,7 @@ def prototypes(training: DataFrame, space: Space) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         n: dict[str, np.ndarray] = {}
-        for batch in slices(batches, limit=1 << 19):
+        for batch in slices(batches, limit=1 << 19, rows=TEXTS):
             made, grams, _ = space.sums(_texts(batch))
             unit, mean = _unit(made), made / np.maximum(grams, 1)[:, None]
             each = np.stack([np.ones(len(made)), grams > 0, (unit * mean).sum(axis=1)], axis=1)
@@ -137,18 +149,21 @@ def prototypes(training: DataFrame, space: Space) -> DataFrame:
     )
 
 
-def predict(docs: DataFrame, learned: list[tuple[str, list[float], float]], space: Space, extra: list[str]) -> DataFrame:
-    """lang_pred, score, affinity and n_distinct of each text; ``learned`` has a row per language."""
+ADDED = ("lang_pred", "score", "affinity", "n_distinct")
+
+
+def predict(docs: DataFrame, learned: list[tuple[str, list[float], float]], space: Space, extra: list[str], added: tuple[str, ...] = ADDED) -> DataFrame:
+    """lang_pred, score, affinity and n_distinct, under the names ``added``, of each text; ``learned`` has a row per language."""
     names = [name for name, _, _ in sorted(learned)]
     usual = np.array([u for _, _, u in sorted(learned)], np.float64)
     unit = _unit(np.array([v for _, v, _ in sorted(learned)], np.float64).reshape(len(names), space.dim))
     mean = unit.mean(axis=0) if len(names) > 1 else np.zeros(space.dim)
     apart = _unit(unit - mean).astype(np.float32)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in extra) + ", lang_pred string, score double, affinity double, n_distinct long"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in extra) + "".join(f", `{c}` {k}" for c, k in zip(added, ("string", "double", "double", "long"), strict=True))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1 << 19):
+        for batch in slices(batches, limit=1 << 19, rows=TEXTS):
             texts = _texts(batch)
             total, grams, distinct = space.sums(texts)
             made, affinity = _unit(total), np.zeros(len(texts))
@@ -164,12 +179,12 @@ def predict(docs: DataFrame, learned: list[tuple[str, list[float], float]], spac
             else:
                 score, pred = np.zeros(len(texts)), [UNKNOWN] * len(texts)
             columns = [batch.column(c) for c in extra]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score.astype(np.float64)), pa.array(affinity), pa.array(distinct.astype(np.int64))], [*extra, "lang_pred", "score", "affinity", "n_distinct"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score.astype(np.float64)), pa.array(affinity), pa.array(distinct.astype(np.int64))], [*extra, *added])
 
     return docs.select(*extra, *(["text"] if "text" not in extra else [])).mapInArrow(kernel, schema)
 
 
-def identify(docs: DataFrame, training: DataFrame, dim: int = 1024, n: int = 3, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame, dim: int = 1024, n: int = 3, keep: list[str] | None = None, added: tuple[str, ...] = ADDED) -> DataFrame:
     """Predict the language of each text of ``docs`` from the texts and langs of ``training``.
 
     Adds lang_pred (a learned lang; ``und`` for a null text, one without a letter, or with
@@ -177,13 +192,17 @@ def identify(docs: DataFrame, training: DataFrame, dim: int = 1024, n: int = 3,
     unless given), and the two figures that tell whether the text is of that lang at all:
     affinity, the mean product of its n-grams with the lang's prototype, against the usual
     one of the lang's own texts (about 1 for such texts of any length, about 0 for gibberish;
-    1 where a lang was learned from one text), and n_distinct, its distinct n-grams.  Rows of ``training`` with a null text or lang are ignored.  Equal
-    cosines: the first lang by name.  The driver gets a vector of ``dim`` numbers a language.
+    1 where a lang was learned from one text), and n_distinct, its distinct n-grams.  ``added``
+    renames them; none may be among ``keep``.  Rows of ``training`` with a null text or lang are
+    ignored.  Equal cosines: the first lang by name.  Equal texts: equal results.  Empty ``docs``:
+    no rows.  The driver gets a vector of ``dim`` numbers a language.
     """
+    if {c.lower() for c in added} & {c.lower() for c in keep or ["doc_id"]}:
+        raise ValueError("a column to keep has the name of a result")
     space = Space(dim, n)
     table = cut(prototypes(training.filter("text IS NOT NULL AND lang IS NOT NULL"), space), "prototypes")
     learned = [(r["lang"], r["vector"], r["usual"]) for r in table.select("lang", "vector", "usual").collect()]  # dim numbers a language
-    return predict(docs, learned, space, keep or ["doc_id"])
+    return predict(docs, learned, space, keep or ["doc_id"], added)
 
 
 def held_out(column: str = "doc_id", of: int = 5, remainder: int = 0) -> Column:
@@ -197,11 +216,15 @@ def identified(docs: DataFrame, least: float = 0.5, dim: int = 1024, n: int = 3)
     Enough is ``least`` for a text of many distinct n-grams and less for one of few, whose
     mean scatters with the root of their number: ``least * (1 - 4 / sqrt(n_distinct))``.  At 16 or
     fewer that is 0 or less, and nearly all that has a letter stays.  The languages are
-    learned from the rows that are not held out.
+    learned from the rows that are not held out.  A null text, one without a letter, and any
+    text where nothing is learned go; equal texts go or stay together; other columns, whatever
+    their names, are carried as they are.
     """
     columns = docs.columns
-    found = identify(docs, docs.filter(~held_out()), dim, n, keep=columns)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("affinity") >= least * (1 - 4 / F.sqrt("n_distinct")))).select(*columns)
+    names = tuple(unused(docs, c) for c in ADDED)
+    found = identify(docs, docs.filter(~held_out()), dim, n, keep=columns, added=names)
+    lang, _, affinity, distinct = map(F.col, names)
+    return found.filter((lang != UNKNOWN) & (affinity >= least * (1 - 4 / F.sqrt(distinct)))).drop(*names)
 
 
 def op1_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
