@@ -9,7 +9,6 @@ once more.  The driver only sees a row per pattern and per source.
 
 from __future__ import annotations
 
-import heapq
 import json
 import math
 
@@ -17,13 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from .common import WORD, cut
+from .common import WORD, cut, unused
 
 #: Sizes of the problem that the driver solves; beyond these the operator raises.
 MAX_SOURCES, MAX_PATTERNS = 20_000, 200_000
 #: Documents expected in the hash bucket that is looked at one by one.
-BUCKET_DOCUMENTS = 5_000
+BUCKET_DOCUMENTS = 1_000
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> dict[str | None, float]:
@@ -52,77 +53,90 @@ def route(capacity: list[int], member: list[list[int]], quota: list[int], repeat
     """Min-cost flow from patterns to sources: words that pattern ``p`` gives to its i-th source.
 
     The n-th repetition of a pattern costs ``2 n - 1`` a word (convex), so that a quota is
-    filled from patterns that are not yet repeated.  Successive shortest paths.
+    filled from patterns that are not yet repeated.  Costs are those of the arcs into the
+    patterns alone and the same for all, so the flow of least cost is reached by opening one
+    repetition after the other and sending all that fits, over shortest augmenting paths.
     """
     np_, ns = len(capacity), len(quota)
     source, sink, n = np_ + ns, np_ + ns + 1, np_ + ns + 2
     to: list[int] = []
     cap: list[int] = []
-    cost: list[int] = []
     arcs: list[list[int]] = [[] for _ in range(n)]
 
-    def arc(a: int, b: int, c: int, w: int) -> int:
-        for x, y, room, price in ((a, b, c, w), (b, a, 0, -w)):
+    def arc(a: int, b: int, c: int) -> int:
+        for x, y, room in ((a, b, c), (b, a, 0)):
             arcs[x].append(len(to))
             to.append(y)
             cap.append(room)
-            cost.append(price)
         return len(to) - 2
 
-    for p, words in enumerate(capacity):
-        for r in range(repeats):
-            arc(source, p, words, 2 * r + 1)
-    give = [[arc(p, np_ + s, repeats * capacity[p], 0) for s in member[p]] for p in range(np_)]
+    into = [arc(source, p, 0) for p in range(np_)]
+    give = [[arc(p, np_ + s, repeats * capacity[p]) for s in member[p]] for p in range(np_)]
     for s, words in enumerate(quota):
-        arc(np_ + s, sink, words, 0)
-    potential = [0] * n
-    while True:
-        far, via = [math.inf] * n, [-1] * n
+        arc(np_ + s, sink, words)
+
+    def levels() -> list[int]:
+        far, queue = [-1] * n, [source]
         far[source] = 0
-        heap = [(0, source)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
-                continue
+        for a in queue:
             for k in arcs[a]:
-                if cap[k] > 0 and (e := d + cost[k] + potential[a] - potential[to[k]]) < far[to[k]]:
-                    far[to[k]], via[to[k]] = e, k
-                    heapq.heappush(heap, (e, to[k]))
-        if far[sink] == math.inf:
-            break
-        potential = [x + (d if d < math.inf else 0) for x, d in zip(potential, far, strict=True)]
-        path, at = [], sink
-        while at != source:
-            path.append(via[at])
-            at = to[via[at] ^ 1]
-        room = min(cap[k] for k in path)
-        for k in path:
-            cap[k] -= room
-            cap[k ^ 1] += room
+                if cap[k] > 0 and far[to[k]] < 0:
+                    far[to[k]] = far[a] + 1
+                    queue.append(to[k])
+        return far
+
+    for _ in range(repeats):
+        for p, words in enumerate(capacity):
+            cap[into[p]] += words
+        while (far := levels())[sink] >= 0:
+            turn, path = [0] * n, []  # a path of arcs from the source, grown and cut back
+            while True:
+                at = to[path[-1]] if path else source
+                if at == sink:
+                    room = min(cap[k] for k in path)
+                    for k in path:
+                        cap[k] -= room
+                        cap[k ^ 1] += room
+                    path = path[: next(i for i, k in enumerate(path) if not cap[k])]
+                    continue
+                while turn[at] < len(arcs[at]):
+                    k = arcs[at][turn[at]]
+                    if cap[k] > 0 and far[to[k]] == far[at] + 1:
+                        break
+                    turn[at] += 1
+                if turn[at] < len(arcs[at]):
+                    path.append(arcs[at][turn[at]])
+                elif path:
+                    path.pop()
+                    turn[to[path[-1]] if path else source] += 1
+                else:
+                    break
     return [[cap[k ^ 1] for k in ks] for ks in give]
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 17, by: str = "source", added: tuple[str, ...] = ADDED) -> DataFrame:
     """Decide how often each document is taken.
 
-    ``docs`` has doc_id, text, and ``source`` (string) or ``sources`` (array of strings, for
-    overlapping ones).  All columns stay; added are size (words), source_size and target (of
+    ``docs`` has doc_id, text, and the column ``by``: a string, or an array of strings for
+    overlapping sources.  All other columns stay; added, under the names ``added``, are size (words), source_size and target (of
     the source, or the sums over the sources), copies, and taken = copies x size, at most
     ``cap`` x size.  A null text has size 0; a null source, or an empty array, is a source
     of its own, last in order.  Equal rows get equal copies.  Same input, same seed: same
-    result.  Empty input: empty result.  Clashing column names are replaced.
+    result.  Empty input: empty result.  Columns of ``docs`` with a name of ``added`` are replaced.
     """
     spark = docs.sparkSession
-    many = "sources" in docs.columns
-    pattern = F.array_sort(F.array_distinct(F.coalesce("sources", F.array().cast("array<string>")))) if many else F.array(F.col("source"))
+    many = isinstance(docs.schema[by].dataType, ArrayType)
+    pattern = F.array_sort(F.array_distinct(F.coalesce(F.col(by), F.array().cast("array<string>")))) if many else F.array(F.col(by).cast("string"))
     pattern = F.when(F.size(pattern) == 0, F.array(F.lit(None).cast("string"))).otherwise(pattern)
-    drop = [c for c in docs.columns if c in ("size", "source_size", "target", "copies", "taken")]
-    base = docs.drop(*drop).withColumns({
-        "__pattern": F.to_json(F.struct(pattern.alias("p")), {"ignoreNullFields": "false"}),
-        "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-        "__hash": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")),
+    size, source_size, target, copies, taken = added
+    kept = docs.select(*(c for c in docs.columns if c not in added or c in ("doc_id", "text", by)))
+    at, seeded = unused(kept, "pattern"), unused(kept, "hash")
+    base = kept.withColumns({
+        at: F.to_json(F.struct(pattern.alias("p")), {"ignoreNullFields": "false"}),
+        size: F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
+        seeded: F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")),
     })
-    sized = cut(base.select("__pattern", "size", "__hash"), "sizes")
+    sized = cut(base.select(F.col(at).alias("__pattern"), F.col(size).alias("size"), F.col(seeded).alias("__hash")), "sizes")
 
     table = [(r[0], r[1], r[2]) for r in sized.groupBy("__pattern").agg(F.sum("size"), F.count("*")).limit(MAX_PATTERNS + 1).collect()]
     if len(table) > MAX_PATTERNS:
@@ -150,17 +164,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, s
         rows.append((p, words, n, int(full), int(got - full * words), float(sum(sizes[s] for s in m)), float(sum(quota[s] for s in m))))
     plan = spark.createDataFrame(rows, "__pattern string, words long, n long, full long, rest long, source_size double, target double")
     decided = plan.join(_thresholds(sized, plan, max([r[2] for r in rows], default=0)), "__pattern", "left")
-    decided = cut(decided.select("__pattern", "full", "below", "extra", F.col("source_size").cast("long").alias("source_size"), "target"), "plan")
-    small = F.broadcast(decided) if len(rows) <= 50_000 else decided
-    out = base.join(small, "__pattern", "left")
-    out = out.withColumn("copies", (F.col("full") + F.coalesce(((F.col("__hash") < F.col("below")) | F.array_contains("extra", F.col("__hash"))).cast("long"), F.lit(0))).cast("long"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("__pattern", "__hash", "full", "below", "extra")
+    turns, to = unused(kept, "turns"), (F.col("source_size").cast("long").alias(source_size), F.col("target").alias(target))
+    decided = cut(decided.select(F.col("__pattern").alias(at), F.struct("full", "below", "extra").alias(turns), *to), "plan")
+    out = base.join(F.broadcast(decided), at, "left")  # at most MAX_PATTERNS rows
+    once_more = (F.col(seeded) < F.col(turns)["below"]) | F.array_contains(F.col(turns)["extra"], F.col(seeded))
+    out = out.withColumn(copies, (F.col(turns)["full"] + F.coalesce(once_more.cast("long"), F.lit(0))).cast("long"))
+    return out.withColumn(taken, F.col(copies) * F.col(size)).drop(at, seeded, turns)
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, its own columns, each as often as the mix takes it."""
-    taken = mix(docs, weights, cap, seed).filter("copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    """The rows of ``docs``, all columns as they are, each as often as the mix takes it; see ``mix`` for odd rows.
+
+    A document without a word is taken as often as its source's documents are taken in full.
+    """
+    names = tuple(unused(docs, c) for c in ADDED)
+    made = mix(docs, weights, cap, seed, added=names)
+    copies = names[ADDED.index("copies")]
+    return made.filter(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).drop(*names)
 
 
 def _thresholds(sized: DataFrame, plan: DataFrame, most: int) -> DataFrame:
@@ -179,7 +199,10 @@ def _thresholds(sized: DataFrame, plan: DataFrame, most: int) -> DataFrame:
     near = ranged.join(edge, ["__pattern", "range"]).groupBy("__pattern", "before", "rest", "__hash").agg(F.sum("size").alias("size"))
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        """Documents of one range in the order of their hash while they fit, then the largest that fills the gap."""
+        """Documents of one range in the order of their hash while they fit, then the largest that fills the gap.
+
+        At last the smallest one left, if the gap is more than half of it.
+        """
         rows = rows.sort_values("__hash", kind="stable").reset_index(drop=True)
         gap = int(rows["rest"].iloc[0] - rows["before"].iloc[0])
         fits = (rows["size"].cumsum() <= gap).to_numpy()
@@ -192,6 +215,9 @@ def _thresholds(sized: DataFrame, plan: DataFrame, most: int) -> DataFrame:
             if 0 < size <= gap:
                 extra.append(int(value))
                 gap -= int(size)
+        over = left[(left["size"] > gap) & ~left["__hash"].isin(extra)]
+        if len(over) and 0 < int(over["size"].iloc[-1]) < 2 * gap:
+            extra.append(int(over["__hash"].iloc[-1]))
         return pd.DataFrame({"__pattern": [rows["__pattern"].iloc[0]], "below": [min(below, (1 << 63) - 1)], "extra": [extra]})
 
     return near.groupBy("__pattern").applyInPandas(pick, "__pattern string, below long, extra array<long>")
