@@ -24,14 +24,17 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-split of the byte-level vocabulary (a fixed value of that format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHARD_BYTES = 24 << 20
+#: Partitions that shards are dealt to, evenly; beyond as many, one takes several in turn.
+PARTITIONS = 20_000
 _CACHED: dict[str, Callable[[str], bytes]] = {}
 
 
 def encoder(path: str) -> tuple[Callable[[str], bytes], int]:
     """A function from text to ids (uint16 bytes) and the id that ends a document.
 
-    A space between two other characters always begins a new piece of the pre-split, so
-    texts are cut there and the ids of each piece are kept, up to a bound.
+    A space after a character that is no white space always begins a new piece of the
+    pre-split, so a text is cut at its spaces and the ids of each piece are kept, up to a
+    bound, unless a space follows white space.
     """
     if path not in _CACHED:
         import tiktoken
@@ -58,7 +61,7 @@ def encoder(path: str) -> tuple[Callable[[str], bytes], int]:
         known = Pieces()
 
         def encode(text: str) -> bytes:
-            if "  " in text:
+            if _after_blank(text):
                 return ids(text)
             first, *rest = text.split(" ")
             return known[first] + b"".join([known[" " + x] for x in rest]) if rest else known[first]
@@ -68,6 +71,16 @@ def encoder(path: str) -> tuple[Callable[[str], bytes], int]:
     return _CACHED[path], _CACHED[path + "#end"]
 
 
+#: White space in Unicode, in pairs with a space after it.
+_BLANK = ["  ", *(chr(c) + " " for c in (*range(0x09, 0x0E), 0x1C, 0x1D, 0x1E, 0x1F))]
+_WIDE_BLANK = [chr(c) + " " for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def _after_blank(text: str) -> bool:
+    """Whether a space follows white space."""
+    return any(b in text for b in _BLANK) or (not text.isascii() and any(b in text for b in _WIDE_BLANK))
+
+
 class Capacities:
     """Open bins by room left; the least room that is enough, by a segment tree over rooms."""
 
@@ -128,14 +141,15 @@ def pack(docs: DataFrame, length: int = 2048, vocabulary: str = VOCABULARY, shar
     (cumulative segment lengths from 0), and per segment doc_ids, copies (number among rows
     equal in doc_id and text), pieces and whether it is the document's last piece (lasts).
     Each document's ids end with the end id; a null text has the end id alone.  Null doc_ids
-    are carried.  Empty input: no rows.  Other columns are ignored.
+    are carried.  Equal rows are packed as often as they occur.  Empty input: no rows.  Other
+    columns are ignored.  ``vocabulary`` is a file that all executors can read.
     """
     if not 2 <= length <= 1 << 16:
         raise ValueError("length is from 2 to 65536")
     shards = max(1, math.ceil(input_bytes(docs, "text") / shard_bytes))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
-    rows = base.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "key")
+    rows = base.repartitionById(min(shards, PARTITIONS), "shard").sortWithinPartitions("shard", "doc_id", "key")
 
     names = ["shard", "seq", "n_tokens", "ids", "positions", "cu_seqlens", "doc_ids", "copies", "pieces", "lasts"]
     schema = "shard int, seq int, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, copies array<int>, pieces array<int>, lasts array<boolean>"
@@ -194,8 +208,8 @@ def unpack(packed: DataFrame) -> DataFrame:
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """Write sequences as Parquet, a folder per shard; ids and positions are fixed-size binary rows."""
-    packed.write.partitionBy("shard").parquet(path)
+    """Write sequences as Parquet, a row each; ids and positions are fixed-size binary rows."""
+    packed.write.parquet(path)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
