@@ -86,7 +86,7 @@ def _digits(text: str, made: str) -> str:
 
 
 def _number(text: str, key: bytes, tweak: str, valid: Callable[[str], bool] | None = None, fixed: int = 0) -> str:
-    digits = re.sub(r"\D", "", text)
+    digits = re.sub(r"[^0-9]", "", text)
     head, tail = digits[:fixed], digits[fixed:]
     while True:
         tail = permute_text(tail, key, f"{tweak}|{head}")
@@ -96,7 +96,7 @@ def _number(text: str, key: bytes, tweak: str, valid: Callable[[str], bool] | No
 
 def card(text: str, key: bytes) -> str | None:
     """13 to 19 digits: those with a valid check digit keep one; the rest are permuted among the invalid."""
-    digits = re.sub(r"\D", "", text)
+    digits = re.sub(r"[^0-9]", "", text)
     if not 13 <= len(digits) <= 19:
         return None
     body, ok = digits[:-1], int(digits[-1]) == luhn(digits[:-1])
@@ -114,12 +114,12 @@ def _ssn_ok(d: str) -> bool:
 
 def ssn(text: str, key: bytes) -> str | None:
     """ddd-dd-dddd with no zero group and a first group that is in use."""
-    return _number(text, key, "ssn", _ssn_ok) if _ssn_ok(re.sub(r"\D", "", text)) else None
+    return _number(text, key, "ssn", _ssn_ok) if _ssn_ok(re.sub(r"[^0-9]", "", text)) else None
 
 
 def phone(text: str, key: bytes) -> str | None:
     """An international number of 8 to 15 digits; the country code stays."""
-    digits = re.sub(r"\D", "", text)
+    digits = re.sub(r"[^0-9]", "", text)
     if not 8 <= len(digits) <= 15:
         return None
     return _number(text, key, "phone", fixed=len(digits) - 10 if len(digits) > 10 else 0)
@@ -183,18 +183,19 @@ def secret(text: str, key: bytes) -> str | None:
 #: kind -> (pattern, pseudonym or None if not valid), first match first.
 KINDS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "email": (r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
-    "secret": (r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])", secret),
+    "secret": (r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])", secret),
     "iban": (r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", iban),
     "phone": (r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?![\w])|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])", phone),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
-    "date": (r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w/-])", date),
+    "date": (r"(?<![\w./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?!(?!T\d\d:)\w|[/-])", date),
     "ip": (r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)", ip),
     "card": (r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", card),
 }
 
 
 def finder(kinds: tuple[str, ...]) -> list[tuple[str, re.Pattern, Callable[[str, bytes], str | None]]]:
-    return [(k, re.compile(KINDS[k][0]), KINDS[k][1]) for k in kinds]
+    """Patterns of the kinds; digits and letters are ASCII ones, the only ones that formats are made of."""
+    return [(k, re.compile(KINDS[k][0], re.ASCII), KINDS[k][1]) for k in kinds]
 
 
 def replace(text: str, found: list, memo: Callable[[str, str], str | None]) -> tuple[str, list[tuple[str, int, int]]]:
@@ -205,7 +206,7 @@ def replace(text: str, found: list, memo: Callable[[str, str], str | None]) -> t
             if any(a < m.end() and m.start() < b for a, b, *_ in spans):
                 continue
             made = memo(kind, m[0])
-            if made is not None:
+            if made is not None and made != m[0]:
                 spans.append((m.start(), m.end(), kind, made))
     spans.sort()
     out, at = [], 0
@@ -215,12 +216,13 @@ def replace(text: str, found: list, memo: Callable[[str, str], str | None]) -> t
     return "".join([*out, text[at:]]), [(k, a, b) for a, b, k, _ in spans]
 
 
-def pseudonymise(docs: DataFrame, key: str = "plumbline", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
     """Replace personal data by pseudonyms of the same format.
 
     Returns doc_id, text, n_replaced and spans (kind, begin, end in characters of the
     original), one row per row of ``docs``.  A null text stays null with no spans; a text
-    without such data is unchanged.  Values that do not validate (a wrong check digit in an
+    without such data is unchanged; null doc_ids are carried; equal texts get equal results;
+    empty ``docs``: no rows.  A value whose pseudonym is by chance itself is not counted.  Values that do not validate (a wrong check digit in an
     account number, an impossible date or octet) are left, but for long digit runs, which are
     permuted among those that do not validate either.  Keep ``key`` secret and the same for
     all documents that must stay linked.  Other columns are ignored.
@@ -231,7 +233,7 @@ def pseudonymise(docs: DataFrame, key: str = "plumbline", kinds: tuple[str, ...]
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = finder(kinds)
         by_kind = {k: f for k, _, f in found}
-        quick = re.compile(r"\d|@|[0-9A-Fa-f]{32}")
+        quick = re.compile(r"[0-9]|@|[A-Fa-f]{32}")
 
         @lru_cache(maxsize=50_000)
         def memo(kind: str, value: str) -> str | None:
@@ -251,5 +253,6 @@ def pseudonymise(docs: DataFrame, key: str = "plumbline", kinds: tuple[str, ...]
 
 
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pseudonyms in all documents."""
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Pseudonyms in all documents, by the key set as ``spark.plumbline.pseudonymKey``."""
+    key = spark.conf.get("spark.plumbline.pseudonymKey", "a public key, for tests alone")
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), key)
