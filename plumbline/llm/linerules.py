@@ -20,11 +20,14 @@ from .common import gram_hash, mix, slices, span_hash, utf8, word_spans
 
 BLANK = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
-#: Phrases of page furniture, lower case.
+#: Phrases of page furniture in English, German, French and Spanish, lower case.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "cookies policy", "enable javascript", "javascript is disabled", "lorem ipsum",
     "privacy policy", "terms of service", "terms of use", "sign in", "log in", "subscribe to our newsletter", "click here",
     "copyright ©", "powered by", "skip to content", "read more",
+    "alle rechte vorbehalten", "datenschutzerklärung", "hier klicken", "nutzungsbedingungen", "newsletter abonnieren",
+    "tous droits réservés", "politique de confidentialité", "cliquez ici", "conditions d'utilisation", "mentions légales",
+    "todos los derechos reservados", "política de privacidad", "haga clic aquí", "términos de uso", "aviso legal",
 )
 CLOSING = r"""[.!?;:"')\]…”’»]$"""
 
@@ -114,8 +117,9 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa:
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     n_lines, n_lines_removed, n_words_lost, faults (rule to count), kept, text (the lines that
-    are left).  A null text has no words: base_failed.  A line without a word is kept and
-    not judged.  Null doc_ids pass through; other columns are ignored.
+    are left).  A null or empty text has no words: base_failed.  A line without a word is kept
+    and not judged.  Null doc_ids pass through; equal rows get equal results; empty ``docs``: no
+    rows; other columns are ignored.  Repeated lines and 3-word windows are told by 64-bit hashes.
     """
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, n_lines_removed long, n_words_lost long, faults map<string,long>, kept boolean, text string"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -178,4 +182,4 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(
   CAST(coalesce(ll.lost, 0) AS BIGINT) AS n_words_lost,
   NOT (len(w) < 50 OR 100 * coalesce(r.c, 0) > 50 * len(w)) AND coalesce(ll.lost, 0) <= 0.5 * len(w) AS kept
 FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN ll ON ll.doc_id = d.doc_id
-""".replace("BOILER", "|".join(BOILERPLATE))
+""".replace("BOILER", "|".join(BOILERPLATE).replace("'", "''"))
