@@ -146,11 +146,13 @@ def test_near_duplicates_beyond_the_centre(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in minmax.near_duplicates(df, 0.85).collect()}
     assert got == brute_components(rows, 85)
-    texts = df.select("doc_id", "text")
-    rest = df.select(F.lit(1).alias("bucket"), "doc_id", F.col("doc_id").alias("component"), F.lit(True).alias("odd"))
-    links = {tuple(sorted(r)) for r in minmax.rest_links(rest, texts, 5, 85, block=2).collect()}
+    rest = df.select(F.lit(1).cast("long").alias("bucket"), "doc_id", F.col("doc_id").alias("component"), F.lit(True).alias("odd"))
+    signed = minmax.signatures(df, 5, minmax.band_rows(0.85))
+    links = {tuple(sorted(r)) for r in minmax.rest_links(rest, signed, df, 5, 85, block=2).collect()}
     found = brute_components(rows, 85)
     assert all(found[a] == found[b] for a, b in links)
+    joined = {r["id"]: r["component"] for r in components(spark.createDataFrame(sorted(links), "a long, b long")).collect()}
+    assert all(joined.get(d, d) == c for d, c in found.items())
 
 
 def test_components_of_a_chain(spark):
@@ -249,6 +251,38 @@ def test_language(spark):
     assert left.columns == df.columns and {900, 901, 902}.isdisjoint(r["doc_id"] for r in left.collect())
 
 
+def test_language_against_brute_force(spark):
+    """Predictions and scores from vectors added up one n-gram at a time, short and long texts alike."""
+    rng = random.Random(11)
+    make = {"aa": "the of and ing", "bb": "der die und ung", "cc": "que los ñon las"}
+    rows = [(i, " ".join("".join(rng.sample(make[k].split(), 2)) for _ in range(rng.choice((1, 2, 25)))), k) for i, k in enumerate("aa bb cc".split() * 12)]
+    df = spark.createDataFrame([*rows, (90, "x9!", None), (91, "Ünd-die", None)], "doc_id long, text string, lang string")
+    space = langid.Space(256, 3)
+
+    def bundle(text: str) -> np.ndarray:
+        codes = [0]
+        for c in text.lower():
+            if c.isalpha() or codes[-1]:
+                codes.append(ord(c) if c.isalpha() else 0)
+        codes = [*codes, 0] if codes[-1] else codes
+        out = np.zeros(256)
+        for g in zip(codes, codes[1:], codes[2:]):
+            if any(g):
+                out += np.prod([np.roll(space.letter(c), i).astype(float) for i, c in enumerate(g)], axis=0)
+        return out / max(np.linalg.norm(out), 1e-9)
+
+    proto = np.stack([sum(bundle(t) for _, t, k in rows if k == lang) for lang in make])
+    proto /= np.linalg.norm(proto, axis=1, keepdims=True)
+    apart = proto - proto.mean(axis=0)
+    apart /= np.linalg.norm(apart, axis=1, keepdims=True)
+    for r in langid.identify(df, df.filter("lang IS NOT NULL"), dim=256, keep=["doc_id", "text"]).collect():
+        v = bundle(r["text"]) - proto.mean(axis=0)
+        cosine = apart @ (v / np.linalg.norm(v))
+        assert r["score"] == pytest.approx((1 + cosine.max()) / 2, abs=1e-5) and r["lang_pred"] == list(make)[int(cosine.argmax())]
+    with pytest.raises(ValueError, match="name of a result"):
+        langid.identify(df, df, keep=["doc_id", "lang_pred"])
+
+
 def test_bundle_is_the_sum_of_bound_letters():
     space = langid.Space(256, 3)
     (got,) = space.bundles(["Ab, c"])
@@ -270,6 +304,62 @@ def test_route_prefers_fewer_repeats():
     assert flow[0][0] + flow[1][0] == 15 and flow[1][1] == 10 and max(map(sum, flow)) <= 15
 
 
+def unit_flow(capacity: list[int], member: list[list[int]], quota: list[int], repeats: int) -> tuple[int, int]:
+    """Words routed and their cost, a word at a time over the cheapest path (Bellman-Ford)."""
+    n, ends = len(capacity), (len(capacity) + len(quota), len(capacity) + len(quota) + 1)
+    arcs = [[ends[0], p, c, 2 * r + 1] for p, c in enumerate(capacity) for r in range(repeats)] + [[p, n + s, 10**9, 0] for p in range(n) for s in member[p]] + [[n + s, ends[1], q, 0] for s, q in enumerate(quota)]
+    arcs = [x for a, b, c, w in arcs for x in ([a, b, c, w], [b, a, 0, -w])]
+    sent = cost = 0
+    while True:
+        far, via = {ends[0]: 0}, {}
+        for _ in range(ends[1] + 1):
+            for k, (a, b, c, w) in enumerate(arcs):
+                if c > 0 and a in far and far[a] + w < far.get(b, math.inf):
+                    far[b], via[b] = far[a] + w, k
+        if ends[1] not in far:
+            return sent, cost
+        at = ends[1]
+        while at != ends[0]:
+            arcs[via[at]][2] -= 1
+            arcs[via[at] ^ 1][2] += 1
+            at = arcs[via[at]][0]
+        sent, cost = sent + 1, cost + far[ends[1]]
+
+
+def test_route_costs_least():
+    rng = random.Random(4)
+    for _ in range(25):
+        ns = rng.randint(1, 4)
+        capacity = [rng.randint(0, 7) for _ in range(rng.randint(1, 5))]
+        member = [sorted(rng.sample(range(ns), rng.randint(1, ns))) for _ in capacity]
+        quota = [rng.randint(0, 20) for _ in range(ns)]
+        flow = mixing.route(capacity, member, quota, 3)
+        assert all(sum(f) <= 3 * c for f, c in zip(flow, capacity, strict=True))
+        into = [sum(f[m.index(s)] for f, m in zip(flow, member, strict=True) if s in m) for s in range(ns)]
+        assert all(a <= b for a, b in zip(into, quota, strict=True))
+        cost = sum((2 * r + 1) * max(0, min(c, sum(f) - r * c)) for f, c in zip(flow, capacity, strict=True) for r in range(3))
+        assert (sum(into), cost) == unit_flow(capacity, member, quota, 3)
+
+
+def test_mix_of_overlapping_sources(spark):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(1, 30), sorted(rng.sample("abc", rng.randint(1, 3)))) for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, sources array<string>"), by="sources").collect()
+    sizes, total = Counter(), sum(len(t.split()) for _, t, _ in rows)
+    for _, t, m in rows:
+        sizes.update(dict.fromkeys(m, len(t.split())))
+    quota = mixing.targets(dict(sizes))
+    scale = total / sum(quota.values())
+    words_in: dict[tuple, int] = Counter()
+    for r in got:
+        assert r["taken"] <= 3 * r["size"] and r["target"] == pytest.approx(sum(quota[s] * scale for s in r["sources"]))
+        words_in[tuple(r["sources"])] += r["size"]
+    names, patterns = sorted(sizes), sorted(words_in)
+    flow = mixing.route([words_in[p] for p in patterns], [[names.index(s) for s in p] for p in patterns], [round(quota[s] * scale) for s in names], 3)
+    for p, f in zip(patterns, flow, strict=True):
+        assert abs(sum(r["taken"] for r in got if tuple(r["sources"]) == p) - sum(f)) <= 30
+
+
 def test_mix(docs, spark):
     rows = mixing.mix(docs.drop("size")).collect()
     total = sum(r["size"] for r in rows)
@@ -286,7 +376,7 @@ def test_mix(docs, spark):
     assert sorted((r["doc_id"], r["taken"]) for r in rows) == sorted((r["doc_id"], r["taken"]) for r in again)
     assert mixing.mixed(docs).columns == docs.columns
     many = spark.createDataFrame([(i, "w " * (i + 1), ["a", "b"] if i % 2 else ["b"]) for i in range(30)] + [(99, None, None)], "doc_id long, text string, sources array<string>")
-    assert {r["doc_id"] for r in mixing.mix(many).collect()} == {*range(30), 99}
+    assert {r["doc_id"] for r in mixing.mix(many, by="sources").collect()} == {*range(30), 99}
 
 
 def test_segment_tree_finds_the_fullest_bin():
@@ -330,17 +420,18 @@ def _ranks() -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
 
 
-def test_ppm_against_a_trie(docs):
+@pytest.mark.parametrize("group", [ppm.GROUP, 40])
+def test_ppm_against_a_trie(docs, group):
     train = F.col("doc_id") % 4 != 2
-    got = {r["doc_id"]: r for r in ppm.score(docs, train, 2000).collect()}
-    k = ppm.ORDER
+    got = {r["doc_id"]: r for r in ppm.score(docs, train, 2000, group).collect()}
+    k, end = ppm.ORDER, ppm.END
     trie: dict[tuple, Counter] = defaultdict(Counter)
     tokens: Counter = Counter()
     rows = texts_of(corpus())
     for d, t in rows:
         if d % 4 != 2:
             tokens.update([*low(t).encode().split(), None])
-            q = [256] * k + list(t.encode()) + [256]
+            q = [end] * k + list(low(t).encode()) + [end]
             for i in range(k, len(q)):
                 for j in range(k + 1):
                     trie[tuple(q[i - j : i])][q[i]] += 1
@@ -353,21 +444,21 @@ def test_ppm_against_a_trie(docs):
                 continue
             t, q = sum(v for x, v in c.items() if x not in excluded), sum(x not in excluded for x in c)
             if s in c:
-                return out + math.log10(c[s] / (t + q))
+                return out + math.log10((2 * c[s] - 1) / (2 * t))
             if t:
-                out += math.log10(q / (t + q))
+                out += math.log10(q / (2 * t))
             excluded = set(c)
-        return out - math.log10(257 - len(excluded))
+        return out - math.log10(256 - len(excluded))
 
     n, v = sum(tokens.values()), len(tokens)
     for d, t in rows:
         w = [*low(t).encode().split(), None]
-        q = [256] * k + list(t.encode()) + [256]
+        q = [end] * k + list(low(t).encode()) + [end]
         r = got[d]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (d % 4 == 2, len(w), sum(tokens[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((tokens[x] + 1) / (n + v + 1)) for x in w))
         assert r["score"] == pytest.approx(sum(logp(tuple(q[i - k : i]), q[i]) for i in range(k, len(q))))
-    assert sum(10 ** logp(tuple(b"konla")[:k], s) for s in range(257)) == pytest.approx(1)
+    assert sum(10 ** logp(tuple(b"konla")[:k], s) for s in range(256)) == pytest.approx(1)
 
 
 KEY = b"k" * 32
@@ -386,7 +477,7 @@ def test_permutation_and_formats():
 def test_pseudonyms_in_text(spark):
     text = "Call +1 (136) 555-7479 or x.7@mail3.example.com, from 10.1.2.3 on 2024-02-29; card 4111111111111111, twice 4111111111111111."
     rows = [(1, text), (2, "card 4111111111111111 here"), (3, None), (4, ""), (5, "In 2024 we sold 12 of 300, v1.2.3."), (1, text)]
-    got = pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
     by = {r["doc_id"]: r for r in got}
     assert len(got) == 6 and by[3]["text"] is None and by[5]["text"] == rows[4][1] and by[1]["n_replaced"] == 6
     for v in ("555-7479", "x.7@", "10.1.2.3", "2024-02-29", "4111111111111111"):
@@ -395,13 +486,78 @@ def test_pseudonyms_in_text(spark):
     assert by[1]["text"].count(new) == 2 and len(by[1]["text"]) - len(text) < 12
 
 
+def test_pseudonyms_undo_and_formats(spark):
+    """The permutation read backwards gives the value back; only ASCII digits are of a format."""
+
+    def undo(value: int, size: int, tweak: str) -> int:
+        a = next(x for x in itertools.count(2) if x * x >= size)
+        b = -(-size // a)
+        while True:
+            left, right = divmod(value, b)
+            for r in reversed(range(pseudonyms.ROUNDS)):
+                if r % 2:
+                    right = (right - pseudonyms._round(KEY, tweak, size, r, left)) % b
+                else:
+                    left = (left - pseudonyms._round(KEY, tweak, size, r, right)) % a
+            value = left * b + right
+            if value < size:
+                return value
+
+    for size in (7, 10**6, 10**15 + 37):
+        for value in (0, 1, size // 3, size - 1):
+            assert undo(pseudonyms.permute(value, size, KEY, "t"), size, "t") == value
+    long = "ab12" * 32
+    texts = ["\u0661\u0662\u0663-\u0664\u0665-\u0666\u0667\u0668\u0669", f"token {long} end", "at 2024-05-01T10:00:00Z", "2024-05-01x", "4111 1111 1111 \u0661\u0661\u0661\u0661"]
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    assert [got[i]["n_replaced"] for i in range(5)] == [0, 1, 1, 0, 0] and all(got[i]["text"] == texts[i] for i in (0, 3, 4))
+    assert long not in got[1]["text"] and len(got[1]["text"]) == len(texts[1]) and got[2]["text"][-10:] == "T10:00:00Z" and "2024-05-01" not in got[2]["text"]
+    other = pseudonyms.pseudonymise(spark.createDataFrame([(0, texts[1])], "doc_id long, text string"), "another").first()["text"]
+    assert other != got[1]["text"]
+
+
+def test_written_sequences(docs, tmp_path, spark):
+    packed = packing.pack(docs, 64)
+    packing.write_packed(packed, f"{tmp_path}/packed")
+    back = spark.read.parquet(f"{tmp_path}/packed")
+    assert sorted(map(str, packing.unpack(back).collect())) == sorted(map(str, packing.unpack(packed).collect()))
+
+
+def test_a_very_long_text(spark):
+    """Texts beyond what a kernel takes at once: the same figures as for their parts."""
+    rng = random.Random(8)
+    words_ = [f"{a}{rng.randrange(10**6)}" for a in WORDS for _ in range(40)]
+    body = [rng.choice(words_) for _ in range(700_000)]
+    passage = body[600_000:600_100]
+    rows = [(1, " ".join(body)), (2, " ".join(["start", *passage, "end"])), (3, "short text, 4111111111111111")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("aa"), "source": F.lit("s")})
+    assert len(rows[0][1]) > 5 * ppm.CHUNK // 32
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in superkmer.dedup_windows(df).collect()}
+    assert got == {1: (700_000, 0), 2: (102, 100), 3: (3, 0)}
+    cut = {r["doc_id"]: r["n_removed"] for r in suffix.dedup_bytes(df).collect()}
+    assert cut[1] == cut[2] >= len(" ".join(passage)) and cut[3] == 0
+    near = {r["doc_id"]: r["n_shingles"] for r in minmax.near_duplicates(df).collect()}
+    assert near == {1: len({tuple(body[i : i + 5]) for i in range(699_996)}), 2: 98, 3: 1}
+    leaks = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontaminate.contained(df, spark.createDataFrame([(5, " ".join(passage))], "item_id long, text string")).collect()}
+    assert leaks == {1: (700_000, 100), 2: (102, 100), 3: (3, 0)}
+    scores = {r["doc_id"]: r for r in ppm.score(df, F.lit(True)).collect()}
+    assert scores[1]["n_tokens"] == 700_001 and scores[1]["score"] < scores[2]["score"] < 0
+    lines = {r["doc_id"]: r["n_words"] for r in linerules.clean_lines(df).collect()}
+    assert lines == {1: 700_000, 2: 102, 3: 3}
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(df).collect()} == lines
+    assert {r["doc_id"]: r["n_replaced"] for r in pseudonyms.pseudonymise(df, "k").collect()}[3] == 1
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, df).collect()} == dict.fromkeys((1, 2, 3), "aa")
+    encode, end = packing.encoder(packing.VOCABULARY)
+    back = {r["doc_id"]: bytes(r["ids"]) for r in packing.unpack(packing.pack(df)).collect()}
+    assert back == {d: encode(x) + np.array([end], np.uint16).tobytes() for d, x in rows}
+
+
 @pytest.mark.parametrize("name", ["dedup", "bytes", "near", "leaks", "lines", "mix", "pack", "ppm", "pii", "lang"])
 def test_empty_input(spark, name):
     df = spark.createDataFrame([], SCHEMA)
     items = spark.createDataFrame([], "item_id long, text string")
     run = {
         "dedup": lambda: superkmer.dedup_windows(df), "bytes": lambda: suffix.dedup_bytes(df), "near": lambda: minmax.near_duplicates(df), "leaks": lambda: decontaminate.contained(df, items),
-        "lines": lambda: linerules.clean_lines(df), "mix": lambda: mixing.mix(df), "pack": lambda: packing.pack(df), "ppm": lambda: ppm.score(df, F.lit(True)), "pii": lambda: pseudonyms.pseudonymise(df), "lang": lambda: langid.identify(df, df),
+        "lines": lambda: linerules.clean_lines(df), "mix": lambda: mixing.mix(df), "pack": lambda: packing.pack(df), "ppm": lambda: ppm.score(df, F.lit(True)), "pii": lambda: pseudonyms.pseudonymise(df, "k"), "lang": lambda: langid.identify(df, df),
     }[name]
     assert run().collect() == []
 

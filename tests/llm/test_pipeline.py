@@ -55,3 +55,28 @@ def test_language_rejects(spark):
     rows = [(i, t, k) for i, (t, k) in enumerate(good)] + [(1000 + i, t, k) for i, (t, k) in enumerate(bad)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in corpus_pipeline.language(spark, df, "").collect()} == set(range(len(good)))
+
+
+def test_columns_and_odd_rows_come_through(spark, tmp_path):
+    """Columns with names that the operators use keep their values; nulls, empties, repeats and no rows at all are fine."""
+    rng = random.Random(7)
+    draw = lambda n: " ".join(rng.choice("the of and ing tion ent her".split()) + str(i % 7) for i in range(n))
+    names = ["score", "lang_pred", "affinity", "size", "target", "copies", "taken", "source_size", "key", "hot", "turn", "parts", "salt", "pattern", "hash", "turns", "win", "bands", "first", "a"]
+    rows = [(i, draw(60 + i), "en", f"s{i % 3}", *(f"{n}{i}" for n in names)) for i in range(24)]
+    rows += [(50, None, None, None, *names), (51, "", "en", "s0", *names), (None, draw(70), "en", None, *names), rows[3]]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, "nowhere to be seen at all")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    whole = {(r[0], r[1]): tuple(r) for r in rows}
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            assert docs.columns == ["doc_id", "text", "lang", "source", *names]
+            docs.write.parquet(f"{folder}/{name}{len(some)}")
+            docs = spark.read.parquet(f"{folder}/{name}{len(some)}")
+            got = docs.collect()
+            assert all(tuple(r) == whole[r["doc_id"], r["text"]] for r in got)
+            if name != "mixing":
+                assert len(got) == (25 if some and name != "language" else 26 if some else 0)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).isEmpty() == (not some)
