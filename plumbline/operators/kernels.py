@@ -110,10 +110,11 @@ def rotation_and_scale(a: np.ndarray, b: np.ndarray, angles: int = 180, radii: i
     return float(shift_a) * np.pi / angles, float(np.exp(-shift_r * step))
 
 
-def match_images(pairs: DataFrame, sweep_deg: tuple[float, ...] = (0.0,)) -> DataFrame:
-    """Per image pair: best rotation of the sweep, shift, peak and peak ratio.
+def match_images(pairs: DataFrame, sweep_deg: tuple[float, ...] = (0.0,), spectral: bool = False) -> DataFrame:
+    """Per image pair: best rotation of the sweep, shift, peak, peak ratio and scale.
 
-    ``pairs`` is from ``image_pairs``; every image is registered on its own.
+    With ``spectral``, the rotation that the images' spectra tell is tried as well, and their
+    scale reported (1 without).  ``pairs`` is from ``image_pairs``; every image is registered on its own.
     """
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,12 +123,14 @@ def match_images(pairs: DataFrame, sweep_deg: tuple[float, ...] = (0.0,)) -> Dat
             for image, a, b in _images(pdf):
                 w = hann2(*a.shape)
                 target = orientation_field(b) * w
-                tried = [(*phase_correlation(orientation_field(rotate_image(a, np.radians(d)) if d else a) * w, target), d) for d in sweep_deg]
+                angle, scale = rotation_and_scale(a, b) if spectral else (0.0, 1.0)
+                angles = (*sweep_deg, -float(np.degrees(angle))) if spectral else sweep_deg
+                tried = [(*phase_correlation(orientation_field(rotate_image(a, np.radians(d)) if d else a) * w, target), d) for d in angles]
                 dx, dy, peak, ratio, d = max(tried, key=lambda t: t[2])
-                rows.append((image, d, dx, dy, peak, min(ratio, 1e6)))
-            yield pd.DataFrame(rows, columns=["image", "rotation_deg", "dx", "dy", "peak", "peak_ratio"])
+                rows.append((image, d, dx, dy, peak, min(ratio, 1e6), scale))
+            yield pd.DataFrame(rows, columns=["image", "rotation_deg", "dx", "dy", "peak", "peak_ratio", "scale"])
 
-    return pairs.mapInPandas(kernel, "image long, rotation_deg double, dx double, dy double, peak double, peak_ratio double")
+    return pairs.mapInPandas(kernel, "image long, rotation_deg double, dx double, dy double, peak double, peak_ratio double, scale double")
 
 
 def refine_shift(pairs: DataFrame, rounds: int = 15, tukey: float = 4.685) -> DataFrame:

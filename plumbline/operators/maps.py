@@ -96,8 +96,13 @@ def every_kth(rows: DataFrame, order: list[str], most: int) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Global rank: rows are sorted by range, counted per partition, and numbered within it."""
+    """Global rank: rows are sorted by range, counted per partition, and numbered within it.
+
+    The partitions are used twice and must be the same: they are checkpointed where the session
+    has a folder for that, else kept.
+    """
     held = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    held = held.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else held.persist()
     counts = held.groupBy("__p").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = held.withColumn("k", F.row_number().over(W.partitionBy("__p").orderBy(*order)))

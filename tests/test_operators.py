@@ -296,3 +296,25 @@ def test_rings_clear_cells_once(spark):
     left, cleared = grids.clear_polygons(mask, edges)
     assert {r["ring"]: r["cleared"] for r in cleared.collect()} == {1: 16, 2: 12}
     assert left.filter("v = 0").count() == 28 and left.count() == 64
+
+
+def test_kernels_sample_and_turn():
+    img = np.arange(25.0).reshape(5, 5)
+    assert kernels.bilinear_at(img, np.array([1.5, 0.0, 4.0, 4.1]), np.array([2.25, 0.0, 4.0, 1.0])).tolist() == [9.75, 0.0, 24.0, 0.0]
+    turned = kernels.rotate_image(img, np.pi / 2)
+    assert np.allclose(turned, np.rot90(img, 1)) or np.allclose(turned, np.rot90(img, -1))
+    assert np.allclose(kernels.log_polar(np.ones((32, 32)), 8, 6), 1.0)
+
+
+def test_turned_images_match(spark):
+    """A turn that the sweep has not, found from the spectra."""
+    rng = np.random.default_rng(3)
+    f = np.hypot(*np.meshgrid(np.fft.fftfreq(64), np.fft.fftfreq(64)))
+    img = np.real(np.fft.ifft2(np.fft.fft2(rng.normal(size=(64, 64))) * np.exp(-((f / 0.12) ** 2))))
+    img = (img - img.min()) / (img.max() - img.min()) * 255
+    for turn in (-12.0, 7.0):
+        angle, scale = kernels.rotation_and_scale(img, kernels.rotate_image(img, np.radians(turn)))
+        assert np.degrees(angle) == pytest.approx(-turn, abs=1.0) and scale == pytest.approx(1, abs=0.02)
+    table = lambda x: spark.createDataFrame([(0, r, c, float(x[r, c])) for r in range(64) for c in range(64)], "image long, r long, c long, v double")
+    got = kernels.match_images(kernels.image_pairs(table(img), table(kernels.rotate_image(img, np.radians(7.0)))), spectral=True).first()
+    assert got["rotation_deg"] == pytest.approx(7.0, abs=1.0) and abs(got["dx"]) < 1 and abs(got["dy"]) < 1
