@@ -87,10 +87,11 @@ class Space:
         if not len(row):
             return out, np.zeros(len(texts)), np.zeros(len(texts))
         order = np.argsort(number, kind="stable")  # by n-gram, within it by row
-        for a in range(0, len(codes), BLOCK):
-            mine = order[np.searchsorted(number[order], a) : np.searchsorted(number[order], a + BLOCK)]
+        edges = np.searchsorted(number[order], np.arange(0, len(codes) + BLOCK, BLOCK))
+        for a, lo, hi in zip(range(0, len(codes), BLOCK), edges[:-1], edges[1:], strict=False):
+            mine = order[lo:hi]
             vectors = self.grams(codes[a : a + BLOCK])
-            if len(mine) * 16 >= len(texts) * len(vectors):
+            if len(mine) * 64 >= len(texts) * len(vectors):  # a product costs so much less a cell than a sum does
                 table = np.zeros((len(texts), len(vectors)), np.float32)
                 table[row[mine], number[mine] - a] = count[mine]
                 out += table @ vectors.astype(np.float32)
