@@ -40,11 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later jobs neither repeat nor lose it."""
+def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later jobs neither repeat nor lose it.
+
+    With ``by``, in folders by these columns, so that a filter on them reads no others.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -85,6 +88,13 @@ def input_bytes(df: DataFrame, column: str) -> int:
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII string."""
+    bit = "lambda x, y: xor(x >> 1, 3988292384 * (x & 1))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda k: CAST(ascii(substr({text}, k, 1)) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {bit})))"
+
+
 # ---------------------------------------------------------------- Arrow plumbing
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, langid, linerules, minmax, mixing, packing, ppm, pseudonyms, suffix, superkmer
+from . import decontaminate, langid, linerules, merkle, minmax, mixing, packing, ppm, pseudonyms, suffix, superkmer
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix.op8_suffix_dedup,
     "op9_minmax_near_dedup": minmax.op9_minmax_near_dedup,
     "op10_prefix_decontaminate": decontaminate.op10_prefix_decontaminate,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op7_superkmer_dedup": superkmer.ORACLE_SQL,
     "op9_minmax_near_dedup": minmax.ORACLE_SQL,
     "op10_prefix_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
 }
