@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, langid, linerules, merkle, minmax, mixing, packing, ppm, pseudonyms, suffix, superkmer
+from . import complement, decontaminate, langid, linerules, merkle, minmax, mixing, packing, ppm, pseudonyms, repair, suffix, superkmer
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -19,6 +19,8 @@ QUERIES = {
     "op9_minmax_near_dedup": minmax.op9_minmax_near_dedup,
     "op10_prefix_decontaminate": decontaminate.op10_prefix_decontaminate,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_survivor_repair": repair.op12_survivor_repair,
+    "op13_complement_packing": complement.op13_complement_packing,
 }
 
 ORACLES = {
@@ -27,4 +29,5 @@ ORACLES = {
     "op9_minmax_near_dedup": minmax.ORACLE_SQL,
     "op10_prefix_decontaminate": decontaminate.ORACLE_SQL,
     "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op12_survivor_repair": repair.ORACLE_SQL,
 }
