@@ -5,13 +5,13 @@ assistant's) reads a conversation's rows as a stream.  Each state's survivor is
 tree of backpointers; nodes that no survivor reaches lose their last reference and go, and as
 soon as all survivors share an ancestor, the edits up to it are final and leave the tree.  What
 stays in memory is the unresolved end of each survivor, whose edits are compared whole where
-costs tie.
+costs tie.  Texts are not held at all: each survivor has the running digest of its repair.
+(Where the end alone decides, as for system turns throughout, the edits stay until then.)
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,10 +65,10 @@ def steps(initial: str, fault: str | None) -> list[tuple[int, int, int, str, str
 class _Node:
     """A row's edits on a survivor's way; refs counts later nodes and survivors that lead here."""
 
-    __slots__ = ("edits", "last", "parent", "refs", "roles")
+    __slots__ = ("edits", "last", "parent", "refs")
 
-    def __init__(self, parent: _Node | None, edits: str, roles: str) -> None:
-        self.parent, self.edits, self.roles, self.refs, self.last = parent, edits, roles, 0, None
+    def __init__(self, parent: _Node | None, edits: str) -> None:
+        self.parent, self.edits, self.refs, self.last = parent, edits, 0, None
         if parent is not None:
             parent.refs += 1
             parent.last = self
@@ -87,22 +87,35 @@ def _earlier(a: tuple[_Node, str], b: tuple[_Node, str]) -> bool:
     return "".join(reversed(left)) < "".join(reversed(right))
 
 
+class _Written:
+    """The running digest of a survivor's lines."""
+
+    __slots__ = ("hash", "some")
+
+    def __init__(self, before: _Written | None = None) -> None:
+        self.hash = before.hash.copy() if before else hashlib.sha256()
+        self.some = before.some if before else False
+
+    def line(self, role: str, text: bytes) -> None:
+        self.hash.update(("\n" if self.some else "").encode() + role.encode() + b":" + text)
+        self.some = True
+
+    def row(self, edits: str, roles: str, role: str, text: bytes) -> None:
+        for r, e in zip(roles, edits.replace("D", ""), strict=True):
+            self.line(role if r == "=" else _ROLE[r], b"" if e == "I" else text)
+
+
 class Repair:
     """The cheapest edits of one conversation, row by row."""
 
     _known: dict[tuple[str, str | None], list] = {}
 
     def __init__(self) -> None:
-        self.root = _Node(None, "", "")
+        self.root = _Node(None, "")
         self.root.refs = 1
-        self.survivors: dict[int, tuple[int, _Node]] = {START: (0, self.root)}
-        self.rows: deque[tuple[str, str]] = deque()  # of the unresolved nodes' depths
+        self.survivors: dict[int, tuple[int, _Node, _Written]] = {START: (0, self.root, _Written())}
+        self.unresolved = 0
         self.audit: list[str] = []
-        self.hash, self.first = hashlib.sha256(), True
-
-    def _write(self, role: str, text: str) -> None:
-        self.hash.update(("" if self.first else "\n").encode() + role.encode() + b":" + text.encode())
-        self.first = False
 
     def _drop(self, node: _Node | None) -> None:
         while node is not None:
@@ -118,24 +131,27 @@ class Repair:
             if len(self._known) > 1000:
                 self._known.clear()
             self._known[key] = steps(*key)
-        best: dict[int, tuple[int, _Node, str, str]] = {}
+        best: dict[int, tuple[int, _Node, str, str, _Written]] = {}
         for begin, end, cost, edits, roles in self._known[key]:
             if begin not in self.survivors:
                 continue
-            at, node = self.survivors[begin]
+            at, node, written = self.survivors[begin]
             have = best.get(end)
             if have is None or at + cost < have[0] or (at + cost == have[0] and _earlier((node, edits), have[1:3])):
-                best[end] = (at + cost, node, edits, roles)
+                best[end] = (at + cost, node, edits, roles, written)
         self._prune(best)
-        self.rows.append((role, text))
-        old = self.survivors
+        old, own = self.survivors, text.encode()
         self.survivors = {}
-        for end, (cost, node, edits, roles) in best.items():
-            made = _Node(node, edits, roles)
+        for end, (cost, node, edits, roles, written) in best.items():
+            made = _Node(node, edits)
             made.refs = 1
-            self.survivors[end] = (cost, made)
-        for _, node in old.values():
+            if roles:
+                written = _Written(written)
+                written.row(edits, roles, role, own)
+            self.survivors[end] = (cost, made, written)
+        for _, node, _ in old.values():
             self._drop(node)
+        self.unresolved += 1
         self._emit()
 
     @staticmethod
@@ -149,7 +165,7 @@ class Repair:
             del best[START]
 
     def _emit(self) -> None:
-        alive = {id(n) for _, n in self.survivors.values()}
+        alive = {id(n) for _, n, _ in self.survivors.values()}
         while self.root.refs == 1 and id(self.root) not in alive:
             # the newest child is alive unless it lost its references: then look from a survivor
             child = self.root.last
@@ -157,35 +173,30 @@ class Repair:
                 child = next(iter(self.survivors.values()))[1]
                 while child.parent is not self.root:
                     child = child.parent
-            self._final(child.edits, child.roles, self.rows.popleft())
+            self.audit.append(child.edits)
+            self.unresolved -= 1
             child.parent = None
             self.root = child
 
-    def _final(self, edits: str, roles: str, row: tuple[str, str] | None) -> None:
-        self.audit.append(edits)
-        for r, e in zip(roles, edits.replace("D", ""), strict=True):
-            role = row[0] if r == "=" else _ROLE[r]
-            self._write(role, "" if e == "I" else row[1])
-
     def finish(self) -> tuple[int, str, str]:
         """Cost, audit and digest after the last row."""
-        ends: list[tuple[int, _Node, str, str]] = []
-        for state, (cost, node) in self.survivors.items():
+        ends: list[tuple[int, _Node, str, str, _Written]] = []
+        for state, (cost, node, written) in self.survivors.items():
             for begin, end, more, roles in _INSERTS:
                 if begin == state and (end == ASSISTANT or (end == START and not roles)):
-                    ends.append((cost + more, node, "I" * len(roles), roles))
+                    ends.append((cost + more, node, "I" * len(roles), roles, written))
         won = ends[0]
         for e in ends[1:]:
             if e[0] < won[0] or (e[0] == won[0] and _earlier(e[1:3], won[1:3])):
                 won = e
-        way, node = [], won[1]
+        cost, node, edits, roles, written = won
+        way = [edits]
         while node is not self.root:
-            way.append(node)
+            way.append(node.edits)
             node = node.parent
-        for node in reversed(way):
-            self._final(node.edits, node.roles, self.rows.popleft())
-        self._final(won[2], won[3], None)
-        return won[0], "".join(self.audit), self.hash.hexdigest()
+        written = _Written(written)
+        written.row(edits, roles, "", b"")
+        return cost, "".join(self.audit) + "".join(reversed(way)), written.hash.hexdigest()
 
 
 def damaged(rows: DataFrame) -> DataFrame:
@@ -220,7 +231,7 @@ def repaired(rows: DataFrame) -> DataFrame:
     keep their conversation in the result, with zeros, an empty audit and the digest of an
     empty text.  Roles are read by their first character, none is ever legal beside s, u, a;
     null conv_ids are one conversation; equal rows are duplicates.  A conversation is one
-    stream, since its digest is; nothing of it is held but what is unresolved.  Other columns
+    stream, since its digest is; nothing of it is held but unresolved edits.  Other columns
     are ignored; an empty table gives no rows.
     """
     kind = dict(rows.dtypes)["conv_id"]
