@@ -164,7 +164,7 @@ def test_repair_of_odd_conversations(spark):
     got = {r["conv_id"]: r for r in repair.repaired(df).collect()}
     empty = h("")
     assert tuple(got[1])[1:] == (0, 0, 0, 0, 0, 0, "KK", h("user:Hi.\nassistant:Yes."))
-    assert tuple(got[2])[1:7] == (0, 1, 0, 1, 1, 7) and got[2]["audit"] == "KKD" and got[2]["repaired_sha256"] == h("user:a\nassistant:b!")
+    assert tuple(got[2])[1:7] == (0, 1, 0, 1, 0, 7) and got[2]["audit"] == "KKD" and got[2]["repaired_sha256"] == h("user:a\nassistant:b!")
     assert tuple(got[None])[1:] == (0, 0, 0, 0, 0, 4, "D", empty)
     assert tuple(got[3])[1:] == (0, 0, 0, 0, 0, 0, "", empty)
     assert tuple(got[4])[6:8] == (3, "KI")
