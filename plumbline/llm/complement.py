@@ -2,8 +2,8 @@
 
 Which lengths go together depends on the counts of lengths alone, at most as many as a
 sequence has tokens.  So Spark makes ids and counts lengths, the driver turns the counts into a
-plan of patterns with multiplicities (each use of a pattern takes as many sequences as its
-scarcest length allows, so there are no more patterns than lengths), and every piece finds its
+plan of patterns with multiplicities (a pattern makes as many sequences as its scarcest length
+allows, so patterns grow with the lengths, not with the documents), and every piece finds its
 sequence and offset by its rank among pieces of its length.
 """
 

@@ -1,10 +1,10 @@
 """Merkle manifests: a digest tree over the rows of each group, and one over the groups (operator 11).
 
-A node is (tree, i, digest).  At each level the node in slot zero of a run of ``arity`` meets
-its siblings by equijoins on their computed indices, one join a slot offset (for two it is the
-index with its last bit flipped), and emits the parent with the run's digests side by side.
-Left sides keep their partitioning through all joins of a level, so a level shuffles each of
-its digests once.  Proofs come down again: a node meets its parent alone, never a common top.
+A node is (tree, i, digest).  At each level the node in slot zero of a run of ``arity`` computes
+its siblings' indices, one a slot offset (for two it is the index with its last bit flipped),
+meets them by one equijoin and emits the parent with the run's digests side by side.  A run has
+``arity`` nodes at most and (tree, i) is unique, so no key is hot.  Proofs come down again: a
+node meets its parent alone, never a common top.
 """
 
 from __future__ import annotations
@@ -49,24 +49,23 @@ def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def climb(leaves: DataFrame, arity: int, name: str) -> list[DataFrame]:
-    """The levels above ``leaves`` (tree, i, n, digest), these first, each written by slot.
+    """``leaves`` (tree, i, n, digest) and the levels above them, each written.
 
     A level has tree, i, n (nodes of the tree at that level) and digest, all but the first also
     children, the digests of the run end to end.  A tree of one node goes no higher.
     """
-    slot = F.pmod("i", F.lit(arity)).cast("int")
-    levels = [cut(leaves.withColumn("slot", slot), name, by=["slot"])]
-    most = leaves.agg(F.max("n")).first()[0] or 1
+    levels = [cut(leaves, name)]
+    most = levels[0].agg(F.max("n")).first()[0] or 1
     while most > 1:
-        nodes = levels[-1].filter("n > 1")
-        run = nodes.filter("slot = 0").select("tree", "i", "n", F.array("digest").alias("run"))
-        for k in range(1, min(arity, most)):
-            sibling = nodes.filter(F.col("slot") == k).select("tree", (F.col("i") - k).alias("i"), F.col("digest").alias("next"))
-            run = run.join(sibling, ["tree", "i"], "left").select("tree", "i", "n", F.concat("run", F.array("next")).alias("run"))
-        children = F.unhex(F.array_join(F.transform(F.array_compact("run"), F.hex), ""))
-        up = run.select("tree", F.floor(F.col("i") / arity).alias("i"), F.ceil(F.col("n") / arity).alias("n"), children.alias("children"))
-        up = up.withColumn("digest", F.unhex(F.sha2(hexed(F.col("children")).cast("binary"), 256)))
-        levels.append(cut(up.withColumn("slot", slot), name, by=["slot"]))
+        nodes = levels[-1].filter("n > 1").select("tree", "i", "n", "digest")
+        first = nodes.filter(F.col("i") % arity == 0)
+        offsets = F.sequence(F.lit(0), F.least(F.lit(arity), F.col("n") - F.col("i")).cast("int") - 1)
+        asked = first.select("tree", "n", F.col("i").alias("run"), F.explode(offsets).alias("slot")).withColumn("i", F.col("run") + F.col("slot"))
+        met = asked.join(nodes.select("tree", "i", "digest"), ["tree", "i"])
+        run = met.groupBy("tree", "run", "n").agg(F.array_sort(F.collect_list(F.struct("slot", "digest"))).alias("nodes"))
+        children = F.unhex(F.array_join(F.transform("nodes", lambda x: F.hex(x["digest"])), ""))
+        up = run.select("tree", (F.col("run") / arity).cast("long").alias("i"), F.ceil(F.col("n") / arity).alias("n"), children.alias("children"))
+        levels.append(cut(up.withColumn("digest", F.unhex(F.sha2(hexed(F.col("children")).cast("binary"), 256))), name))
         most = -(-most // arity)
     return levels
 
@@ -80,12 +79,13 @@ def descend(levels: list[DataFrame], tops: DataFrame, arity: int) -> DataFrame:
         if above is not None:
             up = above.select("tree", F.col("i").alias("run"), F.col("children").alias("siblings"), F.col("path").alias("rest"), *others)
             met = nodes.filter("n > 1").withColumn("run", F.floor(F.col("i") / arity)).join(up, ["tree", "run"])
-            before = F.substring("siblings", F.lit(1), F.col("slot") * 32)
-            after = F.substring("siblings", F.col("slot") * 32 + 33, F.lit(32 * arity))
+            slot = F.pmod("i", F.lit(arity)).cast("int")
+            before = F.substring("siblings", F.lit(1), slot * 32)
+            after = F.substring("siblings", slot * 32 + 33, F.lit(32 * arity))
             step = F.array(F.struct(before.alias("before"), after.alias("after")))
             found = found.unionByName(met.withColumn("path", F.concat(step, "rest")).drop("run", "siblings", "rest"))
         above = found
-    return above.drop("slot")
+    return above
 
 
 def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tree: str = "source", order: str = "doc_id", arity: int = 16, carry: dict[str, Column] | None = None) -> DataFrame:
