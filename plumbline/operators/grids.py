@@ -175,23 +175,60 @@ def block_mean(pixels: DataFrame, factor: int, value: str = "v") -> DataFrame:
     return pixels.groupBy("image", F.floor(F.col("r") / factor).alias("r"), F.floor(F.col("c") / factor).alias("c")).agg(F.avg(value).alias(value))
 
 
+#: Cells along a tile's side.
+TILE = 32
+
+
+def tiled(cells: DataFrame, keys: list[str], values: list[str], size: int = TILE, halo: int = 0) -> DataFrame:
+    """Cells (keys, r, c, values) as rows of ``size`` x ``size``: keys, tr, tc, r0, c0, w, h and an array a value.
+
+    An array has the tile's smallest rectangle of cells, row by row, null where there is none;
+    with ``halo`` a tile also has so many rows and columns of those below and right of it.
+    A cell is there once.
+    """
+    at = lambda c: F.sequence(F.floor((F.col(c) - halo) / size), F.floor(F.col(c) / size)) if halo else F.array(F.floor(F.col(c) / size))
+    rows = cells.select(*keys, "r", "c", F.struct(*values).alias("__v"), F.explode(at("r")).alias("tr")).withColumn("tc", F.explode(at("c")))
+    made = rows.groupBy(*keys, "tr", "tc").agg(F.min("r").alias("r0"), F.max("r").alias("__r1"), F.min("c").alias("c0"), F.max("c").alias("__c1"), F.collect_list(F.struct("r", "c", "__v")).alias("__cells"))
+    made = made.withColumns({"w": (F.col("__c1") - F.col("c0") + 1).cast("int"), "h": (F.col("__r1") - F.col("r0") + 1).cast("int")})
+    place = lambda x: ((x["r"] - F.col("r0")) * F.col("w") + x["c"] - F.col("c0")).cast("int")
+    own = F.transform("__cells", lambda x: F.struct(place(x).alias("at"), F.lit(1).alias("some"), x["__v"].alias("v")))
+    none = F.transform(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1), lambda i: F.struct(i.alias("at"), F.lit(0).alias("some"), F.lit(None).cast(made.schema["__cells"].dataType.elementType["__v"].dataType).alias("v")))
+    made = made.withColumn("__all", F.sort_array(F.when(F.size("__cells") == F.col("w") * F.col("h"), own).otherwise(F.concat(own, none))))
+    # Of a place's two entries the one with a value comes second.
+    last = F.filter("__all", lambda x, i: (x["some"] == 1) | (F.get("__all", i + 1)["at"].isNull()) | (F.get("__all", i + 1)["at"] != x["at"]))
+    def only(v: str) -> Column:
+        return F.transform("__kept", lambda x: x["v"][v]).alias(v)
+
+    return made.withColumn("__kept", last).select(*keys, "tr", "tc", "r0", "c0", "w", "h", *map(only, values))
+
+
+def in_tile(array: str | Column, r: Column, c: Column, prefix: str = "") -> Column:
+    """The value at (r, c) of a tile's array; null outside it."""
+    at = {k: F.col(prefix + k) for k in ("r0", "c0", "w", "h")}
+    y, x = r - at["r0"], c - at["c0"]
+    return F.when((y >= 0) & (x >= 0) & (y < at["h"]) & (x < at["w"]), F.get(array, (y * at["w"] + x).cast("int")))
+
+
 def bilinear(points: DataFrame, pixels: DataFrame, half_pixel: bool = True, value: str = "v") -> DataFrame:
-    """Value at (image, x, y) of each point (id): four cells joined by equality, weights added up.
+    """``points`` (image, x, y and others) with the value at each, each row for itself.
 
-    Null unless all four cells that carry weight are there and not null.  ``half_pixel``: the
-    first cell's centre is at 0.5; otherwise its corner is at 0.
+    A point meets one tile of pixels, which has a row and a column of its neighbours too, so
+    nothing is exploded and equal points stay as many as they are.  Null unless all of the four
+    cells that carry weight are there and not null.  ``half_pixel``: the first cell's centre is
+    at 0.5; otherwise its corner is at 0.
     """
     s = 0.5 if half_pixel else 0.0
-    u, v = F.col("x") - s, F.col("y") - s
-    df = points.withColumns({"u": u, "w": v, "c0": F.floor(u), "r0": F.floor(v)})
-    corner = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (0, 1) for b in (0, 1))))
-    df = df.withColumn("d", corner).withColumns({"r": F.col("r0") + F.col("d.dr"), "c": F.col("c0") + F.col("d.dc")})
-    fx, fy = F.col("u") - F.col("c0"), F.col("w") - F.col("r0")
-    weight = F.when(F.col("d.dc") == 1, fx).otherwise(1 - fx) * F.when(F.col("d.dr") == 1, fy).otherwise(1 - fy)
-    df = df.withColumn("weight", weight).filter("weight > 0")
-    got = df.join(pixels.select("image", "r", "c", F.col(value).alias("__v")), ["image", "r", "c"], "left")
-    keys = points.columns
-    return got.groupBy(*keys).agg(F.when(F.count_if(F.col("__v").isNull()) == 0, F.sum(F.col("weight") * F.col("__v"))).alias(value))
+    keep = [c for c in points.columns if c != value]
+    df = points.select(*keep).withColumns({"__u": F.col("x") - s, "__w": F.col("y") - s}).withColumns({"__pc": F.floor("__u"), "__pr": F.floor("__w")})
+    df = df.withColumns({"__tr": F.floor(F.col("__pr") / TILE), "__tc": F.floor(F.col("__pc") / TILE)})
+    tiles = tiled(pixels.select("image", "r", "c", F.col(value).alias("__value")), ["image"], ["__value"], halo=1).withColumnsRenamed({"image": "__image", "tr": "__tr2", "tc": "__tc2", **{k: f"__t_{k}" for k in ("r0", "c0", "w", "h")}})
+    got = df.join(tiles, (F.col("image") == F.col("__image")) & (F.col("__tr") == F.col("__tr2")) & (F.col("__tc") == F.col("__tc2")), "left")
+    fx, fy, terms = F.col("__u") - F.col("__pc"), F.col("__w") - F.col("__pr"), []
+    for dr in (0, 1):
+        for dc in (0, 1):
+            weight = (fx if dc else 1 - fx) * (fy if dr else 1 - fy)
+            terms.append(F.when(weight > 0, weight * in_tile("__value", F.col("__pr") + dr, F.col("__pc") + dc, "__t_").cast("double")).otherwise(F.lit(0.0)))
+    return got.select(*keep, (terms[0] + terms[1] + terms[2] + terms[3]).alias(value))
 
 
 def window_fractions(points: DataFrame, classes: DataFrame, reach: int, n_classes: int = 6) -> DataFrame:

@@ -38,34 +38,75 @@ def heights(points: DataFrame, terrain: DataFrame, cell: float, x: str = "x", y:
     return at.join(cells, ["__r", "__c"], "left").drop("__r", "__c")
 
 
+#: Cells along the sides of the blocks whose greatest heights rays are held against, coarsest first; the last are the tiles.
+BLOCKS = (256, grids.TILE)
+
+
+def crests(terrain: DataFrame, size: int) -> DataFrame:
+    """The greatest height (br, bc, top) of each block of ``size`` x ``size`` cells."""
+    return terrain.groupBy(F.floor(F.col("r") / size).alias("br"), F.floor(F.col("c") / size).alias("bc")).agg(F.max(F.col("z").cast("double")).alias("top"))
+
+
+def _first_below(rays: DataFrame, by: list[str], terrain: DataFrame, cell: float, parts: int, blocks: tuple[int, ...], name: str) -> DataFrame:
+    """``rays`` (with lo and hi) and ``name``, the least k of 1..``parts`` at whose point, k parts of ``hi - lo`` past lo, the terrain is not lower.
+
+    A ray is cut into runs of points in one block, coarse blocks first.  Of a run only the points
+    no higher than the block's crest go on, and those in blocks without terrain go no further, so
+    a ray has about a row a level (its first run stays to carry it).  At the last level a run
+    meets its tile of heights.  Rays whose lo is null have no k.
+    """
+    along = lambda k, a: f"(o{a} + (lo + {k} * (hi - lo) / {parts}) * d{a})"
+    cell_of = lambda k, a: f"floor({along(k, a)} / {cell!r}D)"
+    base = [*by, "__ray", "ox", "oy", "oz", "dx", "dy", "dz", "lo", "hi", "first"]
+    own = [c for c in rays.columns if c not in by]
+    line = {c: F.col(c).cast("double") for c in base[len(by) + 1 : -1]}
+    runs = rays.select(*by, F.struct(*own).alias("__ray"), *(c.alias(n) for n, c in line.items()), F.lit(True).alias("first"), F.expr("if(lo IS NULL, NULL, 1)").alias("k0"), F.lit(parts).alias("k1"))
+    for size in blocks:
+        block = lambda k, size=size: f"struct(floor({cell_of(k, 'y')} / {size}), floor({cell_of(k, 'x')} / {size}))"
+        one = f"{block('k0')} = {block('k1')}"  # then all between are in it too: x and y go one way
+        cut = f"""if({one}, array(struct(k0 AS `0`, k1 AS `1`)), arrays_zip(filter(sequence(k0, k1), k -> k = k0 OR {block('k')} <> {block('(k - 1)')}),
+            filter(sequence(k0, k1), k -> k = k1 OR {block('k')} <> {block('(k + 1)')})))"""
+        runs = runs.select(*base, F.posexplode_outer(F.expr(f"if(k0 IS NULL, NULL, {cut})")).alias("pos", "run"))
+        runs = runs.select(*base[:-1], F.expr("first AND coalesce(pos, 0) = 0").alias("first"), F.col("run.`0`").alias("k0"), F.col("run.`1`").alias("k1"))
+        runs = runs.withColumns({"br": F.expr(f"floor({cell_of('k0', 'y')} / {size})"), "bc": F.expr(f"floor({cell_of('k0', 'x')} / {size})")})
+        if size != blocks[-1]:
+            runs = runs.join(crests(terrain, size).withColumn("bottom", F.lit(None).cast("double")), ["br", "bc"], "left")
+        else:
+            tiles = grids.tiled(terrain.select("r", "c", F.col("z").cast("double").alias("z")), [], ["z"], size).withColumnsRenamed({"tr": "br", "tc": "bc"})
+            whole = F.expr(f"w * h = {size * size} AND NOT exists(z, v -> v IS NULL)")
+            runs = runs.join(tiles.withColumns({"top": F.array_max("z"), "bottom": F.when(whole, F.array_min("z"))}), ["br", "bc"], "left")
+            base = [*base, "r0", "c0", "w", "h", "z"]
+        # The points at or below the crest are those from, or up to, where the ray passes it; below all heights of a whole tile one is enough.
+        at = lambda z: f"try_divide(try_divide({z} - oz, dz) - lo, hi - lo) * {parts}"
+        trimmed = {
+            "k0": f"if(dz < 0, greatest(k0, CAST(ceil({at('top')} - 1e-6) AS INT)), k0)",
+            "k1": f"if(dz > 0, least(k1, CAST(floor({at('top')} + 1e-6) AS INT)), if(dz < 0, least(k1, greatest(k0, coalesce(CAST(ceil({at('bottom')}) AS INT) + 1, k1))), k1))",
+        }
+        runs = runs.select(*base, "top", *(F.expr(e).alias(c) for c, e in trimmed.items()))
+        runs = runs.withColumn("live", F.expr("coalesce(k0 <= k1 AND (dz <> 0 OR oz <= top), false)")).filter("live OR first")
+        runs = runs.select(*base, F.expr("if(live, k0, NULL)").alias("k0"), F.expr("if(live, k1, NULL)").alias("k1"))
+    place = f"CAST(({cell_of('k', 'y')} - r0) * w + {cell_of('k', 'x')} - c0 AS INT)"
+    inside = f"{cell_of('k', 'y')} BETWEEN r0 AND r0 + h - 1 AND {cell_of('k', 'x')} BETWEEN c0 AND c0 + w - 1"
+    found = F.expr(f"array_min(filter(if(k0 IS NULL, NULL, sequence(k0, k1)), k -> {inside} AND {along('k', 'z')} <= get(z, {place})))")
+    made = runs.select(*by, "__ray", found.alias("k")).groupBy(*by).agg(F.any_value("__ray").alias("__ray"), F.min("k").alias(name))
+    return made.select(*by, "__ray.*", name)
+
+
 def march(rays: DataFrame, by: list[str], terrain: DataFrame, cell: float, steps: int = 48, halvings: int = 6) -> DataFrame:
     """Add s and hit: how far along each ray the terrain is met, and whether it is.
 
     ``rays`` has the key ``by``, ox, oy, oz, dx, dy, dz, near and far.  Equal steps from near
     to far bracket the first point at or below the terrain; that step is cut in 2 to the
     ``halvings`` parts to refine it.  A ray that meets nothing ends at far.  Points over no
-    terrain are not below it.
+    terrain are not below it.  Rays skip the blocks whose crests they pass over.
     """
-
     rest = [c for c in rays.columns if c not in by]
-
-    def first(df: DataFrame, lo: Column, hi: Column, parts: int, name: str) -> DataFrame:
-        """Add ``name``, the first of ``parts`` equal parts of a ray at whose end it is below; a ray's rows pass once."""
-        carried = F.struct(*(c for c in df.columns if c not in by)).alias("__ray")
-        tried = df.select(*by, carried, lo.alias("__lo"), hi.alias("__hi")).withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(parts))))
-        s = F.col("__lo") + F.col("__k") * (F.col("__hi") - F.col("__lo")) / parts
-        tried = tried.withColumns({f"__{a}": F.col(f"__ray.o{a}") + s * F.col(f"__ray.d{a}") for a in "xyz"})
-        below = F.coalesce(F.col("__z") <= F.col("tz"), F.lit(False))
-        met = heights(tried, terrain, cell, "__x", "__y").withColumn("__below", below).filter("__below OR __k = 1")
-        found = met.groupBy(*by).agg(F.any_value("__ray").alias("__ray"), F.min(F.when(F.col("__below"), F.col("__k"))).alias(name))
-        return found.select(*by, "__ray.*", name)
-
+    coarse = _first_below(rays.withColumns({"lo": F.col("near"), "hi": F.col("far")}), by, terrain, cell, steps, BLOCKS, "__coarse")
     step = (F.col("far") - F.col("near")) / steps
-    coarse = first(rays, F.col("near"), F.col("far"), steps, "__coarse")
-    begin = F.col("near") + (F.coalesce("__coarse", F.lit(1)) - 1) * step
+    lo = F.col("near") + (F.col("__coarse") - 1) * step
     parts = 1 << halvings
-    met = first(coarse, begin, begin + step, parts, "__fine")
-    s = F.when(F.col("__coarse").isNull(), F.col("far")).otherwise(begin + (F.coalesce("__fine", F.lit(parts)) - 0.5) * step / parts)
+    met = _first_below(coarse.withColumns({"lo": lo, "hi": lo + step}), by, terrain, cell, parts, BLOCKS[-1:], "__fine")
+    s = F.when(F.col("__coarse").isNull(), F.col("far")).otherwise(F.col("lo") + (F.coalesce("__fine", F.lit(parts)) - 0.5) * step / parts)
     return met.select(*by, *rest, s.alias("s"), F.col("__coarse").isNotNull().alias("hit"))
 
 
@@ -103,7 +144,8 @@ def warp(frames: DataFrame, pixels: DataFrame, terrain: DataFrame, cell: float,
     that many source pixels a patch pixel.  ``lidar`` and ``usable`` tell what it comes from.
     """
     by = ["image", "r", "c"]
-    seen = patch(above_ground(frames, terrain, cell), size, gsd)
+    spread = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = patch(above_ground(frames.repartition(spread, "image"), terrain, cell), size, gsd)
     seen = heights(seen, terrain, cell).withColumn("z", F.coalesce("tz", F.col("cz") - F.col("agl"))).drop("tz", "tl")
     for _ in range(rounds):
         # The pixel of a point before the camera has the point's own direction.
@@ -125,17 +167,16 @@ def warp(frames: DataFrame, pixels: DataFrame, terrain: DataFrame, cell: float,
         at = at.withColumn("share", F.lit(1.0))
     confidence = F.when(F.col("usable"), (255.0 * F.col("lidar") + 64.0 * (1 - F.col("lidar"))) * F.col("share")).otherwise(0.0)
     at = at.select(*by, F.col("x").alias("east"), F.col("y").alias("north"), F.col("u").alias("x"), F.col("v").alias("y"), "lidar", "usable", "agl", confidence.alias("confidence"))
-    asked = at.filter("x IS NOT NULL").select("image", F.col("r").alias("__r"), F.col("c").alias("__c"), "x", "y")
-    values = grids.bilinear(asked, pixels, half_pixel=False).select("image", F.col("__r").alias("r"), F.col("__c").alias("c"), F.col("v").alias("__v"))
-    return at.join(values, by, "left").select(*by, "east", "north", F.coalesce("__v", F.lit(0.0)).alias("v"), "confidence", "lidar", "usable", "agl")
+    return grids.bilinear(at, pixels, half_pixel=False).select(*by, "east", "north", F.coalesce("v", F.lit(0.0)).alias("v"), "confidence", "lidar", "usable", "agl")
 
 
-def mosaic(frames: DataFrame, pixels: DataFrame, terrain: DataFrame, cell: float, camera: Camera, size: int, gsd: float, agl_max: float | None = None, **options) -> tuple[DataFrame, DataFrame]:
+def mosaic(frames: DataFrame, pixels: DataFrame, terrain: DataFrame, cell: float, camera: Camera, size: int, gsd: float, agl_max: float | None = None, every: int = 1, **options) -> tuple[DataFrame, DataFrame]:
     """Warped frames blended on one grid (r, c, v, weight), and per frame its agl, share over lidar and whether it was skipped.
 
-    A frame over no terrain, or higher than ``agl_max`` above it, is skipped.
+    Of the frames only those whose number (image) ``every`` divides make a patch.  A frame over
+    no terrain, or higher than ``agl_max`` above it, is skipped.
     """
-    at = heights(frames, terrain, cell, "cx", "cy").withColumn("above", F.col("cz") - F.col("tz")).drop("tz", "tl")
+    at = heights(frames.filter(F.col("image") % every == 0), terrain, cell, "cx", "cy").withColumn("above", F.col("cz") - F.col("tz")).drop("tz", "tl")
     skip = F.lit(False) if agl_max is None else F.coalesce(F.col("above") > agl_max, F.lit(True))
     kept, skipped = at.filter(~skip), at.filter(skip)
     laid = warp(kept.drop("above"), pixels, terrain, cell, camera, size, gsd, **options)
@@ -157,9 +198,9 @@ def render(frames: DataFrame, scene: DataFrame, terrain: DataFrame, cell: float,
     world = {f"d{a}": sum((F.col("rot")[3 * i + j] * F.col("__d")[b] for j, b in enumerate("xyz")), F.lit(0.0)) for i, a in enumerate("xyz")}
     rays = px.withColumns({**world, **{f"o{a}": F.col(f"c{a}") for a in "xyz"}, "near": bounds[0] * F.col("agl"), "far": bounds[1] * F.col("agl")}).drop("__d")
     met = march(rays, by, terrain, cell, steps).withColumns({"x": F.col("ox") + F.col("s") * F.col("dx"), "y": F.col("oy") + F.col("s") * F.col("dy")})
-    at = met.select(*by, F.lit(0).alias("__scene"), F.when(F.col("hit"), F.col("x") / gsd).alias("x"), (F.col("y") / gsd).alias("y"))
-    ground = grids.bilinear(at.filter("x IS NOT NULL").select(F.col("image").alias("__i"), F.col("r").alias("__r"), F.col("c").alias("__c"), F.col("__scene").alias("image"), "x", "y"), scene.withColumn("image", F.lit(0)))
-    return at.select(*by).join(ground.select(F.col("__i").alias("image"), F.col("__r").alias("r"), F.col("__c").alias("c"), "v"), by, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    at = met.select(F.col("image").alias("__i"), "r", "c", F.lit(0).alias("image"), F.when(F.col("hit"), F.col("x") / gsd).alias("x"), (F.col("y") / gsd).alias("y"))
+    ground = grids.bilinear(at, scene.withColumn("image", F.lit(0)))
+    return ground.select(F.col("__i").alias("image"), "r", "c", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def rectify(frames: DataFrame, pixels: DataFrame, terrain: DataFrame, cell: float, camera: Camera, size: int, gsd: float) -> DataFrame:

@@ -35,6 +35,11 @@ VIEWS = {
     "pixels": """SELECT vec_id AS image, CAST(floor(i / 8) AS BIGINT) AS r, CAST(i % 8 AS BIGINT) AS c, v FROM (SELECT vec_id, {index} AS i, {value} AS v FROM {embeddings})""",
     # A class raster: one cell per order.
     "classes": """SELECT CAST(floor(o_orderkey / 128) AS BIGINT) AS r, CAST(o_orderkey % 128 AS BIGINT) AS c, CAST(o_custkey % 6 AS INT) AS class FROM {orders}""",
+    # Terrain: one cell of a metre per order.
+    "terrain": """SELECT CAST(floor(o_orderkey / 128) AS BIGINT) AS r, CAST(o_orderkey % 128 AS BIGINT) AS c, (o_custkey % 40) * 1e-1 AS z, CASE WHEN o_orderkey % 3 = 0 THEN 1e0 ELSE 0e0 END AS lidar FROM {orders}""",
+    # Camera frames above it: the 8 x 8 images, tilted forward by an angle of rational cosine (co) and sine (si).
+    "frames": """SELECT vec_id AS image, 2013e-2 + vec_id * 37 % 80 AS cx, 537e-2 + vec_id * 21e-2 AS cy, 30e0 + vec_id % 7 AS cz,
+        CASE vec_id % 3 WHEN 0 THEN 1e0 WHEN 1 THEN 96e-2 ELSE 8e-1 END AS co, CASE vec_id % 3 WHEN 0 THEN 0e0 WHEN 1 THEN 28e-2 ELSE 6e-1 END AS si FROM {embeddings}""",
     # Ways and their ordered node references; nodes are parts.
     "refs": """SELECT l_orderkey AS way, l_linenumber * 1000000 + l_partkey AS pos, l_partkey AS node FROM {lineitem}""",
     "nodes": """SELECT p_partkey AS node, CAST(p_partkey % 211 AS DOUBLE) AS east, CAST(p_size AS DOUBLE) AS north FROM {part} WHERE p_partkey % 9 <> 0""",

@@ -318,3 +318,21 @@ def test_turned_images_match(spark):
     table = lambda x: spark.createDataFrame([(0, r, c, float(x[r, c])) for r in range(64) for c in range(64)], "image long, r long, c long, v double")
     got = kernels.match_images(kernels.image_pairs(table(img), table(kernels.rotate_image(img, np.radians(7.0)))), spectral=True).first()
     assert got["rotation_deg"] == pytest.approx(7.0, abs=1.0) and abs(got["dx"]) < 1 and abs(got["dy"]) < 1
+
+
+def test_equal_points_are_sampled_each(spark):
+    pixels = spark.createDataFrame([(1, r, c, 10.0 + c) for r in range(40) for c in range(40) if (r, c) != (33, 33)], "image long, r long, c long, v double")
+    points = spark.createDataFrame([(1, 0.0, 1.0), (1, 0.0, 1.0), (1, 31.5, 31.25), (1, 32.5, 33.0), (1, 39.0, 39.0), (1, 39.5, 1.0), (2, 1.0, 1.0), (None, 1.0, 1.0), (1, None, 1.0)], "image long, x double, y double")
+    got = sorted(map(str, (tuple(r) for r in grids.bilinear(points, pixels, half_pixel=False).collect())))
+    want = [(1, 0.0, 1.0, 10.0), (1, 0.0, 1.0, 10.0), (1, 31.5, 31.25, 41.5), (1, 32.5, 33.0, None), (1, 39.0, 39.0, 49.0), (1, 39.5, 1.0, None), (2, 1.0, 1.0, None), (None, 1.0, 1.0, None), (1, None, 1.0, None)]
+    assert got == sorted(map(str, want))
+
+
+def test_tiles_hold_every_cell_once(spark):
+    cells = spark.createDataFrame([(0, -1, -1, 1.0), (0, 0, 0, 2.0), (0, 31, 5, None), (0, 32, 5, 4.0), (7, 3, 3, 5.0)], "image long, r long, c long, v double")
+    got = {(r["image"], r["tr"], r["tc"]): r for r in grids.tiled(cells, ["image"], ["v"]).collect()}
+    assert set(got) == {(0, -1, -1), (0, 0, 0), (0, 1, 0), (7, 0, 0)}
+    one = got[0, 0, 0]
+    assert (one["r0"], one["c0"], one["w"], one["h"]) == (0, 0, 6, 32) and one["v"][0] == 2.0 and len(one["v"]) == 192 and one["v"].count(None) == 191
+    halo = {(r["tr"], r["tc"]): r for r in grids.tiled(cells, ["image"], ["v"], halo=1).filter("image = 0").collect()}
+    assert halo[0, 0]["h"] == 33 and halo[0, 0]["v"][32 * 6 + 5] == 4.0 and halo[-1, -1]["v"] == [1.0, None, None, 2.0]
