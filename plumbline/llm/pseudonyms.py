@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 from .common import slices
 
 ROUNDS = 10
+#: Letters and digits beyond which a value is permuted digit by digit, not as one number.
+LONG = 20
+#: Characters beyond which a value's pseudonym is not kept for its next occurrence.
+KEPT = 200
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -27,9 +33,7 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of ``range(size)``: an alternating Feistel over a x b >= size, walked until inside."""
     if size < 2:
         return value
-    a = max(2, int(size**0.5))
-    while a * a < size:
-        a += 1
+    a = max(2, math.isqrt(size - 1) + 1)
     b = -(-size // a)
     while True:
         left, right = divmod(value, b)
@@ -44,7 +48,31 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
 
 
 def _round(key: bytes, tweak: str, size: int, r: int, half: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{tweak}|{size}|{r}|{half}".encode(), key=key, digest_size=16).digest(), "big")
+    """A keyed number with 64 bits more than either half has."""
+    said = f"{tweak}|{size:x}|{r}|{half:x}".encode()
+    width = max(16, size.bit_length() // 16 + 10)
+    if width <= 64:
+        return int.from_bytes(hashlib.blake2b(said, key=key, digest_size=width).digest(), "big")
+    return int.from_bytes(hashlib.shake_256(key + said).digest(width), "big")
+
+
+def _shifts(key: bytes, tweak: str, r: int, half: np.ndarray, n: int) -> np.ndarray:
+    """``n`` keyed numbers of 32 bits from a half's digits."""
+    return np.frombuffer(hashlib.shake_256(key + f"{tweak}|{r}|".encode() + half.tobytes()).digest(4 * n), "<u4").astype(np.int64)
+
+
+def permute_digits(digits: list[int], sizes: list[int], key: bytes, tweak: str) -> list[int]:
+    """A keyed permutation of all rows of digits below ``sizes``: an alternating Feistel between the row's halves.
+
+    Every digit of a half is shifted by its own part of a keyed stream that the other half
+    sets, so time is linear in the row and no digit stays by rule.
+    """
+    d, s = np.array(digits, np.int64), np.array(sizes, np.int64)
+    h = len(d) // 2
+    for r in range(ROUNDS):
+        own, other = (slice(None, h), slice(h, None)) if r % 2 == 0 else (slice(h, None), slice(None, h))
+        d[own] = (d[own] + _shifts(key, tweak, r, d[other].astype("<i8"), len(d[own]))) % s[own]
+    return d.tolist()
 
 
 def luhn(digits: str) -> int:
@@ -64,19 +92,22 @@ def permute_text(text: str, key: bytes, tweak: str, alphabet: str | None = None)
     """Permute the letters and digits of ``text`` among texts with the same classes in the same places."""
     places = [(c, (alphabet if alphabet and c in alphabet else _CLASS.get(c))) for c in text]
     shape = "".join("." if k is None else k[0] for _, k in places)
-    size, value = 1, 0
-    for c, k in places:
-        if k:
-            size, value = size * len(k), value * len(k) + k.index(c)
     fixed = "".join(c for c, k in places if k is None)
-    made = permute(value, size, key, f"{tweak}|{shape}|{fixed}")
-    out = []
-    for c, k in reversed(places):
-        if k:
-            made, i = divmod(made, len(k))
-            c = k[i]
-        out.append(c)
-    return "".join(reversed(out))
+    tweak = f"{tweak}|{shape}|{fixed}"
+    classes = [k for _, k in places if k]
+    digits = [k.index(c) for c, k in places if k]
+    if len(digits) > LONG:
+        tweak = hashlib.blake2b(tweak.encode(), digest_size=16).hexdigest()
+        digits = permute_digits(digits, [len(k) for k in classes], key, tweak)
+    elif digits:
+        size, value = math.prod(len(k) for k in classes), 0
+        for d, k in zip(digits, classes, strict=True):
+            value = value * len(k) + d
+        made = permute(value, size, key, tweak)
+        for i in range(len(digits) - 1, -1, -1):
+            made, digits[i] = divmod(made, len(classes[i]))
+    made = iter([k[d] for d, k in zip(digits, classes, strict=True)])
+    return "".join(c if k is None else next(made) for c, k in places)
 
 
 def _digits(text: str, made: str) -> str:
@@ -135,7 +166,7 @@ def ip(text: str, key: bytes) -> str | None:
 
 
 def date(text: str, key: bytes) -> str | None:
-    """A calendar date from 1900 to 2099: y-m-d, or d.m.y and m/d/y, each among its own format."""
+    """A calendar date: y-m-d, or d.m.y and m/d/y, each among its own format, and from 1900 to 2099 among these years."""
     m = re.fullmatch(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4})", text)
     if not m:
         return None
@@ -149,12 +180,17 @@ def date(text: str, key: bytes) -> str | None:
         day = datetime.date(y, mo, d).toordinal()
     except ValueError:
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
-        return None
-    at = datetime.date.fromordinal(FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
+    n = LAST_DAY - FIRST_DAY + 1
+    if FIRST_DAY <= day <= LAST_DAY:
+        made = FIRST_DAY + permute(day - FIRST_DAY, n, key, "date")
+    else:  # the days before and after, as one row
+        made = 1 + permute(day - 1 if day < FIRST_DAY else day - 1 - n, datetime.date.max.toordinal() - n, key, "far date")
+        made += n if made >= FIRST_DAY else 0
+    at = datetime.date.fromordinal(made)
     wide = len(text) == 10
     f = (lambda v: f"{v:02d}") if wide else str
-    return {"ymd": f"{at.year}{sep}{f(at.month)}{sep}{f(at.day)}", "mdy": f"{f(at.month)}{sep}{f(at.day)}{sep}{at.year}", "dmy": f"{f(at.day)}{sep}{f(at.month)}{sep}{at.year}"}[form]
+    year = f"{at.year:04d}"
+    return {"ymd": f"{year}{sep}{f(at.month)}{sep}{f(at.day)}", "mdy": f"{f(at.month)}{sep}{f(at.day)}{sep}{year}", "dmy": f"{f(at.day)}{sep}{f(at.month)}{sep}{year}"}[form]
 
 
 def iban(text: str, key: bytes) -> str | None:
@@ -180,10 +216,11 @@ def secret(text: str, key: bytes) -> str | None:
     return permute_text(text, key, "secret", "0123456789ABCDEF" if text.upper() == text else "0123456789abcdef")
 
 
-#: kind -> (pattern, pseudonym or None if not valid), first match first.
+#: kind -> (pattern, pseudonym or None if not valid), first match first.  A group v is the value, else the match
+#: is; runs of unknown length are entered at their start alone and not given back, so a search is linear.
 KINDS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
-    "email": (r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
-    "secret": (r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])", secret),
+    "email": (r"(?<![A-Za-z0-9._%+-])[._%+-]*+(?P<v>[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", email),
+    "secret": (r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])", secret),
     "iban": (r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", iban),
     "phone": (r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?![\w])|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])", phone),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
@@ -202,13 +239,18 @@ def replace(text: str, found: list, memo: Callable[[str, str], str | None]) -> t
     """The text with pseudonyms, and (kind, begin, end) of each value in the original, in order."""
     spans: list[tuple[int, int, str, str]] = []
     for kind, pattern, _ in found:
+        new, i = [], 0
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, *_ in spans):
+            begin, end = m.span("v" if "v" in pattern.groupindex else 0)
+            while i < len(spans) and spans[i][1] <= begin:
+                i += 1
+            if i < len(spans) and spans[i][0] < end:
                 continue
-            made = memo(kind, m[0])
-            if made is not None and made != m[0]:
-                spans.append((m.start(), m.end(), kind, made))
-    spans.sort()
+            value = text[begin:end]
+            made = memo(kind, value)
+            if made is not None and made != value:
+                new.append((begin, end, kind, made))
+        spans = sorted(spans + new)
     out, at = [], 0
     for a, b, _, made in spans:
         out += [text[at:a], made]
@@ -224,7 +266,8 @@ def pseudonymise(docs: DataFrame, key: str, kinds: tuple[str, ...] = tuple(KINDS
     without such data is unchanged; null doc_ids are carried; equal texts get equal results;
     empty ``docs``: no rows.  A value whose pseudonym is by chance itself is not counted.  Values that do not validate (a wrong check digit in an
     account number, an impossible date or octet) are left, but for long digit runs, which are
-    permuted among those that do not validate either.  Keep ``key`` secret and the same for
+    permuted among those that do not validate either.  Values and texts may be of any length;
+    time is linear in them.  Keep ``key`` secret and the same for
     all documents that must stay linked.  Other columns are ignored.
     """
     secret_key = hashlib.blake2b(key.encode(), digest_size=32).digest()
@@ -236,9 +279,12 @@ def pseudonymise(docs: DataFrame, key: str, kinds: tuple[str, ...] = tuple(KINDS
         quick = re.compile(r"[0-9]|@|[A-Fa-f]{32}")
 
         @lru_cache(maxsize=50_000)
-        def memo(kind: str, value: str) -> str | None:
+        def short(kind: str, value: str) -> str | None:
             return by_kind[kind](value, secret_key)
 
+        def memo(kind: str, value: str) -> str | None:
+            return short(kind, value) if len(value) <= KEPT else by_kind[kind](value, secret_key)
+
         for batch in slices(batches):
             texts, n, spans = [], [], []
             for text in batch.column("text").to_pylist():
