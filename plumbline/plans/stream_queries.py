@@ -30,10 +30,10 @@ add("t02_descriptor_cache", "track", lambda t: s.batch_twin(_asked(t), s.descrip
   FROM f JOIN q ON q.run_id = f.run_id AND q.k = f.k + 1, LATERAL (SELECT sqrt(pow(q.e - f.e, 2) + pow(q.n - f.n, 2)) <= 1200 AND q.g = f.g AS ok) z) SELECT run_id, ord, hit, misses FROM f""")
 
 _requests = lambda t: t.select("run_id", "ord", F.col("ord").cast("double").alias("t"), (F.col("path_cm") / 100.0).alias("east"), F.col("value").alias("north"))
-add("t03_prefetch_ticks", "track", lambda t: timers.prefetch_ticks(_requests(t), 40.0, 2.9371, 1000.0), """WITH q AS (SELECT run_id, CAST(ord AS DOUBLE) AS t, path_cm / 1e2 AS e, value AS n, lag(CAST(ord AS DOUBLE)) OVER w AS pt, lag(path_cm / 1e2) OVER w AS pe, lag(value) OVER w AS pn, lead(CAST(ord AS DOUBLE)) OVER w AS nt FROM track WINDOW w AS (PARTITION BY run_id ORDER BY ord)),
+add("t03_prefetch_ticks", "track", lambda t: timers.prefetch_ticks(_requests(t), 40.0, 2.9495762407505253, 1000.0), """WITH q AS (SELECT run_id, CAST(ord AS DOUBLE) AS t, path_cm / 1e2 AS e, value AS n, lag(CAST(ord AS DOUBLE)) OVER w AS pt, lag(path_cm / 1e2) OVER w AS pe, lag(value) OVER w AS pn, lead(CAST(ord AS DOUBLE)) OVER w AS nt FROM track WINDOW w AS (PARTITION BY run_id ORDER BY ord)),
  v AS (SELECT *, coalesce((e - pe) / (t - pt), 0e0) AS ve, coalesce((n - pn) / (t - pt), 0e0) AS vn FROM q),
  k AS (SELECT *, unnest(range(CAST(ceil(t / 40) AS BIGINT), CAST(least(ceil(coalesce(nt, 1e18) / 40) - 1, floor((t + 1000) / 40)) AS BIGINT) + 1)) AS k FROM v WHERE sqrt(ve * ve + vn * vn) >= 1e-3)
- SELECT run_id, k * 4e1 AS tick_s, e + ve * 29371e-4 AS east, n + vn * 29371e-4 AS north, 2 * 29371e-4 * sqrt(ve * ve + vn * vn) AS radius_m FROM k""", "tick_s, east, north, radius_m", "run_id")
+ SELECT run_id, k * 4e1 AS tick_s, e + ve * 29495762407505253e-16 AS east, n + vn * 29495762407505253e-16 AS north, 2 * 29495762407505253e-16 * sqrt(ve * ve + vn * vn) AS radius_m FROM k""", "tick_s, east, north, radius_m", "run_id")
 
 
 def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
