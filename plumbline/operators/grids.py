@@ -214,7 +214,7 @@ def bilinear(points: DataFrame, pixels: DataFrame, half_pixel: bool = True, valu
 
     A point meets one tile of pixels, which has a row and a column of its neighbours too, so
     nothing is exploded and equal points stay as many as they are.  Null unless all of the four
-    cells that carry weight are there and not null.  ``half_pixel``: the first cell's centre is
+    cells that carry weight are there and not null, and for points without x or y.  ``half_pixel``: the first cell's centre is
     at 0.5; otherwise its corner is at 0.
     """
     s = 0.5 if half_pixel else 0.0
@@ -227,7 +227,7 @@ def bilinear(points: DataFrame, pixels: DataFrame, half_pixel: bool = True, valu
     for dr in (0, 1):
         for dc in (0, 1):
             weight = (fx if dc else 1 - fx) * (fy if dr else 1 - fy)
-            terms.append(F.when(weight > 0, weight * in_tile("__value", F.col("__pr") + dr, F.col("__pc") + dc, "__t_").cast("double")).otherwise(F.lit(0.0)))
+            terms.append(F.when(weight > 0, weight * in_tile("__value", F.col("__pr") + dr, F.col("__pc") + dc, "__t_").cast("double")).when(weight == 0, 0.0))
     return got.select(*keep, (terms[0] + terms[1] + terms[2] + terms[3]).alias(value))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import angles, covariance
-from .quantiles import exact_quantiles, same_keys
+from .quantiles import Wanted, exact_quantiles, same_keys
 
 TERRAIN = ("urban", "suburban", "roads", "farmland", "forest", "water", "background")
 INTEGRITY_M = 50.0
@@ -65,10 +65,18 @@ def fix_rates() -> list[Column]:
     ]
 
 
-def fix_quantiles(df: DataFrame, by: list[str]) -> DataFrame:
-    """Those that are quantiles: of the heading error where accepted, and of the latency."""
+def _quantiles() -> dict[str, tuple[Column, float]]:
     yaw, late = accepted("yaw_err_deg"), F.col("latency_ms")
-    return exact_quantiles(df, by, {"re_med_deg": (yaw, 0.5), "re_p95_deg": (yaw, 0.95), "latency_p50_ms": (late, 0.5), "latency_p95_ms": (late, 0.95)})
+    return {"re_med_deg": (yaw, 0.5), "re_p95_deg": (yaw, 0.95), "latency_p50_ms": (late, 0.5), "latency_p95_ms": (late, 0.95)}
+
+
+def _attributes() -> dict[str, tuple[Column, float]]:
+    return {f"{a}_{n}": (accepted(a), q) for a in QUALITY for n, q in (("p5", 0.05), ("median", 0.5), ("p95", 0.95))}
+
+
+def fix_quantiles(df: DataFrame, by: list[str], few: bool = False) -> DataFrame:
+    """Those that are quantiles: of the heading error where accepted, and of the latency."""
+    return exact_quantiles(df, by, _quantiles(), few)
 
 
 def fix_level(fixes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -77,23 +85,74 @@ def fix_level(fixes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return same_keys(df.groupBy(*by).agg(*fix_rates()), fix_quantiles(df, list(by)), list(by), "left")
 
 
+def _scopes(asked: Wanted, fixes: DataFrame, aggregates: list[Column], columns: list[str]) -> DataFrame:
+    """``aggregates`` and quantiles overall (scope 'all') and by listed terrain class, by GROUPING SETS.
+
+    Labels outside the list only count overall.  The first pass has all sums and bounds, the
+    second settles the quantiles; of the eight scopes at most a row each goes to all tasks.
+    """
+    listed = F.when(F.col("terrain").isin(*TERRAIN), F.col("terrain"))
+    rows = fixes.select(listed.alias("scope"), *columns, *asked.values())
+    sets = rows.groupingSets([[], ["scope"]], "scope").agg(F.grouping("scope").alias("__all"), *aggregates, *asked.ends())
+    sets = sets.filter("__all = 1 OR scope IS NOT NULL").withColumn("scope", F.coalesce("scope", F.lit("all")))
+    both = F.array_compact(F.array(F.lit("all"), F.col("scope")))
+    values = rows.select(F.explode(both).alias("scope"), *asked.columns)
+    made = asked.settle(values, sets, ["scope"], few=True)
+    return sets.join(F.broadcast(made), "scope", "left").drop("__all", *(f"{a}{e}" for a in asked.columns for e in "nlhb"))
+
+
 def fix_level_by_terrain(fixes: DataFrame) -> DataFrame:
     """Overall ('all') and by listed terrain class; labels outside the list only count overall."""
-    known = F.when(F.col("terrain").isin(*TERRAIN), F.array(F.lit("all"), F.col("terrain"))).otherwise(F.array(F.lit("all")))
-    return fix_level(fixes.withColumn("terrain", F.explode(known)), ("terrain",))
+    made = _scopes(Wanted(_quantiles()), with_errors(fixes), fix_rates(), ["accepted", "pos_err"])
+    return made.withColumnRenamed("scope", "terrain")
+
+
+def _sides(bias: tuple[float, float]) -> list[Column]:
+    """The shares that a map bias changes, with it (left in) and without it (taken off)."""
+    return [c(e).alias(f"{n}_{side}") for side, e in (("with", "pos_err"), ("without", "pos_err_b")) for n, c in ((*((f"a_at_{d}", lambda e, d=d: within(float(d), e)) for d in (5, 10, 20, 50)), ("ifr", lambda e: beyond(err=e))))]
+
+
+_SHARED = ("n_attempts", "n_accepted", "acceptance_rate", "re_med_deg", "re_p95_deg", "latency_p50_ms", "latency_p95_ms")
+_BIASED = ("a_at_5", "a_at_10", "a_at_20", "a_at_50", "ifr")
+
+
+def _with_both(fixes: DataFrame, bias: tuple[float, float]) -> DataFrame:
+    return with_errors(fixes).withColumn("pos_err_b", angles.position_error(F.col("east_err") - bias[0], F.col("north_err") - bias[1]))
 
 
 def dual_bias(fixes: DataFrame, bias: tuple[float, float]) -> DataFrame:
-    """The figures with the map bias and without it."""
-    modes = F.array(F.struct(F.lit("with").alias("mode"), F.lit(0.0).alias("e"), F.lit(0.0).alias("n")), F.struct(F.lit("without").alias("mode"), F.lit(bias[0]).alias("e"), F.lit(bias[1]).alias("n")))
-    df = fixes.withColumn("b", F.explode(modes)).withColumns({"est_east": F.col("est_east") - F.col("b.e"), "est_north": F.col("est_north") - F.col("b.n"), "mode": F.col("b.mode")})
-    return fix_level(df, ("mode",))
+    """The figures with the map bias and without it, side by side in one pass; a row each in the end."""
+    df = _with_both(fixes, bias)
+    wide = same_keys(df.agg(*fix_rates()[:3], *_sides(bias)), fix_quantiles(df, []), [])
+    modes = F.array(*(F.struct(F.lit(m).alias("mode"), *(F.col(c) for c in _SHARED), *(F.col(f"{c}_{m}").alias(c) for c in _BIASED)) for m in ("with", "without")))
+    return wide.select(F.explode(modes).alias("x")).select("x.*")
+
+
+def summary(fixes: DataFrame, bias: tuple[float, float] = (0.0, 0.0), level: str = "B", target: str = "x86", git_sha: str = "", seed: int | None = None) -> DataFrame:
+    """One row per scope (overall and by listed terrain class) with what a run's summary has.
+
+    fix_level and fix_level_without_bias are structs of the twelve figures, quality an array of
+    (attribute, p5, median, p95) over accepted rows; n counts the scope's rows, accepted or not.
+    """
+    asked = Wanted(_quantiles() | _attributes())
+    made = _scopes(asked, _with_both(fixes, bias), [*fix_rates()[:3], *_sides(bias)], ["accepted", "pos_err", "pos_err_b"])
+    figures = lambda side: F.struct(*(F.col(c) for c in _SHARED), *(F.col(f"{c}_{side}").alias(c) for c in _BIASED))
+    quality = F.array(*(F.struct(F.lit(a).alias("attribute"), *(F.col(f"{a}_{n}").alias(n) for n in ("p5", "median", "p95"))) for a in QUALITY))
+    head = F.struct(F.lit(level).alias("level"), F.lit(target).alias("target"), F.lit(git_sha).alias("git_sha"), F.lit(seed).cast("long").alias("seed"), F.lit(bias[0]).alias("bias_east"), F.lit(bias[1]).alias("bias_north"))
+    return made.select(head.alias("run"), "scope", F.col("n_attempts").alias("n"), figures("with").alias("fix_level"), figures("without").alias("fix_level_without_bias"), quality.alias("quality"))
+
+
+def sweep(fixes: DataFrame, parameter: str, bias: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """The error against a swept parameter: per value and over all (null, total) the shares and root mean square, by ROLLUP."""
+    df = with_errors(fixes, bias)
+    return df.rollup(parameter).agg(F.grouping(parameter).alias("total"), *fix_rates(), F.sqrt(F.avg(F.when(F.col("accepted"), F.col("pos_err") * F.col("pos_err")))).alias("rmse"))
 
 
-def quality_distribution(fixes: DataFrame, attributes: tuple[str, ...] = QUALITY) -> DataFrame:
+def quality_distribution(fixes: DataFrame) -> DataFrame:
     """5th, 50th and 95th percentile of each quality attribute over accepted rows."""
-    long = fixes.filter("accepted").select(F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(a).cast("double").alias("v")) for a in attributes))).alias("x")).select("x.*")
-    return exact_quantiles(long, ["attribute"], {"p5": (F.col("v"), 0.05), "median": (F.col("v"), 0.5), "p95": (F.col("v"), 0.95)})
+    wide = exact_quantiles(fixes, [], _attributes())
+    rows = F.array(*(F.struct(F.lit(a).alias("attribute"), *(F.col(f"{a}_{n}").alias(n) for n in ("p5", "median", "p95"))) for a in QUALITY))
+    return wide.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def recall_curve(fixes: DataFrame, distances: tuple[float, ...] = RECALL_M) -> DataFrame:

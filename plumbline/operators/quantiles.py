@@ -6,6 +6,9 @@ below are counted and only those between, a small share, are put in order.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,41 +27,61 @@ def same_keys(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") ->
     return a.join(b, on, how).drop(*(f"__{k}" for k in by))
 
 
-def exact_quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+class Wanted:
+    """Quantiles by name: which columns they are of, and what a first pass must aggregate to bound them."""
+
+    def __init__(self, wanted: dict[str, tuple[Column, float]]) -> None:
+        self.columns: dict[str, Column] = {}
+        self.names: dict[str, list[tuple[str, float]]] = {}
+        for name, (value, q) in wanted.items():
+            alias = next((a for a, c in self.columns.items() if str(c) == str(value)), f"__v{len(self.columns)}")
+            self.columns[alias] = value
+            self.names.setdefault(alias, []).append((name, q))
+
+    def values(self) -> list[Column]:
+        return [c.cast("double").alias(a) for a, c in self.columns.items()]
+
+    def ends(self) -> list[Column]:
+        """Aggregates: count, least, greatest and for each quantile two values of the sketch about it."""
+        out, slack = [], 3.0 / ACCURACY
+        for a, asked in self.names.items():
+            cuts = [c for _, q in asked for c in (max(0.0, q - slack), min(1.0, q + slack))]
+            out += [F.count(a).alias(f"{a}n"), F.min(a).alias(f"{a}l"), F.max(a).alias(f"{a}h"), F.percentile_approx(a, cuts, ACCURACY).alias(f"{a}b")]
+        return out
+
+    def settle(self, rows: DataFrame, bounds: DataFrame, by: list[str], few: bool) -> DataFrame:
+        """The quantiles of ``rows`` (by, values) from ``bounds`` (by, ends): rows below are counted, those between put in order."""
+        ends, at, names = [], {}, []
+        for a, asked in self.names.items():
+            n = F.col(f"{a}n")
+            for i, (name, q) in enumerate(asked):
+                small = n < 2 * ACCURACY  # the sketch's error is less than a few rows there
+                ends += [F.when(small, F.col(f"{a}l")).otherwise(F.col(f"{a}b")[2 * i]).alias(f"__lo_{name}"), F.when(small, F.col(f"{a}h")).otherwise(F.col(f"{a}b")[2 * i + 1]).alias(f"__hi_{name}")]
+                at[name] = F.lit(q) * (n - 1)
+                names.append((name, a))
+        limits = bounds.select(*by, *ends, *(f"{a}n" for a in self.columns))
+        met = same_keys(rows, F.broadcast(limits) if few or not by else limits, by)
+        below = met.groupBy(*by).agg(*(F.any_value(f"{a}n").alias(f"{a}n") for a in self.columns), *(F.count_if(F.col(a) < F.col(f"__lo_{name}")).alias(f"__below_{name}") for name, a in names))
+        within = {name: (F.col(a) >= F.col(f"__lo_{name}")) & (F.col(a) <= F.col(f"__hi_{name}")) for name, a in names}
+        inside = F.array_compact(F.array(*(F.when(within[name], F.struct(F.lit(name).alias("name"), F.col(a).alias("v"))) for name, a in names)))
+        counts = met.filter(reduce(or_, within.values())).select(*by, F.explode(inside).alias("x")).groupBy(*by, "x.name", "x.v").agg(F.count("*").alias("n"))
+        asked = below.select(*by, F.explode(F.array(*(F.struct(F.lit(name).alias("name"), at[name].alias("at"), F.col(f"__below_{name}").alias("below")) for name, _ in names))).alias("x")).select(*by, "x.*")
+        ranked = same_keys(counts, F.broadcast(asked) if few or not by else asked, [*by, "name"])
+        upto = F.col("below") + F.sum("n").over(W.partitionBy(*by, "name").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+        ranked = ranked.withColumn("upto", upto)
+        low, high = (F.min(F.when(F.col("upto") > f(F.col("at")), F.col("v"))) for f in (F.floor, F.ceil))
+        found = ranked.groupBy(*by, "name").agg(low.alias("low"), high.alias("high"), F.first("at").alias("at"))
+        value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at")))
+        wide = found.withColumn("value", value).groupBy(*by).agg(*(F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name, _ in names))
+        return same_keys(bounds.select(*by), F.broadcast(wide) if few else wide, by, "left") if by else wide
+
+
+def exact_quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, float]], few: bool = False) -> DataFrame:
     """``by`` and a column per entry of ``wanted`` (value, quantile): linear between ranks, nulls left out.
 
-    NaN counts as greater than all numbers.  A group without a value has null.
+    NaN counts as greater than all numbers.  A group without a value has null.  With ``few``
+    groups, as of a fixed list, a row each goes to all tasks and the rows themselves stay.
     """
-    values: dict[str, list[tuple[str, float]]] = {}
-    columns: dict[str, Column] = {}
-    for name, (value, q) in wanted.items():
-        key = str(value)
-        columns[key] = value
-        values.setdefault(key, []).append((name, q))
-    alias = {key: f"__v{i}" for i, key in enumerate(columns)}
-    rows = df.select(*by, *(columns[k].cast("double").alias(alias[k]) for k in columns))
-    slack = 3.0 / ACCURACY
-    ends = [F.count("*").alias("__rows")]
-    for key, asked in values.items():
-        v = F.col(alias[key])
-        ends += [F.count(v).alias(f"{alias[key]}n"), F.min(v).alias(f"{alias[key]}l"), F.max(v).alias(f"{alias[key]}h")]
-        cuts = [c for _, q in asked for c in (max(0.0, q - slack), min(1.0, q + slack))]
-        ends.append(F.percentile_approx(v, cuts, ACCURACY).alias(f"{alias[key]}b"))
-    bounds = rows.groupBy(*by).agg(*ends)
-    asked_rows, all_names = [], []
-    for key, asked in values.items():
-        for i, (name, q) in enumerate(asked):
-            all_names.append(name)
-            b, n = F.col(f"{alias[key]}b"), F.col(f"{alias[key]}n")
-            few = n < 2 * ACCURACY  # the sketch's error is less than a few rows there
-            lo, hi = F.when(few, F.col(f"{alias[key]}l")).otherwise(b[2 * i]), F.when(few, F.col(f"{alias[key]}h")).otherwise(b[2 * i + 1])
-            asked_rows.append(F.struct(F.lit(name).alias("name"), F.col(alias[key]).alias("v"), lo.alias("lo"), hi.alias("hi"), (F.lit(q) * (n - 1)).alias("at")))
-    met = same_keys(rows, bounds, by).select(*by, F.explode(F.array(*asked_rows)).alias("x")).select(*by, "x.*").filter("v IS NOT NULL AND v <= hi")
-    counts = met.groupBy(*by, "name", "at", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.partitionBy(*by, "name").orderBy(F.asc_nulls_first("v")).rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = counts.withColumn("upto", upto).filter("v IS NOT NULL")
-    low, high = (F.min(F.when(F.col("upto") > f(F.col("at")), F.col("v"))) for f in (F.floor, F.ceil))
-    found = ranked.groupBy(*by, "name").agg(low.alias("low"), high.alias("high"), F.first("at").alias("at"))
-    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at")))
-    wide = found.withColumn("value", value).groupBy(*by).agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in all_names))
-    return same_keys(bounds.select(*by), wide, by, "left") if by else wide
+    asked = Wanted(wanted)
+    rows = df.select(*by, *asked.values())
+    return asked.settle(rows, rows.groupBy(*by).agg(F.count("*").alias("__rows"), *asked.ends()), by, few)

@@ -115,3 +115,18 @@ def _reason():
 
 add("x04_rejection_reasons", "fixes", lambda f: f.groupBy(_reason().alias("reason")).agg(F.count("*").alias("n")), "SELECT CASE WHEN peak_ratio < 3e-1 THEN 'peak' WHEN latency_ms > 100 THEN 'latency' WHEN covisibility < 1e-1 THEN 'covisibility' ELSE 'accepted' END AS reason, count(*) AS n FROM fixes GROUP BY 1")
 add("x10_local_bias_map", "fixes", lambda f: m.with_errors(f).groupBy(F.floor(F.col("gt_east") / 100).alias("cell")).agg(F.avg("east_err").alias("bias_e"), F.avg("north_err").alias("bias_n"), F.stddev_samp("pos_err").alias("spread")).withColumn("level", F.when(F.hypot("bias_e", "bias_n") > 8, "reject").when(F.hypot("bias_e", "bias_n") > 3, "warn").otherwise("ok")), errors("SELECT cell, be AS bias_e, bn AS bias_n, s AS spread, CASE WHEN sqrt(be * be + bn * bn) > 8 THEN 'reject' WHEN sqrt(be * be + bn * bn) > 3 THEN 'warn' ELSE 'ok' END AS level FROM (SELECT CAST(floor(gt_east / 100) AS BIGINT) AS cell, avg(de) AS be, avg(dn) AS bn, stddev_samp(err) AS s FROM e GROUP BY 1)"), "bias_e, bias_n, spread", "cell, level")
+
+
+def _summary(f: DataFrame) -> DataFrame:
+    made = m.summary(f, (3.0, 4.0), seed=7)
+    sides = [F.col(f"{struct}.{c}").alias(f"{c}{end}") for struct, end in (("fix_level", ""), ("fix_level_without_bias", "_b")) for c in ("n_accepted", *FIGURES.split(", ")) if not end or c in ("a_at_5", "a_at_20", "a_at_50", "ifr")]
+    quality = [F.col("quality")[i][n].alias(f"{a}_{n}") for i, a in enumerate(m.QUALITY) for n in ("p5", "median", "p95")]
+    return made.select("scope", F.col("run.seed").alias("seed"), "n", *sides, *quality)
+
+
+QUANTILES = ", ".join(f"quantile_cont(CAST({a} AS DOUBLE), {q}) FILTER (WHERE accepted) AS {a}_{n}" for a in m.QUALITY for n, q in (("p5", 0.05), ("median", 0.5), ("p95", 0.95)))
+UNBIASED = ", ".join(f"avg(CASE WHEN errb <= {d} THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted) AS a_at_{d}_b" for d in (5, 20, 50)) + ", avg(CASE WHEN errb > 50 THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted) AS ifr_b"
+SUMMED = f"SELECT coalesce(scope, 'all') AS scope, CAST(7 AS BIGINT) AS seed, count(*) AS n, {AGG.replace('count(*) AS n_attempts, ', '')}, {UNBIASED}, {QUANTILES} FROM (SELECT *, sqrt(pow(de - 3, 2) + pow(dn - 4, 2)) AS errb, CASE WHEN terrain IN ({TERRAIN}) THEN terrain END AS scope FROM e) z GROUP BY GROUPING SETS ((), (scope)) HAVING grouping(scope) = 1 OR scope IS NOT NULL"
+add("a23_summary", "fixes", _summary, errors(SUMMED), ", ".join([FIGURES, "a_at_5_b, a_at_20_b, a_at_50_b, ifr_b", *(f"{a}_{n}" for a in m.QUALITY for n in ("p5", "median", "p95"))]), "scope, seed, n, n_accepted")
+_swept = lambda f: m.sweep(f.withColumn("level", F.floor("latency_ms") % 10), "level").select(F.coalesce("level", F.lit(-1)).alias("level"), "total", "n_attempts", "a_at_20", "ifr", "rmse")
+add("x11_error_by_sweep", "fixes", _swept, errors("SELECT coalesce(CAST(floor(latency_ms) % 10 AS BIGINT), -1) AS level, CAST(grouping(CAST(floor(latency_ms) % 10 AS BIGINT)) AS TINYINT) AS total, count(*) AS n_attempts, avg(CASE WHEN err <= 20 THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted) AS a_at_20, avg(CASE WHEN err > 50 THEN 1e0 ELSE 0e0 END) FILTER (WHERE accepted) AS ifr, sqrt(avg(err * err) FILTER (WHERE accepted)) AS rmse FROM e GROUP BY ROLLUP (CAST(floor(latency_ms) % 10 AS BIGINT))"), "a_at_20, ifr, rmse", "level, total, n_attempts")
