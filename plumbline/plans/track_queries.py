@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import rotation
+from ..functions import chi_square, rotation
 from ..operators import metrics as m
 from ..operators import ordered as o
+from ..operators import outages
 from .tools import add
 
 RUN = "OVER (PARTITION BY run_id ORDER BY ord)"
@@ -86,3 +87,26 @@ add("t03_look_ahead", "track", lambda t: o.look_ahead(t.withColumns({"east": F.c
 _span = lambda: W.partitionBy("run_id").orderBy("ord")
 add("x08_mode_fraction", "track", lambda t: t.withColumn("dt", F.lead("ord").over(_span()) - F.col("ord")).groupBy("run_id").agg(F.try_divide(F.sum(F.when(F.col("accepted"), F.col("dt")).otherwise(0)), F.sum("dt")).alias("share")), f"SELECT run_id, sum(CASE WHEN accepted THEN dt ELSE 0 END) / CAST(sum(dt) AS DOUBLE) AS share FROM (SELECT run_id, accepted, lead(ord) {RUN} - ord AS dt FROM track) GROUP BY run_id", "share", "run_id")
 add("x03_consistency_window", "track", lambda t: t.withColumn("spread", F.max("value").over(_span().rowsBetween(-4, 0)) - F.min("value").over(_span().rowsBetween(-4, 0))).groupBy("run_id").agg(F.count_if(F.col("spread") <= 25).alias("n")), "SELECT run_id, count(*) FILTER (WHERE s <= 25) AS n FROM (SELECT run_id, max(value) OVER w - min(value) OVER w AS s FROM track WINDOW w AS (PARTITION BY run_id ORDER BY ord ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) GROUP BY run_id")
+
+_timed = lambda t: t.filter("value <= 40").select("run_id", F.timestamp_seconds("ord").alias("ts"), (F.col("path_cm") / 100.0).alias("path_m"), (F.col("value") <= 20).alias("nominal"))
+add("x08_recovery_time", "track", lambda t: outages.recoveries(outages.sessions(_timed(t), 250.5), 50.0).select("run_id", F.unix_seconds("begun").alias("begun_s"), "outage_m", "recovery_s"), """WITH f AS (SELECT run_id, ord, path_cm / 1e2 AS path_m, value <= 20 AS nominal, ord - lag(ord) OVER (PARTITION BY run_id ORDER BY ord) AS gap FROM track WHERE value <= 40),
+ s AS (SELECT *, sum(CASE WHEN gap > 250 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ord) AS span FROM f),
+ a AS (SELECT run_id, min(ord) AS begun, min(ord) FILTER (WHERE nominal) AS nominal_at, min(path_m) AS path_from, max(path_m) AS path_to FROM s GROUP BY run_id, span),
+ b AS (SELECT *, path_from - lag(path_to) OVER (PARTITION BY run_id ORDER BY begun) AS outage_m FROM a)
+ SELECT run_id, begun AS begun_s, outage_m, CAST(nominal_at - begun AS DOUBLE) AS recovery_s FROM b WHERE outage_m >= 50""", "outage_m, recovery_s", "run_id, begun_s")
+add("x08_fixes_per_km", "track", lambda t: outages.fixes_per_km(t.withColumn("path_m", F.col("path_cm") / 100.0)), "SELECT run_id, count(*) FILTER (WHERE accepted) * 1e3 / nullif(max(path_cm / 1e2) - min(path_cm / 1e2), 0) AS fixes_per_km FROM track GROUP BY run_id", "fixes_per_km", "run_id")
+add("x08_covariance_growth", "fixes", lambda f: outages.growing_covariance(f.withColumns({"coasting": ~F.col("accepted"), "sigma": F.col("cov_yy")})), "SELECT run_id, count(*) FILTER (WHERE c AND pc AND s < ps) AS falls, count(*) FILTER (WHERE c AND pc AND s < ps) = 0 AS monotone FROM (SELECT run_id, NOT accepted AS c, lag(NOT accepted) OVER w AS pc, cov_yy AS s, lag(cov_yy) OVER w AS ps FROM fixes WINDOW w AS (PARTITION BY run_id ORDER BY ord, cov_yy)) q GROUP BY run_id")
+
+
+def _consistency(f: DataFrame) -> DataFrame:
+    blocks = m.nees(f).groupBy("run_id", F.floor(F.col("t_s") / 500).alias("block")).agg(F.sum("nees").alias("total"), (2 * F.count("nees")).alias("dof"))
+    return chi_square.consistent(blocks, "total", "dof").select("run_id", "block", "dof", "total", "lower", "upper", "inside")
+
+
+add("x06_nees_interval", "fixes", _consistency, """WITH RECURSIVE e AS (SELECT *, est_east - gt_east AS de, est_north - gt_north AS dn FROM fixes),
+ b AS (SELECT run_id, CAST(floor(t_s / 500) AS BIGINT) AS block, sum((cov_nn * de * de - 2 * cov_en * de * dn + cov_ee * dn * dn) / (cov_ee * cov_nn - cov_en * cov_en)) AS total, 2 * count(*) AS dof FROM e GROUP BY 1, 2),
+ q AS (SELECT dof, p, 0e0 AS lo, dof * 4e0 + 40 AS hi, 0 AS i FROM (SELECT DISTINCT dof FROM b) d, unnest([25e-3, 975e-3]) AS x(p)
+  UNION ALL SELECT dof, p, CASE WHEN c < p THEN x ELSE lo END, CASE WHEN c < p THEN hi ELSE x END, i + 1 FROM
+   (SELECT *, (lo + hi) / 2 AS x, list_sum(list_transform(range(0, CAST(hi + 200 AS BIGINT)), lambda n: exp((dof / 2e0 + n) * ln((lo + hi) / 4) - (lo + hi) / 4 - lgamma(dof / 2e0 + n + 1)))) AS c FROM q WHERE i < 60) z),
+ l AS (SELECT dof, max(lo) FILTER (WHERE p < 5e-1) AS lower, max(lo) FILTER (WHERE p > 5e-1) AS upper FROM q WHERE i = 60 GROUP BY dof)
+ SELECT run_id, block, b.dof, total, lower, upper, total BETWEEN lower AND upper AS inside FROM b JOIN l ON l.dof = b.dof""", "total, lower, upper", "run_id, block, dof, inside", 5)
