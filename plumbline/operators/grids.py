@@ -231,19 +231,70 @@ def bilinear(points: DataFrame, pixels: DataFrame, half_pixel: bool = True, valu
     return got.select(*keep, (terms[0] + terms[1] + terms[2] + terms[3]).alias(value))
 
 
+def summed_area(cells: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Sums of whole-number ``values`` over all cells up to (r, c), for every place of the cells' bounding rectangle.
+
+    Prefix sums along rows and then along columns: a task holds no more than one of them at
+    a time, and a place without a cell adds nothing.
+    """
+    ends = cells.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    rows = ends.select(F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1").repartition("r")
+    empty = rows.select("r", F.explode(F.sequence("c0", "c1")).alias("c"), *(F.lit(0).cast("long").alias(v) for v in values))
+    dense = cells.select("r", "c", *(e.cast("long").alias(v) for v, e in values.items())).unionByName(empty).groupBy("r", "c").agg(*(F.sum(v).alias(v) for v in values))
+    for w in (W.partitionBy("r").orderBy("c"), W.partitionBy("c").orderBy("r")):
+        dense = dense.withColumns({v: F.sum(v).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) for v in values})
+    return dense
+
+
+def window_sums(points: DataFrame, cells: DataFrame, reach: int, values: dict[str, Column]) -> DataFrame:
+    """Sums of ``values`` in the square of ``reach`` cells around each point (id, r, c), by four look-ups of a summed-area table.
+
+    Points of one id count together; those whose square has no place of the rectangle are left out.
+    """
+    ends = F.broadcast(cells.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1")))
+    p = points.select("id", "r", "c", F.lit(1).alias("__one")).join(ends.withColumn("__one", F.lit(1)), "__one")
+    near = {"__t": F.col("r") - reach - 1, "__b": F.least(F.col("r") + reach, F.col("r1")), "__l": F.col("c") - reach - 1, "__r": F.least(F.col("c") + reach, F.col("c1"))}
+    p = p.withColumns(near).filter("__b >= r0 AND __r >= c0 AND r - {0} <= r1 AND c - {0} <= c1".format(reach))
+    corner = [F.when((F.col(y) >= F.col("r0")) & (F.col(x) >= F.col("c0")), F.struct(F.col(y).alias("r"), F.col(x).alias("c"), F.lit(sign).alias("sign"))) for y, x, sign in (("__b", "__r", 1), ("__t", "__r", -1), ("__b", "__l", -1), ("__t", "__l", 1))]
+    asked = p.select("id", F.explode(F.array_compact(F.array(*corner))).alias("x")).select("id", "x.*")
+    return asked.join(summed_area(cells, values), ["r", "c"]).groupBy("id").agg(*(F.sum(F.col("sign") * F.col(v)).alias(v) for v in values))
+
+
 def window_fractions(points: DataFrame, classes: DataFrame, reach: int, n_classes: int = 6) -> DataFrame:
-    """Shares of each class in the square of ``reach`` cells around each point (id, r, c).
+    """Shares of each class in the square of ``reach`` cells around each point (id, r, c), and n, the cells there; points without any are left out."""
+    counts = {"n": F.lit(1), **{f"f{i}": F.when(F.col("class") == i, 1).otherwise(0) for i in range(n_classes)}}
+    sums = window_sums(points, classes, reach, counts).filter("n > 0")
+    return sums.select("id", "n", *((F.col(f"f{i}") / F.col("n")).alias(f"f{i}") for i in range(n_classes)))
+
+
+def windowed_correlation(a: DataFrame, b: DataFrame, reach: int, step: int, least: float = 0.6) -> DataFrame:
+    """Normalised correlation of two rasters of whole numbers (r, c, v) in squares of ``reach`` cells, centres ``step`` apart (r, c, n, ncc).
+
+    Moments come from one summed-area table over the cells that both have.  Squares with less
+    than ``least`` of their cells, or without spread, have null.
+    """
+    both = a.select("r", "c", F.col("v").alias("__a")).join(b.select("r", "c", F.col("v").alias("__b")), ["r", "c"]).filter("__a IS NOT NULL AND __b IS NOT NULL")
+    centres = both.filter((F.col("r") % step == 0) & (F.col("c") % step == 0)).select(F.struct("r", "c").alias("id"), "r", "c")
+    x, y = F.col("__a"), F.col("__b")
+    m = window_sums(centres, both, reach, {"n": F.lit(1), "sx": x, "sy": y, "xx": x * x, "yy": y * y, "xy": x * y})
+    n = F.col("n")
+    spread = F.sqrt((n * F.col("xx") - F.col("sx") * F.col("sx")).cast("double")) * F.sqrt((n * F.col("yy") - F.col("sy") * F.col("sy")).cast("double"))
+    ncc = F.when(n >= least * (2 * reach + 1) ** 2, F.try_divide((n * F.col("xy") - F.col("sx") * F.col("sy")).cast("double"), spread))
+    return m.select("id.r", "id.c", "n", ncc.alias("ncc"))
+
+
+def windowed_offset(a: DataFrame, b: DataFrame, reach: int, step: int, shifts: int) -> DataFrame:
+    """Per square (r, c) the shift of ``b`` (dr, dc up to ``shifts`` cells) with the greatest correlation; ties go to the least shift.
 
-    A range join by blocks of the window's size: each point meets the four blocks or fewer that
-    its window touches, and cells outside the window are filtered.
+    Each shift is one summed-area table; squares compare theirs by a maximum.
     """
-    size = 2 * reach + 1
-    block = lambda v: F.floor(v / size)
-    p = points.withColumns({"br": F.explode(F.sequence(block(F.col("r") - reach), block(F.col("r") + reach)))})
-    p = p.withColumn("bc", F.explode(F.sequence(block(F.col("c") - reach), block(F.col("c") + reach)))).withColumnsRenamed({"r": "pr", "c": "pc"})
-    cells = classes.withColumns({"br": block(F.col("r")), "bc": block(F.col("c"))})
-    inside = (F.abs(F.col("r") - F.col("pr")) <= reach) & (F.abs(F.col("c") - F.col("pc")) <= reach)
-    return p.join(cells, ["br", "bc"]).filter(inside).groupBy("id").agg(F.count("*").alias("n"), *(F.avg((F.col("class") == i).cast("double")).alias(f"f{i}") for i in range(n_classes)))
+    made = None
+    for dr in range(-shifts, shifts + 1):
+        for dc in range(-shifts, shifts + 1):
+            one = windowed_correlation(a, b.select((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c"), "v"), reach, step)
+            one = one.filter("ncc IS NOT NULL").select("r", "c", F.struct("ncc", F.lit(-abs(dr) - abs(dc)).alias("near"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")).alias("m"))
+            made = one if made is None else made.unionByName(one)
+    return made.groupBy("r", "c").agg(F.max("m").alias("m")).select("r", "c", "m.dr", "m.dc", "m.ncc")
 
 
 def _crossings(edges: DataFrame) -> DataFrame:

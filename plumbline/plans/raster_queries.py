@@ -111,3 +111,19 @@ _documents("u01_union_distinct", lambda d, p: d.select("source").union(p.select(
 _documents("u02_difference", lambda d, p: d.select("doc_id").join(p.select(F.col("page_id").alias("doc_id")), "doc_id", "left_anti"), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT page_id FROM pages)")
 _documents("u05_collected_sources", lambda d, p: d.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")), "SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY lang")
 _documents("p12_tag_classes", lambda d, p: d.select("doc_id", m.class_of_tags(F.create_map(F.when(F.col("lang") == "en", "building").when(F.col("lang") == "de", "landuse").when(F.col("lang") == "fr", "waterway").otherwise("name"), F.lit("farmland"))).alias("class")), "SELECT doc_id, CASE lang WHEN 'en' THEN 2 WHEN 'de' THEN 4 WHEN 'fr' THEN 3 END AS class FROM documents")
+
+
+def _pair(c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A class raster as whole-number heights, and one that is half like it, a cell further on."""
+    a = c.select("r", "c", (F.col("class") * 7 + F.col("r") % 5).alias("v"))
+    return a, c.select((F.col("r") + 1).alias("r"), "c", (F.col("class") * 7 + F.col("c") % 11).alias("v"))
+
+
+add("a34_windowed_correlation", "classes", lambda c: g.windowed_correlation(*_pair(c), 4, 6), """WITH j AS (SELECT a.r, a.c, CAST(a.class * 7 + a.r % 5 AS BIGINT) AS x, CAST(b.class * 7 + b.c % 11 AS BIGINT) AS y FROM classes a JOIN classes b ON b.r + 1 = a.r AND b.c = a.c),
+ s AS (SELECT p.r, p.c, count(*) AS n, sum(q.x) AS sx, sum(q.y) AS sy, sum(q.x * q.x) AS xx, sum(q.y * q.y) AS yy, sum(q.x * q.y) AS xy FROM j p JOIN j q ON abs(q.r - p.r) <= 4 AND abs(q.c - p.c) <= 4 WHERE p.r % 6 = 0 AND p.c % 6 = 0 GROUP BY 1, 2)
+ SELECT r, c, n, CASE WHEN n >= 6e-1 * 81 THEN CAST(n * xy - sx * sy AS DOUBLE) / nullif(sqrt(CAST(n * xx - sx * sx AS DOUBLE)) * sqrt(CAST(n * yy - sy * sy AS DOUBLE)), 0) END AS ncc FROM s""", "ncc", "r, c, n")
+_offset = lambda c: g.windowed_offset(_pair(c)[0], c.select((F.col("r") - 1).alias("r"), (F.col("c") + 1).alias("c"), (F.col("class") * 7 + F.col("r") % 5).alias("v")), 6, 16, 1).groupBy("dr", "dc").agg(F.count("*").alias("n"))
+add("a34_windowed_offset", "classes", _offset, """WITH a AS (SELECT r, c, CAST(class * 7 + r % 5 AS BIGINT) AS v FROM classes), j AS (SELECT dr, dc, a.r, a.c, a.v AS x, b.v AS y FROM a, unnest([-1, 0, 1]) AS s(dr), unnest([-1, 0, 1]) AS t(dc), a b WHERE a.r = b.r - 1 + dr AND a.c = b.c + 1 + dc),
+ s AS (SELECT p.dr, p.dc, p.r, p.c, count(*) AS n, sum(q.x) AS sx, sum(q.y) AS sy, sum(q.x * q.x) AS xx, sum(q.y * q.y) AS yy, sum(q.x * q.y) AS xy FROM j p JOIN j q ON q.dr = p.dr AND q.dc = p.dc AND abs(q.r - p.r) <= 6 AND abs(q.c - p.c) <= 6 WHERE p.r % 16 = 0 AND p.c % 16 = 0 GROUP BY 1, 2, 3, 4),
+ k AS (SELECT dr, dc, r, c, CAST(n * xy - sx * sy AS DOUBLE) / nullif(sqrt(CAST(n * xx - sx * sx AS DOUBLE)) * sqrt(CAST(n * yy - sy * sy AS DOUBLE)), 0) AS ncc FROM s WHERE n >= 6e-1 * 169),
+ b AS (SELECT CAST(dr AS INT) AS dr, CAST(dc AS INT) AS dc FROM k WHERE ncc IS NOT NULL QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY ncc DESC, abs(dr) + abs(dc), dr DESC, dc DESC) = 1) SELECT dr, dc, count(*) AS n FROM b GROUP BY 1, 2""")

@@ -336,3 +336,27 @@ def test_tiles_hold_every_cell_once(spark):
     assert (one["r0"], one["c0"], one["w"], one["h"]) == (0, 0, 6, 32) and one["v"][0] == 2.0 and len(one["v"]) == 192 and one["v"].count(None) == 191
     halo = {(r["tr"], r["tc"]): r for r in grids.tiled(cells, ["image"], ["v"], halo=1).filter("image = 0").collect()}
     assert halo[0, 0]["h"] == 33 and halo[0, 0]["v"][32 * 6 + 5] == 4.0 and halo[-1, -1]["v"] == [1.0, None, None, 2.0]
+
+
+def test_windows_over_gaps_and_edges(spark):
+    rng = np.random.default_rng(3)
+    have = {(int(r), int(c)): int(k) for r, c, k in zip(rng.integers(-20, 20, 500), rng.integers(5, 45, 500), rng.integers(0, 3, 500), strict=True)}
+    cells = spark.createDataFrame([(r, c, k) for (r, c), k in have.items()], "r long, c long, class int")
+    places = [(i, int(r), int(c)) for i, (r, c) in enumerate(zip(rng.integers(-30, 30, 200), rng.integers(-5, 60, 200), strict=True))]
+    got = {r["id"]: r for r in grids.window_fractions(spark.createDataFrame(places, "id long, r long, c long"), cells, 4, 3).collect()}
+    for i, r, c in places:
+        near = [k for (y, x), k in have.items() if abs(y - r) <= 4 and abs(x - c) <= 4]
+        assert (i in got) == bool(near)
+        if near:
+            assert got[i]["n"] == len(near) and all(got[i][f"f{k}"] == pytest.approx(near.count(k) / len(near)) for k in range(3))
+
+
+def test_windowed_offset_finds_the_shift(spark):
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 200, (60, 60))
+    a = spark.createDataFrame([(r, c, int(v[r, c])) for r in range(60) for c in range(60)], "r long, c long, v long")
+    b = a.select((F.col("r") + 1).alias("r"), (F.col("c") - 1).alias("c"), "v")
+    got = grids.windowed_offset(a, b, 8, 16, 1).collect()
+    assert len(got) >= 9 and {(r["dr"], r["dc"]) for r in got} == {(-1, 1)} and all(r["ncc"] == pytest.approx(1.0) for r in got)
+    flat = grids.windowed_correlation(a.withColumn("v", F.lit(3)), a, 8, 16).collect()
+    assert flat and all(r["ncc"] is None for r in flat)
