@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grids as g
 from ..operators import metrics as m
+from ..operators import semantic
 from ..operators.quantiles import exact_quantiles
 from . import register
 from .tools import add, rounded
@@ -127,3 +128,31 @@ add("a34_windowed_offset", "classes", _offset, """WITH a AS (SELECT r, c, CAST(c
  s AS (SELECT p.dr, p.dc, p.r, p.c, count(*) AS n, sum(q.x) AS sx, sum(q.y) AS sy, sum(q.x * q.x) AS xx, sum(q.y * q.y) AS yy, sum(q.x * q.y) AS xy FROM j p JOIN j q ON q.dr = p.dr AND q.dc = p.dc AND abs(q.r - p.r) <= 6 AND abs(q.c - p.c) <= 6 WHERE p.r % 16 = 0 AND p.c % 16 = 0 GROUP BY 1, 2, 3, 4),
  k AS (SELECT dr, dc, r, c, CAST(n * xy - sx * sy AS DOUBLE) / nullif(sqrt(CAST(n * xx - sx * sx AS DOUBLE)) * sqrt(CAST(n * yy - sy * sy AS DOUBLE)), 0) AS ncc FROM s WHERE n >= 6e-1 * 169),
  b AS (SELECT CAST(dr AS INT) AS dr, CAST(dc AS INT) AS dc FROM k WHERE ncc IS NOT NULL QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY ncc DESC, abs(dr) + abs(dc), dr DESC, dc DESC) = 1) SELECT dr, dc, count(*) AS n FROM b GROUP BY 1, 2""")
+
+
+_on = lambda p: p.select("image", "r", "c", (F.col("v") > 0.1).alias("on"))
+_set = lambda p, of=0: _on(p).filter("on").select((F.col("image") - of).alias("image"), "r", "c")
+DISTANCE = "d AS (SELECT p.image, p.r, p.c, min((p.r - q.r) * (p.r - q.r) + (p.c - q.c) * (p.c - q.c)) AS d2 FROM pixels p LEFT JOIN pixels q ON q.image = p.image AND q.v > 1e-1 GROUP BY 1, 2, 3)"
+SHIFTS = "unnest([-2, -1, 0, 1, 2]) AS s(dr), unnest([-2, -1, 0, 1, 2]) AS t(dc)"
+add("x12_distance_transform", "pixels", lambda p: semantic.distances(_on(p)), f"WITH {DISTANCE} SELECT image, r, c, d2 FROM d")
+add("x12_chamfer_surface", "pixels", lambda p: semantic.chamfer_surface(_on(p), _set(p, 1), 2), f"WITH {DISTANCE} SELECT d.image, CAST(dr AS INT) AS dr, CAST(dc AS INT) AS dc, count(*) AS n, avg(sqrt(CAST(d2 AS DOUBLE))) AS chamfer FROM pixels e, {SHIFTS}, d WHERE e.v > 1e-1 AND d.image = e.image - 1 AND d.r = e.r + dr AND d.c = e.c + dc GROUP BY 1, 2, 3", "chamfer", "image, dr, dc, n")
+add("x12_overlap_surface", "pixels", lambda p: semantic.overlap_surface(_set(p), _set(p, 1), 2), f"""WITH a AS (SELECT image, r, c FROM pixels WHERE v > 1e-1), b AS (SELECT image - 1 AS image, r, c FROM pixels WHERE v > 1e-1),
+ n AS (SELECT image, sum(x) AS x, sum(y) AS y FROM (SELECT image, 1 AS x, 0 AS y FROM a UNION ALL SELECT image, 0, 1 FROM b) u GROUP BY image),
+ i AS (SELECT a.image, dr, dc, count(*) AS i FROM b, {SHIFTS}, a WHERE a.image = b.image AND a.r = b.r + dr AND a.c = b.c + dc GROUP BY 1, 2, 3)
+ SELECT n.image, CAST(z.dr AS INT) AS dr, CAST(z.dc AS INT) AS dc, coalesce(i, 0) / CAST(x + y - coalesce(i, 0) AS DOUBLE) AS iou FROM n CROSS JOIN (SELECT dr, dc FROM {SHIFTS}) z LEFT JOIN i ON i.image = n.image AND i.dr = z.dr AND i.dc = z.dc""", "iou", "image, dr, dc")
+
+
+def _fix(p: DataFrame) -> DataFrame:
+    kinds = p.withColumn("class", F.when(F.col("v") > 0.1, 1).when(F.col("v") < -0.1, 4)).filter("class IS NOT NULL").select("image", "r", "c", "class")
+    both = lambda k, of: kinds.filter(F.col("class") == k).select((F.col("image") - of).alias("image"), "r", "c")
+    surfaces = [semantic.overlap_surface(both(k, 0), both(k, 1), 2).withColumn("class", F.lit(k)) for k in (1, 4)]
+    return semantic.semantic_fix(surfaces[0].unionByName(surfaces[1])).filter("score > 0").select("image", "score", "sharpness", "fix_type")
+
+
+add("x12_semantic_fix", "pixels", _fix, f"""WITH k AS (SELECT image, r, c, CASE WHEN v > 1e-1 THEN 1 ELSE 4 END AS class FROM pixels WHERE v > 1e-1 OR v < -1e-1), b AS (SELECT image - 1 AS image, r, c, class FROM k),
+ n AS (SELECT image, class, sum(x) AS x, sum(y) AS y FROM (SELECT image, class, 1 AS x, 0 AS y FROM k UNION ALL SELECT image, class, 0, 1 FROM b) u GROUP BY image, class),
+ i AS (SELECT a.image, a.class, dr, dc, count(*) AS i FROM b, {SHIFTS}, k a WHERE a.image = b.image AND a.class = b.class AND a.r = b.r + dr AND a.c = b.c + dc GROUP BY 1, 2, 3, 4),
+ o AS (SELECT n.image, n.class, z.dr, z.dc, coalesce(i, 0) / CAST(x + y - coalesce(i, 0) AS DOUBLE) AS iou FROM n CROSS JOIN (SELECT dr, dc FROM {SHIFTS}) z LEFT JOIN i ON i.image = n.image AND i.class = n.class AND i.dr = z.dr AND i.dc = z.dc),
+ w AS (SELECT image, dr, dc, sum(iou * CASE class WHEN 1 THEN 1e0 ELSE 2e-1 END) / sum(CASE class WHEN 1 THEN 1e0 ELSE 2e-1 END) AS score FROM o GROUP BY 1, 2, 3),
+ m AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY image ORDER BY score DESC, abs(dr) + abs(dc), dr DESC, dc DESC) = 1)
+ SELECT m.image, m.score, m.score / max(w.score) FILTER (WHERE abs(w.dr - m.dr) > 1 OR abs(w.dc - m.dc) > 1) AS sharpness, CAST(2 AS INT) AS fix_type FROM m JOIN w ON w.image = m.image WHERE m.score > 0 GROUP BY m.image, m.score""", "score, sharpness", "image, fix_type")
