@@ -44,9 +44,8 @@ def distances(cells: DataFrame) -> DataFrame:
     Along columns by the nearest on either side, then along rows by lower envelopes of
     parabolas; a task holds one row of an image at a time.
     """
-    column = W.partitionBy("image", "c").orderBy("r")
-    up = F.last(F.when(F.col("on"), F.col("r")), ignorenulls=True).over(column.rowsBetween(W.unboundedPreceding, W.currentRow))
-    down = F.first(F.when(F.col("on"), F.col("r")), ignorenulls=True).over(column.rowsBetween(W.currentRow, W.unboundedFollowing))
+    column = W.partitionBy("image", "c")
+    up, down = (F.last(F.when(F.col("on"), F.col("r")), ignorenulls=True).over(column.orderBy(o).rowsBetween(W.unboundedPreceding, W.currentRow)) for o in (F.asc("r"), F.desc("r")))
     near = cells.withColumns({"__u": F.col("r") - up, "__d": down - F.col("r")}).select("image", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.least("__u", "__d").cast("double").alias("g"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geodesy
+from . import grids
 
 
 def to_projected(points: DataFrame, origin: tuple[float, float, float], zone: int) -> DataFrame:
@@ -80,26 +81,36 @@ def tiles_of(windows: DataFrame, size: int = 256) -> DataFrame:
 def read(windows: DataFrame, pixels: DataFrame, validity: DataFrame | None = None, size: int = 256) -> DataFrame:
     """Pixels (id, r, c, v, valid) of served windows, r and c from their corners, by an equi-join on tiles.
 
-    ``pixels`` and ``validity`` have level, r, c, v.  Without validity, or where it has no cell, a pixel is valid (255).
+    ``pixels`` and ``validity`` have level, r, c, v.  Without validity, or where it has no cell, a
+    pixel is valid (255).  A window meets each of its tiles once, as arrays, and takes the part
+    that is its own.
     """
-    at = tiles_of(windows, size).join(windows.select("id", "x0", "y0", "w", "h"), "id")
-    tile = lambda df, v: df.select("level", F.floor(F.col("r") / size).alias("ty"), F.floor(F.col("c") / size).alias("tx"), F.col("r").alias("__r"), F.col("c").alias("__c"), F.col("v").alias(v))
-    cells = tile(pixels, "v")
+    cells = pixels.select("level", "r", "c", "v", F.lit(1).alias("here"))
     if validity is not None:
-        cells = cells.join(validity.select("level", F.col("r").alias("__r"), F.col("c").alias("__c"), F.col("v").alias("valid")), ["level", "__r", "__c"], "left")
+        cells = cells.join(validity.select("level", "r", "c", F.col("v").alias("valid")), ["level", "r", "c"], "left")
     else:
         cells = cells.withColumn("valid", F.lit(255))
-    met = at.join(cells, ["level", "ty", "tx"]).withColumns({"r": F.col("__r") - F.col("y0"), "c": F.col("__c") - F.col("x0")})
-    return met.filter((F.col("r") >= 0) & (F.col("c") >= 0) & (F.col("r") < F.col("h")) & (F.col("c") < F.col("w"))).select("id", "r", "c", "v", F.coalesce("valid", F.lit(255)).alias("valid"))
+    tiles = grids.tiled(cells, ["level"], ["v", "valid", "here"], size).withColumnsRenamed({"tr": "ty", "tc": "tx", "w": "tw", "h": "th"})
+    at = tiles_of(windows, size).join(windows.select("id", F.col("x0").alias("wx"), F.col("y0").alias("wy"), F.col("w").alias("ww"), F.col("h").alias("wh")), "id")
+    met = at.join(tiles, ["level", "ty", "tx"]).withColumnsRenamed({"tw": "w", "th": "h"})
+    rows = F.sequence(F.greatest("wy", "r0"), F.least(F.col("wy") + F.col("wh"), F.col("r0") + F.col("h")) - 1)
+    cols = F.sequence(F.greatest("wx", "c0"), F.least(F.col("wx") + F.col("ww"), F.col("c0") + F.col("w")) - 1)
+    met = met.filter("greatest(wy, r0) < least(wy + wh, r0 + h) AND greatest(wx, c0) < least(wx + ww, c0 + w)").withColumn("__r", F.explode(rows)).withColumn("__c", F.explode(cols))
+    pick = lambda v: grids.in_tile(v, F.col("__r"), F.col("__c"))
+    met = met.select("id", (F.col("__r") - F.col("wy")).alias("r"), (F.col("__c") - F.col("wx")).alias("c"), pick("v").alias("v"), F.coalesce(pick("valid"), F.lit(255)).alias("valid"), pick("here").alias("here"))
+    return met.filter("here IS NOT NULL").drop("here")
 
 
 def requests_for(patches: DataFrame, windows: DataFrame, deadline_s: float = 0.2) -> DataFrame:
-    """The window (id, t_s) that answers each patch (id, t_s): the first at or after it, if within the deadline; late is whether none was."""
-    met = patches.select("id", F.col("t_s").alias("asked")).join(windows.select("id", F.col("t_s").alias("answered")), "id", "left").filter("answered IS NULL OR answered >= asked")
-    first = met.groupBy("id", "asked").agg(F.min("answered").alias("answered"))
-    whole = patches.select("id", F.col("t_s").alias("asked")).join(first, ["id", "asked"], "left")
-    late = F.col("answered").isNull() | (F.col("answered") - F.col("asked") > deadline_s)
-    return whole.select("id", "asked", F.when(~late, F.col("answered")).alias("answered"), late.alias("late"))
+    """The window (id, t_s) that answers each patch (id, t_s): the first at or after it, if within the deadline; late is whether none was.
+
+    An as-of join: both in one order by id and time, latest first, answers before the patches of their time.
+    """
+    both = patches.select("id", "t_s", F.lit(0).alias("__kind")).unionByName(windows.select("id", "t_s", F.lit(1).alias("__kind")))
+    back = W.partitionBy("id").orderBy(F.desc("t_s"), F.desc("__kind")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = both.withColumn("answered", F.last(F.when(F.col("__kind") == 1, F.col("t_s")), ignorenulls=True).over(back)).filter("__kind = 0")
+    late = F.col("answered").isNull() | (F.col("answered") - F.col("t_s") > deadline_s)
+    return met.select("id", F.col("t_s").alias("asked"), F.when(~late, F.col("answered")).alias("answered"), late.alias("late"))
 
 
 def descriptors_valid(east: Column, north: Column, radius_m: Column, gsd: Column, model: Column, held: Column, share: float = 0.3, by_model: bool = True) -> Column:
