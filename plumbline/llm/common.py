@@ -48,25 +48,38 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def joined(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, by: str, most: int = 1000) -> DataFrame:
-    """Inner equi-join in which no key brings more than about ``most`` rows of ``left`` to a task.
+def hot_keys(counts: DataFrame, keys: list[str], most: int = 1000) -> DataFrame | None:
+    """Of ``counts`` (keys, n) the keys with more than ``most`` rows, and into how many parts each is split; None if there are none.
 
-    ``counts`` has ``keys`` and n, the rows of ``left``; a key of more than ``most`` (or of more
-    than the total over 500,000, so that the list of such keys is small) is split by the hash of
-    ``left``'s column ``by``, and its rows of ``right`` are repeated for each part.
+    A key is hot beyond ``most``, or beyond the total over 500,000, so that the list is small.
     """
     rows = counts.agg(F.sum("n")).first()[0] or 0
     most = max(most, rows // 500_000)
-    parts, salt = unused(left.join(right, keys), "parts"), unused(left.join(right, keys), "salt")
-    hot = cut(counts.filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias(parts)), "hot")
-    if hot.isEmpty():
+    hot = cut(counts.filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("hot_parts")), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None, by: str) -> DataFrame:
+    """Inner equi-join in which a hot key's rows of ``left`` are split by the hash of the column ``by``, and those of ``right`` repeated for each part."""
+    if hot is None:
         return left.join(right, keys)
+    both = left.join(right, keys)
+    parts, salt = unused(both, "parts"), unused(both, "salt")
+    hot = hot.withColumnRenamed("hot_parts", parts)
     one = F.coalesce(F.col(parts), F.lit(1))
     split = left.join(F.broadcast(hot), keys, "left").withColumn(salt, F.pmod(F.xxhash64(by), one).cast("int")).drop(parts)
     repeated = right.join(F.broadcast(hot), keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), one - 1))).drop(parts)
     return split.join(repeated, [*keys, salt]).drop(salt)
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, by: str, most: int = 1000) -> DataFrame:
+    """Inner equi-join in which no key brings more than about ``most`` rows of ``left`` to a task.
+
+    ``counts`` has ``keys`` and n, the rows of ``left``.
+    """
+    return split_join(left, right, keys, hot_keys(counts, keys, most), by)
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

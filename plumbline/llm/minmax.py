@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, gram_hash, groups, joined, lower_ascii, mix, slices, span_hash, unused, utf8, word_spans
+from .common import cut, gram_hash, groups, hot_keys, joined, lower_ascii, mix, slices, span_hash, split_join, unused, utf8, word_spans
 from .components import components
 
 PERMUTATIONS = 192
@@ -231,12 +231,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
 
     placed = member.filter("bands IS NOT NULL").select("doc_id", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("bucket", "n")
-    buckets = cut(placed.join(shared, "bucket").distinct(), "buckets")
+    shared = cut(shared, "shared")
+    crowded = hot_keys(shared, ["bucket"])
+    buckets = cut(split_join(placed, shared, ["bucket"], crowded, "doc_id").distinct(), "buckets")
     central = buckets.groupBy("doc_id").agg(F.sum("n").alias("score"))
     centre = buckets.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("neg"))).alias("m")).select("bucket", (-F.col("m.neg")).alias("a"))
     texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(central.select("doc_id"), "doc_id"), "texts")
 
-    pairs = cut(buckets.join(centre, "bucket").filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+    pairs = cut(split_join(buckets, centre, ["bucket"], crowded, "doc_id").filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
     links = cut(star_links(pairs, texts, words, percent), "links")
     labels = components(links)
 
@@ -245,7 +247,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5) ->
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.bit_xor("h").alias("h"), F.bit_xor("h2").alias("h2"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = mixed.select("bucket", F.col("m.component").alias("largest"), "n", "h", "h2")
     once = mixed.groupBy("n", "h", "h2", "largest").agg(F.min("bucket").alias("bucket"))  # buckets with the same members need one look
-    rest = inside.join(mixed.select("bucket", "largest").join(once.select("bucket"), "bucket", "left_semi"), "bucket").withColumn("odd", F.col("component") != F.col("largest"))
+    looked = mixed.select("bucket", "largest").join(once.select("bucket"), "bucket", "left_semi")
+    rest = split_join(inside, looked, ["bucket"], crowded, "doc_id").withColumn("odd", F.col("component") != F.col("largest"))
     more = rest_links(rest.drop("largest"), member.filter("bands IS NOT NULL"), texts, words, percent)
     merged = components(more).select(F.col("id").alias("component"), F.col("component").alias("least"))
     final = labels.join(merged, "component", "left").select("id", F.coalesce("least", "component").alias("component"))

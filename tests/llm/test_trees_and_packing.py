@@ -266,3 +266,16 @@ def test_pieces_come_back_whole(spark):
     for r in whole:
         assert r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] * 4 == len(r["ids"]) and len(r["cu_seqlens"]) == len(r["doc_ids"]) + 1
     assert complement.pack(docs.limit(0)).count() == 0
+
+
+def test_hot_keys_are_split_and_lose_nothing(spark):
+    from plumbline.llm.common import hot_keys, split_join
+    from plumbline.llm.components import components
+
+    left = spark.range(6000).select("id", F.when(F.col("id") < 4000, 0).otherwise(F.col("id")).alias("k"))
+    right = left.select("k").distinct().withColumn("w", F.col("k") * 2)
+    hot = hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), ["k"])
+    assert [tuple(r) for r in hot.collect()] == [(0, 4)]
+    assert split_join(left, right, ["k"], hot, "id").agg(F.count("*"), F.sum("w"), F.countDistinct("id")).first()[:] == (6000, 2 * sum(range(4000, 6000)), 6000)
+    star = spark.range(1, 5000).select(F.lit(7000).cast("long").alias("a"), F.col("id").alias("b"))
+    assert components(star).agg(F.count("*"), F.max("component")).first()[:] == (5000, 1)
