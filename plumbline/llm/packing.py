@@ -30,12 +30,7 @@ _CACHED: dict[str, Callable[[str], bytes]] = {}
 
 
 def encoder(path: str) -> tuple[Callable[[str], bytes], int]:
-    """A function from text to ids (uint16 bytes) and the id that ends a document.
-
-    A space after a character that is no white space always begins a new piece of the
-    pre-split, so a text is cut at its spaces and the ids of each piece are kept, up to a
-    bound, unless a space follows white space.
-    """
+    """A function from text to ids (uint16 bytes) and the id that ends a document."""
     if path not in _CACHED:
         import tiktoken
 
@@ -44,43 +39,15 @@ def encoder(path: str) -> tuple[Callable[[str], bytes], int]:
         if len(ranks) >= 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         plain = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        known: dict[str, bytes] = {}
-
-        def ids(text: str) -> bytes:
-            return np.array(plain.encode_ordinary(text), np.uint16).tobytes()
-
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                made = ids(piece)
-                if len(self) > 150_000:
-                    self.clear()
-                if len(piece) < 64:
-                    self[piece] = made
-                return made
-
-        known = Pieces()
 
         def encode(text: str) -> bytes:
-            if _after_blank(text):
-                return ids(text)
-            first, *rest = text.split(" ")
-            return known[first] + b"".join([known[" " + x] for x in rest]) if rest else known[first]
+            return plain.encode_to_numpy(text).astype(np.uint16).tobytes()
 
         _CACHED[path] = encode
         _CACHED[path + "#end"] = len(ranks)
     return _CACHED[path], _CACHED[path + "#end"]
 
 
-#: White space in Unicode, in pairs with a space after it.
-_BLANK = ["  ", *(chr(c) + " " for c in (*range(0x09, 0x0E), 0x1C, 0x1D, 0x1E, 0x1F))]
-_WIDE_BLANK = [chr(c) + " " for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-
-
-def _after_blank(text: str) -> bool:
-    """Whether a space follows white space."""
-    return any(b in text for b in _BLANK) or (not text.isascii() and any(b in text for b in _WIDE_BLANK))
-
-
 class Capacities:
     """Open bins by room left; the least room that is enough, by a segment tree over rooms."""
 
