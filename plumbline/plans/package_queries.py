@@ -46,3 +46,19 @@ _tables("r02_k05_layer_tiles", "orders customer", lambda o, c: p.layer_tiles(o.s
 _tables("s38_s39_tombstones", "orders", lambda o: p.without_tombstones(o.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus") == "F").alias("missing")))[0].select("k", "s"), "SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderstatus <> 'F'")
 _tables("s40_foreign_tiles", "orders", lambda o: p.foreign_tiles(o.select(F.concat(F.lit("/cache/z"), F.col("o_orderkey") % 20 + 1, F.lit("/"), F.col("o_custkey"), F.lit("/"), F.col("o_orderkey"), F.when(F.col("o_orderkey") % 3 == 0, ".txt").otherwise(".PNG")).alias("path")), "sasplanet", (5, 15)).select("z", "x", "y"), "SELECT DISTINCT CAST(o_orderkey % 20 AS INT) AS z, o_custkey AS x, o_orderkey AS y FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 20 BETWEEN 5 AND 15")
 _tables("j16_geotransforms", "part", lambda t: p.geotransform_problems(t.select(F.col("p_partkey").alias("layer"), F.lit(100.0).alias("origin_east"), F.col("p_size").cast("double").alias("origin_north"), F.lit(0.5).alias("gsd")), t.filter("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("layer"), F.when(F.col("p_partkey") % 7 == 0, 101.0).otherwise(100.0).alias("origin_east"), F.col("p_size").cast("double").alias("origin_north"), F.lit(0.5).alias("gsd"), F.lit(0.5).alias("gsd_row"))).groupBy("field").agg(F.count("*").alias("n")), "SELECT field, count(*) AS n FROM part, unnest(['origin_east', 'origin_north', 'gsd', 'gsd_row']) AS t(field) WHERE p_partkey % 5 = 0 OR (p_partkey % 7 = 0 AND field = 'origin_east') GROUP BY field")
+
+
+def _manifests(t: DataFrame) -> DataFrame:
+    """A manifest per point, one layer each, of which fields are left out by the point's number."""
+    has = lambda n, k: F.when(F.col("id") % n != 0, k)
+    classes = F.array(*map(F.lit, p.CLASS_NAMES[:-1]), F.when(F.col("id") % 5 == 0, "wood").otherwise(p.CLASS_NAMES[-1]))
+    body = F.struct(has(3, F.lit("s")).alias("source"), F.lit("2026").alias("extract_date"), has(7, F.lit("p")).alias("provider"), has(2, F.lit("d")).alias("source_datum"), F.lit("v").alias("vertical_datum"), F.lit("g").alias("geoid_model"), classes.alias("classes"))
+    name = F.element_at(F.array(*map(F.lit, ("ortho_a", "dem", "semantic", "radar"))), (F.col("id") % 4 + 1).cast("int"))
+    whole = F.struct(has(11, F.lit("EPSG:32637")).alias("crs"), F.lit(1).alias("origin"), F.create_map(name, body).alias("layers"))
+    return t.select(F.col("id").alias("package"), F.to_json(whole).alias("value"))
+
+
+add("p20_manifest_problems", "points", lambda t: p.manifest_problems(_manifests(t)), """SELECT id AS package, CAST(NULL AS VARCHAR) AS layer, 'crs' AS field, 'missing' AS problem FROM points WHERE id % 11 = 0
+ UNION ALL SELECT id, 'ortho_a', 'provider', 'missing' FROM points WHERE id % 4 = 0 AND id % 7 = 0 UNION ALL SELECT id, 'dem', 'source', 'missing' FROM points WHERE id % 4 = 1 AND id % 3 = 0
+ UNION ALL SELECT id, 'dem', 'source_datum', 'missing' FROM points WHERE id % 4 = 1 AND id % 2 = 0 UNION ALL SELECT id, 'semantic', 'source', 'missing' FROM points WHERE id % 4 = 2 AND id % 3 = 0
+ UNION ALL SELECT id, 'semantic', 'classes', 'other value' FROM points WHERE id % 4 = 2 AND id % 5 = 0 UNION ALL SELECT id, 'radar', CAST(NULL AS VARCHAR), 'unknown layer' FROM points WHERE id % 4 = 3""")

@@ -25,13 +25,16 @@ def manifest():
 def test_manifest_round_trip_and_refusals(spark, tmp_path):
     m = manifest()
     assert m["layers"]["ortho_sat"]["tiles"] == {"expected": 100, "fetched": 93, "missing": 7} and m["layers"]["dem"]["source"] == "one+two"
-    p.write_manifest(spark, m, f"{tmp_path}/m")
-    assert p.read_manifest(spark, f"{tmp_path}/m") == json.loads(json.dumps(m))
+    p.save_manifest(spark, m, f"{tmp_path}/m")
+    assert p.load_manifest(spark, f"{tmp_path}/m") == json.loads(json.dumps(m))
     assert {(r["layer"], r["gsd"]) for r in p.layers(spark, m).collect()} == {("ortho_sat", 0.5), ("dem", 10.0), ("semantic", 1.0)}
-    for change, text in (({"crs": None}, "crs"), ({"layers": {"radar": {}}}, "unknown"), ({"layers": {"dem": {"source": "x"}}}, "has no"), ({"layers": {"semantic": {"source": "x", "extract_date": None, "classes": ["road"]}}}, "classes")):
+    for change, text in (({"crs": None}, "crs"), ({"layers": {"radar": {}}}, "unknown"), ({"layers": {"dem": {"source": "x"}}}, "dem geoid_model missing"), ({"layers": {"semantic": {"source": "x", "extract_date": None, "classes": ["road"]}}}, "classes")):
         bad = {k: v for k, v in (m | change).items() if v is not None}
         with pytest.raises(ValueError, match=text):
-            p.write_manifest(spark, bad, f"{tmp_path}/bad")
+            p.save_manifest(spark, bad, f"{tmp_path}/bad")
+    docs = [("a", m), ("b", {"layers": {"radar": {}, "ortho_x": {"provider": None}, "semantic": {"source": 1, "extract_date": None, "classes": ["road"]}}}), ("c", "no JSON"), ("d", {"crs": 1, "origin": 2, "layers": {}})]
+    rows = spark.createDataFrame([(k, v if isinstance(v, str) else json.dumps(v)) for k, v in docs], "package string, value string")
+    assert {tuple(r) for r in p.manifest_problems(rows).collect()} == {("b", None, "crs", "missing"), ("b", None, "origin", "missing"), ("b", "radar", None, "unknown layer"), ("b", "semantic", "classes", "other value"), *(("c", None, f, "missing") for f in ("crs", "origin", "layers"))}
     got = spark.createDataFrame([(json.dumps({"a": {"b@20": 0.5}}),)], "v string").select(p.nested("v", "a.b@20"), p.nested("v", "a.c")).first()
     assert tuple(got) == ("0.5", None)
     assert p.finite({"a": [float("nan"), 1.0, {"b": math.inf}]}) == {"a": [None, 1.0, {"b": None}]}
