@@ -188,7 +188,7 @@ def _thresholds(sized: DataFrame, plan: DataFrame, most: int) -> DataFrame:
 
     Sizes are added up by ranges of the hash first, as many as keep a range at about
     ``BUCKET_DOCUMENTS`` documents of a pattern; only the range that holds the threshold is
-    put in order.
+    put in order.  Of the ranges after it, one document of each size is offered as a filler.
     """
     bits = max(1, math.ceil(math.log2(max(1, most / BUCKET_DOCUMENTS))))
     ranged = sized.withColumn("range", F.shiftright("__hash", 64 - bits))
@@ -196,20 +196,25 @@ def _thresholds(sized: DataFrame, plan: DataFrame, most: int) -> DataFrame:
     running = W.partitionBy("__pattern").orderBy("range")
     sums = sums.withColumn("before", F.sum("words").over(running) - F.col("words")).join(plan.select("__pattern", "rest"), "__pattern")
     edge = sums.filter("rest > 0 AND before <= rest AND rest < before + words").select("__pattern", "range", "before", "rest")
-    near = ranged.join(edge, ["__pattern", "range"]).groupBy("__pattern", "before", "rest", "__hash").agg(F.sum("size").alias("size"))
+    near = ranged.join(edge, ["__pattern", "range"]).groupBy("__pattern", "before", "rest", "__hash").agg(F.sum("size").alias("size")).withColumn("later", F.lit(False))
+    # A row a pattern at most, so at most MAX_PATTERNS.
+    after = ranged.join(F.broadcast(edge.withColumnRenamed("range", "edge")), "__pattern").filter(F.col("range") > F.col("edge"))
+    after = after.groupBy("__pattern", "before", "rest", "__hash").agg(F.sum("size").alias("size")).filter("size > 0")
+    near = near.unionByName(after.groupBy("__pattern", "before", "rest", "size").agg(F.min("__hash").alias("__hash")).withColumn("later", F.lit(True)))
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        """Documents of one range in the order of their hash while they fit, then the largest that fills the gap.
+        """Documents of one range in the order of their hash while they fit, then the largest, of later ranges too, that fill the gap.
 
         At last the smallest one left, if the gap is more than half of it.
         """
-        rows = rows.sort_values("__hash", kind="stable").reset_index(drop=True)
+        fillers = rows[rows["later"]]
+        rows = rows[~rows["later"]].sort_values("__hash", kind="stable").reset_index(drop=True)
         gap = int(rows["rest"].iloc[0] - rows["before"].iloc[0])
         fits = (rows["size"].cumsum() <= gap).to_numpy()
         n = int(fits.argmin()) if not fits.all() else len(rows)
         below = int(rows["__hash"].iloc[n]) if n < len(rows) else int(rows["__hash"].iloc[-1]) + 1
         gap -= int(rows["size"].iloc[:n].sum())
-        left = rows.iloc[n:].sort_values(["size", "__hash"], ascending=[False, True], kind="stable")
+        left = pd.concat([rows.iloc[n:], fillers]).sort_values(["size", "__hash"], ascending=[False, True], kind="stable")
         extra = []
         for size, value in zip(left["size"], left["__hash"], strict=True):
             if 0 < size <= gap:
