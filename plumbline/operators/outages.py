@@ -37,7 +37,7 @@ def fixes_per_km(track: DataFrame) -> DataFrame:
 
 
 def growing_covariance(track: DataFrame, sigma: str = "sigma") -> DataFrame:
-    """Per run: whether ``sigma`` never falls from one coasting sample to the next, and how often it does; samples of one ord go by ``sigma``."""
-    w = W.partitionBy("run_id").orderBy("ord", sigma)
+    """Per run: whether ``sigma`` never falls from one coasting sample to the next, and how often it does; samples of one ord go by ``sigma``, then coasting ones last."""
+    w = W.partitionBy("run_id").orderBy("ord", sigma, "coasting")
     falls = F.col("coasting") & F.lag("coasting").over(w) & (F.col(sigma) < F.lag(sigma).over(w))
     return track.select("run_id", F.coalesce(falls, F.lit(False)).alias("__f")).groupBy("run_id").agg(F.count_if("__f").alias("falls"), F.every(~F.col("__f")).alias("monotone"))

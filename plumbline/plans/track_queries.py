@@ -95,7 +95,7 @@ add("x08_recovery_time", "track", lambda t: outages.recoveries(outages.sessions(
  b AS (SELECT *, path_from - lag(path_to) OVER (PARTITION BY run_id ORDER BY begun) AS outage_m FROM a)
  SELECT run_id, begun AS begun_s, outage_m, CAST(nominal_at - begun AS DOUBLE) AS recovery_s FROM b WHERE outage_m >= 50""", "outage_m, recovery_s", "run_id, begun_s")
 add("x08_fixes_per_km", "track", lambda t: outages.fixes_per_km(t.withColumn("path_m", F.col("path_cm") / 100.0)), "SELECT run_id, count(*) FILTER (WHERE accepted) * 1e3 / nullif(max(path_cm / 1e2) - min(path_cm / 1e2), 0) AS fixes_per_km FROM track GROUP BY run_id", "fixes_per_km", "run_id")
-add("x08_covariance_growth", "fixes", lambda f: outages.growing_covariance(f.withColumns({"coasting": ~F.col("accepted"), "sigma": F.col("cov_yy")})), "SELECT run_id, count(*) FILTER (WHERE c AND pc AND s < ps) AS falls, count(*) FILTER (WHERE c AND pc AND s < ps) = 0 AS monotone FROM (SELECT run_id, NOT accepted AS c, lag(NOT accepted) OVER w AS pc, cov_yy AS s, lag(cov_yy) OVER w AS ps FROM fixes WINDOW w AS (PARTITION BY run_id ORDER BY ord, cov_yy)) q GROUP BY run_id")
+add("x08_covariance_growth", "fixes", lambda f: outages.growing_covariance(f.withColumns({"coasting": ~F.col("accepted"), "sigma": F.col("cov_yy")})), "SELECT run_id, count(*) FILTER (WHERE c AND pc AND s < ps) AS falls, count(*) FILTER (WHERE c AND pc AND s < ps) = 0 AS monotone FROM (SELECT run_id, NOT accepted AS c, lag(NOT accepted) OVER w AS pc, cov_yy AS s, lag(cov_yy) OVER w AS ps FROM fixes WINDOW w AS (PARTITION BY run_id ORDER BY ord, cov_yy, NOT accepted)) q GROUP BY run_id")
 
 
 def _consistency(f: DataFrame) -> DataFrame:

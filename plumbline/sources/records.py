@@ -91,10 +91,15 @@ def to_json_rows(df: DataFrame) -> DataFrame:
 
 
 def append_trend(summary: DataFrame, store: str) -> None:
-    """Add a run's figures to the trend store."""
+    """Add a run's figures to the trend store, which may gain columns with a run."""
     summary.write.mode("append").parquet(store)
 
 
+def read_trend(spark: SparkSession, store: str) -> DataFrame:
+    """All runs of the trend store; a figure that a run did not have is null."""
+    return spark.read.option("mergeSchema", "true").parquet(store)
+
+
 def latest(meta: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The newest row per key: an upsert over an append-only store."""
     whole = F.struct(order, *(c for c in meta.columns if c not in keys and c != order))
