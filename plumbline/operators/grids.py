@@ -328,6 +328,16 @@ def polygon_cells(edges: DataFrame) -> DataFrame:
     return polygon_runs(edges).groupBy("ring").agg(F.sum(F.col("c1") - F.col("c0")).alias("cells"))
 
 
+def area_cells(edges: DataFrame) -> DataFrame:
+    """Cells (area, r, c) inside an odd number of an area's rings: inner rings are holes; ``edges`` (area, ring, x1, y1, x2, y2).
+
+    The crossings of all rings of an area with a row of cells bound its runs together, so rings
+    are never compared with each other.
+    """
+    runs = polygon_runs(edges.select(F.col("area").alias("ring"), "x1", "y1", "x2", "y2"))
+    return runs.select(F.col("ring").alias("area"), "r", F.explode(F.sequence(F.col("c0"), F.col("c1") - 1)).alias("c"))
+
+
 def clear_polygons(mask: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A raster (r, c, v) with 0 inside any ring, and per ring how many of its cells were not 0 before (ring, cleared).
 

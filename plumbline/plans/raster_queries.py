@@ -156,3 +156,6 @@ add("x12_semantic_fix", "pixels", _fix, f"""WITH k AS (SELECT image, r, c, CASE
  w AS (SELECT image, dr, dc, sum(iou * CASE class WHEN 1 THEN 1e0 ELSE 2e-1 END) / sum(CASE class WHEN 1 THEN 1e0 ELSE 2e-1 END) AS score FROM o GROUP BY 1, 2, 3),
  m AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY image ORDER BY score DESC, abs(dr) + abs(dc), dr DESC, dc DESC) = 1)
  SELECT m.image, m.score, m.score / max(w.score) FILTER (WHERE abs(w.dr - m.dr) > 1 OR abs(w.dc - m.dc) > 1) AS sharpness, CAST(2 AS INT) AS fix_type FROM m JOIN w ON w.image = m.image WHERE m.score > 0 GROUP BY m.image, m.score""", "score, sharpness", "image, fix_type")
+
+_areas = lambda r, n: g.area_cells(_edges(r, n).withColumn("area", F.floor(F.col("ring") / 3))).groupBy("area").agg(F.count("*").alias("cells"), F.min("c").alias("west"), F.max("c").alias("east"))
+add("u06_areas_with_holes", "refs nodes", _areas, f"WITH {EDGES}, x AS (SELECT CAST(floor(ring / 3) AS BIGINT) AS area, r, x1 + (r + 5e-1 - y1) / (y2 - y1) * (x2 - x1) AS x FROM o, unnest(range(0, 60)) AS t(r) WHERE y1 <> y2 AND r + 5e-1 >= least(y1, y2) AND r + 5e-1 < greatest(y1, y2)) SELECT area, count(*) AS cells, min(c) AS west, max(c) AS east FROM (SELECT area, r, c FROM x, unnest(range(0, 211)) AS u(c) WHERE c + 5e-1 < x GROUP BY area, r, c HAVING count(*) % 2 = 1) GROUP BY area")

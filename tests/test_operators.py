@@ -360,3 +360,14 @@ def test_windowed_offset_finds_the_shift(spark):
     assert len(got) >= 9 and {(r["dr"], r["dc"]) for r in got} == {(-1, 1)} and all(r["ncc"] == pytest.approx(1.0) for r in got)
     flat = grids.windowed_correlation(a.withColumn("v", F.lit(3)), a, 8, 16).collect()
     assert flat and all(r["ncc"] is None for r in flat)
+
+
+def test_inner_rings_are_holes(spark):
+    def ring(n, a, b):
+        p = [(a, a), (b, a), (b, b), (a, b)]
+        return [(1, n, *map(float, (*p[i], *p[(i + 1) % 4]))) for i in range(4)]
+
+    edges = spark.createDataFrame(ring(1, 0, 10) + ring(2, 3, 7) + ring(3, 4, 6), "area long, ring long, x1 double, y1 double, x2 double, y2 double")
+    cells = {(r["r"], r["c"]) for r in grids.area_cells(edges).collect()}
+    inside = lambda v, a, b: a <= v < b
+    assert cells == {(r, c) for r in range(10) for c in range(10) if sum(inside(r, a, b) and inside(c, a, b) for a, b in ((0, 10), (3, 7), (4, 6))) % 2}
