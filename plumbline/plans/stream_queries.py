@@ -22,7 +22,10 @@ add("x07_operating_modes", "track", lambda t: s.batch_twin(_rows(t), s.mode_step
  f AS (SELECT run_id, ord, k, CASE WHEN v <= 20 THEN 'nominal' ELSE 'init' END AS mode, CASE WHEN v <= 20 THEN CAST(ord AS DOUBLE) END AS since, 0e0 AS quiet_s FROM q WHERE k = 1
   UNION ALL SELECT q.run_id, q.ord, q.k, CASE WHEN q.v <= 20 THEN CASE WHEN f.mode IN ('coasting', 'lost') THEN 'recovery' ELSE 'nominal' END WHEN z.quiet > 180 THEN 'lost' WHEN z.quiet > 20 THEN 'coasting' WHEN f.mode = 'nominal' AND q.v > 25 THEN 'degraded' WHEN f.mode = 'recovery' THEN 'degraded' ELSE f.mode END,
   CASE WHEN q.v <= 20 THEN CAST(q.ord AS DOUBLE) ELSE f.since END, z.quiet FROM f JOIN q ON q.run_id = f.run_id AND q.k = f.k + 1, LATERAL (SELECT coalesce(q.ord - f.since, 0e0) AS quiet) z) SELECT run_id, ord, mode, quiet_s FROM f""")
-add("t02_centre_cache", "track", lambda t: s.batch_twin(_rows(t), s.cache_step(20.0), "hit boolean, misses int"), None)
+add("t02_centre_cache", "track", lambda t: s.batch_twin(_rows(t), s.cache_step(20.0), "hit boolean, misses int"), f"""WITH {NUMBERED},
+ f AS (SELECT run_id, ord, k, v AS centre, false AS hit, CAST(1 AS INT) AS misses FROM q WHERE k = 1
+  UNION ALL SELECT q.run_id, q.ord, q.k, CASE WHEN ok THEN f.centre ELSE q.v END, ok, CAST(f.misses + CASE WHEN ok THEN 0 ELSE 1 END AS INT)
+  FROM f JOIN q ON q.run_id = f.run_id AND q.k = f.k + 1, LATERAL (SELECT abs(q.v - f.centre) <= 3e-1 * 2 * 2e1 AS ok) z) SELECT run_id, ord, hit, misses FROM f""")
 _asked = lambda t: t.select("run_id", "ord", F.col("path_cm").cast("double").alias("east"), F.col("value").alias("north"), F.lit(2000.0).alias("radius_m"), F.pmod(F.floor(F.col("ord") / 400), F.lit(2)).cast("double").alias("gsd"), F.lit("m1").alias("model"))
 add("t02_descriptor_cache", "track", lambda t: s.batch_twin(_asked(t), s.descriptor_step(), "hit boolean, misses int"), """WITH RECURSIVE q AS (SELECT run_id, ord, CAST(path_cm AS DOUBLE) AS e, value AS n, CAST((ord // 400) % 2 AS DOUBLE) AS g, row_number() OVER (PARTITION BY run_id ORDER BY ord) AS k FROM track),
  f AS (SELECT run_id, ord, k, e, n, g, false AS hit, CAST(1 AS INT) AS misses FROM q WHERE k = 1
