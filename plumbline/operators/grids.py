@@ -6,6 +6,10 @@ has to fit anywhere whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -349,18 +353,97 @@ def clear_polygons(mask: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     return out.select("r", "c", F.when(F.col("ring").isNull(), F.col("v")).otherwise(F.lit(0)).alias("v")), cleared
 
 
+#: Rows of cells that segments cross, at a time in a task of ``thick_runs``.
+STRIPES = 500_000
+
+
+def thick_runs(segments: DataFrame, half: float) -> DataFrame:
+    """Runs of cells (r, c0, c1; c1 is past the end) whose centre is within ``half`` cells of a line's segments (line, x1, y1, x2, y2), with its class if it has one.
+
+    A line's runs are disjoint.  A line is one row with its segments, and a segment has one run
+    a row of cells, so that no cell is shuffled or compared with another.
+    """
+    by = [c for c in segments.columns if c not in ("x1", "y1", "x2", "y2")]
+    ends = [F.col(f"s.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    lines = segments.dropna(subset=["x1", "y1", "x2", "y2"]).groupBy(*by).agg(F.collect_list(F.struct(*(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))).alias("s")).select(F.struct(*by).alias("line"), *ends)
+    schema = f"line {dict(lines.dtypes)['line']}, r long, c0 long, c1 long"
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("line")
+            x1, y1, x2, y2 = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2"))
+            of = np.repeat(np.arange(len(names)), batch.column("x1").value_lengths().to_numpy(zero_copy_only=False))
+            work = np.cumsum(np.abs(y2 - y1) + 2 * half + 3)
+            # Parts of about ``STRIPES`` rows of cells that end with a line.
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            part = np.floor((work[starts] - work[0]) / STRIPES)
+            for lo, hi in zip(b := starts[np.flatnonzero(np.diff(part, prepend=-1))], [*b[1:], len(of)], strict=True):
+                line, r, c0, c1 = merged(*stripes(of[lo:hi], x1[lo:hi], y1[lo:hi], x2[lo:hi], y2[lo:hi], half))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(line)), pa.array(r), pa.array(c0), pa.array(c1)], ["line", "r", "c0", "c1"])
+
+    return lines.mapInArrow(kernel, schema).select("line.*", "r", "c0", "c1")
+
+
+def stripes(of: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, half: float) -> tuple[np.ndarray, ...]:
+    """(of, r, c0, c1): the run of cells of each row within ``half`` of each segment.
+
+    Where the row meets the discs about the ends and the rectangle between them bounds the run;
+    the cells at its ends are held against the distance itself.
+    """
+    low = np.ceil(np.minimum(y1, y2) - half - 1e-6).astype(np.int64)
+    n = np.floor(np.maximum(y1, y2) + half + 1e-6).astype(np.int64) - low + 1
+    of, x1, y1, x2, y2 = (np.repeat(v, n) for v in (of, x1, y1, x2, y2))
+    r = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    dx, dy = x2 - x1, y2 - y1
+    size = dx * dx + dy * dy
+    with np.errstate(all="ignore"):
+        bounds = []
+        for x, y in ((x1, y1), (x2, y2)):
+            reach = np.where(np.abs(r - y) <= half + 1e-9, np.sqrt(np.maximum(half * half - (r - y) ** 2, 0)), np.nan)
+            bounds += [x - reach, x + reach]
+        ox, oy = -dy / np.sqrt(size) * half, dx / np.sqrt(size) * half
+        corners = [(x1 + ox, y1 + oy), (x2 + ox, y2 + oy), (x2 - ox, y2 - oy), (x1 - ox, y1 - oy)]
+        for (xa, ya), (xb, yb) in zip(corners, corners[1:] + corners[:1], strict=True):
+            f = (r - ya) / (yb - ya)
+            bounds.append(np.where((f >= 0) & (f <= 1), xa + f * (xb - xa), np.nan))
+        left, right = np.fmin.reduce(bounds), np.fmax.reduce(bounds)
+
+        def near(c: np.ndarray) -> np.ndarray:
+            t = np.where(size == 0, 0.0, np.clip(((c - x1) * dx + (r - y1) * dy) / size, 0.0, 1.0))
+            return ((c - x1) - t * dx) ** 2 + ((r - y1) - t * dy) ** 2 <= half * half
+
+        first, last = np.ceil(left - 1e-6), np.floor(right + 1e-6)
+        first = np.where(near(first), first, first + 1)
+        last = np.where(near(last), last, last - 1)
+        some = (first <= last) & near(first) & near(last)
+    return of[some], r[some], first[some].astype(np.int64), last[some].astype(np.int64) + 1
+
+
+def merged(of: np.ndarray, r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of one line and row that meet or overlap, as one."""
+    if not len(of):
+        return of, r, c0, c1
+    order = np.lexsort((c0, r, of))
+    of, r, c0, c1 = of[order], r[order], c0[order], c1[order]
+    row = np.cumsum((np.diff(of, prepend=of[0]) != 0) | (np.diff(r, prepend=r[0]) != 0))
+    # The furthest end so far in each row: rows are set apart by more than any of them is wide.
+    apart = row * (c1.max() - c0.min() + 1)
+    upto = np.maximum.accumulate(c1 + apart) - apart
+    new = np.ones(len(of), bool)
+    new[1:] = (row[1:] != row[:-1]) | (c0[1:] > upto[:-1])
+    starts = np.flatnonzero(new)
+    return of[starts], r[starts], c0[starts], upto[np.append(starts[1:], len(of)) - 1]
+
+
 def thick_lines(segments: DataFrame, half: float) -> DataFrame:
     """Cells (r, c) whose centre is within ``half`` cells of a segment (line, x1, y1, x2, y2), with its class if it has one."""
-    df = segments.withColumn("r", F.explode(F.sequence(F.floor(F.least("y1", "y2") - half - 1), F.ceil(F.greatest("y1", "y2") + half + 1))))
-    # Of each row only the columns near the part of the segment that is within reach of it.
-    part = lambda y: F.col("x1") + F.coalesce(F.least(F.greatest(F.try_divide(y - F.col("y1"), F.col("y2") - F.col("y1")), F.lit(0.0)), F.lit(1.0)), F.lit(0.0)) * (F.col("x2") - F.col("x1"))
-    level = F.col("y1") == F.col("y2")
-    one, two = F.when(level, F.col("x1")).otherwise(part(F.col("r") - half)), F.when(level, F.col("x2")).otherwise(part(F.col("r") + half))
-    df = df.withColumn("c", F.explode(F.sequence(F.floor(F.least(one, two) - half - 1), F.ceil(F.greatest(one, two) + half + 1))))
-    dx, dy, px, py = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("c") - F.col("x1"), F.col("r") - F.col("y1")
-    t = F.coalesce(F.least(F.greatest(F.try_divide(px * dx + py * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    near = F.pow(px - t * dx, F.lit(2.0)) + F.pow(py - t * dy, F.lit(2.0)) <= half * half
-    return df.filter(near).drop("x1", "y1", "x2", "y2").distinct()
+    runs = thick_runs(segments, half)
+    return runs.withColumn("c", F.explode(F.sequence(F.col("c0"), F.col("c1") - 1))).drop("c0", "c1")
+
+
+def thick_cells(segments: DataFrame, half: float) -> DataFrame:
+    """How many cells ``thick_lines`` gives each line (line, cells)."""
+    return thick_runs(segments, half).groupBy("line").agg(F.sum(F.col("c1") - F.col("c0")).alias("cells"))
 
 
 #: Paint order of the raster classes, last on top: farmland, forest, road, building, water.

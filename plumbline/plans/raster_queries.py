@@ -77,7 +77,7 @@ EDGES = f"{WAYS}, o AS (SELECT way AS ring, east AS x1, north AS y1, coalesce(le
 add("j10_resolve_ways", "refs nodes", lambda r, n: g.resolve_ways(r, n).select("way", "n", F.element_at("coords", 1)["east"].alias("first_east"), F.element_at("coords", -1)["north"].alias("last_north")), "SELECT way, count(*) AS n, arg_min(east, pos) AS first_east, arg_max(north, pos) AS last_north FROM refs JOIN nodes ON refs.node = nodes.node GROUP BY way", "first_east, last_north", "way, n")
 add("p11_polygon_mask", "refs nodes", lambda r, n: g.polygon_mask(_edges(r, n), 50, 211).groupBy("ring").agg(F.count("*").alias("cells")), f"WITH {EDGES}, x AS (SELECT ring, r, x1 + (r + 5e-1 - y1) / (y2 - y1) * (x2 - x1) AS x FROM o, unnest(range(0, 50)) AS t(r) WHERE y1 <> y2 AND r + 5e-1 >= least(y1, y2) AND r + 5e-1 < greatest(y1, y2)) SELECT ring, count(*) AS cells FROM (SELECT ring, r, c FROM x, unnest(range(0, 211)) AS u(c) WHERE c + 5e-1 < x GROUP BY ring, r, c HAVING count(*) % 2 = 1) GROUP BY ring")
 NEAR = "pow((c - x1) - coalesce(least(greatest(((c - x1) * (x2 - x1) + (r - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0), 0), 1), 0) * (x2 - x1), 2) + pow((r - y1) - coalesce(least(greatest(((c - x1) * (x2 - x1) + (r - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0), 0), 1), 0) * (y2 - y1), 2)"
-add("r11_thick_lines", "refs nodes", lambda r, n: g.thick_lines(_edges(r, n).withColumnRenamed("ring", "line"), 1.5).groupBy("line").agg(F.count("*").alias("cells")), f"WITH {EDGES}, s AS (SELECT DISTINCT ring, r, c FROM (SELECT *, unnest(range(CAST(floor(least(x1, x2)) - 2 AS BIGINT), CAST(ceil(greatest(x1, x2)) + 3 AS BIGINT))) AS c FROM (SELECT *, unnest(range(CAST(floor(least(y1, y2)) - 2 AS BIGINT), CAST(ceil(greatest(y1, y2)) + 3 AS BIGINT))) AS r FROM o)) WHERE {NEAR} <= 225e-2) SELECT ring AS line, count(*) AS cells FROM s GROUP BY ring")
+add("r11_thick_lines", "refs nodes", lambda r, n: g.thick_cells(_edges(r, n).withColumnRenamed("ring", "line"), 1.5), f"WITH {EDGES}, s AS (SELECT DISTINCT ring, r, c FROM (SELECT *, unnest(range(CAST(floor(least(x1, x2)) - 2 AS BIGINT), CAST(ceil(greatest(x1, x2)) + 3 AS BIGINT))) AS c FROM (SELECT *, unnest(range(CAST(floor(least(y1, y2)) - 2 AS BIGINT), CAST(ceil(greatest(y1, y2)) + 3 AS BIGINT))) AS r FROM o)) WHERE {NEAR} <= 225e-2) SELECT ring AS line, count(*) AS cells FROM s GROUP BY ring")
 add("p11_polygon_mask_whole", "refs nodes", lambda r, n: g.polygon_cells(_edges(r, n)), f"WITH {EDGES}, x AS (SELECT ring, r, x1 + (r + 5e-1 - y1) / (y2 - y1) * (x2 - x1) AS x FROM o, unnest(range(0, 60)) AS t(r) WHERE y1 <> y2 AND r + 5e-1 >= least(y1, y2) AND r + 5e-1 < greatest(y1, y2)) SELECT ring, count(*) AS cells FROM (SELECT ring, r, c FROM x, unnest(range(0, 211)) AS u(c) WHERE c + 5e-1 < x GROUP BY ring, r, c HAVING count(*) % 2 = 1) GROUP BY ring")
 add("r13_cleared_cells", "refs nodes classes", lambda r, n, c: g.clear_polygons(c.select("r", "c", F.col("class").alias("v")), _edges(r, n))[1], f"WITH {EDGES}, x AS (SELECT ring, r, x1 + (r + 5e-1 - y1) / (y2 - y1) * (x2 - x1) AS x FROM o, unnest(range(0, 60)) AS t(r) WHERE y1 <> y2 AND r + 5e-1 >= least(y1, y2) AND r + 5e-1 < greatest(y1, y2)), i AS (SELECT ring, r, c FROM x, unnest(range(0, 211)) AS u(c) WHERE c + 5e-1 < x GROUP BY ring, r, c HAVING count(*) % 2 = 1), f AS (SELECT r, c, min(ring) AS ring FROM i GROUP BY r, c) SELECT ring, count(*) AS cleared FROM f JOIN classes k ON k.r = f.r AND k.c = f.c WHERE class <> 0 GROUP BY ring")
 add("r09_paint_order", "classes", lambda c: g.paint(c.filter("class > 0").withColumns({"r": F.floor(F.col("r") / 4), "c": F.floor(F.col("c") / 4)})), "SELECT CAST(floor(r / 4) AS BIGINT) AS r, CAST(floor(c / 4) AS BIGINT) AS c, arg_max(class, list_position([4, 5, 1, 2, 3], class)) AS class FROM classes WHERE class > 0 GROUP BY 1, 2")

@@ -225,7 +225,7 @@ def semantic_layer(documents: DataFrame, to_cell, road_half: float = 1.5) -> Dat
     edges = pts.select("way", "class", F.col("a.east").alias("x1"), F.col("a.north").alias("y1"), F.col("b.east").alias("x2"), F.col("b.north").alias("y2"))
     closed = lines.filter(F.element_at("coords", 1) == F.element_at("coords", -1)).select("way")
     areas = grids.polygon_mask(edges.filter("class <> 1").join(closed, "way", "left_semi").withColumnRenamed("way", "ring")).join(ways.select(F.col("id").alias("ring"), "class"), "ring")
-    drawn = grids.thick_lines(edges.filter("class IN (1, 3)").drop("way").withColumn("line", F.lit(0)), road_half)
+    drawn = grids.thick_lines(edges.filter("class IN (1, 3)").withColumnRenamed("way", "line"), road_half)
     return grids.paint(areas.select("r", "c", "class").union(drawn.select("r", "c", "class")))
 
 
