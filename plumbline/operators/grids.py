@@ -301,22 +301,47 @@ def windowed_offset(a: DataFrame, b: DataFrame, reach: int, step: int, shifts: i
     return made.groupBy("r", "c").agg(F.max("m").alias("m")).select("r", "c", "m.dr", "m.dc", "m.ncc")
 
 
+#: A row of cells and a column as one whole number, in the order of both: row times this plus column.
+SPAN = 1 << 32
+
+
+def _row_of(key: Column) -> Column:
+    return F.shiftright(key + SPAN // 2, 32)
+
+
 def _crossings(edges: DataFrame) -> DataFrame:
-    """Where each ring's edges cross the middle of a row of cells (ring, r, x), x the first cell whose centre is not left of it."""
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    spans = edges.filter("y1 <> y2").withColumn("r", F.explode(F.sequence(F.ceil(low - 0.5), F.ceil(high - 0.5)))).filter((F.col("r") + 0.5 >= low) & (F.col("r") + 0.5 < high))
-    return spans.select("ring", "r", F.ceil(F.col("x1") + (F.col("r") + 0.5 - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")) - 0.5).alias("x"))
+    """Per ring (ring, keys) where its edges cross the middles of rows of cells, in order: row times ``SPAN`` plus x, the first cell whose centre is not left of it.
+
+    A ring's crossings are an array of its row, so that none of them is shuffled or sorted
+    among those of others.  Of a row of an open line the last one without a partner is left out.
+    """
+    rings = edges.filter("y1 <> y2 AND x1 IS NOT NULL AND x2 IS NOT NULL").groupBy("ring").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("e"))
+    keys = f"""flatten(transform(e, e -> transform(
+        filter(sequence(ceil(least(e.y1, e.y2) - 0.5D), ceil(greatest(e.y1, e.y2) - 0.5D)), r -> r + 0.5D >= least(e.y1, e.y2) AND r + 0.5D < greatest(e.y1, e.y2)),
+        r -> r * {SPAN} + ceil(e.x1 + (r + 0.5D - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1) - 0.5D))))"""
+    # Arrays that lambdas use come out of an explode, so that they are made once and not in each lambda.
+    rows = rings.select("ring", F.explode(F.array(F.sort_array(F.expr(keys)))).alias("keys"))
+    paired = F.forall(_pairs(F.col("keys")), lambda p: _row_of(p["a"]) == _row_of(p["b"])) & (F.size("keys") % 2 == 0)
+    last = lambda k, i: _row_of(k) != F.coalesce(_row_of(F.get("keys", i + 1)), _row_of(k) + 1)
+    odd = lambda k: F.size(F.filter("keys", lambda q: _row_of(q) == _row_of(k))) % 2 == 1
+    return rows.select("ring", F.explode(F.array(F.when(paired, F.col("keys")).otherwise(F.filter("keys", lambda k, i: ~(last(k, i) & odd(k)))))).alias("keys"))
+
+
+def _pairs(keys: Column) -> Column:
+    """Every first and second of an array (a, b)."""
+    at = F.when(F.size(keys) > 1, F.sequence(F.lit(0), F.floor(F.size(keys) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(F.get(keys, 2 * i).alias("a"), F.get(keys, 2 * i + 1).alias("b")))
 
 
 def polygon_runs(edges: DataFrame) -> DataFrame:
     """Runs of cells (ring, r, c0, c1; c1 is past the end) whose centre is inside a ring, even-odd; ``edges`` (ring, x1, y1, x2, y2).
 
     The crossings of a ring with a row of cells, in order, bound the runs that are inside, so
-    work is edges times the rows that they span and not rings times cells.
+    work is edges times the rows that they span and not rings times cells.  Rows and columns
+    are within 31 bits.
     """
-    rows = _crossings(edges).groupBy("ring", "r").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("x") / 2) - 1), lambda i: F.struct(F.get("x", (2 * i).cast("int")).alias("c0"), F.get("x", (2 * i + 1).cast("int")).alias("c1")))
-    return rows.filter("size(x) > 1").select("ring", "r", F.explode(pairs).alias("p")).select("ring", "r", "p.c0", "p.c1").filter("c0 < c1")
+    runs = _crossings(edges).select("ring", F.explode(_pairs(F.col("keys"))).alias("p")).filter("p.a < p.b").withColumn("r", _row_of(F.col("p.a")))
+    return runs.select("ring", "r", (F.col("p.a") - F.col("r") * SPAN).alias("c0"), (F.col("p.b") - F.col("r") * SPAN).alias("c1"))
 
 
 def polygon_mask(edges: DataFrame, height: int | None = None, width: int | None = None) -> DataFrame:
@@ -329,7 +354,8 @@ def polygon_mask(edges: DataFrame, height: int | None = None, width: int | None
 
 def polygon_cells(edges: DataFrame) -> DataFrame:
     """How many cells have their centre inside each ring (ring, cells)."""
-    return polygon_runs(edges).groupBy("ring").agg(F.sum(F.col("c1") - F.col("c0")).alias("cells"))
+    length = F.aggregate(_pairs(F.col("keys")), F.lit(0).cast("long"), lambda n, p: n + p["b"] - p["a"])
+    return _crossings(edges).filter("size(keys) > 1").select("ring", length.alias("cells")).groupBy("ring").agg(F.sum("cells").alias("cells")).filter("cells > 0")
 
 
 def area_cells(edges: DataFrame) -> DataFrame:

@@ -36,3 +36,19 @@ def test_thick_runs_are_the_cells_and_disjoint(spark):
 def test_thick_lines_shuffle_segments_and_no_cells(spark):
     segments = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 5.0)], EDGES.replace("ring", "line"))
     assert plan(grids.thick_lines(segments, 1.5)).count("Exchange") == 1
+
+
+def test_polygon_crossings_are_shuffled_once_by_ring(spark):
+    square = [(1, 0.0, 0.0, 0.0, 4.0), (1, 0.0, 4.0, 4.0, 4.0), (1, 4.0, 4.0, 4.0, 0.0), (1, 4.0, 0.0, 0.0, 0.0)]
+    edges = spark.createDataFrame(square, EDGES)
+    for made in (grids.polygon_mask(edges), grids.polygon_cells(edges), grids.polygon_mask(edges, 3, 3)):
+        text = plan(made)
+        assert text.count("Exchange") == 1 and "hashpartitioning(ring" in text and "keys=[ring#" in text
+        assert not any("r#" in line.split("functions")[0] for line in text.splitlines() if "Aggregate(" in line)
+    assert grids.polygon_mask(edges, 3, 3).count() == 9
+
+
+def test_an_open_line_leaves_its_last_crossing_of_a_row_out(spark):
+    rows = [(1, 1.0, 0.0, 1.0, 3.0), (1, 4.0, 0.0, 4.0, 3.0), (1, 9.0, 1.0, 9.0, 2.0), (2, -3.0, -2.0, -3.0, 1.0), (2, 2.0, -2.0, 2.0, 1.0), (2, None, 0.0, 1.0, 1.0)]
+    got = sorted(tuple(r) for r in grids.polygon_runs(spark.createDataFrame(rows, EDGES)).select("ring", "r", "c0", "c1").collect())
+    assert got == [(1, 0, 1, 4), (1, 1, 1, 4), (1, 2, 1, 4), (2, -2, -3, 2), (2, -1, -3, 2), (2, 0, -3, 2)]
