@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -235,33 +236,53 @@ def bilinear(points: DataFrame, pixels: DataFrame, half_pixel: bool = True, valu
     return got.select(*keep, (terms[0] + terms[1] + terms[2] + terms[3]).alias(value))
 
 
-def summed_area(cells: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Sums of whole-number ``values`` over all cells up to (r, c), for every place of the cells' bounding rectangle.
+def _side(reach: int) -> int:
+    """Cells along the sides of the squares by which sums over windows are made: one with what is around it is all that a task holds."""
+    return max(128, 4 * reach)
+
+
+def _with_halo(cells: DataFrame, side: int, halo: int) -> DataFrame:
+    """Cells (r, c and others) with the squares tr, tc that they are in or ``halo`` cells from: more than one near a border."""
+    squares = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / side), F.floor((F.col(c) + halo) / side)))
+    return cells.withColumn("tr", squares("r")).withColumn("tc", squares("c"))
 
-    Prefix sums along rows and then along columns: a task holds no more than one of them at
-    a time, and a place without a cell adds nothing.
-    """
-    ends = cells.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    rows = ends.select(F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1").repartition("r")
-    empty = rows.select("r", F.explode(F.sequence("c0", "c1")).alias("c"), *(F.lit(0).cast("long").alias(v) for v in values))
-    dense = cells.select("r", "c", *(e.cast("long").alias(v) for v, e in values.items())).unionByName(empty).groupBy("r", "c").agg(*(F.sum(v).alias(v) for v in values))
-    for w in (W.partitionBy("r").orderBy("c"), W.partitionBy("c").orderBy("r")):
-        dense = dense.withColumns({v: F.sum(v).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) for v in values})
-    return dense
+
+def _box_sums(field: np.ndarray, y: np.ndarray, x: np.ndarray, reach: int) -> np.ndarray:
+    """Sums of ``field`` in the squares round (y + reach, x + reach), by four look-ups of its summed-area table."""
+    table = np.pad(field.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+    b, r = y + 2 * reach + 1, x + 2 * reach + 1
+    return table[b, r] - table[y, r] - table[b, x] + table[y, x]
 
 
 def window_sums(points: DataFrame, cells: DataFrame, reach: int, values: dict[str, Column]) -> DataFrame:
-    """Sums of ``values`` in the square of ``reach`` cells around each point (id, r, c), by four look-ups of a summed-area table.
+    """Sums of whole-number ``values`` in the square of ``reach`` cells around each point (id, r, c), by four look-ups whatever the reach.
 
-    Points of one id count together; those whose square has no place of the rectangle are left out.
+    Points meet the cells of their part of the raster, which has a summed-area table of its own.
+    Points of one id count together; those whose square has no cell are left out.
     """
-    ends = F.broadcast(cells.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1")))
-    p = points.select("id", "r", "c", F.lit(1).alias("__one")).join(ends.withColumn("__one", F.lit(1)), "__one")
-    near = {"__t": F.col("r") - reach - 1, "__b": F.least(F.col("r") + reach, F.col("r1")), "__l": F.col("c") - reach - 1, "__r": F.least(F.col("c") + reach, F.col("c1"))}
-    p = p.withColumns(near).filter("__b >= r0 AND __r >= c0 AND r - {0} <= r1 AND c - {0} <= c1".format(reach))
-    corner = [F.when((F.col(y) >= F.col("r0")) & (F.col(x) >= F.col("c0")), F.struct(F.col(y).alias("r"), F.col(x).alias("c"), F.lit(sign).alias("sign"))) for y, x, sign in (("__b", "__r", 1), ("__t", "__r", -1), ("__b", "__l", -1), ("__t", "__l", 1))]
-    asked = p.select("id", F.explode(F.array_compact(F.array(*corner))).alias("x")).select("id", "x.*")
-    return asked.join(summed_area(cells, values), ["r", "c"]).groupBy("id").agg(*(F.sum(F.col("sign") * F.col(v)).alias(v) for v in values))
+    side, names = _side(reach), list(values)
+    own = {f"t{a}": F.floor(F.col(a) / side) for a in "rc"}
+    # Columns of its own: a cogroup confuses those that both sides have from one table.
+    asked = points.select(F.col("id").alias("id"), F.col("r").alias("r"), F.col("c").alias("c")).dropna(subset=["r", "c"]).withColumns(own)
+    sent = _with_halo(cells.select("r", "c", *(F.coalesce(e.cast("long"), F.lit(0)).alias(v) for v, e in values.items())), side, reach)
+    schema = f"id {dict(asked.dtypes)['id']}, {', '.join(f'{v} long' for v in names)}"
+
+    def kernel(key: tuple[int, int], at: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(at) or not len(near):
+            return pd.DataFrame(columns=["id", *names])
+        top, left = (k * side - reach for k in key)
+        place = near["r"].to_numpy() - top, near["c"].to_numpy() - left
+        y, x = at["r"].to_numpy() - top - reach, at["c"].to_numpy() - left - reach
+        made = {}
+        for v in ["", *names]:
+            field = np.zeros((side + 2 * reach,) * 2, np.int64)
+            np.add.at(field, place, near[v].to_numpy() if v else 1)
+            made[v] = _box_sums(field, y, x, reach)
+        some = made.pop("") > 0
+        return pd.DataFrame({"id": at["id"], **made})[some]
+
+    got = asked.groupBy("tr", "tc").cogroup(sent.groupBy("tr", "tc")).applyInPandas(kernel, schema)
+    return got.groupBy("id").agg(*(F.sum(v).alias(v) for v in names))
 
 
 def window_fractions(points: DataFrame, classes: DataFrame, reach: int, n_classes: int = 6) -> DataFrame:
@@ -271,34 +292,58 @@ def window_fractions(points: DataFrame, classes: DataFrame, reach: int, n_classe
     return sums.select("id", "n", *((F.col(f"f{i}") / F.col("n")).alias(f"f{i}") for i in range(n_classes)))
 
 
+def _correlations(a: DataFrame, b: DataFrame, reach: int, step: int, least: float, shifts: int) -> DataFrame:
+    """(r, c, dr, dc, n, ncc) of each square and shift of ``b``; both rasters' cells of a part of the plane meet in one group, a cell is there once."""
+    side = _side(reach + shifts)
+    both = [_with_halo(x.filter("v IS NOT NULL").select("r", "c", F.col("v").cast("long").alias("v"), F.lit(i).alias("side")), side, reach + i * shifts) for i, x in enumerate((a, b))]
+    names = ["n", "sx", "sy", "xx", "yy", "xy"]
+    width = side + 2 * reach
+
+    def kernel(key: tuple[int, int], pdf: pd.DataFrame) -> pd.DataFrame:
+        fields = []
+        for i, halo in enumerate((reach, reach + shifts)):
+            own = pdf[pdf["side"] == i]
+            field, there = np.zeros((side + 2 * halo,) * 2, np.int64), np.zeros((side + 2 * halo,) * 2, bool)
+            place = tuple(own[axis].to_numpy() - (k * side - halo) for axis, k in zip("rc", key, strict=True))
+            field[place], there[place] = own["v"].to_numpy(), True
+            fields.append((field, there))
+        (x, has), (other, there) = fields
+        ys, xs = (np.flatnonzero((k * side + np.arange(side)) % step == 0) for k in key)
+        made = []
+        for dr in range(-shifts, shifts + 1):
+            for dc in range(-shifts, shifts + 1):
+                part = slice(shifts - dr, shifts - dr + width), slice(shifts - dc, shifts - dc + width)
+                met, y = has & there[part], other[part]
+                at = np.argwhere(met[np.ix_(ys + reach, xs + reach)])
+                at_y, at_x = ys[at[:, 0]], xs[at[:, 1]]
+                moments = (met, x * met, y * met, x * x * met, y * y * met, x * y * met)
+                sums = {n: _box_sums(m.astype(np.int64), at_y, at_x, reach) for n, m in zip(names, moments, strict=True)}
+                made.append(pd.DataFrame({"r": at_y + key[0] * side, "c": at_x + key[1] * side, "dr": dr, "dc": dc, **sums}))
+        return pd.concat(made)
+
+    m = both[0].unionByName(both[1]).groupBy("tr", "tc").applyInPandas(kernel, "r long, c long, dr int, dc int, " + ", ".join(f"{n} long" for n in names))
+    n = F.col("n")
+    spread = F.sqrt((n * F.col("xx") - F.col("sx") * F.col("sx")).cast("double")) * F.sqrt((n * F.col("yy") - F.col("sy") * F.col("sy")).cast("double"))
+    ncc = F.when(n >= least * (2 * reach + 1) ** 2, F.try_divide((n * F.col("xy") - F.col("sx") * F.col("sy")).cast("double"), spread))
+    return m.select("r", "c", "dr", "dc", "n", ncc.alias("ncc"))
+
+
 def windowed_correlation(a: DataFrame, b: DataFrame, reach: int, step: int, least: float = 0.6) -> DataFrame:
     """Normalised correlation of two rasters of whole numbers (r, c, v) in squares of ``reach`` cells, centres ``step`` apart (r, c, n, ncc).
 
-    Moments come from one summed-area table over the cells that both have.  Squares with less
+    Moments come from summed-area tables over the cells that both have.  Squares with less
     than ``least`` of their cells, or without spread, have null.
     """
-    both = a.select("r", "c", F.col("v").alias("__a")).join(b.select("r", "c", F.col("v").alias("__b")), ["r", "c"]).filter("__a IS NOT NULL AND __b IS NOT NULL")
-    centres = both.filter((F.col("r") % step == 0) & (F.col("c") % step == 0)).select(F.struct("r", "c").alias("id"), "r", "c")
-    x, y = F.col("__a"), F.col("__b")
-    m = window_sums(centres, both, reach, {"n": F.lit(1), "sx": x, "sy": y, "xx": x * x, "yy": y * y, "xy": x * y})
-    n = F.col("n")
-    spread = F.sqrt((n * F.col("xx") - F.col("sx") * F.col("sx")).cast("double")) * F.sqrt((n * F.col("yy") - F.col("sy") * F.col("sy")).cast("double"))
-    ncc = F.when(n >= least * (2 * reach + 1) ** 2, F.try_divide((n * F.col("xy") - F.col("sx") * F.col("sy")).cast("double"), spread))
-    return m.select("id.r", "id.c", "n", ncc.alias("ncc"))
+    return _correlations(a, b, reach, step, least, 0).drop("dr", "dc")
 
 
 def windowed_offset(a: DataFrame, b: DataFrame, reach: int, step: int, shifts: int) -> DataFrame:
     """Per square (r, c) the shift of ``b`` (dr, dc up to ``shifts`` cells) with the greatest correlation; ties go to the least shift.
 
-    Each shift is one summed-area table; squares compare theirs by a maximum.
+    All shifts of a part of the plane are made where its cells are; squares compare theirs by a maximum.
     """
-    made = None
-    for dr in range(-shifts, shifts + 1):
-        for dc in range(-shifts, shifts + 1):
-            one = windowed_correlation(a, b.select((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c"), "v"), reach, step)
-            one = one.filter("ncc IS NOT NULL").select("r", "c", F.struct("ncc", F.lit(-abs(dr) - abs(dc)).alias("near"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")).alias("m"))
-            made = one if made is None else made.unionByName(one)
-    return made.groupBy("r", "c").agg(F.max("m").alias("m")).select("r", "c", "m.dr", "m.dc", "m.ncc")
+    best = F.max(F.struct("ncc", (-F.abs("dr") - F.abs("dc")).alias("near"), "dr", "dc")).alias("m")
+    return _correlations(a, b, reach, step, 0.6, shifts).filter("ncc IS NOT NULL").groupBy("r", "c").agg(best).select("r", "c", "m.dr", "m.dc", "m.ncc")
 
 
 #: A row of cells and a column as one whole number, in the order of both: row times this plus column.

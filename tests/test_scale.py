@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import grids
 
@@ -52,3 +53,20 @@ def test_an_open_line_leaves_its_last_crossing_of_a_row_out(spark):
     rows = [(1, 1.0, 0.0, 1.0, 3.0), (1, 4.0, 0.0, 4.0, 3.0), (1, 9.0, 1.0, 9.0, 2.0), (2, -3.0, -2.0, -3.0, 1.0), (2, 2.0, -2.0, 2.0, 1.0), (2, None, 0.0, 1.0, 1.0)]
     got = sorted(tuple(r) for r in grids.polygon_runs(spark.createDataFrame(rows, EDGES)).select("ring", "r", "c0", "c1").collect())
     assert got == [(1, 0, 1, 4), (1, 1, 1, 4), (1, 2, 1, 4), (2, -2, -3, 2), (2, -1, -3, 2), (2, 0, -3, 2)]
+
+
+def test_window_sums_hold_a_part_of_the_plane_at_a_time(spark):
+    cells = spark.range(40).selectExpr("id * 1000003 AS r", "id * 7 - 90 AS c", "CAST(id % 3 AS INT) AS class")
+    got = grids.window_fractions(cells.selectExpr("r AS id", "r", "c"), cells, 4, 3)
+    assert "Window" not in plan(got)
+    assert [r["n"] for r in got.collect()] == [1] * 40  # their rectangle has ten thousand million places
+    assert grids.window_fractions(cells.select(F.col("r").alias("id"), "r", "c"), cells, 4, 3).count() == 40
+
+
+def test_all_shifts_are_compared_in_one_pass(spark):
+    a = spark.range(400).selectExpr("id div 20 - 10 AS r", "id % 20 + 120 AS c", "id * id % 97 AS v")
+    b = a.selectExpr("r + 2 AS r", "c - 1 AS c", "v")
+    found = grids.windowed_offset(a, b, 3, 4, 2)
+    assert plan(found).count("Exchange hash") == 2
+    got = found.collect()
+    assert len(got) >= 9 and {(x["dr"], x["dc"]) for x in got} == {(-2, 1)} and all(x["ncc"] == pytest.approx(1.0) for x in got)
