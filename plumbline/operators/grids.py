@@ -350,7 +350,7 @@ def windowed_offset(a: DataFrame, b: DataFrame, reach: int, step: int, shifts: i
 SPAN = 1 << 32
 
 
-def _row_of(key: Column) -> Column:
+def row_of(key: Column) -> Column:
     return F.shiftright(key + SPAN // 2, 32)
 
 
@@ -366,9 +366,9 @@ def _crossings(edges: DataFrame) -> DataFrame:
         r -> r * {SPAN} + ceil(e.x1 + (r + 0.5D - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1) - 0.5D))))"""
     # Arrays that lambdas use come out of an explode, so that they are made once and not in each lambda.
     rows = rings.select("ring", F.explode(F.array(F.sort_array(F.expr(keys)))).alias("keys"))
-    paired = F.forall(_pairs(F.col("keys")), lambda p: _row_of(p["a"]) == _row_of(p["b"])) & (F.size("keys") % 2 == 0)
-    last = lambda k, i: _row_of(k) != F.coalesce(_row_of(F.get("keys", i + 1)), _row_of(k) + 1)
-    odd = lambda k: F.size(F.filter("keys", lambda q: _row_of(q) == _row_of(k))) % 2 == 1
+    paired = F.forall(_pairs(F.col("keys")), lambda p: row_of(p["a"]) == row_of(p["b"])) & (F.size("keys") % 2 == 0)
+    last = lambda k, i: row_of(k) != F.coalesce(row_of(F.get("keys", i + 1)), row_of(k) + 1)
+    odd = lambda k: F.size(F.filter("keys", lambda q: row_of(q) == row_of(k))) % 2 == 1
     return rows.select("ring", F.explode(F.array(F.when(paired, F.col("keys")).otherwise(F.filter("keys", lambda k, i: ~(last(k, i) & odd(k)))))).alias("keys"))
 
 
@@ -385,7 +385,7 @@ def polygon_runs(edges: DataFrame) -> DataFrame:
     work is edges times the rows that they span and not rings times cells.  Rows and columns
     are within 31 bits.
     """
-    runs = _crossings(edges).select("ring", F.explode(_pairs(F.col("keys"))).alias("p")).filter("p.a < p.b").withColumn("r", _row_of(F.col("p.a")))
+    runs = _crossings(edges).select("ring", F.explode(_pairs(F.col("keys"))).alias("p")).filter("p.a < p.b").withColumn("r", row_of(F.col("p.a")))
     return runs.select("ring", "r", (F.col("p.a") - F.col("r") * SPAN).alias("c0"), (F.col("p.b") - F.col("r") * SPAN).alias("c1"))
 
 

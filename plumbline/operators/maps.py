@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geodesy
+from . import grids
 
 
 def in_quad(px: Column, py: Column, corners: list[tuple[Column, Column]]) -> Column:
@@ -70,12 +71,13 @@ def shared_edge(x: Column, y: Column, x2: Column, y2: Column, z: Column) -> Colu
 
 def edge_cells(edges: DataFrame, brush: int = 1) -> DataFrame:
     """Cells that a line (line, x1, y1, x2, y2), drawn with a square brush, covers."""
-    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))))
-    t = edges.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long"))))
-    d = F.sequence(F.lit(-brush), F.lit(brush))
-    t = t.withColumn("dr", F.explode(d)).withColumn("dc", F.explode(d))
-    f = F.col("k") / F.col("n")
-    return t.select("line", (F.floor(F.col("y1") + f * (F.col("y2") - F.col("y1"))) + F.col("dr")).alias("r"), (F.floor(F.col("x1") + f * (F.col("x2") - F.col("x1"))) + F.col("dc")).alias("c")).distinct()
+    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))))).cast("long")
+    lines = edges.groupBy("line").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2", n.alias("n"))).alias("e"))
+    # A line's cells are an array of its row, as whole numbers; those of other lines never meet them.
+    covered = f"""array_distinct(flatten(transform(e, e -> flatten(transform(sequence(0L, e.n), k -> flatten(transform(sequence(-{brush}, {brush}), dr -> transform(sequence(-{brush}, {brush}), dc ->
+        (floor(e.y1 + k / e.n * (e.y2 - e.y1)) + dr) * {grids.SPAN} + floor(e.x1 + k / e.n * (e.x2 - e.x1)) + dc))))))))"""
+    cells = lines.select("line", F.explode(F.expr(covered)).alias("key")).filter("key IS NOT NULL").withColumn("r", grids.row_of(F.col("key")))
+    return cells.select("line", "r", (F.col("key") - F.col("r") * grids.SPAN).alias("c"))
 
 
 def missing(requests: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:

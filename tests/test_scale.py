@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import grids
+from plumbline.operators import grids, maps
 
 EDGES = "ring int, x1 double, y1 double, x2 double, y2 double"
 
@@ -70,3 +71,15 @@ def test_all_shifts_are_compared_in_one_pass(spark):
     assert plan(found).count("Exchange hash") == 2
     got = found.collect()
     assert len(got) >= 9 and {(x["dr"], x["dc"]) for x in got} == {(-2, 1)} and all(x["ncc"] == pytest.approx(1.0) for x in got)
+
+
+def test_edges_of_lines_cover_cells_once_without_shuffling_them(spark):
+    rows = [(1, -1.5, 0.0, 4.2, 3.0), (1, 4.2, 3.0, 4.2, 3.0), (2, 7.0, -2.5, 0.0, -2.5)]
+    made = maps.edge_cells(spark.createDataFrame(rows, EDGES.replace("ring", "line")))
+    want = set()
+    for line, x1, y1, x2, y2 in rows:
+        n = max(1, math.ceil(max(abs(x2 - x1), abs(y2 - y1))))
+        want |= {(line, math.floor(y1 + k / n * (y2 - y1)) + i, math.floor(x1 + k / n * (x2 - x1)) + j) for k in range(n + 1) for i in (-1, 0, 1) for j in (-1, 0, 1)}
+    assert plan(made).count("Exchange") == 1
+    got = [(x["line"], x["r"], x["c"]) for x in made.collect()]
+    assert len(got) == len(want) and set(got) == want
