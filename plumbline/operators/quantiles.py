@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rank error of the sketch is at most one in so many rows.
 ACCURACY = 10_000
+#: Tasks that may share a group's rows, where there may be many groups.
+SALTS = 32
 
 
 def same_keys(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
@@ -60,7 +62,11 @@ class Wanted:
                 at[name] = F.lit(q) * (n - 1)
                 names.append((name, a))
         limits = bounds.select(*by, *ends, *(f"{a}n" for a in self.columns))
-        met = same_keys(rows, F.broadcast(limits) if few or not by else limits, by)
+        if few or not by:
+            met = same_keys(rows, F.broadcast(limits), by)
+        else:  # a group's rows go to many tasks, so that none has a large group whole
+            salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*self.columns), F.lit(SALTS)))
+            met = same_keys(salted, limits.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*by, "__salt"]).drop("__salt")
         below = met.groupBy(*by).agg(*(F.any_value(f"{a}n").alias(f"{a}n") for a in self.columns), *(F.count_if(F.col(a) < F.col(f"__lo_{name}")).alias(f"__below_{name}") for name, a in names))
         within = {name: (F.col(a) >= F.col(f"__lo_{name}")) & (F.col(a) <= F.col(f"__hi_{name}")) for name, a in names}
         inside = F.array_compact(F.array(*(F.when(within[name], F.struct(F.lit(name).alias("name"), F.col(a).alias("v"))) for name, a in names)))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import grids, maps
+from plumbline.operators.quantiles import exact_quantiles
 
 EDGES = "ring int, x1 double, y1 double, x2 double, y2 double"
 
@@ -83,3 +84,11 @@ def test_edges_of_lines_cover_cells_once_without_shuffling_them(spark):
     assert plan(made).count("Exchange") == 1
     got = [(x["line"], x["r"], x["c"]) for x in made.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_quantiles_spread_a_group_over_tasks(spark):
+    df = spark.range(5000).selectExpr("id % 2 AS k", "CAST(id * 7919 % 5000 AS DOUBLE) AS v")
+    made = exact_quantiles(df, ["k"], {"m": (F.col("v"), 0.5)})
+    assert "__salt" in plan(made)
+    got = {r["k"]: r["m"] for r in made.collect()}
+    assert got == {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
