@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import angles, covariance
+from .ordered import in_blocks
 from .quantiles import Wanted, exact_quantiles, same_keys
 
 TERRAIN = ("urban", "suburban", "roads", "farmland", "forest", "water", "background")
@@ -201,9 +202,11 @@ def trajectory_level(track: DataFrame, run: str = "run_id", order: str = "ord",
     The widest gap is between neighbouring samples of the path, accepted or not.
     """
     df = with_errors(track).withColumn("__sigma", F.degrees(F.sqrt(F.greatest(F.col("cov_yy"), F.lit(0.0)))))
-    df = df.withColumn("__gap", F.col("path_m") - F.lag("path_m").over(W.partitionBy(run).orderBy(order)))
+    gap = F.col("path_m") - F.lag("path_m").over(W.partitionBy(run, "__block").orderBy(order))
+    gaps = in_blocks(df.select(run, order, "path_m"), 1, run, (order,)).withColumn("__gap", gap).filter("__own").groupBy(run).agg(F.max("__gap").alias("max_gap_m"))
     first = F.min(F.when(F.col("__sigma") < converged_deg, F.struct(order, "path_m")))["path_m"]
-    sums = df.groupBy(run).agg(rmse().alias("ate_rmse"), first.alias("convergence_m"), F.max("__gap").alias("max_gap_m"))
+    sums = df.groupBy(run).agg(rmse().alias("ate_rmse"), first.alias("convergence_m"))
+    sums = same_keys(sums, gaps, [run])
     return same_keys(sums, exact_quantiles(df, [run], {"lateral_p95": (F.col("lateral_err"), 0.95), "yaw_p95": (F.col("yaw_err_deg"), 0.95)}), [run], "left")
 
 

@@ -10,12 +10,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import angles
+from .quantiles import same_keys
+
+#: Rows of a run beyond which it is ordered in blocks, and their number.
+LARGE, BLOCKS = 100_000, 64
 
 
 def by_order(run: str = "run_id", order: tuple[str, ...] = ("ord",)):
     return W.partitionBy(run).orderBy(*order)
 
 
+def in_blocks(track: DataFrame, back: int, run: str = "run_id", order: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """Rows with __block, so that windows by run and block look back over ``back`` rows as those by run do.
+
+    A large run is cut at quantiles of its order; rows before a block's first are there again,
+    with __own false, to be left out afterwards.  Rows of one place in the order are in one block.
+    """
+    cuts = track.groupBy(run).agg(F.count("*").alias("__n"), F.percentile_approx(order[0], [i / BLOCKS for i in range(1, BLOCKS)], 1000).alias("__cuts")).filter(F.col("__n") > LARGE).drop("__n")
+    block = F.when(F.col("__cuts").isNull(), 0).otherwise(F.size(F.filter("__cuts", lambda c: c < F.col(order[0]))))
+    rows = same_keys(track, F.broadcast(cuts), [run], "left").withColumn("__block", block).drop("__cuts")
+    last = F.row_number().over(W.partitionBy(run, "__block").orderBy(*(F.desc(c) for c in order)))
+    ends = rows.withColumn("__last", last).filter(F.col("__last") <= back).groupBy(run, "__block").agg(F.collect_list(F.struct(*track.columns)).alias("__rows"))
+    before = F.flatten(F.collect_list("__rows").over(W.partitionBy(run).orderBy("__block").rowsBetween(-back, -1)))
+    carried = ends.withColumn("__before", before).select("__block", F.explode("__before").alias("__row")).select("__row.*", "__block", F.lit(False).alias("__own"))
+    return rows.withColumn("__own", F.lit(True)).unionByName(carried)
+
+
 def first_where(value: str, cond: Column, order: str = "ord") -> Column:
     """Aggregate: the value of the first row, in order, for which ``cond`` holds."""
     return F.min_by(F.when(cond, F.col(value)), F.when(cond, F.col(order)))
@@ -104,15 +124,15 @@ def innovations(fixes: DataFrame, run: str = "run_id") -> DataFrame:
 
     The heading is predicted to stay; prev_cov_* is the covariance of the fix before, if there are any.
     """
-    w = by_order(run)
-    df = fixes.filter("accepted")
+    w = W.partitionBy(run, "__block").orderBy("ord")
+    df = in_blocks(fixes.filter("accepted"), 2, run)
     for a in ("east", "north"):
         p, q = F.lag(f"est_{a}").over(w), F.lag(f"est_{a}", 2).over(w)
         tp, tq = F.lag("t_s").over(w), F.lag("t_s", 2).over(w)
         df = df.withColumn(f"innov_{a}", F.col(f"est_{a}") - (p + F.try_divide((p - q) * (F.col("t_s") - tp), tp - tq)))
     if "est_yaw" in df.columns:
         df = df.withColumn("innov_yaw", angles.normalize(F.col("est_yaw") - F.lag("est_yaw").over(w)))
-    return df.withColumns({f"prev_{c}": F.lag(c).over(w) for c in df.columns if c.startswith("cov_")})
+    return df.withColumns({f"prev_{c}": F.lag(c).over(w) for c in df.columns if c.startswith("cov_")}).filter("__own").drop("__block", "__own")
 
 
 def request_rate(track: DataFrame, run: str = "run_id") -> DataFrame:

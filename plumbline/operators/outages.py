@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import in_blocks
+
 
 def sessions(fixes: DataFrame, gap_s: float, late: str = "10 minutes") -> DataFrame:
     """Spans of fixes (run_id, ts, path_m, nominal) with less than ``gap_s`` between neighbours; batch or stream.
@@ -38,6 +40,8 @@ def fixes_per_km(track: DataFrame) -> DataFrame:
 
 def growing_covariance(track: DataFrame, sigma: str = "sigma") -> DataFrame:
     """Per run: whether ``sigma`` never falls from one coasting sample to the next, and how often it does; samples of one ord go by ``sigma``, then coasting ones last."""
-    w = W.partitionBy("run_id").orderBy("ord", sigma, "coasting")
+    order = ("ord", sigma, "coasting")
+    w = W.partitionBy("run_id", "__block").orderBy(*order)
     falls = F.col("coasting") & F.lag("coasting").over(w) & (F.col(sigma) < F.lag(sigma).over(w))
-    return track.select("run_id", F.coalesce(falls, F.lit(False)).alias("__f")).groupBy("run_id").agg(F.count_if("__f").alias("falls"), F.every(~F.col("__f")).alias("monotone"))
+    rows = in_blocks(track.select("run_id", *order), 1, order=order)
+    return rows.select("run_id", F.coalesce(falls, F.lit(False)).alias("__f"), "__own").filter("__own").groupBy("run_id").agg(F.count_if("__f").alias("falls"), F.every(~F.col("__f")).alias("monotone"))

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import grids, maps
+from plumbline.operators import grids, maps, ordered, outages
 from plumbline.operators.quantiles import exact_quantiles
 
 EDGES = "ring int, x1 double, y1 double, x2 double, y2 double"
@@ -86,6 +86,19 @@ def test_edges_of_lines_cover_cells_once_without_shuffling_them(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_runs_in_blocks_look_back_as_whole_ones(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.choice("aab"), rng.choice([i, i // 9]), rng.random() < 0.7, rng.random()) for i in range(400)] + [("c", 1, True, 0.5), (None, 1, True, 0.5), (None, 2, True, 0.1)]
+    track = spark.createDataFrame(rows, "run_id string, ord long, coasting boolean, sigma double")
+    whole = sorted(map(tuple, outages.growing_covariance(track).collect()), key=repr)
+    fixes = track.groupBy("run_id", "ord").agg(F.max("sigma").alias("est_east")).selectExpr("run_id", "ord", "true AS accepted", "est_east", "-est_east AS est_north", "ord * 2e0 AS t_s", "est_east AS cov_ee")
+    innovations = sorted(map(tuple, ordered.innovations(fixes).collect()), key=repr)
+    monkeypatch.setattr(ordered, "LARGE", 1)
+    assert ordered.in_blocks(track, 1).filter("__own").groupBy("run_id").agg(F.countDistinct("__block").alias("n")).agg(F.max("n")).first()[0] > 20
+    assert sorted(map(tuple, outages.growing_covariance(track).collect()), key=repr) == whole
+    assert sorted(map(tuple, ordered.innovations(fixes).collect()), key=repr) == innovations
+
+
 def test_quantiles_spread_a_group_over_tasks(spark):
     df = spark.range(5000).selectExpr("id % 2 AS k", "CAST(id * 7919 % 5000 AS DOUBLE) AS v")
     made = exact_quantiles(df, ["k"], {"m": (F.col("v"), 0.5)})
