@@ -10,10 +10,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _starts(table: pa.Table, by: list[str]) -> np.ndarray:
+    """The first row of each group of neighbouring rows with equal ``by``; nulls are equal."""
+    new = np.zeros(len(table), bool)
+    new[:1] = True
+    for c in by:
+        codes = pc.dictionary_encode(table[c].combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups with the first row of each, from batches of rows that ``by`` has in order: a task holds a batch and a group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        before = [held[-1].slice(len(held[-1]) - 1)] if held else []
+        last = _starts(pa.Table.from_batches([*before, batch]), by)[-1] - len(before)
+        if held and last < 0:
+            held.append(batch)
+            continue
+        if held or last > 0:
+            done = pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+            yield done, _starts(done, by)
+        held = [batch.slice(last)]
+    if held:
+        done = pa.Table.from_batches(held).combine_chunks()
+        yield done, _starts(done, by)
+
+
 def image_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pixel tables (image, r, c, v) to a row per image: h, w and both images row-major.
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import grids, maps, ordered, outages
+from plumbline.operators import align, grids, kernels, maps, ordered, outages
 from plumbline.operators.quantiles import exact_quantiles
 
 EDGES = "ring int, x1 double, y1 double, x2 double, y2 double"
@@ -105,3 +106,20 @@ def test_quantiles_spread_a_group_over_tasks(spark):
     assert "__salt" in plan(made)
     got = {r["k"]: r["m"] for r in made.collect()}
     assert got == {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
+
+
+def test_knots_without_rows_are_no_unknowns(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    t = np.array([0.0, 1.0, 2.5, 800.0, 801.0, 1600.5])
+    a = rng.uniform(-20, 20, (6, 2))
+    b = a + rng.uniform(-1, 1, (6, 2)) + t[:, None] / 400
+    solved, solve = [], align.solve_tridiagonal
+    monkeypatch.setattr(align, "solve_tridiagonal", lambda d, *rest: solved.append(len(d)) or solve(d, *rest))
+    p = align.fit_knots(t, a, b, 2.0, 0.5, 2.0, 5)
+    assert len(p) == 802 and max(solved) <= 8
+    rows = [(run, float(x), *map(float, (*a[i], *b[i]))) for run in ("r", None, "s") for i, x in enumerate(t)] + [("u", 1.0, 1.0, 1.0, 1.0, 1.0)]
+    pairs = spark.createDataFrame(rows, "run_id string, t_s double, ax double, ay double, bx double, by double")
+    monkeypatch.undo()
+    got = align.knots(pairs, 2.0, rounds=5).collect()
+    assert sorted((x["run_id"] or "", x["knot"]) for x in got) == [(run, k) for run in ("", "r", "s") for k in range(802)]
+    assert all([x["heading"], x["dx"], x["dy"]] == pytest.approx(p[x["knot"]], abs=1e-9) for x in got)
