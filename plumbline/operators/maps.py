@@ -25,12 +25,18 @@ def extract_window(centres: DataFrame, cells: DataFrame, reach: int, toward_zero
     """The square of cells around each centre (id, x, y): dr, dc and the value, ``fill`` where there is no cell.
 
     Coordinates are floored to cells; with ``toward_zero`` they are cut off as integers are.
+    A cell is there once.  A centre meets one tile of cells, which has those around it too, and
+    its square is made in its row.
     """
+    halo = reach + 1  # floor(y + dr) may be one off floor(y) + dr
+    near = cells.select((F.col("r") + halo).alias("r"), (F.col("c") + halo).alias("c"), F.col(value).alias("__v"))
+    tiles = grids.tiled(near, [], ["__v"], halo=2 * halo)
+    at = centres.withColumns({"tr": F.floor(F.floor("y") / grids.TILE), "tc": F.floor(F.floor("x") / grids.TILE)})
     cell = (lambda v: v.cast("long")) if toward_zero else F.floor
     d = F.sequence(F.lit(-reach), F.lit(reach))
-    grid = centres.withColumns({"dr": F.explode(d)}).withColumn("dc", F.explode(d))
-    grid = grid.withColumns({"r": cell(F.col("y") + F.col("dr")), "c": cell(F.col("x") + F.col("dc"))})
-    return grid.join(cells.select("r", "c", F.col(value).alias("__v")), ["r", "c"], "left").select("id", "dr", "dc", F.coalesce("__v", F.lit(fill)).alias(value))
+    rows = at.join(tiles, ["tr", "tc"], "left").withColumn("dr", F.explode(d)).withColumn("dc", F.explode(d))
+    found = grids.in_tile("__v", cell(F.col("y") + F.col("dr")) + halo, cell(F.col("x") + F.col("dc")) + halo)
+    return rows.select("id", "dr", "dc", F.coalesce(found, F.lit(fill)).alias(value))
 
 
 def sample_density(pixels: DataFrame, u: str = "u", v: str = "v") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -123,3 +124,16 @@ def test_knots_without_rows_are_no_unknowns(spark, monkeypatch):
     got = align.knots(pairs, 2.0, rounds=5).collect()
     assert sorted((x["run_id"] or "", x["knot"]) for x in got) == [(run, k) for run in ("", "r", "s") for k in range(802)]
     assert all([x["heading"], x["dx"], x["dy"]] == pytest.approx(p[x["knot"]], abs=1e-9) for x in got)
+
+
+def test_map_windows_shuffle_centres_and_not_their_squares(spark):
+    cells = spark.range(-40, 1200).selectExpr("id div 40 - 3 AS r", "id % 40 - 5 AS c", "CAST(id AS DOUBLE) AS v").filter("v % 7 <> 3")
+    held = {(x["r"], x["c"]): x["v"] for x in cells.collect()}
+    at = [(1, -0.5, -1.5), (2, 31.9999, 0.99999999999999989), (3, 4.2, 28.5), (4, 90.0, 90.0), (5, None, 1.0), (5, 0.0, 0.0)]
+    centres = spark.createDataFrame(at, "id int, x double, y double")
+    for toward_zero, cell in ((False, math.floor), (True, int)):
+        made = maps.extract_window(centres, cells, 2, toward_zero)
+        nodes = re.findall(r"Exchange|Join|Generate", plan(made))
+        assert nodes[:2] == ["Generate"] * 2 and "Join" in nodes  # squares come last
+        want = sorted((i, dr, dc, held.get((cell(y + dr), cell(x + dc)), 0.0) if x is not None else 0.0) for i, x, y in at for dr in range(-2, 3) for dc in range(-2, 3))
+        assert sorted((x["id"], x["dr"], x["dc"], x["v"]) for x in made.collect()) == want
