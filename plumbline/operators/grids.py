@@ -543,27 +543,22 @@ def adjacent_tiles(tiles: DataFrame) -> DataFrame:
 def best_shift(a: DataFrame, b: DataFrame, reach: int) -> DataFrame:
     """Per image, the shift of ``b`` against ``a`` with the greatest mean product of standardised values.
 
-    Pixels meet by equality on the shifted cell, so work is pixels times shifts.
+    Pixels are shuffled once, by image.  A tile of ``a`` is a row with an array of
+    the pixels of ``b`` around it, in which each shift is looked up.
     """
-    def standard(df: DataFrame) -> DataFrame:
-        w = W.partitionBy("image")
-        return df.select("image", "r", "c", F.try_divide(F.col("v") - F.avg("v").over(w), F.stddev_pop("v").over(w)).alias("s"))
-
-    d = F.sequence(F.lit(-reach), F.lit(reach))
-    sent = standard(b).withColumn("dr", F.explode(d)).withColumn("dc", F.explode(d)).select("image", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"), "dr", "dc", F.col("s").alias("t"))
-    score = standard(a).join(sent, ["image", "r", "c"]).groupBy("image", "dr", "dc").agg(F.avg(F.col("s") * F.col("t")).alias("score"))
+    w = W.partitionBy("image", "side")
+    both = a.select("image", "r", "c", "v", F.lit(0).alias("side")).unionByName(b.select("image", "r", "c", "v", F.lit(1).alias("side"))).repartition("image")
+    both = both.select("image", "side", "r", "c", F.try_divide(F.col("v") - F.avg("v").over(w), F.stddev_pop("v").over(w)).alias("s"))
+    # Of a place each side has how many pixels, how many values and their sum.
+    own = lambda i: (F.count_if(F.col("side") == i), F.count(F.when(F.col("side") == i, F.col("s"))), F.sum(F.when(F.col("side") == i, F.col("s"))))
+    names = [f"{n}{i}" for i in (0, 1) for n in ("rows", "n", "s")]
+    cells = both.groupBy("image", "r", "c").agg(*(e.alias(n) for n, e in zip(names, (*own(0), *own(1)), strict=True)))
+    near = cells.select("image", *((F.col(k) + reach).alias(k) for k in "rc"), F.struct(*names).alias("p"))
+    tiles = tiled(near, ["image"], ["p"], halo=2 * reach)
+    mine = tiles.select("*", F.posexplode("p").alias("i", "x")).filter("x.rows0 > 0").withColumns({"r": F.col("r0") + F.floor(F.col("i") / F.col("w")), "c": F.col("c0") + F.col("i") % F.col("w")})
+    mine = mine.filter((F.floor((F.col("r") - reach) / TILE) == F.col("tr")) & (F.floor((F.col("c") - reach) / TILE) == F.col("tc")))
+    d = F.array(*map(F.lit, range(-reach, reach + 1)))
+    met = mine.withColumn("dr", F.explode(d)).withColumn("dc", F.explode(d)).withColumn("y", in_tile("p", F.col("r") - F.col("dr"), F.col("c") - F.col("dc"))).filter("y.rows1 > 0")
+    shifts = met.select("image", "dr", "dc", (F.col("x.n0") * F.col("y.n1")).alias("n"), (F.col("x.s0") * F.col("y.s1")).alias("sum"))
+    score = shifts.groupBy("image", "dr", "dc").agg(F.try_divide(F.sum("sum"), F.sum("n")).alias("score"))
     return score.groupBy("image").agg(F.max(F.struct("score", (-F.abs("dr") - F.abs("dc")).alias("near"), "dr", "dc")).alias("m")).select("image", "m.dr", "m.dc", "m.score")
-
-
-def rigid2d(pairs: DataFrame, by: list[str], similarity: bool = False) -> DataFrame:
-    """Least-squares rotation, translation (and scale) of (ax, ay) onto (bx, by), in closed form from sums."""
-    s = pairs.groupBy(*by).agg(
-        F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in ("ax", "ay", "bx", "by_")),
-        F.covar_pop("ax", "bx").alias("xx"), F.covar_pop("ay", "by_").alias("yy"), F.covar_pop("ax", "by_").alias("xy"), F.covar_pop("ay", "bx").alias("yx"),
-        (F.var_pop("ax") + F.var_pop("ay")).alias("va"),
-    )
-    dot, cross = F.col("xx") + F.col("yy"), F.col("xy") - F.col("yx")
-    k = F.coalesce(F.try_divide(F.hypot(dot, cross), F.col("va")), F.lit(1.0)) if similarity else F.lit(1.0)
-    s = s.withColumns({"theta": F.atan2(cross, dot), "scale": k})
-    c, n = F.col("scale") * F.cos("theta"), F.col("scale") * F.sin("theta")
-    return s.select(*by, "n", "theta", "scale", (F.col("m_bx") - c * F.col("m_ax") + n * F.col("m_ay")).alias("tx"), (F.col("m_by_") - n * F.col("m_ax") - c * F.col("m_ay")).alias("ty"))

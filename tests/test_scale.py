@@ -137,3 +137,15 @@ def test_map_windows_shuffle_centres_and_not_their_squares(spark):
         assert nodes[:2] == ["Generate"] * 2 and "Join" in nodes  # squares come last
         want = sorted((i, dr, dc, held.get((cell(y + dr), cell(x + dc)), 0.0) if x is not None else 0.0) for i, x, y in at for dr in range(-2, 3) for dc in range(-2, 3))
         assert sorted((x["id"], x["dr"], x["dc"], x["v"]) for x in made.collect()) == want
+
+
+def test_shifts_of_an_image_are_compared_where_its_pixels_are(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, r, c, float(rng.normal()) + 9 * (i == 3)) for i in (1, 2, 3) for r in range(-2, 35) for c in range(30, 38 + i) if (r + c) % 5]
+    a = spark.createDataFrame([*rows, (4, 0, 0, 1.0), (4, 0, 1, 1.0), (5, 0, 0, None)], "image int, r long, c long, v double")
+    b = a.withColumns({"r": F.col("r") + 1, "c": F.col("c") - 2, "v": F.col("v") * 2 + 1})
+    made = grids.best_shift(a, b, 2)
+    assert plan(made).count("Exchange hashpartitioning") == 1
+    got = {x["image"]: (x["dr"], x["dc"], x["score"]) for x in made.collect()}
+    assert {k: v[:2] for k, v in got.items()} == {1: (-1, 2), 2: (-1, 2), 3: (-1, 2), 4: (-1, 1), 5: (-1, 2)}
+    assert all(got[k][2] == pytest.approx(1.0) for k in (1, 2, 3)) and got[4][2] is None and got[5][2] is None
