@@ -6,7 +6,7 @@ data; fits over runs and windows get only sums.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,22 +47,33 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[t
 
 
 def image_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pixel tables (image, r, c, v) to a row per image: h, w and both images row-major.
+    """Pixel tables (image, r, c, v) to a row per cell (image, r, c, a, b), an image's rows in one task and in order.
 
     Cells that are missing are 0.
     """
     both = a.select("image", "r", "c", F.col("v").alias("a"), F.lit(0.0).alias("b")).union(b.select("image", "r", "c", F.lit(0.0), "v"))
-    cells = both.groupBy("image", "r", "c").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    rows = cells.groupBy("image").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"), F.array_sort(F.collect_list(F.struct("r", "c", "a", "b"))).alias("p"))
-    return rows.select("image", "h", "w", "p")
+    cells = both.repartition("image").groupBy("image", "r", "c").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return cells.sortWithinPartitions("image")
 
 
-def _images(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for image, h, w, p in zip(pdf["image"], pdf["h"], pdf["w"], pdf["p"], strict=True):
-        a, b = np.zeros((h, w)), np.zeros((h, w))
-        for cell in p:
-            a[cell["r"], cell["c"]], b[cell["r"], cell["c"]] = cell["a"], cell["b"]
-        yield image, a, b
+def _images(table: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    r, c, *values = (table[n].to_numpy() for n in ("r", "c", "a", "b"))
+    for lo, hi in zip(starts, [*starts[1:], len(table)], strict=True):
+        y, x = r[lo:hi], c[lo:hi]
+        a, b = np.zeros((2, y.max() + 1, x.max() + 1))
+        a[y, x], b[y, x] = (v[lo:hi] for v in values)
+        yield a, b
+
+
+def _per_image(pairs: DataFrame, results: list[str], kernel: Callable[[np.ndarray, np.ndarray], tuple]) -> DataFrame:
+    """What ``kernel`` makes of each image's two sides; a task holds a batch of cells and an image, however many images there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, ["image"]):
+            made = zip(*(kernel(a, b) for a, b in _images(table, starts)), strict=True)
+            yield pa.RecordBatch.from_arrays([table["image"].combine_chunks().take(pa.array(starts)).cast(pa.int64()), *(pa.array(v, pa.float64()) for v in made)], ["image", *results])
+
+    return pairs.mapInArrow(run, "image long, " + ", ".join(f"{n} double" for n in results))
 
 
 def hann2(h: int, w: int) -> np.ndarray:
@@ -149,31 +160,22 @@ def match_images(pairs: DataFrame, sweep_deg: tuple[float, ...] = (0.0,), spectr
     scale reported (1 without).  ``pairs`` is from ``image_pairs``; every image is registered on its own.
     """
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for image, a, b in _images(pdf):
-                w = hann2(*a.shape)
-                target = orientation_field(b) * w
-                angle, scale = rotation_and_scale(a, b) if spectral else (0.0, 1.0)
-                angles = (*sweep_deg, -float(np.degrees(angle))) if spectral else sweep_deg
-                tried = [(*phase_correlation(orientation_field(rotate_image(a, np.radians(d)) if d else a) * w, target), d) for d in angles]
-                dx, dy, peak, ratio, d = max(tried, key=lambda t: t[2])
-                rows.append((image, d, dx, dy, peak, min(ratio, 1e6), scale))
-            yield pd.DataFrame(rows, columns=["image", "rotation_deg", "dx", "dy", "peak", "peak_ratio", "scale"])
+    def kernel(a: np.ndarray, b: np.ndarray) -> tuple:
+        w = hann2(*a.shape)
+        target = orientation_field(b) * w
+        angle, scale = rotation_and_scale(a, b) if spectral else (0.0, 1.0)
+        angles = (*sweep_deg, -float(np.degrees(angle))) if spectral else sweep_deg
+        tried = [(*phase_correlation(orientation_field(rotate_image(a, np.radians(d)) if d else a) * w, target), d) for d in angles]
+        dx, dy, peak, ratio, d = max(tried, key=lambda t: t[2])
+        return d, dx, dy, peak, min(ratio, 1e6), scale
 
-    return pairs.mapInPandas(kernel, "image long, rotation_deg double, dx double, dy double, peak double, peak_ratio double, scale double")
+    return _per_image(pairs, ["rotation_deg", "dx", "dy", "peak", "peak_ratio", "scale"], kernel)
 
 
 def refine_shift(pairs: DataFrame, rounds: int = 15, tukey: float = 4.685) -> DataFrame:
     """Dense planar refinement of small motions (dx, dy, yaw): Gauss-Newton on intensities with Tukey weights."""
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(image, *refine(a, b, rounds, tukey)) for image, a, b in _images(pdf)]
-            yield pd.DataFrame(rows, columns=["image", "dx", "dy", "yaw", "rms", "inlier_ratio"])
-
-    return pairs.mapInPandas(kernel, "image long, dx double, dy double, yaw double, rms double, inlier_ratio double")
+    return _per_image(pairs, ["dx", "dy", "yaw", "rms", "inlier_ratio"], lambda a, b: refine(a, b, rounds, tukey))
 
 
 def refine(a: np.ndarray, b: np.ndarray, rounds: int, tukey: float) -> tuple[float, float, float, float, float]:

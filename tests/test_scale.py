@@ -149,3 +149,23 @@ def test_shifts_of_an_image_are_compared_where_its_pixels_are(spark):
     got = {x["image"]: (x["dr"], x["dc"], x["score"]) for x in made.collect()}
     assert {k: v[:2] for k, v in got.items()} == {1: (-1, 2), 2: (-1, 2), 3: (-1, 2), 4: (-1, 1), 5: (-1, 2)}
     assert all(got[k][2] == pytest.approx(1.0) for k in (1, 2, 3)) and got[4][2] is None and got[5][2] is None
+
+
+def test_images_come_whole_from_batches_of_cells():
+    import pyarrow as pa
+
+    rows = [(k, i) for k, n in ((3, 5), (None, 4), (1, 1), (7, 9)) for i in range(n)]
+    schema = pa.schema([("image", pa.int64()), ("v", pa.int64())])
+    batches = [pa.RecordBatch.from_pylist([{"image": k, "v": i} for k, i in rows[at : at + 2]], schema) for at in range(0, len(rows), 2)]
+    parts = list(kernels.whole_groups(iter(batches), ["image"]))
+    assert [(x["image"], x["v"]) for t, _ in parts for x in t.to_pylist()] == rows
+    groups = [t["image"][int(s)].as_py() for t, starts in parts for s in starts]
+    assert groups == [3, None, 1, 7] and max(len(t) for t, _ in parts) <= 9
+
+
+def test_images_are_refined_from_cells_and_not_from_arrays_of_rows(spark):
+    pixels = spark.range(640).selectExpr("id div 64 AS image", "id % 64 div 8 AS r", "id % 8 AS c", "CAST(id * id % 17 AS DOUBLE) AS v")
+    pairs = kernels.image_pairs(pixels, pixels)
+    assert pairs.columns == ["image", "r", "c", "a", "b"] and plan(pairs).count("Exchange hashpartitioning") == 1
+    got = sorted(tuple(x)[:4] for x in kernels.refine_shift(pairs, 5).collect())
+    assert got == [(i, pytest.approx(0.0), pytest.approx(0.0), pytest.approx(0.0)) for i in range(10)]
