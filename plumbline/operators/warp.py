@@ -4,13 +4,15 @@ Terrain is a table of cells (r, c, z, lidar) of ``cell`` metres: r counts north,
 tells measured heights from filled ones.  Frames are rows (image, cx, cy, cz, rot) with the
 camera's position and its axes as the columns of a row-major rotation into the world; x goes
 right, y down, z ahead.  No frame or terrain is ever whole in one place: a ray meets the
-terrain at its steps, by equality of cells.
+terrain at its steps, by equality of cells, or a part of the plane at a time.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,7 +123,11 @@ def project(points: DataFrame, camera: Camera) -> DataFrame:
     return points.withColumn("__p", p).withColumns({"u": F.col("__p.u"), "v": F.col("__p.v")}).drop("__p")
 
 
-def above_ground(frames: DataFrame, terrain: DataFrame, cell: float, least: float = 30.0, otherwise: float = 100.0) -> DataFrame:
+#: The least height above ground that a frame is taken to have.
+LEAST = 30.0
+
+
+def above_ground(frames: DataFrame, terrain: DataFrame, cell: float, least: float = LEAST, otherwise: float = 100.0) -> DataFrame:
     """Add agl, a frame's height above the terrain below it: ``least`` at least, ``otherwise`` over none."""
     at = heights(frames, terrain, cell, "cx", "cy")
     return at.withColumn("agl", F.coalesce(F.greatest(F.col("cz") - F.col("tz"), F.lit(least)), F.lit(otherwise))).drop("tz", "tl")
@@ -134,15 +140,86 @@ def patch(frames: DataFrame, size: int, gsd: float) -> DataFrame:
     return cells.withColumns({"x": F.col("cx") + (F.col("c") - size / 2 + 0.5) * gsd, "y": F.col("cy") - (F.col("r") - size / 2 + 0.5) * gsd})
 
 
-def warp(frames: DataFrame, pixels: DataFrame, terrain: DataFrame, cell: float, camera: Camera, size: int, gsd: float, rounds: int = 3, steps: int = 48, density: float = 0.0, bounds: tuple[float, float] = (0.15, 1.6)) -> DataFrame:
-    """Frames laid on the ground: per pixel of each patch (image, r, c, x, y), the frame's value v and confidence.
+#: Cells sideways beyond which a frame's rays are marched by joins; nearer ones have their terrain in one place, in squares of so many cells.
+REACH = 512
+#: Frames of a square in a task, about; and rays at a time there.
+FRAMES, RAYS = 4000, 2000
+
+
+def _in_parts(frames: DataFrame, terrain: DataFrame, cell: float, size: int, gsd: float, rounds: int, steps: int, bounds: tuple[float, float], halo: int, halvings: int = 6) -> DataFrame:
+    """The pixels of frames whose rays stay within ``halo`` cells: a frame and, once, the terrain around its square are all that is shuffled."""
+    own = frames.select(*(F.col(c).alias(c) for c in frames.columns)).withColumns({f"t{a}": F.floor(F.floor(F.col(f"c{b}") / cell) / REACH) for a, b in ("ry", "cx")})
+    many = own.groupBy("tr", "tc").agg(F.ceil(F.count("*") / FRAMES).alias("parts"))
+    asked = own.join(many, ["tr", "tc"]).withColumn("part", F.pmod(F.xxhash64("image"), F.col("parts"))).drop("parts")
+    cells = grids._with_halo(terrain.select("r", "c", F.col("z").cast("double").alias("z"), F.col("lidar").cast("double").alias("lidar")), REACH, halo)
+    sent = cells.join(many, ["tr", "tc"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    made = ["x", "y", "z", "lidar", "hit", "over"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema) + ", agl double, " + ", ".join(f"__{n} array<{'boolean' if n in ('hit', 'over') else 'double'}>" for n in made)
+    names = frames.columns
+
+    def kernel(key: tuple[int, int, int], at: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        corner = tuple(int(k) * REACH - halo for k in key[:2])
+        place = tuple(near[a].to_numpy() - k for a, k in zip("rc", corner, strict=True))
+        ground = np.full((2, *(REACH + 2 * halo,) * 2), np.nan)
+        for field, c in zip(ground, ("z", "lidar"), strict=True):
+            field[place] = near[c].to_numpy(float)
+        camera = np.stack([at[c].to_numpy(float) for c in ("cx", "cy", "cz")])
+        step = max(1, RAYS // (size * size))
+        got = [_lay(camera[:, i : i + step], ground, corner, cell, size, gsd, rounds, steps, 1 << halvings, bounds) for i in range(0, len(at), step)]
+        made_of = {n: [row for g in got for row in g[n]] for n in ("agl", *made)}
+        return at[names].assign(agl=made_of.pop("agl"), **{f"__{n}": v for n, v in made_of.items()})
+
+    laid = asked.groupBy("tr", "tc", "part").cogroup(sent.groupBy("tr", "tc", "part")).applyInPandas(kernel, schema)
+    rows = laid.select(*names, "agl", F.posexplode(F.arrays_zip(*(f"__{n}" for n in made))).alias("__i", "__p"))
+    return rows.select(*names, "agl", F.floor(F.col("__i") / size).cast("int").alias("r"), (F.col("__i") % size).alias("c"), *(F.col(f"__p.__{n}").alias(n) for n in made))
+
+
+def _lay(camera: np.ndarray, ground: np.ndarray, corner: tuple[int, int], cell: float, size: int, gsd: float, rounds: int, steps: int, parts: int, bounds: tuple[float, float]) -> dict[str, np.ndarray]:
+    """What ``_by_joins`` gives, a row a frame, over heights and lidar as arrays, NaN where there is none."""
+
+    def look(field: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        r, c = np.floor(y / cell) - corner[0], np.floor(x / cell) - corner[1]
+        inside = (r >= 0) & (c >= 0) & (r < field.shape[0]) & (c < field.shape[1])
+        return np.where(inside, field[np.where(inside, r, 0).astype(np.int64), np.where(inside, c, 0).astype(np.int64)], np.nan)
+
+    heights_, lidar_ = ground
+    agl = np.fmax(camera[2] - look(heights_, camera[0], camera[1]), LEAST)
+    rows, cols = (v.ravel() for v in np.meshgrid(np.arange(size), np.arange(size), indexing="ij"))
+    o = np.repeat(camera, size * size, axis=1)
+    high = np.repeat(agl, size * size)
+    x = o[0] + (np.tile(cols, len(agl)) - size / 2 + 0.5) * gsd
+    y = o[1] - (np.tile(rows, len(agl)) - size / 2 + 0.5) * gsd
+    tz = look(heights_, x, y)
+    z = np.where(np.isnan(tz), o[2] - high, tz)
+    near, far = bounds[0] * high, bounds[1] * high
+    step = (far - near) / steps
+
+    def first(some: np.ndarray, d: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+        """The first of n points past lo at or below the terrain, 0 if there is none."""
+        s = lo[some, None] + np.arange(1, n + 1) * (hi - lo)[some, None] / n
+        px, py, pz = (o[i, some, None] + s * d[i, some, None] for i in range(3))
+        below = pz <= look(heights_, px, py)
+        k = np.zeros(len(some), np.int64)
+        k[some] = np.where(below.any(axis=1), below.argmax(axis=1) + 1, 0)
+        return k
 
-    A pixel's point starts at the terrain's height; then, ``rounds`` times, the ray to it is
-    marched between ``bounds`` times the height above ground and the point moved to where the
-    ray meets the terrain.  Confidence is 255 over measured heights, 64 over others, 0 where
-    the ray meets nothing or leaves the image; with ``density`` it falls in proportion below
-    that many source pixels a patch pixel.  ``lidar`` and ``usable`` tell what it comes from.
-    """
+    for _ in range(rounds):
+        d = np.stack([x, y, z]) - o
+        d = d / np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+        k = first(np.ones(len(x), bool), d, near, far, steps)
+        hit = k > 0
+        lo = near + (k - 1) * step
+        j = first(hit, d, lo, lo + step, parts)
+        s = np.where(hit, lo + (np.where(j > 0, j, parts) - 0.5) * step / parts, far)
+        x, y, z = o + s * d
+        tz, tl = look(heights_, x, y), look(lidar_, x, y)
+        z, lidar, over = np.where(np.isnan(tz), z, tz), np.where(np.isnan(tl), 0.0, tl), ~np.isnan(tz)
+    made = {"x": x, "y": y, "z": z, "lidar": lidar, "hit": hit, "over": over}
+    return {"agl": agl, **{n: v.reshape(len(agl), -1) for n, v in made.items()}}
+
+
+def _by_joins(frames: DataFrame, terrain: DataFrame, cell: float, size: int, gsd: float, rounds: int, steps: int, bounds: tuple[float, float]) -> DataFrame:
+    """The pixels of each frame's patch with the point that each sees, by rays that meet the terrain's tiles in joins: for any height."""
     by = ["image", "r", "c"]
     spread = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seen = patch(above_ground(frames.repartition(spread, "image"), terrain, cell), size, gsd)
@@ -156,6 +233,28 @@ def warp(frames: DataFrame, pixels: DataFrame, terrain: DataFrame, cell: float,
         seen = seen.withColumns({a: F.col(f"c{a}") + F.col("s") * F.col(f"d{a}") for a in "xyz"})
         seen = heights(seen, terrain, cell).withColumns({"z": F.coalesce("tz", "z"), "lidar": F.coalesce("tl", F.lit(0.0)), "over": F.col("tz").isNotNull()})
         seen = seen.drop("tz", "tl", "s", "near", "far", *(f"{k}{a}" for k in "do" for a in "xyz"))
+    return seen
+
+
+def warp(frames: DataFrame, pixels: DataFrame, terrain: DataFrame, cell: float, camera: Camera, size: int, gsd: float, rounds: int = 3, steps: int = 48, density: float = 0.0, bounds: tuple[float, float] = (0.15, 1.6)) -> DataFrame:
+    """Frames laid on the ground: per pixel of each patch (image, r, c, x, y), the frame's value v and confidence.
+
+    A pixel's point starts at the terrain's height; then, ``rounds`` times, the ray to it is
+    marched between ``bounds`` times the height above ground and the point moved to where the
+    ray meets the terrain.  Confidence is 255 over measured heights, 64 over others, 0 where
+    the ray meets nothing or leaves the image; with ``density`` it falls in proportion below
+    that many source pixels a patch pixel.  ``lidar`` and ``usable`` tell what it comes from.
+    """
+    by = ["image", "r", "c"]
+    lowest = terrain.agg(F.min(F.col("z").cast("double"))).first()[0]
+    # A ray ends at ``bounds[1]`` times the height above ground, so it goes no further sideways.
+    reach = F.greatest(bounds[1] * F.greatest(F.lit(LEAST), F.col("cz") - F.lit(lowest)), F.lit(size * gsd)) / cell + 2
+    near = F.coalesce(reach <= REACH, F.lit(False)) & F.col("cx").isNotNull() & F.col("cy").isNotNull() & ~F.isnan(F.col("cx") + F.col("cy"))
+    found = frames.agg(F.max(F.when(near, reach)), F.count_if(~near)).first()
+    halo = int(np.ceil(found[0] or 1))
+    seen = _in_parts(frames.filter(near), terrain, cell, size, gsd, rounds, steps, bounds, halo)
+    if found[1]:
+        seen = seen.unionByName(_by_joins(frames.filter(~near), terrain, cell, size, gsd, rounds, steps, bounds).select(seen.columns))
     at = project(seen, camera)
     inside = (F.col("u") >= 0) & (F.col("u") < camera.width) & (F.col("v") >= 0) & (F.col("v") < camera.height)
     at = at.withColumn("usable", F.coalesce(F.col("hit") & F.col("over") & inside, F.lit(False)))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import align, grids, kernels, maps, ordered, outages
+from plumbline.operators import align, grids, kernels, maps, ordered, outages, warp
 from plumbline.operators.quantiles import exact_quantiles
 
 EDGES = "ring int, x1 double, y1 double, x2 double, y2 double"
@@ -169,3 +169,20 @@ def test_images_are_refined_from_cells_and_not_from_arrays_of_rows(spark):
     assert pairs.columns == ["image", "r", "c", "a", "b"] and plan(pairs).count("Exchange hashpartitioning") == 1
     got = sorted(tuple(x)[:4] for x in kernels.refine_shift(pairs, 5).collect())
     assert got == [(i, pytest.approx(0.0), pytest.approx(0.0), pytest.approx(0.0)) for i in range(10)]
+
+
+def test_rays_in_parts_of_the_plane_are_those_by_joins(spark, monkeypatch):
+    side = spark.range(-30, 30)
+    terrain = side.select(F.col("id").alias("r")).crossJoin(side.select(F.col("id").alias("c"))).selectExpr("r", "c", "CAST(pmod(r * r + 3 * c, 11) AS DOUBLE) AS z", "CAST(pmod(c, 2) AS DOUBLE) AS lidar").filter("pmod(r * c, 13) <> 1")
+    pixels = spark.range(64).selectExpr("0L AS image", "id div 8 AS r", "id % 8 AS c", "CAST(id AS DOUBLE) AS v")
+    tilted = [1.0, 0.0, 0.0, 0.0, -0.8, 0.6, 0.0, -0.6, -0.8]
+    rows = [(0, 0.3, -1.2, 33.0, tilted), (1, -29.0, 28.0, 36.0, tilted), (2, 500.0, 0.0, 31.0, tilted), (3, 1.0, 1.0, 900.0, tilted), (4, None, 1.0, 31.0, tilted)]
+    frames = spark.createDataFrame(rows, "image long, cx double, cy double, cz double, rot array<double>")
+    camera = warp.Camera(8.0, 8.0, 4.0, 4.0, 8, 8)
+    laid = lambda f: warp.warp(f, pixels, terrain, 1.0, camera, 3, 2.7, rounds=2)
+    assert plan(laid(frames.filter("image < 3"))).count("Exchange") <= 10
+    parts = {(x["image"], x["r"], x["c"]): tuple(x)[3:] for x in laid(frames).collect()}
+    monkeypatch.setattr(warp, "REACH", 1)
+    joins = {(x["image"], x["r"], x["c"]): tuple(x)[3:] for x in laid(frames).collect()}
+    assert len(parts) == len(joins) == 45
+    assert all(parts[k] == tuple(pytest.approx(v, abs=1e-9) if isinstance(v, float) else v for v in joins[k]) for k in joins)
