@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -85,6 +86,16 @@ def test_max_gap_needs_two(spark):
     assert {r["run_id"]: r["max_gap"] for r in ordered.max_gap(df).collect()} == {"a": 9.0, "b": None}
 
 
+def test_a_path_of_two_kilometres_is_not_below_them(spark, tmp_path):
+    steps = (541.41, 580.04, 878.55)
+    assert steps[0] + steps[1] + steps[2] < 2000  # as doubles, one by one; their sum is 2,000.00
+    runs = [*permutations(steps), (541.41, 580.04, 878.54), (541.41, 580.04, 878.54999), (541.41, float("nan"), 1.0), (None, 2000.0, 1.0)]
+    rows = [(3 * u + i, u, "purchase", v) for u, run in enumerate(runs) for i, v in enumerate(run)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["run_id"]: r["n"] for r in catalog.REGISTRY["a09_early_fixes"][0](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate([2] * 6 + [3, 3, 1, 0]))
+
+
 def test_focal_median_replaces_a_spike(spark):
     rows = [(r, c, 10.0) for r in range(6) for c in range(6) for _ in range(4)] + [(3, 3, 60.0)]
     got = {(r["r"], r["c"]): (r["z"], r["confidence"]) for r in grids.focal_median(grids.accumulate(spark.createDataFrame(rows, "r long, c long, z double"))).collect()}
