@@ -63,12 +63,12 @@ def _pose_at(t: DataFrame) -> DataFrame:
 add("j03_slerp_pose", "track", _pose_at, BOTH + "SELECT ord, cos((pv + nv) / 2000) AS w, sin((pv + nv) / 2000) AS z FROM b WHERE pt IS NOT NULL AND nt IS NOT NULL", "w, z", "ord", 5)
 
 
-def _early(t: DataFrame) -> DataFrame:
-    """Fixes of the first 2 km, by micrometres: doubles whose sum is 2,000.00 m may add up to a little less."""
-    return m.early_fixes(t.withColumn("path_m", F.round("path_m", 6)))
+def _walked(t: DataFrame) -> DataFrame:
+    """Paths to the micrometre, where a limit cuts them: doubles whose sum is 2,000.00 m may add up to a little less."""
+    return t.withColumn("path_m", F.round("path_m", 6))
 
 
-add("a09_early_fixes", "track", _early, "SELECT run_id, count(*) FILTER (WHERE accepted AND path_m < 2000) AS n FROM track GROUP BY run_id")
+add("a09_early_fixes", "track", lambda t: m.early_fixes(_walked(t)), "SELECT run_id, count(*) FILTER (WHERE accepted AND path_m < 2000) AS n FROM track GROUP BY run_id")
 add(
     "a12_w07_innovations", "fixes", lambda f: o.innovations(f).groupBy("run_id").agg(F.avg(F.abs("innov_east")).alias("mean"), F.count("innov_east").alias("n")),
     "SELECT run_id, avg(abs(i)) AS mean, count(i) AS n FROM (SELECT run_id, est_east - (lag(est_east) OVER w + (lag(est_east) OVER w - lag(est_east, 2) OVER w) * (t_s - lag(t_s) OVER w) / nullif(lag(t_s) OVER w - lag(t_s, 2) OVER w, 0)) AS i FROM fixes WHERE accepted WINDOW w AS (PARTITION BY run_id ORDER BY ord)) GROUP BY run_id", "mean", "run_id, n", 4,
@@ -90,7 +90,7 @@ add(
     "nis", "run_id, n", 2,
 )
 add("t01_request_rate", "track", lambda t: o.request_rate(t).select("ord", "um_per_s"), f"SELECT ord, (path_cm - lag(path_cm) {RUN}) * 10000 // (ord - lag(ord) {RUN}) AS um_per_s FROM track")
-add("t03_look_ahead", "track", lambda t: o.look_ahead(t.withColumns({"east": F.col("path_m"), "north": F.col("value")}), 2.0, 50.0).select("ord", "tile_e", "tile_n"), "SELECT ord, CAST(floor((path_m + v_east * 2) / 50) AS BIGINT) AS tile_e, CAST(floor((value + v_north * 2) / 50) AS BIGINT) AS tile_n FROM track")
+add("t03_look_ahead", "track", lambda t: o.look_ahead(_walked(t).withColumns({"east": F.col("path_m"), "north": F.col("value")}), 2.0, 50.0).select("ord", "tile_e", "tile_n"), "SELECT ord, CAST(floor((path_m + v_east * 2) / 50) AS BIGINT) AS tile_e, CAST(floor((value + v_north * 2) / 50) AS BIGINT) AS tile_n FROM track")
 _span = lambda: W.partitionBy("run_id").orderBy("ord")
 add("x08_mode_fraction", "track", lambda t: t.withColumn("dt", F.lead("ord").over(_span()) - F.col("ord")).groupBy("run_id").agg(F.try_divide(F.sum(F.when(F.col("accepted"), F.col("dt")).otherwise(0)), F.sum("dt")).alias("share")), f"SELECT run_id, sum(CASE WHEN accepted THEN dt ELSE 0 END) / CAST(sum(dt) AS DOUBLE) AS share FROM (SELECT run_id, accepted, lead(ord) {RUN} - ord AS dt FROM track) GROUP BY run_id", "share", "run_id")
 add("x03_consistency_window", "track", lambda t: t.withColumn("spread", F.max("value").over(_span().rowsBetween(-4, 0)) - F.min("value").over(_span().rowsBetween(-4, 0))).groupBy("run_id").agg(F.count_if(F.col("spread") <= 25).alias("n")), "SELECT run_id, count(*) FILTER (WHERE s <= 25) AS n FROM (SELECT run_id, max(value) OVER w - min(value) OVER w AS s FROM track WINDOW w AS (PARTITION BY run_id ORDER BY ord ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) GROUP BY run_id")

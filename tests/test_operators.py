@@ -96,6 +96,13 @@ def test_a_path_of_two_kilometres_is_not_below_them(spark, tmp_path):
     assert got == dict(enumerate([2] * 6 + [3, 3, 1, 0]))
 
 
+def test_a_standing_run_at_the_edge_of_a_tile_is_in_the_next(spark, tmp_path):
+    rows = [(i, 1, "view", v) for i, v in enumerate((541.41, 580.04, 878.55, 0.0))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["ord"]: r["tile_e"] for r in catalog.REGISTRY["t03_look_ahead"][0](spark, str(tmp_path)).collect()}
+    assert got[3] == 40  # 2,000.00 m in tiles of 50 m
+
+
 def test_focal_median_replaces_a_spike(spark):
     rows = [(r, c, 10.0) for r in range(6) for c in range(6) for _ in range(4)] + [(3, 3, 60.0)]
     got = {(r["r"], r["c"]): (r["z"], r["confidence"]) for r in grids.focal_median(grids.accumulate(spark.createDataFrame(rows, "r long, c long, z double"))).collect()}
