@@ -132,6 +132,23 @@ def test_rigid_fit(spark):
     assert (r["theta"], r["scale"], r["tx"], r["ty"]) == pytest.approx((th, k, 3, -4))
 
 
+def turned(spark, folder, flag, scale):
+    """Fixes of a square turned by a quarter and scaled: est is scale * (-north, east); partkeys and quantities that give it."""
+    square = [(16, 10), (20, 10), (16, 14), (20, 14)]
+    part = lambda x, y: next(p for p in range(x, 997 * 61, 997) if p % 61 == 30 + scale * x - y)
+    rows = [(flag, i, 1, part(x, y), y, 25.0 - (scale * y + x) / 2, 0.0, 0.0, 0.0) for i, (x, y) in enumerate(square)]
+    schema = "l_returnflag string, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{folder}/lineitem.parquet")
+
+
+def test_rigid_fit_of_turned_fixes(spark, tmp_path):
+    turned(spark, tmp_path, "A", 1)
+    turned(spark, tmp_path, "B", 2)  # held at scale 1
+    got = {r["run_id"]: r.asDict() for r in catalog.REGISTRY["n02_rigid_fit"][0](spark, str(tmp_path)).collect()}
+    want = {"n": 4, "theta": pytest.approx(np.pi / 2, abs=1e-5), "scale": 1.0}
+    assert got == {"run_A": {"run_id": "run_A", **want, "tx": 0.0, "ty": 0.0}, "run_B": {"run_id": "run_B", **want, "tx": -12.0, "ty": 18.0}}
+
+
 def texture(n=64, shift=(0, 0), seed=3):
     rng = np.random.default_rng(seed)
     y, x = np.mgrid[0:n, 0:n]
