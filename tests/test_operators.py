@@ -149,6 +149,13 @@ def test_rigid_fit_of_turned_fixes(spark, tmp_path):
     assert got == {"run_A": {"run_id": "run_A", **want, "tx": 0.0, "ty": 0.0}, "run_B": {"run_id": "run_B", **want, "tx": -12.0, "ty": 18.0}}
 
 
+def test_similarity_fit_of_turned_fixes(spark, tmp_path):
+    turned(spark, tmp_path, "A", 1)
+    turned(spark, tmp_path, "B", 2)
+    got = {r["run_id"]: (r["theta"], r["scale"]) for r in catalog.REGISTRY["n03_similarity_fit"][0](spark, str(tmp_path)).collect()}
+    assert got == {"run_A": (pytest.approx(np.pi / 2, abs=1e-5), 1.0), "run_B": (pytest.approx(np.pi / 2, abs=1e-5), 2.0)}
+
+
 def texture(n=64, shift=(0, 0), seed=3):
     rng = np.random.default_rng(seed)
     y, x = np.mgrid[0:n, 0:n]
